@@ -48,7 +48,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; for a plain scan this is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame) -> DataFrame:
