@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``, inside lambdas as well.
+
+    A plain column that is used inside a lambda would be computed again for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clip_score(c: Column) -> Column:
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), 4)
 
@@ -45,5 +55,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Vector divided by its length, which is never taken below 1e-9."""
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(1e-9))
-    return F.transform(v, lambda x: x / norm)
+
+    def scaled(values: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(1e-9))
+        return let(norm, lambda n: F.transform(values, lambda x: x / n))
+
+    return let(v, scaled)

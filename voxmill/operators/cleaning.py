@@ -110,24 +110,24 @@ def filter_reviews(
 
 
 def near_duplicates(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """Groups of texts that share a key: size, distinct exact texts, first member.
+    """Groups of texts that share a key: key hash, size, distinct exact texts, first member.
 
-    Keys travel as 64-bit hash plus key text only while partial counts are combined; no group's rows are
-    ever brought together.
+    Only 128-bit hashes of keys and texts are shuffled, never texts, and no group's rows come together.
     """
-    keyed = df.select(F.col(id_col), text_key(F.col(text)).alias("text_key"), F.xxhash64(text).alias("_h"))
+    keyed = df.select(
+        F.col(id_col),
+        F.md5(text_key(F.col(text)).cast("binary")).alias("key_hash"),
+        F.md5(F.col(text).cast("binary")).alias("_h"),
+    )
     # First by (key, exact text), so that distinct texts are counted by a second, far smaller aggregate.
-    exact = keyed.groupBy("text_key", "_h").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first"))
-    return exact.groupBy("text_key").agg(
+    exact = keyed.groupBy("key_hash", "_h").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first"))
+    return exact.groupBy("key_hash").agg(
         F.sum("_n").alias("copies"),
         F.count(F.lit(1)).alias("distinct_texts"),
         F.min("_first").alias("first_id"),
     )
 
 
-_SCORED_INPUT = ("row", "text", "sentiment_score", "sentiment_label", "theme_id", "date", "rating")
-
-
 def coerce_scored(df: DataFrame) -> DataFrame:
     """Fill in what an external engine left out; a table without ``row`` breaks the contract."""
     if "row" not in df.columns:

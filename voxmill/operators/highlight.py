@@ -3,37 +3,45 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.functions.numbers import let
 from voxmill.functions.pii import TAGS
 from voxmill.functions.text import utf16_length
 from voxmill.operators.sentiment import MAX_LEXICON
 
 _WORD = r"[A-Za-z][A-Za-z'-]*"
-_SPAN = "array<struct<start:int,end:int,score:double>>"
+_SPAN = "struct<start:int,end:int,score:double>"
+_STATE = f"struct<at:int,out:array<{_SPAN}>>"
 
 
-def _spans(text: Column, regex: str) -> Column:
-    """Array of (start, end, term): code-point positions of all matches, left to right."""
-    gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
+def _spans(text: Column, regex: str, score: Callable[[Column], Column]) -> Column:
+    """Code-point spans of the matches whose ``score`` is not null, left to right.
+
+    One fold over (gap, match) pairs keeps the running position; only scored matches are added to the
+    result, so the work is linear in the text plus what the few hits cost.
+    """
+    gaps = F.split(text, regex, -1)
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
+    pairs = F.zip_with(
+        gaps,
+        found,
+        lambda g, m: F.struct(
+            F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), score(m).cast("double").alias("score")
+        ),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")).cast(_STATE)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["term"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["term"].alias("term")))).alias(
-                "out"
-            ),
-        )
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + p["gap"]
+        span = F.struct(begin.alias("start"), (begin + p["size"]).alias("end"), p["score"].alias("score")).cast(_SPAN)
+        grown = F.when(p["score"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
+        return F.struct((begin + p["size"]).alias("at"), grown.alias("out")).cast(_STATE)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("term")))
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def _valence(word: Column, terms: list[str], valences: Column) -> Column:
@@ -71,39 +79,38 @@ def highlight_terms(
     valences = F.map_from_arrays(F.array(*[F.lit(t) for t in terms]), F.array(*[F.lit(lowered[t]) for t in terms]))
     body = F.coalesce(F.col(text), F.lit(""))
 
-    tags = _spans(body, "|".join(re.escape(t) for t in TAGS))
-    word_hits = F.transform(
-        _spans(body, _WORD),
-        lambda s: F.struct(s["start"], s["end"], _valence(F.lower(s["term"]), terms, valences).alias("score")),
-    )
-    word_hits = F.filter(word_hits, lambda s: F.coalesce(F.abs(s["score"]) >= threshold, F.lit(False))).cast(_SPAN)
-    candidates = [
+    def word_score(term: Column) -> Column:
+        return let(
+            _valence(F.lower(term), terms, valences), lambda v: F.when(F.abs(v) >= threshold, v)
+        )
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    tagged = F.when(
+        body.contains("_REDACTED]"), _spans(body, "|".join(re.escape(t) for t in TAGS), lambda m: F.when(m.isNotNull(), 0.0))
+    ).otherwise(none)
+    claims = [
         F.when(
             F.lower(body).contains(p),
-            F.transform(
-                _spans(body, "(?iu)" + re.escape(p)),
-                lambda s, v=lowered[p]: F.struct(s["start"], s["end"], F.lit(v).alias("score")),
-            ).cast(_SPAN),
-        ).otherwise(F.array().cast(_SPAN))
+            _spans(body, "(?iu)" + re.escape(p), lambda m, v=lowered[p]: F.when(m.isNotNull(), F.lit(v))),
+        ).otherwise(none)
         for p in phrases
     ]
 
     def free(chosen: Column, s: Column) -> Column:
         return ~F.exists(chosen, lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"]))
 
-    staged = (
-        df.withColumn("_tags", tags)
-        .withColumn("_cand", F.concat(*candidates, word_hits))
-        .withColumn("_cand", F.filter("_cand", lambda s: free(F.col("_tags"), s)))
-        .withColumn(
-            "_hits",
-            F.aggregate(
-                "_cand",
-                F.array().cast(_SPAN),
-                lambda chosen, s: F.when(free(chosen, s), F.concat(chosen, F.array(s))).otherwise(chosen),
-            ),
+    def pick(tags: Column) -> Column:
+        candidates = F.filter(F.concat(*claims, _spans(body, _WORD, word_score)), lambda s: free(tags, s))
+        # Words never overlap each other, so without phrases there is nothing to settle.
+        if not phrases:
+            return candidates
+        return F.aggregate(
+            candidates,
+            none,
+            lambda chosen, s: F.when(free(chosen, s), F.concat(chosen, F.array(s))).otherwise(chosen),
         )
-    )
+
+    staged = df.withColumn("_hits", let(tagged, pick))
 
     def rendered(s: Column) -> Column:
         before = utf16_length(F.left(body, s["start"]))
@@ -115,7 +122,7 @@ def highlight_terms(
             term.alias("term"),
         )
 
-    return staged.withColumn(out, F.array_sort(F.transform("_hits", rendered))).drop("_tags", "_cand", "_hits")
+    return staged.withColumn(out, F.array_sort(F.transform("_hits", rendered))).drop("_hits")
 
 
 def highlight_counts(highlighted: DataFrame, highlights: str = "highlights") -> DataFrame:

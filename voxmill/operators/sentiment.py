@@ -17,7 +17,7 @@ from voxmill.config import (
     STRONGLY_NEGATIVE,
     LabelPreset,
 )
-from voxmill.functions.numbers import clip_score, exact_mean, percent_ints
+from voxmill.functions.numbers import clip_score, exact_mean, let, percent_ints
 from voxmill.functions.text import words
 from voxmill.operators.scale import salted_join
 
@@ -71,7 +71,6 @@ def lexicon_score(text: Column, lexicon: Mapping[str, float]) -> Column:
     valences = F.map_from_arrays(
         F.array(*[F.lit(w) for w in terms]), F.array(*[F.lit(single[w]) for w in terms])
     )
-    tokens = F.filter(words(text), lambda t: t != "")
 
     def adjusted(hit: Column) -> Column:
         base = F.element_at(valences, hit["word"])
@@ -83,19 +82,20 @@ def lexicon_score(text: Column, lexicon: Mapping[str, float]) -> Column:
         negated = F.exists(hit["before"], lambda w: F.coalesce(w.isin(*NEGATIONS), F.lit(False)))
         return F.when(negated, base * NEGATION_FACTOR).otherwise(base)
 
-    # Three empty words in front, so every position has three predecessors.
-    padded = F.concat(F.array_repeat(F.lit(""), 3), tokens)
-    positions = F.filter(
-        F.transform(
-            tokens,
+    def hits(padded: Column) -> Column:
+        """Lexicon words with the three words before each; the first three entries are padding."""
+        found = F.transform(
+            padded,
             lambda t, i: F.when(
-                t.isin(terms), F.struct(t.alias("word"), F.slice(padded, i + 1, 3).alias("before"))
+                t.isin(terms), F.struct(t.alias("word"), F.slice(padded, F.greatest(i - 2, F.lit(1)), 3).alias("before"))
             ),
-        ),
-        lambda h: h.isNotNull(),
-    )
-    total = F.aggregate(F.transform(positions, adjusted), F.lit(0.0), lambda acc, x: acc + x)
-    return clip_score(total / F.sqrt(total * total + F.lit(NORMALISER)))
+        )
+        return F.filter(found, lambda h: h.isNotNull())
+
+    tokens = F.filter(words(text), lambda t: t != "")
+    found = let(F.concat(F.array_repeat(F.lit(""), 3), tokens), hits)
+    total = F.aggregate(F.transform(found, adjusted), F.lit(0.0), lambda acc, x: acc + x)
+    return let(total, lambda t: clip_score(t / F.sqrt(t * t + F.lit(NORMALISER))))
 
 
 def score_lexicon(df: DataFrame, lexicon: Mapping[str, float], text: str = "text", out: str = "sentiment_score") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.config import OTHER, Config
-from voxmill.functions.numbers import dot, exact_mean
+from voxmill.functions.numbers import dot, exact_mean, let
 from voxmill.functions.text import bigrams, term_tokens, text_key, theme_stopwords, unicode_boundaries
 from voxmill.operators.features import centroids, similarity_to_centroid
 from voxmill.operators.scale import checkpointed, lookup_join, small_table, top_n
@@ -202,18 +202,18 @@ def merge_small(
     joined = lookup_join(df, per_group, group, salt_from=id_col, small_rows=1000)
     labels = F.transform("_kept", lambda k: k["label"])
     features = vector_to_array(vector) if df.schema[vector].dataType.typeName() == "vectorudt" else F.col(vector)
-    sims = F.transform("_kept", lambda k: dot(k["centroid"], F.col("_v")))
     # Only rows that have to move pay for the similarities.
-    moved = F.get(labels, (F.array_position(sims, F.array_max(sims)) - 1).cast("int"))
+    sims = let(features, lambda v: F.transform("_kept", lambda k: dot(k["centroid"], v)))
+    nearest = let(sims, lambda s: F.array_position(s, F.array_max(s)))
+    moved = F.get(labels, (nearest - 1).cast("int"))
     target = F.when(F.array_contains(labels, F.col(label)), F.col(label)).otherwise(moved)
     dense = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(
         (F.array_position(labels, F.col("_to")) - 1).cast("int")
     )
     return (
-        joined.withColumn("_v", F.when(~F.coalesce(F.array_contains(labels, F.col(label)), F.lit(False)), features))
-        .withColumn("_to", target)
+        joined.withColumn("_to", target)
         .withColumn(out, dense)
-        .drop("_kept", "_v", "_to")
+        .drop("_kept", "_to")
     )
 
 
@@ -337,15 +337,14 @@ def representatives(
 ) -> DataFrame:
     """Most central texts per cluster, one per text key; those of readable length come first.
 
-    The best row of each (cluster, key) is a combined aggregate, so copies of one text do not pile up; the
-    rank filter then sends a handful of rows per cluster and partition.
+    The best row of each (cluster, key hash) is a combined aggregate, so copies of one text do not pile up and
+    no text is shuffled; the rank filter then sends a handful of rows per cluster and partition.
     """
     fits = F.length(text).between(REP_MIN_CHARS, REP_MAX_CHARS).cast("int")
     order = F.struct(fits.alias("fits"), F.col(similarity).alias("sim"), (-F.col(id_col)).alias("neg_id"))
-    best = df.groupBy(*cluster, text_key(F.col(text)).alias("text_key")).agg(F.max(order).alias("_b"))
+    best = df.groupBy(*cluster, F.md5(text_key(F.col(text)).cast("binary")).alias("_key")).agg(F.max(order).alias("_b"))
     flat = best.select(
         *cluster,
-        "text_key",
         F.col("_b.fits").alias("fits"),
         F.col("_b.sim").alias(similarity),
         (-F.col("_b.neg_id")).alias(id_col),

@@ -17,7 +17,7 @@ from voxmill.errors import ContractMismatch
 from voxmill.operators import cleaning, redaction, sentiment, themes, validation
 from voxmill.operators.drift import drift_report
 from voxmill.operators.features import Encoder, embed_external, hashed_tf
-from voxmill.operators.scale import checkpointed
+from voxmill.operators.scale import checkpointed, spread
 from voxmill.sources.tables import ResultStore
 
 
@@ -129,6 +129,7 @@ class AnalysisEngine:
         with_drift: bool = True,
     ) -> Analysis:
         cfg = self.cfg
+        raw = spread(raw)
         quality = cleaning.data_quality(raw)
         # Everything later reads this table several times: it is written once and read back.
         ready = checkpointed(self.prepare(raw))

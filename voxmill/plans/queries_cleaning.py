@@ -113,8 +113,7 @@ def join_semi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY k""",
 )
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = cleaning.near_duplicates(wide_texts(spark, sf_dir, "documents"), "doc_id")
-    return groups.select(F.md5("text_key").alias("key_hash"), "copies", "distinct_texts", "first_id")
+    return cleaning.near_duplicates(wide_texts(spark, sf_dir, "documents"), "doc_id")
 
 
 @query(

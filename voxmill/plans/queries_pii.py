@@ -134,13 +134,13 @@ red AS (SELECT "row", CASE WHEN "row" % 13 <> 0 THEN text
 
 @query("redact_reviews", f"""WITH {R}, {_REDACTED} SELECT "row", text, entities FROM red""")
 def redact_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = redaction.redact(reviews(spark, sf_dir))
+    masked = redaction.redact(reviews(spark, sf_dir, wide=True))
     return masked.select("row", "text", sum((F.col(f"pii_{k}") for k in TYPES[1:]), F.col("pii_email")).alias("entities"))
 
 
 @query("output_guard", f"WITH {R} SELECT CAST(0 AS BIGINT) AS guard_hits, count(*) AS \"rows\" FROM r")
 def output_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = redaction.redact(reviews(spark, sf_dir)).select("row", "text")
+    stored = redaction.redact(reviews(spark, sf_dir, wide=True)).select("row", "text")
     return redaction.output_guard(stored)[1]
 
 
@@ -163,7 +163,7 @@ _SECRETS = ["4111 1111 1111 1111", "@mail.example.com", "415-555-", "10.20."]
            (SELECT count(*) FROM red WHERE contains(red.text, secret)) AS rows_found FROM s""",
 )
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = reviews(spark, sf_dir)
+    raw = reviews(spark, sf_dir, wide=True)
     before = redaction.leak_audit(raw, _SECRETS, ["text"]).withColumnRenamed("rows_found", "raw_rows")
     after = redaction.leak_audit(redaction.redact(raw), _SECRETS, ["text", "theme_id", "event_type"])
     return before.join(after, "secret")
@@ -178,6 +178,6 @@ def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (WHERE "row" % 13 = 0 AND "row" % 4 = 3) AS phone, false AS raw_text_stored FROM r""",
 )
 def governance_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    block = pii_block(redaction.pii_totals(redaction.redact(reviews(spark, sf_dir))))
+    block = pii_block(redaction.pii_totals(redaction.redact(reviews(spark, sf_dir, wide=True))))
     kinds = ("email", "credit_card", "ip_address", "phone")
     return block.select("total_redacted", *[F.col("by_type")[k].alias(k) for k in kinds], "raw_text_stored")

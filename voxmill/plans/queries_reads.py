@@ -144,7 +144,7 @@ def dashboard_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
            ELSE 'Mixed Trend' END AS overall_sentiment FROM s, shares""",
 )
 def summary_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = redaction.redact(reviews(spark, sf_dir))
+    rows = redaction.redact(reviews(spark, sf_dir, wide=True))
     blocks = [
         sentiment.summarize_sentiment(rows).drop("positive", "neutral", "negative", "mean_score"),
         sentiment.sentiment_percent(rows),

@@ -99,7 +99,7 @@ def rating_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lexicon_sentiment", f"""WITH {R}, {lexicon_ctes('r', '"row"')} SELECT id AS "row", sentiment_score FROM scored""")
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.score_lexicon(reviews(spark, sf_dir), DEFAULT_LEXICON).select("row", "sentiment_score")
+    return sentiment.score_lexicon(reviews(spark, sf_dir, wide=True), DEFAULT_LEXICON).select("row", "sentiment_score")
 
 
 @query(
@@ -114,7 +114,7 @@ def dedup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("highlight_terms")
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return highlight(reviews(spark, sf_dir), DEFAULT_LEXICON).select("row", "highlights")
+    return highlight(reviews(spark, sf_dir, wide=True), DEFAULT_LEXICON).select("row", "highlights")
 
 
 _STEMS = """CASE WHEN w LIKE '%ed' THEN [w[:-3], w[:-2]] WHEN w LIKE '%ing' THEN [w[:-4], w[:-4] || 'e']
@@ -135,7 +135,7 @@ FROM both_kinds WHERE abs(v) >= 1.5"""
 
 @query("highlight_term_counts", f"WITH {R}, {_highlight_oracle('r')}")
 def highlight_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return highlight_counts(highlight(reviews(spark, sf_dir), DEFAULT_LEXICON))
+    return highlight_counts(highlight(reviews(spark, sf_dir, wide=True), DEFAULT_LEXICON))
 
 
 @query("highlight_document_terms", f"WITH {_highlight_oracle('documents')}")

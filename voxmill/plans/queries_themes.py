@@ -38,7 +38,7 @@ classed AS (SELECT id, CASE WHEN {total} = 0 THEN 'Other' {names} END AS general
 
 @query("classify_general", f"""WITH {R}, {_class_oracle('r', '"row"')} SELECT id AS "row", general_class, round(confidence, 6) AS confidence FROM classed""")
 def classify_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classed = themes.classify_keywords(reviews(spark, sf_dir).drop("general_class"))
+    classed = themes.classify_keywords(reviews(spark, sf_dir, wide=True).drop("general_class"))
     return classed.select("row", "general_class", F.round("confidence", 6).alias("confidence"))
 
 

@@ -99,18 +99,19 @@ def wide_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived view. Double-quoted names become back-quoted ones."""
-    sources = {n: table(spark, sf_dir, n) for n in ("events", "orders") if "{" + n + "}" in sql}
+def view(spark: SparkSession, sf_dir: str, sql: str, wide: bool = False) -> DataFrame:
+    """A derived view; ``wide`` spreads a small scan over the cores. Double-quoted names become back-quoted ones."""
+    read = wide_texts if wide else table
+    sources = {n: read(spark, sf_dir, n) for n in ("events", "orders") if "{" + n + "}" in sql}
     return spark.sql(sql.replace('"', "`"), **sources)
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, REVIEWS)
+def reviews(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    return view(spark, sf_dir, REVIEWS, wide)
 
 
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, UPLOADS)
+def uploads(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    return view(spark, sf_dir, UPLOADS, wide)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
