@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.config import CATEGORIES, DEFAULT_LEXICON
+from voxmill.config import CATEGORIES
 from voxmill.operators import drift, validation
 from voxmill.operators.features import as_vector
 from voxmill.operators.sentiment import label_sentiment, score_lexicon
 from voxmill.operators.themes import classify_keywords
 from voxmill.plans.catalog import query
 from voxmill.plans.queries_themes import _class_oracle
-from voxmill.plans.views import LABEL_OF, lexicon_ctes, table, wide_texts
+from voxmill.plans.views import DOCUMENT_LEXICON, LABEL_OF, lexicon_ctes, table, wide_texts
 
 _GOLD = """CASE WHEN quality = 1 AND toxic = 0 THEN 'Neutral' WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END"""
 _GOLD_CLASS = "CASE WHEN toxic = 1 THEN 'Comments & Social' WHEN quality = 1 THEN 'Other' ELSE 'Performance & Crashes' END"
-_PAIRS = f"""{lexicon_ctes('documents', 'doc_id')}, {_class_oracle('documents', 'doc_id')},
+_PAIRS = f"""{lexicon_ctes('documents', 'doc_id', DOCUMENT_LEXICON)}, {_class_oracle('documents', 'doc_id')},
 pairs AS (SELECT CASE WHEN label = 'Strongly Negative' THEN 'Negative' ELSE label END AS predicted, gold, predicted_class, gold_class
   FROM (SELECT {LABEL_OF.format('sentiment_score')} AS label, {_GOLD} AS gold, classed.general_class AS predicted_class,
                {_GOLD_CLASS} AS gold_class
@@ -26,7 +26,7 @@ pairs AS (SELECT CASE WHEN label = 'Strongly Negative' THEN 'Negative' ELSE labe
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     docs = wide_texts(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-    scored = classify_keywords(score_lexicon(docs, DEFAULT_LEXICON))
+    scored = classify_keywords(score_lexicon(docs, DOCUMENT_LEXICON))
     return scored.select(
         label_sentiment(F.col("sentiment_score")).alias("predicted"),
         F.expr(_GOLD).alias("gold"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from voxmill.operators.analytics import sentiment_breakdown as breakdown_of
 from voxmill.operators.highlight import highlight_counts
 from voxmill.operators.highlight import highlight_terms as highlight
 from voxmill.plans.catalog import query
-from voxmill.plans.views import LEXICON, MEAN, R, lexicon_ctes, reviews, wide_texts
+from voxmill.plans.views import DOCUMENT_LEXICON, MEAN, R, lexicon_cte, lexicon_ctes, reviews, wide_texts
 
 _COUNTS = """count(*) FILTER (WHERE sentiment_label = 'Positive') AS positive,
   count(*) FILTER (WHERE sentiment_label = 'Neutral') AS neutral,
@@ -97,18 +99,18 @@ def rating_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.blend_rating(some_unrated).select("row", "blended")
 
 
-@query("lexicon_sentiment", f"""WITH {R}, {lexicon_ctes('r', '"row"')} SELECT id AS "row", sentiment_score FROM scored""")
+@query("lexicon_sentiment", f"""WITH {R}, {lexicon_ctes('r', '"row"', DEFAULT_LEXICON)} SELECT id AS "row", sentiment_score FROM scored""")
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.score_lexicon(reviews(spark, sf_dir, wide=True), DEFAULT_LEXICON).select("row", "sentiment_score")
 
 
 @query(
     "dedup_score",
-    f"""WITH {lexicon_ctes('documents', 'doc_id')} SELECT id AS doc_id, sentiment_score FROM scored""",
+    f"""WITH {lexicon_ctes('documents', 'doc_id', DOCUMENT_LEXICON)} SELECT id AS doc_id, sentiment_score FROM scored""",
 )
 def dedup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = wide_texts(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = sentiment.score_distinct(docs, lambda d: sentiment.score_lexicon(d, DEFAULT_LEXICON), "doc_id")
+    scored = sentiment.score_distinct(docs, lambda d: sentiment.score_lexicon(d, DOCUMENT_LEXICON), "doc_id")
     return scored.select("doc_id", "sentiment_score")
 
 
@@ -121,8 +123,8 @@ _STEMS = """CASE WHEN w LIKE '%ed' THEN [w[:-3], w[:-2]] WHEN w LIKE '%ing' THEN
   WHEN w LIKE '%es' THEN [w[:-3], w[:-2]] WHEN w LIKE '%s' THEN [w[:-2]] WHEN w LIKE '%ly' THEN [w[:-3]] ELSE [] END"""
 
 
-def _highlight_oracle(source: str) -> str:
-    return f"""{LEXICON}, words AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*'))) AS w FROM {source}),
+def _highlight_oracle(source: str, lexicon: Mapping[str, float]) -> str:
+    return f"""{lexicon_cte(lexicon)}, words AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*'))) AS w FROM {source}),
 seen AS (SELECT w, count(*) AS n FROM words GROUP BY w),
 stems AS (SELECT w, n, unnest([w] || {_STEMS}) AS stem, generate_subscripts([w] || {_STEMS}, 1) AS k FROM seen),
 valued AS (SELECT w, n, arg_min(v, k) AS v FROM stems JOIN lex ON stem = term GROUP BY w, n),
@@ -133,11 +135,11 @@ SELECT term, CASE WHEN v > 0 THEN 'positive' ELSE 'negative' END AS polarity, CA
 FROM both_kinds WHERE abs(v) >= 1.5"""
 
 
-@query("highlight_term_counts", f"WITH {R}, {_highlight_oracle('r')}")
+@query("highlight_term_counts", f"WITH {R}, {_highlight_oracle('r', DEFAULT_LEXICON)}")
 def highlight_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlight_counts(highlight(reviews(spark, sf_dir, wide=True), DEFAULT_LEXICON))
 
 
-@query("highlight_document_terms", f"WITH {_highlight_oracle('documents')}")
+@query("highlight_document_terms", f"WITH {_highlight_oracle('documents', DOCUMENT_LEXICON)}")
 def highlight_document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return highlight_counts(highlight(wide_texts(spark, sf_dir, "documents"), DEFAULT_LEXICON))
+    return highlight_counts(highlight(wide_texts(spark, sf_dir, "documents"), DOCUMENT_LEXICON))

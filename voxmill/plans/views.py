@@ -5,9 +5,10 @@ The SQL is written in the dialect both engines share. ``{events}`` and ``{orders
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.config import DEFAULT_LEXICON
 from voxmill.functions.text import DOMAIN_STOPWORDS
 from voxmill.operators.scale import spread
 from voxmill.operators.sentiment import BOOSTERS, DAMPENERS, NEGATIONS
@@ -15,6 +16,20 @@ from voxmill.operators.sentiment import BOOSTERS, DAMPENERS, NEGATIONS
 # The term queries take their stop words as a parameter, so that the SQL can name the same ones.
 STOPWORDS = (*DOMAIN_STOPWORDS, *"a an and are as at be by for from in is it not of on or that the this to was with".split())
 
+# Valences for the invented words of the documents table, with a phrase and with words below the threshold.
+DOCUMENT_LEXICON = {
+    "thing": 2.1,
+    "tion": 1.9,
+    "pour": 1.7,
+    "est": 1.2,
+    "ing": 0.7,
+    "sich": -1.6,
+    "thly": -1.8,
+    "nicht": -2.4,
+    "worthless": -2.6,
+    "by the": 1.6,
+}
+
 TEMPLATES = (
     "The video stream keeps buffering and playback is terrible.",
     "I really love the new subtitle options on live episodes.",
@@ -136,7 +151,9 @@ def _quoted(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-LEXICON = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({v} AS DOUBLE))" for t, v in DEFAULT_LEXICON.items()) + ") AS l(term, v))"
+def lexicon_cte(lexicon: Mapping[str, float]) -> str:
+    rows = ", ".join(f"('{t}', CAST({v} AS DOUBLE))" for t, v in lexicon.items())
+    return f"lex AS (SELECT * FROM (VALUES {rows}) AS l(term, v))"
 
 
 def _shift(before: str, factor: float) -> str:
@@ -146,10 +163,10 @@ def _shift(before: str, factor: float) -> str:
     )
 
 
-def lexicon_ctes(source: str, id_col: str, text: str = "text") -> str:
+def lexicon_ctes(source: str, id_col: str, lexicon: Mapping[str, float], text: str = "text") -> str:
     """CTEs ending in ``scored(id, sentiment_score)`` for the lexicon scorer over ``source``."""
     negated = " OR ".join(f"coalesce(p{i} IN ({_quoted(NEGATIONS)}), false)" for i in (1, 2, 3))
-    return f"""{LEXICON},
+    return f"""{lexicon_cte(lexicon)},
 toks AS (SELECT {id_col} AS id, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS ts
          FROM {source}),
 tok AS (SELECT id, unnest(ts) AS w, generate_subscripts(ts, 1) AS pos FROM toks),
