@@ -70,9 +70,9 @@ def words(c: Column) -> Column:
 
 def term_tokens(c: Column, stopwords: list[str]) -> Column:
     """Tokens that can be part of a theme name: a letter, then letters or digits, no stop word."""
-    return F.filter(
-        words(c), lambda t: t.rlike("^[a-z][a-z0-9]+$") & ~t.isin(stopwords) if stopwords else t.rlike("^[a-z][a-z0-9]+$")
-    )
+    whole = f"(?<![{WORD}])[a-z][a-z0-9]+(?![{WORD}])"
+    tokens = F.regexp_extract_all(F.lower(c), F.lit(whole), F.lit(0))
+    return F.filter(tokens, lambda t: ~t.isin(stopwords)) if stopwords else tokens
 
 
 def feature_tokens(c: Column, stopwords: list[str]) -> Column:

@@ -14,32 +14,41 @@ from voxmill.functions.text import utf16_length
 from voxmill.operators.sentiment import MAX_LEXICON
 
 _WORD = r"[A-Za-z][A-Za-z'-]*"
-_SPAN = "struct<start:int,end:int,score:double>"
+_SPAN = "struct<start:int,end:int,score:double,term:string>"
 _STATE = f"struct<at:int,out:array<{_SPAN}>>"
 
 
-def _spans(text: Column, regex: str, score: Callable[[Column], Column]) -> Column:
-    """Code-point spans of the matches whose ``score`` is not null, left to right.
+def _spans(text: Column, bmp: Column, regex: str, score: Callable[[Column], Column]) -> Column:
+    """Spans, in UTF-16 units, of the matches whose ``score`` is not null, left to right.
 
-    One fold over (gap, match) pairs keeps the running position; only scored matches are added to the
-    result, so the work is linear in the text plus what the few hits cost.
+    ``bmp`` says that no character needs two units, so plain lengths do. One fold over (gap, match) pairs
+    keeps the running position; only scored matches are added to the result, so the work is linear in the
+    text plus what the few hits cost.
     """
+
+    def units(c: Column) -> Column:
+        return F.when(bmp, F.length(c)).otherwise(utf16_length(c))
+
     gaps = F.split(text, regex, -1)
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     pairs = F.zip_with(
         gaps,
         found,
         lambda g, m: F.struct(
-            F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), score(m).cast("double").alias("score")
+            units(g).alias("gap"),
+            F.coalesce(units(m), F.lit(0)).alias("size"),
+            score(m).cast("double").alias("score"),
+            m.alias("term"),
         ),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")).cast(_STATE)
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + p["gap"]
-        span = F.struct(begin.alias("start"), (begin + p["size"]).alias("end"), p["score"].alias("score")).cast(_SPAN)
+        end = begin + p["size"]
+        span = F.struct(begin.alias("start"), end.alias("end"), p["score"].alias("score"), p["term"].alias("term"))
         grown = F.when(p["score"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
-        return F.struct((begin + p["size"]).alias("at"), grown.alias("out")).cast(_STATE)
+        return F.struct(end.alias("at"), grown.alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
@@ -64,6 +73,12 @@ def _valence(word: Column, terms: list[str], valences: Column) -> Column:
     return F.coalesce(known(word), stem)
 
 
+def _surfaces(terms: list[str]) -> list[str]:
+    """All words that may get a valence: the terms and the forms whose endings lead back to one."""
+    endings = ("", "ed", "d", "ing", "es", "s", "ly")
+    return sorted({t + e for t in terms for e in endings} | {t[:-1] + "ing" for t in terms if t.endswith("e")})
+
+
 def highlight_terms(
     df: DataFrame, lexicon: Mapping[str, float], text: str = "text", out: str = "highlights", threshold: float = 1.5
 ) -> DataFrame:
@@ -79,50 +94,54 @@ def highlight_terms(
     valences = F.map_from_arrays(F.array(*[F.lit(t) for t in terms]), F.array(*[F.lit(lowered[t]) for t in terms]))
     body = F.coalesce(F.col(text), F.lit(""))
 
+    possible = _surfaces(terms)
+
     def word_score(term: Column) -> Column:
-        return let(
-            _valence(F.lower(term), terms, valences), lambda v: F.when(F.abs(v) >= threshold, v)
-        )
+        # One hash-set test settles almost every word; only possible hits look for their valence.
+        strong = let(_valence(F.lower(term), terms, valences), lambda v: F.when(F.abs(v) >= threshold, v))
+        return F.when(F.lower(term).isin(possible), strong)
 
     none = F.array().cast(f"array<{_SPAN}>")
-    tagged = F.when(
-        body.contains("_REDACTED]"), _spans(body, "|".join(re.escape(t) for t in TAGS), lambda m: F.when(m.isNotNull(), 0.0))
-    ).otherwise(none)
-    claims = [
-        F.when(
-            F.lower(body).contains(p),
-            _spans(body, "(?iu)" + re.escape(p), lambda m, v=lowered[p]: F.when(m.isNotNull(), F.lit(v))),
-        ).otherwise(none)
-        for p in phrases
-    ]
 
     def free(chosen: Column, s: Column) -> Column:
         return ~F.exists(chosen, lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"]))
 
-    def pick(tags: Column) -> Column:
-        candidates = F.filter(F.concat(*claims, _spans(body, _WORD, word_score)), lambda s: free(tags, s))
-        # Words never overlap each other, so without phrases there is nothing to settle.
-        if not phrases:
-            return candidates
-        return F.aggregate(
-            candidates,
-            none,
-            lambda chosen, s: F.when(free(chosen, s), F.concat(chosen, F.array(s))).otherwise(chosen),
-        )
-
-    staged = df.withColumn("_hits", let(tagged, pick))
-
-    def rendered(s: Column) -> Column:
-        before = utf16_length(F.left(body, s["start"]))
-        term = F.substr(body, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(
-            before.alias("start"),
-            (before + utf16_length(term)).alias("end"),
+    def hits(bmp: Column) -> Column:
+        any_tag = "|".join(re.escape(t) for t in TAGS)
+        tagged = F.when(
+            body.contains("_REDACTED]"), _spans(body, bmp, any_tag, lambda m: F.when(m.isNotNull(), 0.0))
+        ).otherwise(none)
+        claims = [
+            F.when(
+                F.lower(body).contains(p),
+                _spans(body, bmp, "(?iu)" + re.escape(p), lambda m, v=lowered[p]: F.when(m.isNotNull(), F.lit(v))),
+            ).otherwise(none)
+            for p in phrases
+        ]
+
+        def pick(tags: Column) -> Column:
+            candidates = F.filter(F.concat(*claims, _spans(body, bmp, _WORD, word_score)), lambda s: free(tags, s))
+            # Words never overlap each other, so without phrases there is nothing to settle.
+            if not phrases:
+                return candidates
+            return F.aggregate(
+                candidates,
+                none,
+                lambda chosen, s: F.when(free(chosen, s), F.concat(chosen, F.array(s))).otherwise(chosen),
+            )
+
+        return let(tagged, pick)
+
+    rendered = F.transform(
+        let(F.length(body) == utf16_length(body), hits),
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            s["end"].alias("end"),
             F.when(s["score"] > 0, F.lit("positive")).otherwise(F.lit("negative")).alias("polarity"),
-            term.alias("term"),
-        )
-
-    return staged.withColumn(out, F.array_sort(F.transform("_hits", rendered))).drop("_hits")
+            s["term"].alias("term"),
+        ),
+    )
+    return df.withColumn(out, F.array_sort(rendered))
 
 
 def highlight_counts(highlighted: DataFrame, highlights: str = "highlights") -> DataFrame:

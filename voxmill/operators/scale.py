@@ -15,7 +15,7 @@ SMALL_ROWS = 10_000
 HOT_KEYS = 256
 HOT_SALTS = 64
 # Width of the row-number buckets of ``dense_rows``: the most rows one window group can hold.
-ROW_BUCKET = 1 << 20
+ROW_BUCKET = 1 << 14
 PAGE_DIRECT = 10_000
 QUANTILE_DIRECT = 1_000_000
 _QUANTILE_BUCKETS = 1024
@@ -36,16 +36,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, so later reads neither recompute nor drift."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage with a table written to the shared checkpoint folder.
+
+    Unlike ``checkpoint()`` the plan runs once, later readers take only the columns they need, and lost
+    executors cost nothing that was already written.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; for a plain scan this is the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -184,7 +189,7 @@ def sorted_slice(df: DataFrame, order: Sequence[Column], offset: int, limit: int
         return df.limit(0)
     if offset + limit <= PAGE_DIRECT:
         return df.orderBy(*order).offset(offset).limit(limit)
-    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = materialised(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sorted")
     counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     before, parts, start = 0, [], None
     for part in sorted(counts):

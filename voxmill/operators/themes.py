@@ -16,7 +16,7 @@ from voxmill.config import OTHER, Config
 from voxmill.functions.numbers import dot, exact_mean, let
 from voxmill.functions.text import bigrams, term_tokens, text_key, theme_stopwords, unicode_boundaries
 from voxmill.operators.features import centroids, similarity_to_centroid
-from voxmill.operators.scale import checkpointed, lookup_join, small_table, top_n
+from voxmill.operators.scale import lookup_join, materialised, small_table, spread, top_n
 from voxmill.operators.sentiment import label_sentiment
 
 # Patterns that count as a hit for each general class.
@@ -68,16 +68,33 @@ def class_patterns(categories: Sequence[str]) -> dict[str, list[str]]:
     }
 
 
+def literal_head(pattern: str) -> str:
+    """Plain lower-case text that every match of a class pattern begins with; empty if there is none."""
+    head = re.match(r"\\b([a-z ]*)(.?)", pattern)
+    if head is None:
+        return ""
+    text, following = head.groups()
+    return text[:-1] if following in ("?", "*", "{") else text
+
+
 def classify_keywords(df: DataFrame, text: str = "text", cfg: Config = Config()) -> DataFrame:
     """Class with the most matching patterns (ties to the earlier class) and its share of all hits."""
     table = class_patterns(cfg.categories)
-    lowered = F.lower(F.col(text))
+    lowered = F.col("_low")
+
+    def hit(pattern: str) -> Column:
+        # Every match starts with the literal head of its pattern; looking for that is far cheaper.
+        head = literal_head(pattern)
+        found = lowered.rlike(unicode_boundaries(pattern))
+        return (lowered.contains(head) & found if head else found).cast("int")
 
     def hits(patterns: list[str]) -> Column:
-        tests = [lowered.rlike(unicode_boundaries(p)).cast("int") for p in patterns]
+        tests = [hit(p) for p in patterns]
         return sum(tests[1:], tests[0]) if tests else F.lit(0)
 
-    counted = df.withColumn("_hits", F.array(*[hits(table[c]) for c in cfg.categories]))
+    counted = df.withColumn("_low", F.lower(F.col(text))).withColumn(
+        "_hits", F.array(*[hits(table[c]) for c in cfg.categories])
+    )
     best = F.array_max("_hits")
     total = F.aggregate("_hits", F.lit(0), lambda acc, x: acc + x)
     names = F.array(*[F.lit(c) for c in cfg.categories])
@@ -90,7 +107,7 @@ def classify_keywords(df: DataFrame, text: str = "text", cfg: Config = Config())
             ),
         )
         .withColumn("confidence", F.coalesce(F.try_divide(best.cast("double"), F.col("_total")), F.lit(0.0)))
-        .drop("_hits", "_total")
+        .drop("_low", "_hits", "_total")
     )
 
 
@@ -218,28 +235,56 @@ def merge_small(
 
 
 # ---------------------------------------------------------------- names
-def _neighbour_pairs(docs: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _neighbour_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs (last term of a document, first term of the next one) inside each cluster, in row order.
 
-    Documents are paired inside fixed ranges of ``order`` first; the ends of neighbouring ranges are
-    paired from one summary row per range, so a cluster with a third of all rows is cut into many groups.
+    Documents are paired inside fixed ranges of ``_o`` first; the ends of neighbouring ranges are paired
+    from one summary row per range, so a cluster with a third of all rows is cut into many groups.
     """
-    edges = docs.where(F.size("_terms") > 0).select(
-        *keys,
-        F.col(order).alias("_o"),
-        F.floor(F.col(order) / F.lit(NEIGHBOUR_BUCKET)).alias("_range"),
-        F.element_at("_terms", 1).alias("_first"),
-        F.element_at("_terms", -1).alias("_last"),
-    )
+    ranged = edges.withColumn("_range", F.floor(F.col("_o") / F.lit(NEIGHBOUR_BUCKET)))
     inside = Window.partitionBy(*keys, "_range").orderBy("_o")
-    within = edges.withColumn("_next", F.lead("_first").over(inside)).where(F.col("_next").isNotNull())
-    ends = edges.groupBy(*keys, "_range").agg(F.min_by("_first", "_o").alias("_first"), F.max_by("_last", "_o").alias("_last"))
+    within = ranged.withColumn("_next", F.lead("_first").over(inside)).where(F.col("_next").isNotNull())
+    ends = ranged.groupBy(*keys, "_range").agg(
+        F.min_by("_first", "_o").alias("_first"), F.max_by("_last", "_o").alias("_last")
+    )
     across = ends.withColumn("_next", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")))
     across = across.where(F.col("_next").isNotNull())
     pair = F.concat_ws(" ", "_last", "_next").alias("term")
     return within.select(*keys, pair).unionByName(across.select(*keys, pair))
 
 
+def _term_counts(df: DataFrame, keys: list[str], order: str, text: str, stopwords: Sequence[str] | None) -> DataFrame:
+    """Occurrences of 1-grams and 2-grams per cluster.
+
+    Texts are read and cut into tokens once: the same pass emits the terms and, per document, its first
+    and last token. Pairs across documents are then made from those two alone.
+    """
+    docs = df.select(*keys, F.col(order).alias("_o"), term_tokens(F.col(text), theme_stopwords(stopwords)).alias("_t"))
+    none = F.lit(None).cast("string")
+
+    def emitted(tokens: Column) -> Column:
+        terms = F.transform(
+            F.concat(tokens, bigrams(tokens)),
+            lambda t: F.struct(t.alias("term"), F.lit(None).cast("long").alias("_o"), none.alias("_first"), none.alias("_last")),
+        )
+        edge = F.struct(
+            none.alias("term"),
+            F.col("_o").cast("long").alias("_o"),
+            F.get(tokens, F.lit(0)).alias("_first"),
+            F.try_element_at(tokens, F.lit(-1)).alias("_last"),
+        )
+        return F.concat(terms, F.array(edge))
+
+    # ``_t`` stands outside the lambda of ``let`` once, so tokens are made once per document.
+    rows = docs.select(*keys, F.inline(let(F.col("_t"), emitted)))
+    grouped = rows.groupBy(*keys, "term", "_o", "_first", "_last").agg(F.count(F.lit(1)).alias("n"))
+    grouped = materialised(grouped, "terms")
+    edges = grouped.where(F.col("_o").isNotNull() & F.col("_first").isNotNull()).select(*keys, "_o", "_first", "_last")
+    pairs = _neighbour_pairs(edges, keys).withColumn("n", F.lit(1).cast("long"))
+    inner = grouped.where(F.col("term").isNotNull()).select(*keys, "term", "n")
+    return materialised(inner.unionByName(pairs).groupBy(*keys, "term").agg(F.sum("n").alias("n")), "counts")
+
+
 def ctfidf_terms(
     df: DataFrame,
     cluster: str,
@@ -257,15 +302,7 @@ def ctfidf_terms(
     """
     keys = [group, cluster] if group else [cluster]
     corpus = [group] if group else []
-    terms = term_tokens(F.col(text), theme_stopwords(stopwords))
-    docs = df.select(*keys, order, terms.alias("_terms"))
-    inner = docs.select(*keys, F.explode(F.concat("_terms", bigrams(F.col("_terms")))).alias("term"))
-    counts = (
-        inner.unionByName(_neighbour_pairs(docs, keys, order))
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts = checkpointed(counts)
+    counts = _term_counts(df, keys, order, text, stopwords)
     cluster_totals = counts.groupBy(*keys).agg(F.sum("n").alias("cluster_total"))
     term_totals = counts.groupBy(*corpus, "term").agg(F.sum("n").alias("term_total"))
     clusters = df.groupBy(*keys).agg(F.lit(1).alias("_one"))
@@ -417,7 +454,8 @@ def discover_themes(
     clustered = cluster_within(
         scored, "general_class", F.xxhash64("text"), vector, "cluster", cfg
     )
-    merged = checkpointed(merge_small(clustered, "general_class", id_col, "cluster", vector, cfg.min_theme_size))
+    merged = merge_small(clustered, "general_class", id_col, "cluster", vector, cfg.min_theme_size)
+    merged = spread(materialised(merged, "merged"))
     keys = ["general_class", "cluster"]
     terms = ctfidf_terms(merged, "cluster", id_col, group="general_class", stopwords=cfg.stopwords)
     named = name_clusters(merged, terms, "cluster", "general_class")

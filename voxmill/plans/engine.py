@@ -17,7 +17,7 @@ from voxmill.errors import ContractMismatch
 from voxmill.operators import cleaning, redaction, sentiment, themes, validation
 from voxmill.operators.drift import drift_report
 from voxmill.operators.features import Encoder, embed_external, hashed_tf
-from voxmill.operators.scale import checkpointed, spread
+from voxmill.operators.scale import materialised, spread
 from voxmill.sources.tables import ResultStore
 
 
@@ -132,9 +132,9 @@ class AnalysisEngine:
         raw = spread(raw)
         quality = cleaning.data_quality(raw)
         # Everything later reads this table several times: it is written once and read back.
-        ready = checkpointed(self.prepare(raw))
+        ready = spread(materialised(self.prepare(raw), "ready"))
         cleaning.gate_rows(ready.count(), cfg)
-        embedded = checkpointed(self._embedded(ready))
+        embedded = spread(materialised(self._embedded(ready), "embedded"))
         reviews, theme_rows = themes.discover_themes(embedded, cfg)
         pii = redaction.pii_totals(ready)
         checked = self.validate(labelled) if labelled is not None else None
