@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.config import Config
 from voxmill.functions.numbers import dot, unit
@@ -28,7 +29,7 @@ def hashed_tf(df: DataFrame, text: str = "text", out: str = "features", cfg: Con
 
 def embed_external(df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding") -> DataFrame:
     """Unit-length float vectors from a pluggable model, loaded once per task."""
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.functions.pii import PII_TAG, PROFILES, TYPES, Pass
 
@@ -70,7 +71,7 @@ def redact_names(
     ``recogniser()`` is called once per task and returns a function from texts to character spans.
     """
     columns = [c for c in df.columns if c != "pii_person"]
-    schema = df.select(*columns).schema.add("pii_person", "long")
+    schema = T.StructType([*df.select(*columns).schema.fields, T.StructField("pii_person", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = recogniser()

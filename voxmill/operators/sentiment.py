@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.config import (
     ENGINE_LABELS,
@@ -122,7 +123,7 @@ def score_external(
     Texts of similar length are put next to each other inside each partition, which keeps padded model
     batches small.
     """
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = scorer()

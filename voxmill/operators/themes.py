@@ -11,6 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.config import OTHER, Config
 from voxmill.functions.numbers import dot, exact_mean, let
@@ -56,6 +57,8 @@ NAME_MOST = 4
 TOP_TERMS = 15
 REP_MIN_CHARS = 15
 REP_MAX_CHARS = 280
+# Groups that may be clustered in one call: general classes are few.
+MAX_GROUPS = 1000
 # Rows per window group when neighbouring documents of a cluster are paired up.
 NEIGHBOUR_BUCKET = 1 << 16
 
@@ -119,7 +122,13 @@ def confidence_floor(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def classify_external(df: DataFrame, classifier: ClassScores, text: str = "text", cfg: Config = Config()) -> DataFrame:
     """Top class from a pluggable model, loaded once per task, with the confidence floor applied."""
-    schema = df.schema.add("general_class", "string").add("confidence", "double")
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("general_class", T.StringType()),
+            T.StructField("confidence", T.DoubleType()),
+        ]
+    )
     categories = list(cfg.categories)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,33 +162,58 @@ def class_theme_rollup(reviews: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- clusters inside a class
-def cluster_sizes(df: DataFrame, group: str, text_hash: Column, cfg: Config) -> dict[str, int]:
+def distinct_vectors(df: DataFrame, group: str, vector: str = "features") -> DataFrame:
+    """One row per group and distinct vector with its number of rows as ``weight``.
+
+    Copies of one text are combined before the shuffle, so a text that makes up a third of a class is one
+    weighted point of the fit.
+    """
+    hashed = df.select(group, vector, F.xxhash64(vector_to_array(vector)).alias("_h"))
+    return hashed.groupBy(group, "_h").agg(
+        F.any_value(vector).alias(vector), F.count(F.lit(1)).cast("double").alias("weight")
+    )
+
+
+def cluster_sizes(points: DataFrame, group: str, cfg: Config) -> dict[str, int]:
     """Number of clusters to fit per group; 1 where there is too little to split."""
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(text_hash).alias("docs"))
+    stats = points.groupBy(group).agg(F.sum("weight").cast("long").alias("n"), F.count(F.lit(1)).alias("docs"))
+    found = stats.limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"{group} has more than {MAX_GROUPS} values; each one needs a model of its own")
     out = {}
-    for r in stats.limit(len(cfg.categories) + 1001).collect():
+    for r in found:
         most = min(cfg.max_subtopics, r["n"] // max(cfg.min_theme_size, 1), r["docs"])
         out[r[group]] = 1 if most < 2 else int(min(max(round((r["n"] / 4) ** 0.5), 2), most))
     return out
 
 
+def _fit(points: DataFrame, k: int, seed: int, vector: str, out: str, cfg: Config):
+    """One k-means fit. With few distinct points the parallel start can come up short of ``k`` centres, which
+    the fit does not survive; it is then repeated with one cluster less."""
+    while True:
+        means = KMeans(
+            k=k, seed=seed, featuresCol=vector, predictionCol=out, weightCol="weight", initSteps=5, maxIter=cfg.kmeans_max_iter
+        )
+        try:
+            return means.fit(points)
+        except Exception as exc:
+            if k <= 2 or "ArrayIndexOutOfBoundsException" not in str(exc):
+                raise
+            k -= 1
+
+
 def cluster_within(
-    df: DataFrame, group: str, text_hash: Column, vector: str = "features", out: str = "cluster", cfg: Config = Config()
+    df: DataFrame, group: str, vector: str = "features", out: str = "cluster", cfg: Config = Config()
 ) -> DataFrame:
     """K-means inside each group, groups fitted side by side; the cheapest of the restarts wins."""
-    sizes = cluster_sizes(df, group, text_hash, cfg)
+    points = spread(materialised(distinct_vectors(df, group, vector), "points"))
+    sizes = cluster_sizes(points, group, cfg)
 
     def fit(item: tuple[str, int]):
         name, k = item
-        part = df.where(F.col(group) == name).select(vector)
-        best = None
-        for attempt in range(cfg.kmeans_restarts):
-            model = KMeans(
-                k=k, seed=cfg.seed + attempt, featuresCol=vector, predictionCol=out, maxIter=cfg.kmeans_max_iter
-            ).fit(part)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return name, best
+        part = points.where(F.col(group) == name).select(vector, "weight")
+        fits = [_fit(part, k, cfg.seed + attempt, vector, out, cfg) for attempt in range(cfg.kmeans_restarts)]
+        return name, min(fits, key=lambda m: m.summary.trainingCost)
 
     todo = sorted((g, k) for g, k in sizes.items() if k > 1)
     with ThreadPoolExecutor(max_workers=max(1, cfg.fit_threads)) as pool:
@@ -451,9 +485,7 @@ def discover_themes(
 
     Needs ``id_col``, ``text``, ``general_class``, ``sentiment_score`` and an ML vector column.
     """
-    clustered = cluster_within(
-        scored, "general_class", F.xxhash64("text"), vector, "cluster", cfg
-    )
+    clustered = cluster_within(scored, "general_class", vector, "cluster", cfg)
     merged = merge_small(clustered, "general_class", id_col, "cluster", vector, cfg.min_theme_size)
     merged = spread(materialised(merged, "merged"))
     keys = ["general_class", "cluster"]

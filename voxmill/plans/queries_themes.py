@@ -208,7 +208,7 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cluster_reviews")
 def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
-    clustered = themes.cluster_within(rows, "label", F.xxhash64("embedding"), cfg=Config(kmeans_restarts=1))
+    clustered = themes.cluster_within(rows, "label", cfg=Config(kmeans_restarts=1))
     merged = themes.merge_small(clustered, "label", "vec_id")
     return merged.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("members"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.config import Config
+from voxmill.sources.reviews import list_files
 
 # Allowed endings and the first bytes of a spreadsheet.
 EXTENSIONS = ("csv", "xlsx")
@@ -32,7 +33,6 @@ def file_manifest(spark: SparkSession, path: str, cfg: Config = Config()) -> Dat
     zipped = F.col("_magic") == ZIP_MAGIC
     status = (
         F.when(~F.col("extension").isin(*EXTENSIONS), "INVALID_FILE_FORMAT")
-        .when(F.col("size") == 0, "EMPTY_FILE")
         .when((F.col("extension") == "xlsx") & ~zipped, "INVALID_FILE_FORMAT")
         .when((F.col("extension") == "csv") & zipped, "INVALID_FILE_FORMAT")
         .when((F.col("extension") == "csv") & F.col("_blank"), "EMPTY_FILE")
@@ -46,4 +46,12 @@ def file_manifest(spark: SparkSession, path: str, cfg: Config = Config()) -> Dat
         F.lit(None).cast("string").alias("sha256"),
         F.lit("FILE_TOO_LARGE").alias("status"),
     )
-    return checked.unionByName(too_large)
+    # A scan passes over files without any byte, so those come from the listing.
+    empty = spark.createDataFrame([(p,) for p, size in list_files(spark, path) if size == 0], "path string").select(
+        "path",
+        ending.alias("extension"),
+        F.lit(0).cast("bigint").alias("size"),
+        F.sha2(F.lit("").cast("binary"), 256).alias("sha256"),
+        F.when(~F.col("extension").isin(*EXTENSIONS), "INVALID_FILE_FORMAT").otherwise("EMPTY_FILE").alias("status"),
+    )
+    return checked.unionByName(too_large).unionByName(empty)

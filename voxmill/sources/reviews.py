@@ -23,19 +23,28 @@ NA_VALUES = (
 SAMPLE_BYTES = 16_384
 
 
-def head_bytes(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
-    """First bytes of a file, or of the first file of a folder or glob, read through the cluster's file system."""
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of the visible files a path, folder or glob stands for, by name."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(where)
-    if not found:
-        raise InvalidFile("FILE_NOT_FOUND", f"nothing at {path}")
-    files = list(fs.listStatus(found[0].getPath())) if found[0].isDirectory() else list(found)
-    names = sorted(f.getPath().toString() for f in files if f.isFile() and f.getPath().getName()[0] not in "._")
-    if not names:
-        raise InvalidFile("EMPTY_FILE", f"no files in {path}")
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(names[0]))
+    out = []
+    for found in fs.globStatus(where) or []:
+        for f in fs.listStatus(found.getPath()) if found.isDirectory() else [found]:
+            if f.isFile() and f.getPath().getName()[0] not in "._":
+                out.append((f.getPath().toString(), f.getLen()))
+    return sorted(out)
+
+
+def head_bytes(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
+    """First bytes of a file, or of the first file of a folder or glob, read through the cluster's file system."""
+    jvm = spark._jvm
+    files = list_files(spark, path)
+    if not files:
+        raise InvalidFile("FILE_NOT_FOUND", f"no file at {path}")
+    first = jvm.org.apache.hadoop.fs.Path(files[0][0])
+    fs = first.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.open(first)
     try:
         bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
