@@ -81,7 +81,7 @@ class Config:
     samples_per_theme: int = 5
     kmeans_restarts: int = 5
     kmeans_max_iter: int = 20
-    fit_threads: int = 4
+    fit_threads: int = 8
     seed: int = 42
     min_rows: int = 10
     # The row cap is a guard for small deployments; None lets a run be as large as the cluster can take.

@@ -40,15 +40,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+def materialised(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Cut the lineage with a table written to the shared checkpoint folder.
 
-    Unlike ``checkpoint()`` the plan runs once, later readers take only the columns they need, and lost
-    executors cost nothing that was already written.
+    Unlike ``checkpoint()`` the plan runs once, later readers take only the columns and partitions they
+    need, and lost executors cost nothing that was already written.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -206,7 +206,7 @@ def cluster_within(
     df: DataFrame, group: str, vector: str = "features", out: str = "cluster", cfg: Config = Config()
 ) -> DataFrame:
     """K-means inside each group, groups fitted side by side; the cheapest of the restarts wins."""
-    points = spread(materialised(distinct_vectors(df, group, vector), "points"))
+    points = materialised(distinct_vectors(df, group, vector), "points")
     sizes = cluster_sizes(points, group, cfg)
 
     def fit(item: tuple[str, int]):
@@ -288,7 +288,7 @@ def _neighbour_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _term_counts(df: DataFrame, keys: list[str], order: str, text: str, stopwords: Sequence[str] | None) -> DataFrame:
-    """Occurrences of 1-grams and 2-grams per cluster.
+    """Occurrences of 1-grams and 2-grams per cluster; a pair may have a second row for its uses across documents.
 
     Texts are read and cut into tokens once: the same pass emits the terms and, per document, its first
     and last token. Pairs across documents are then made from those two alone.
@@ -314,9 +314,9 @@ def _term_counts(df: DataFrame, keys: list[str], order: str, text: str, stopword
     grouped = rows.groupBy(*keys, "term", "_o", "_first", "_last").agg(F.count(F.lit(1)).alias("n"))
     grouped = materialised(grouped, "terms")
     edges = grouped.where(F.col("_o").isNotNull() & F.col("_first").isNotNull()).select(*keys, "_o", "_first", "_last")
-    pairs = _neighbour_pairs(edges, keys).withColumn("n", F.lit(1).cast("long"))
+    pairs = _neighbour_pairs(edges, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
     inner = grouped.where(F.col("term").isNotNull()).select(*keys, "term", "n")
-    return materialised(inner.unionByName(pairs).groupBy(*keys, "term").agg(F.sum("n").alias("n")), "counts")
+    return inner.unionByName(materialised(pairs, "pairs"))
 
 
 def ctfidf_terms(
@@ -338,22 +338,27 @@ def ctfidf_terms(
     corpus = [group] if group else []
     counts = _term_counts(df, keys, order, text, stopwords)
     cluster_totals = counts.groupBy(*keys).agg(F.sum("n").alias("cluster_total"))
-    term_totals = counts.groupBy(*corpus, "term").agg(F.sum("n").alias("term_total"))
     clusters = df.groupBy(*keys).agg(F.lit(1).alias("_one"))
-    corpus_totals = clusters.groupBy(*corpus).agg(F.count(F.lit(1)).alias("clusters"))
-    sums = counts.groupBy(*corpus).agg(F.sum("n").alias("total"))
     if not group:
-        corpus_totals = corpus_totals.withColumn("_all", F.lit(1))
-        sums = sums.withColumn("_all", F.lit(1))
-        counts = counts.withColumn("_all", F.lit(1))
-        cluster_totals = cluster_totals.withColumn("_all", F.lit(1))
-    corpus_key = group or "_all"
+        # One corpus: a constant key keeps the joins below plain equi-joins.
+        corpus_key, *tables = "_all", *(t.withColumn("_all", F.lit(1)) for t in (cluster_totals, clusters))
+    else:
+        corpus_key, *tables = group, cluster_totals, clusters
+    cluster_totals, clusters = tables
+    sums = cluster_totals.groupBy(corpus_key).agg(F.sum("cluster_total").alias("total"))
+    corpus_totals = clusters.groupBy(corpus_key).agg(F.count(F.lit(1)).alias("clusters"))
     facts = cluster_totals.join(corpus_totals.join(sums, corpus_key), corpus_key)
+    facts = facts.select(*keys, "cluster_total", "clusters", "total")
     facts, small = small_table(facts)
     facts = F.broadcast(facts) if small else facts
+    # One shuffle by term serves both the counts per cluster and the totals per term; after it a term has
+    # at most one row per cluster, so these window groups are small.
     scored = (
-        counts.join(facts, [*keys, *([] if group else ["_all"])])
-        .join(term_totals, [*corpus, "term"])
+        counts.repartition("term")
+        .groupBy(*keys, "term")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("term_total", F.sum("n").over(Window.partitionBy(*corpus, "term")))
+        .join(facts, keys)
         .withColumn(
             "score",
             (F.col("n") / F.greatest(F.col("cluster_total"), F.lit(1)))
@@ -483,9 +488,10 @@ def discover_themes(
 ) -> tuple[DataFrame, DataFrame]:
     """(reviews with theme_id, themes) from classified, embedded and scored reviews.
 
-    Needs ``id_col``, ``text``, ``general_class``, ``sentiment_score`` and an ML vector column.
+    Needs ``id_col``, ``text``, ``general_class``, ``sentiment_score`` and an ML vector column. Every class is
+    read by itself for its fit, so ``scored`` is best stored partitioned by class.
     """
-    clustered = cluster_within(scored, "general_class", vector, "cluster", cfg)
+    clustered = spread(materialised(cluster_within(scored, "general_class", vector, "cluster", cfg), "clustered"))
     merged = merge_small(clustered, "general_class", id_col, "cluster", vector, cfg.min_theme_size)
     merged = spread(materialised(merged, "merged"))
     keys = ["general_class", "cluster"]

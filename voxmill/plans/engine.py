@@ -134,7 +134,7 @@ class AnalysisEngine:
         # Everything later reads this table several times: it is written once and read back.
         ready = spread(materialised(self.prepare(raw), "ready"))
         cleaning.gate_rows(ready.count(), cfg)
-        embedded = spread(materialised(self._embedded(ready), "embedded"))
+        embedded = materialised(self._embedded(ready), "embedded", partition_by=["general_class"])
         reviews, theme_rows = themes.discover_themes(embedded, cfg)
         pii = redaction.pii_totals(ready)
         checked = self.validate(labelled) if labelled is not None else None
