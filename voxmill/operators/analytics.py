@@ -36,10 +36,25 @@ def trend_buckets(reviews: DataFrame, interval: str) -> DataFrame:
 
 def fill_trend(buckets: DataFrame, interval: str, cfg: Config = Config()) -> DataFrame:
     """Continuous axis from the first to the last bucket; empty buckets have 0 rows and null scores."""
-    axis = buckets.agg(F.min("period_start").alias("_a"), F.max("period_start").alias("_b")).select(
-        F.explode(bucket_axis(F.col("_a"), F.col("_b"), interval)).alias("period_start")
+    counted = ["review_count", "positive", "neutral", "negative"]
+
+    def empty(start: Column) -> Column:
+        zeros = [F.lit(0).cast("long").alias(c) for c in counted]
+        return F.struct(start.alias("period_start"), *zeros, F.lit(None).cast("double").alias("_mean"))
+
+    # There are as many buckets as calendar weeks or months, so they fit one row; from it the axis is made
+    # and merged, and the reviews are read only once.
+    all_buckets = buckets.agg(
+        F.min("period_start").alias("_a"),
+        F.max("period_start").alias("_b"),
+        F.collect_list(F.struct("period_start", *counted, "_mean")).alias("_rows"),
+    ).where(F.col("_a").isNotNull())
+    axis = F.transform(bucket_axis(F.col("_a"), F.col("_b"), interval), empty)
+    filled = (
+        all_buckets.select(F.inline(F.concat(F.col("_rows"), axis)))
+        .groupBy("period_start")
+        .agg(*[F.sum(c).alias(c) for c in counted], F.max("_mean").alias("_mean"))
     )
-    filled = axis.join(buckets, "period_start", "left").fillna(0, ["review_count", "positive", "neutral", "negative"])
     nss = F.try_divide((F.col("positive") - F.col("negative")) * 100.0, F.col("review_count"))
     return filled.select(
         "period_start",

@@ -11,6 +11,7 @@ from voxmill.functions.dates import parse_date
 from voxmill.functions.text import strip, text_key
 from voxmill.operators.scale import dense_rows
 
+# Fixed value: warning text.
 DATE_WARNING = "More than 50% of date values could not be parsed and were treated as missing."
 
 

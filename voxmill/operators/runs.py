@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.config import Config
+from voxmill.operators.scale import small_table
 
 THROUGHPUT_SAMPLES = 5
 
@@ -26,8 +27,12 @@ def expired_runs(runs: DataFrame, now: datetime | None = None, cfg: Config = Con
 
 
 def purge(table: DataFrame, expired: DataFrame) -> DataFrame:
-    """Rows of a result table that survive the removal of expired runs."""
-    return table.join(expired.select("job_id"), "job_id", "left_anti")
+    """Rows of a result table that survive the removal of expired runs.
+
+    Many expired runs are shuffled; a run with very many rows is then split by adaptive execution.
+    """
+    gone, small = small_table(expired.select("job_id"))
+    return table.join(F.broadcast(gone) if small else gone, "job_id", "left_anti")
 
 
 def deletion_events(expired: DataFrame, now: datetime | None = None) -> DataFrame:

@@ -112,8 +112,10 @@ def lookup_join(
 def salted_join(big: DataFrame, unique: DataFrame, key: str, salt_from: str, how: str = "left") -> DataFrame:
     hot = hot_keys(big, key)
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    # Rows without a key match nothing but would all go to one task, so they are spread as well.
     left = big.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(salt_from), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))
+        "_salt",
+        F.when(F.col(key).isNull() | is_hot, F.pmod(F.xxhash64(salt_from), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0)),
     )
     right = unique.withColumn(
         "_salt",
@@ -140,7 +142,8 @@ def dense_rows(df: DataFrame, id_col: str, out: str = "row", width: int = ROW_BU
     task gives the same numbers.
     """
     bucketed = df.withColumn("_bucket", F.floor(F.col(id_col) / F.lit(width)).cast("long"))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # Written once: both levels below read it, and the rows themselves are counted a single time.
+    counts = materialised(bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), "buckets")
     # Second level: offsets are summed inside groups of buckets first, so this window stays small as well.
     counts = counts.withColumn("_super", F.floor(F.col("_bucket") / F.lit(4096)).cast("long"))
     supers = counts.groupBy("_super").agg(F.sum("_n").alias("_sn"))
