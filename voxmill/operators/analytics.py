@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.config import NEUTRAL, POSITIVE, Config
+from voxmill.config import NEGATIVE, NEUTRAL, POSITIVE, STRONGLY_NEGATIVE, Config
 from voxmill.errors import NoDateData
 from voxmill.functions.dates import bucket_axis, bucket_label, bucket_start
 from voxmill.functions.numbers import exact_mean
 from voxmill.operators.scale import small_table, sorted_slice, top_n
-from voxmill.operators.sentiment import label_counts, sentiment_percent
+from voxmill.operators.sentiment import with_percent
 
 SORTS = ("priority", "volume", "severity")
 VERBATIM_SORTS = ("most_negative", "most_positive", "recent")
@@ -191,21 +191,19 @@ def verbatim_page_info(reviews: DataFrame, theme_id: str, limit: int = 20, senti
 
 # ---------------------------------------------------------------- summaries
 def sentiment_breakdown(reviews: DataFrame) -> DataFrame:
-    """One row: whole percentages, the four absolute counts and the total."""
-    shares = sentiment_percent(reviews).withColumn("_one", F.lit(1))
-    counts = label_counts(reviews).groupBy(F.lit(1).alias("_one")).agg(
-        *[
-            F.sum(F.when(F.col("sentiment_label") == label, F.col("reviews"))).cast("long").alias(name)
-            for label, name in (
-                ("Positive", "positive"),
-                ("Neutral", "neutral"),
-                ("Negative", "negative"),
-                ("Strongly Negative", "strongly_negative"),
-            )
-        ],
-        F.sum("reviews").cast("long").alias("total_reviews"),
+    """One row from one pass: whole percentages, the four absolute counts and the total."""
+    label = F.col("sentiment_label")
+    counts = reviews.agg(
+        F.count_if(label == POSITIVE).alias("positive"),
+        F.count_if(label == NEUTRAL).alias("neutral"),
+        F.count_if(label == NEGATIVE).alias("_negative"),
+        F.count_if(label == STRONGLY_NEGATIVE).alias("strongly_negative"),
+        F.count(F.lit(1)).alias("total_reviews"),
     )
-    return shares.join(counts, "_one").drop("_one")
+    # For the percentages every other label is negative.
+    counts = counts.withColumn("negative", F.col("total_reviews") - F.col("positive") - F.col("neutral"))
+    shares = with_percent(counts)
+    return shares.withColumn("negative", F.col("_negative")).drop("_negative")
 
 
 def kpi_estimates(breakdown: DataFrame) -> DataFrame:

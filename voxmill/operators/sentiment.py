@@ -191,11 +191,16 @@ def summarize_sentiment(df: DataFrame, preset: LabelPreset = ENGINE_LABELS) -> D
     )
 
 
-def sentiment_percent(df: DataFrame) -> DataFrame:
-    counts = df.agg(*[c.alias(n) for n, c in _counts(F.col("sentiment_label")).items()])
+def with_percent(counts: DataFrame) -> DataFrame:
+    """Add whole percentages to rows that carry positive, neutral and negative counts."""
     names = ["positive", "neutral", "negative"]
     shares = percent_ints([F.col(n) for n in names])
-    return counts.select(*[s.alias(f"{n}_pct") for n, s in zip(names, shares)])
+    return counts.withColumns({f"{n}_pct": s for n, s in zip(names, shares)})
+
+
+def sentiment_percent(df: DataFrame) -> DataFrame:
+    counts = df.agg(*[c.alias(n) for n, c in _counts(F.col("sentiment_label")).items()])
+    return with_percent(counts).drop(*counts.columns)
 
 
 def label_counts(df: DataFrame) -> DataFrame:

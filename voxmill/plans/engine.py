@@ -146,8 +146,7 @@ class AnalysisEngine:
         spark = raw.sparkSession
         no_report = spark.createDataFrame([(None,)], T.StructType([T.StructField("display", T.StringType())]))
         parts = [
-            sentiment.summarize_sentiment(ready, cfg.labels),
-            sentiment.sentiment_percent(ready),
+            sentiment.with_percent(sentiment.summarize_sentiment(ready, cfg.labels)),
             pii.select(F.col("total").alias("pii_redacted_count")),
             (checked or no_report).select(F.col("display").alias("model_validation_accuracy")),
             (drift or no_report).select(F.col("display").alias("drift_status")),

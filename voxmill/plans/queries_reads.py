@@ -146,8 +146,7 @@ def dashboard_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = redaction.redact(reviews(spark, sf_dir, wide=True))
     blocks = [
-        sentiment.summarize_sentiment(rows).drop("positive", "neutral", "negative", "mean_score"),
-        sentiment.sentiment_percent(rows),
+        sentiment.with_percent(sentiment.summarize_sentiment(rows)).drop("positive", "neutral", "negative", "mean_score"),
         redaction.pii_totals(rows).select(F.col("total").alias("pii_redacted_count")),
         rows.agg(F.count_if(F.col("theme_id").isNull()).alias("unassigned_count")),
         review_themes(rows).agg(F.count(F.lit(1)).alias("themes_total")),
