@@ -22,6 +22,8 @@ _SPAN = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Gaps between words for matching that ignores punctuation: every ASCII byte but letters and digits.
+NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -105,7 +107,9 @@ class Piece:
         return np.repeat(np.arange(self.rows), np.diff(self.bounds))
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = PIECE) -> Iterator[Piece]:
+def pieces(
+    column: pa.Array | pa.ChunkedArray, lower: bool = False, gaps: np.ndarray = SPACE, limit: int = PIECE
+) -> Iterator[Piece]:
     data, offsets = buffers(column)
     rows, first = len(offsets) - 1, 0
     while first < rows:
@@ -113,15 +117,15 @@ def pieces(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         last = min(max(last, first + 1), rows)
         part = data[offsets[first] : offsets[last]]
         own = offsets[first : last + 1] - offsets[first]
-        starts, ends = find_words(part, own)
+        starts, ends = find_words(part, own, gaps)
         yield Piece(first, last, LOWER[part] if lower else part, own, starts, ends, np.searchsorted(starts, own))
         first = last
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     head, tail = solid.copy(), solid.copy()
     head[1:] &= ~solid[:-1]
     tail[:-1] &= ~solid[1:]
@@ -188,6 +192,3 @@ def whole_windows(bounds: np.ndarray, size: int, n_words: int) -> np.ndarray:
         inside[at] = False
     return inside
 
-
-def packed(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())

@@ -14,7 +14,7 @@ Exact to fingerprints of 128 bits: two different lines share one with a chance o
 
 A null or empty text is one empty line. Every row counts as a document of its own: rows that repeat a doc_id each
 count, and all rows that hold the largest doc_id keep their lines. A null doc_id sorts below all others. Lines
-shorter than ``min_chars`` always stay. Other columns pass through ``dedup_lines`` untouched.
+shorter than ``min_chars`` always stay. Other columns pass through ``dedup_lines`` untouched; a null text comes back as an empty one.
 """
 
 from __future__ import annotations
@@ -168,20 +168,22 @@ def lost_keys(
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
-) -> DataFrame:
-    """``docs`` with the kept lines as text, plus ``n_lines`` and ``n_dropped``."""
-    lost = lost_keys(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("id", "_id")
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+    counts: bool = True,
+) -> DataFrame:
+    """``docs`` with the kept lines as text; with ``counts`` also ``n_lines`` and ``n_dropped``, in place of columns of that name."""
+    added = ["n_lines", "n_dropped"] if counts else []
+    docs = docs.drop(*added)
+    lost = lost_keys(docs, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"id": "__vx_id", "lost": "__vx_lost"})
     # The lists of keys are far smaller than the texts: hashing them saves sorting the texts.
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)))
-    joined = keyed.join(lost.hint("shuffle_hash"), "_id", "left")
-    joined = joined.select(*docs.columns, "lost")
-    at, names = docs.columns.index(text_col), [*docs.columns, "n_lines", "n_dropped"]
+    keyed = docs.withColumn("__vx_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)))
+    joined = keyed.join(lost.hint("shuffle_hash"), "__vx_id", "left").select(*docs.columns, "__vx_lost")
+    at, names = docs.columns.index(text_col), [*docs.columns, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, dropped = [], [], []
-            for text, gone in zip(batch.column(at), batch.column("lost").to_pylist(), strict=True):
+            for text, gone in zip(batch.column(at), batch.column(len(names) - len(added)).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 n, cut = text.count("\n") + 1, 0
                 if gone:
@@ -193,7 +195,8 @@ def dedup_lines(
                 dropped.append(cut)
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=names)
+            columns += [pa.array(total, pa.int64()), pa.array(dropped, pa.int64())] if counts else []
+            yield pa.record_batch(columns, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return joined.mapInArrow(run, schema + "".join(f", {c} long" for c in added))

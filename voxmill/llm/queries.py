@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat_template, line_dedup, quality_classifier, quality_rules, token_counts, url_filters
+from voxmill.llm import chat_template, decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,3 +165,68 @@ def vocabulary() -> str:
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query("op8_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"), size=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+@query(
+    "op6_mixing",
+    """
+    WITH sized AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+    ), per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+    ), weighted AS (
+        SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM per
+    ), levelled AS (
+        SELECT *, row_number() OVER o AS place,
+            (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))
+                / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+        FROM weighted
+        WINDOW o AS (ORDER BY cap / weight, source NULLS LAST),
+            b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), fixed AS (
+        SELECT min(place) AS first_place, min_by(level, place) AS first_level FROM levelled WHERE level < cap / weight
+    ), aimed AS (
+        SELECT source, source_size,
+            CASE WHEN place >= first_place THEN least(CAST(cap AS DOUBLE), first_level * weight) ELSE CAST(cap AS DOUBLE) END AS target
+        FROM levelled, fixed
+    ), split AS (
+        SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM aimed
+    ), parted AS (SELECT *, target - copies * source_size AS rest FROM split
+    ), drawn AS (
+        SELECT d.doc_id, d.size, p.source, p.source_size, p.target, p.copies, p.rest,
+            CASE WHEN source_size > 0 THEN rest / source_size ELSE 0 END AS part,
+            (CAST(CAST('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
+        FROM sized d JOIN parted p ON d.source IS NOT DISTINCT FROM p.source
+    ), ordered AS (
+        SELECT *, CASE WHEN rest > 0 AND part > 0 THEN u / (1 - u) / (part / (1 - part) * CASE WHEN size < 50 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END) END AS k
+        FROM drawn
+    ), summed AS (
+        SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ordered
+    )
+    SELECT doc_id, size, source_size, target,
+        CAST(size * (copies + CASE WHEN rest > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM summed
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
