@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,9 +29,13 @@ from pyspark.sql import DataFrame
 LIMIT = 512
 CACHE = 200_000
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# A chunk that the pattern leaves in one piece, without asking it.
+_PLAIN = re.compile(r" ?[A-Za-z]+")
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # Characters that some definition calls white space, besides the four that chunks are cut at.
-_ODD = r"\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
+_ODD = "".join(
+    map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))
+)
 _ODD_SPACE = re.compile(f"[{_ODD}]")
 _SAFE_CHUNK = re.compile(rf"(?<=[^ \n\t\r{_ODD}])(?=[ \n\t\r])")
 _BLANKS = regex.compile(r"\s*")
@@ -55,11 +60,27 @@ class PrefixCounter:
         for i, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[raw(a), raw(b)] = i
-        self.made = {a + b for a, b in self.rank} | {bytes([b]) for b in range(256)}
-        self.longest = max(map(len, self.made))
+        # Tokens by number: the bytes, then what the merges make, with the merge and the parts of each.
+        self.tokens = [bytes([b]) for b in range(256)]
+        number = {t: i for i, t in enumerate(self.tokens)}
+        self.made, self.left, self.right = [-1] * 256, [-1] * 256, [-1] * 256
+        self.merged: dict[int, int] = {}
+        for (a, b), rank in self.rank.items():
+            self.merged[number[a] << 32 | number[b]] = rank
+            if a + b not in number:
+                number[a + b] = len(self.tokens)
+                self.tokens.append(a + b)
+                self.made.append(rank)
+                self.left.append(number[a])
+                self.right.append(number[b])
+        self.finder = ahocorasick.Automaton()
+        for i, token in enumerate(self.tokens):
+            self.finder.add_word(token.decode("latin-1"), (i, len(token)))
+        self.finder.make_automaton()
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.compatible: dict[tuple[bytes, bytes], bool] = {}
+        self.alone: dict[int, bool] = {}
+        self.apart: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
         self.size = cache
 
@@ -74,35 +95,56 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, a: bytes, b: bytes) -> bool:
-        """Whether byte-pair encoding keeps these two tokens apart when they stand side by side."""
-        known = self.compatible.get((a, b))
-        if known is None:
-            if len(self.compatible) >= self.size:
-                self.compatible.clear()
-            known = self.compatible[a, b] = self.merge(a + b) == [a, b]
-        return known
+    def _whole(self, token: int) -> bool:
+        """Whether merging the bytes of a token arrives at the token."""
+        self.alone[token] = found = self.merge(self.tokens[token]) == [self.tokens[token]]
+        return found
+
+    def _fits(self, pair: int) -> bool:
+        """Whether byte-pair encoding keeps two tokens apart when they stand side by side; ``pair`` holds both numbers.
+
+        The merges that made the two are undone from the latest one on. Between any two of these steps the parts that meet at
+        the border may not have a merge that comes earlier than the one just undone.
+        """
+        if len(self.apart) >= 2 * self.size:
+            self.apart.clear()
+        x, y, limit, found = pair >> 32, pair & 0xFFFFFFFF, 1 << 60, True
+        while True:
+            if self.merged.get(x << 32 | y, limit) < limit:
+                found = False
+                break
+            if self.made[x] > self.made[y]:
+                limit, x = self.made[x], self.right[x]
+            elif self.made[y] >= 0:
+                # A merge of the same kind further left comes first.
+                limit, y = self.made[y] + 1, self.left[y]
+            else:
+                break
+        self.apart[pair] = found
+        return found
 
     def piece(self, data: bytes) -> list[int]:
         """Count at every byte of one piece: entry i belongs to ``data[:i + 1]``."""
         counts: list[int] = []
-        last: list[bytes] = []
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token not in self.made:
-                    continue
-                if start == 0:
-                    # The whole prefix as one token, if merging really arrives there.
-                    if len(token) > 1 and self.merge(token) != [token]:
-                        continue
-                    counts.append(1)
-                elif self.fits(last[start - 1], token):
-                    counts.append(counts[start - 1] + 1)
-                else:
+        last: list[int] = []
+        alone, apart, done = self.alone, self.apart, 0
+        # The automaton names all tokens that end at each byte, one byte after the other.
+        for end, (token, length) in self.finder.iter(data.decode("latin-1")):
+            if end < done:
+                continue
+            start = end + 1 - length
+            if start:
+                pair = last[start - 1] << 32 | token
+                if not (apart[pair] if pair in apart else self._fits(pair)):
                     continue
-                last.append(token)
-                break
+                counts.append(counts[start - 1] + 1)
+            # The whole prefix as one token, if merging really arrives there.
+            elif alone[token] if token in alone else self._whole(token):
+                counts.append(1)
+            else:
+                continue
+            last.append(token)
+            done += 1
         return counts
 
     def prefixes(self, chunk: str) -> np.ndarray:
@@ -138,7 +180,10 @@ class PrefixCounter:
     def count(self, chunk: str) -> int:
         known = self.counts.get(chunk)
         if known is None:
-            known = sum(self.piece(m.encode())[-1] for m in _PATTERN.findall(chunk))
+            if _PLAIN.fullmatch(chunk):
+                known = self.piece(chunk.encode())[-1]
+            else:
+                known = sum(self.piece(m.encode())[-1] for m in _PATTERN.findall(chunk))
             if len(chunk) <= 64:
                 if len(self.counts) >= self.size:
                     self.counts.clear()
@@ -213,6 +258,16 @@ class PrefixCounter:
         return best
 
 
+_counters: dict[str, PrefixCounter] = {}
+
+
+def counter_of(path: str) -> PrefixCounter:
+    """The counter of a vocabulary, kept for later tasks of the same worker; its caches are bounded."""
+    if path not in _counters:
+        _counters[path] = PrefixCounter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, path: str | Callable[[], str], limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit, fit_chars``; with ``store`` also ``prefix_tokens``, the count at every character.
 
@@ -221,7 +276,7 @@ def count_tokens(docs: DataFrame, path: str | Callable[[], str], limit: int = LI
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path() if callable(path) else path)
+        counter = counter_of(path() if callable(path) else path)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
