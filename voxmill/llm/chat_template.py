@@ -282,7 +282,11 @@ def _block(tags: list[tuple[str, Any]], at: int, until: tuple[str, ...]) -> tupl
                     break
                 test = Node("const", True) if word == "else" else _whole(rest)
             if arms and arms[0][0].kind == "const":
-                out.extend(arms[0][1])  # the condition is known: only its body is left
+                for node in arms[0][1]:  # the condition is known: only its body is left
+                    if node.kind == "emit":
+                        emit(node.parts[0])
+                    else:
+                        out.append(node)
             elif arms:
                 out.append(Node("if", None, tuple(arms)))
         else:
