@@ -12,7 +12,7 @@ starting every half passage; items longer than ``CHUNK`` words are several queri
 3. A third pass projects every passage and takes as candidates the queries with a cosine of ``COSINE`` of which the passage holds at
    least ``COVERAGE`` of the latent weight.
 4. Candidates are checked on the words around them in the same task: the longest common subsequence must hold ``SURE`` of the query's
-   words, or ``LIKELY`` of them together with the answer, that is three quarters of the answer's words in order. An
+   words, or ``LIKELY`` of them and of its terms together with the answer, that is three quarters of the answer's words in order. An
    item without an answer column has its last ``ANSWER`` words as answer.
 
 The benchmark is the stated query set: it is walked in blocks of ``BLOCK`` queries, each of which is sent to the
@@ -44,8 +44,8 @@ COMMON = 0.001
 RANK = 256
 ROUNDS = 4
 BLOCK = 512
-COSINE = 0.5
-COVERAGE = 0.25
+COSINE = 0.3
+COVERAGE = 0.15
 SURE = 0.8
 LIKELY = 0.5
 ANSWER = 8
@@ -237,7 +237,10 @@ class Finder:
         if share >= SURE:
             return share
         if share >= LIKELY and common_subsequence(q.answer, words) >= 0.75 * len(q.answer):
-            return share
+            # Common words meet in order by chance, so the rare ones have to be there as well.
+            rare = q.words[self.vocabulary.find(q.words)[0]]
+            if common_subsequence(rare, words) >= LIKELY * len(rare):
+                return share
         return None
 
     def find(self, column: pa.Array) -> Iterator[tuple[int, int, float]]:
