@@ -46,8 +46,8 @@ def file_manifest(spark: SparkSession, path: str, cfg: Config = Config()) -> Dat
         F.lit(None).cast("string").alias("sha256"),
         F.lit("FILE_TOO_LARGE").alias("status"),
     )
-    # A scan passes over files without any byte, so those come from the listing.
-    empty = spark.createDataFrame([(p,) for p, size in list_files(spark, path) if size == 0], "path string").select(
+    # A scan that reads contents passes over files without any byte, so those come from the listing.
+    empty = list_files(spark, path).where("length = 0").select(
         "path",
         ending.alias("extension"),
         F.lit(0).cast("bigint").alias("size"),
