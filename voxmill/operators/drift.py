@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.functions.numbers import dot
-from voxmill.operators.features import centroids, similarity_to
-from voxmill.operators.scale import QUANTILE_DIRECT, exact_quantiles
+from voxmill.operators.features import similarity_to
+from voxmill.operators.scale import QUANTILE_DIRECT, exact_quantiles, materialised
 from voxmill.sources.tables import read_baseline, save_baseline
 
 SHARE_FLOOR = 1e-4
+SUM_GROUPS = 64
+INITIALIZED = "Baseline initialized"
 
 
 def drift_status(psi: Column) -> Column:
-    return F.when(psi < 0.10, "Low").when(psi < 0.25, "Moderate").otherwise("High")
+    return F.when(psi.isNull(), "Unknown").when(psi < 0.10, "Low").when(psi < 0.25, "Moderate").otherwise("High")
 
 
 def drift_display(psi: Column) -> Column:
-    return F.concat(drift_status(psi), F.format_string(" (%.2f)", psi))
+    return F.concat(drift_status(psi), F.when(psi.isNull(), "").otherwise(F.format_string(" (%.2f)", psi)))
 
 
 def psi(
@@ -30,7 +33,7 @@ def psi(
     """Population stability index of one numeric column, one row (psi, degenerate).
 
     Bin edges are exact quantiles of ``expected``; bins are half-open, the outer ones unbounded. With fewer
-    than three distinct edges the index is 0 and ``degenerate`` is set.
+    than three distinct edges the index is 0 and ``degenerate`` is set. An empty side has no shares: the index is null.
     """
     spark = expected.sparkSession
     edges = sorted(set(exact_quantiles(expected, column, [i / bins for i in range(bins + 1)], direct)))
@@ -53,48 +56,63 @@ def psi(
     )
 
     def part(row: Column) -> Column:
-        e = F.greatest(row["e"] / F.col("et"), F.lit(SHARE_FLOOR))
-        a = F.greatest(row["a"] / F.col("at"), F.lit(SHARE_FLOOR))
+        e = F.greatest(F.try_divide(row["e"], F.col("et")), F.lit(SHARE_FLOOR))
+        a = F.greatest(F.try_divide(row["a"], F.col("at")), F.lit(SHARE_FLOOR))
         return (a - e) * F.log(a / e)
 
     total = F.aggregate(F.transform("b", part), F.lit(0.0), lambda acc, x: acc + x)
-    return totals.select(total.alias("psi"), F.lit(False).alias("degenerate"))
+    some = (F.col("et") > 0) & (F.col("at") > 0)
+    return totals.select(F.when(some, total).alias("psi"), F.lit(False).alias("degenerate"))
 
 
-def _unit_centroid(df: DataFrame, vector: str) -> list[float] | None:
-    row = centroids(df.withColumn("_g", F.lit(1)), ["_g"], vector).select("centroid").first()
-    return list(row[0]) if row else None
+def unit_centroid(df: DataFrame, vector: str = "features") -> list[float] | None:
+    """Unit centroid of a whole table, or None when it is empty.
+
+    Partial sums meet in at most ``SUM_GROUPS`` groups, and those sums on the driver, so no task gets all partials.
+    """
+    sums = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUM_GROUPS))).agg(Summarizer.sum(F.col(vector)).alias("s")).collect()
+    if not sums:
+        return None
+    total = np.sum([r["s"].toArray() for r in sums], axis=0)
+    length = float(np.linalg.norm(total))
+    return (total / length if length else total).tolist()
 
 
 def centroid_drift(baseline: DataFrame, current: DataFrame, vector: str = "features") -> DataFrame:
     """1 minus the cosine of both unit centroids, four decimals; a batch of vectors never leaves its partition."""
-    b = centroids(baseline.withColumn("_g", F.lit(1)), ["_g"], vector).select("_g", F.col("centroid").alias("b"))
-    c = centroids(current.withColumn("_g", F.lit(1)), ["_g"], vector).select("_g", F.col("centroid").alias("c"))
-    return b.join(c, "_g").select(F.round(1.0 - dot(F.col("b"), F.col("c")), 4).alias("centroid_cosine_distance"))
+    b, c = unit_centroid(baseline, vector), unit_centroid(current, vector)
+    return baseline.sparkSession.createDataFrame([(_distance(b, c),)], "centroid_cosine_distance double")
+
+
+def _distance(b: list[float] | None, c: list[float] | None) -> float | None:
+    return None if b is None or c is None else round(1.0 - sum(x * y for x, y in zip(b, c, strict=True)), 4) + 0.0
+
+
+def similarities(df: DataFrame, center: list[float], vector: str = "features") -> DataFrame:
+    """The column that drift compares, written once: eight bytes a row."""
+    return materialised(df.select(similarity_to(vector_to_array(vector), center).alias("similarity")), "similarities")
 
 
 def embedding_drift(
     baseline: DataFrame, current: DataFrame, vector: str = "features", bins: int = 10, direct: int = QUANTILE_DIRECT
 ) -> DataFrame:
     """One row: index of the similarities to the baseline centroid, its status, and the centroid distance."""
-    center = _unit_centroid(baseline, vector)
+    center = unit_centroid(baseline, vector)
+    return drift_figures(center, similarities(baseline, center, vector), current, vector, bins, direct)
 
-    def sims(df: DataFrame) -> DataFrame:
-        return df.select(similarity_to(vector_to_array(vector), center).alias("similarity"))
 
-    index = psi(sims(baseline), sims(current), "similarity", bins, direct)
+def drift_figures(
+    center: list[float], base: DataFrame, current: DataFrame, vector: str = "features", bins: int = 10, direct: int = QUANTILE_DIRECT
+) -> DataFrame:
+    """``embedding_drift`` against a baseline known by its centroid and similarities."""
+    index = psi(base, similarities(current, center, vector), "similarity", bins, direct)
     value = F.col("psi")
-    distance = centroid_drift(baseline, current, vector).withColumn("_one", F.lit(1))
-    return (
-        index.withColumn("_one", F.lit(1))
-        .join(distance, "_one")
-        .select(
-            F.round("psi", 4).alias("psi"),
-            drift_status(value).alias("status"),
-            drift_display(value).alias("display"),
-            "centroid_cosine_distance",
-            "degenerate",
-        )
+    return index.select(
+        F.round("psi", 4).alias("psi"),
+        drift_status(value).alias("status"),
+        drift_display(value).alias("display"),
+        F.lit(_distance(center, unit_centroid(current, vector))).cast("double").alias("centroid_cosine_distance"),
+        "degenerate",
     )
 
 
@@ -107,11 +125,14 @@ def drift_report(
     bins: int = 10,
     replace_baseline: bool = False,
     baseline_name: str = "default",
+    creator: str = "",
+    publish: bool = True,
 ) -> DataFrame:
     """Lifecycle around the stored baseline; always one row.
 
-    Empty batch: Unknown. No baseline yet: this batch becomes it. Built by another embedder or unreadable:
-    Unavailable. Otherwise the drift figures with their source and size.
+    Empty batch: Unknown. No baseline yet, or one that ``creator`` made itself: this batch becomes it. Built by another embedder
+    or unreadable: Unavailable. Otherwise the drift figures with their source and size. Without ``publish`` the
+    caller saves the baseline (``publish_baseline``) once its own results are safe.
     """
     schema = (
         "psi double, status string, display string, centroid_cosine_distance double, degenerate boolean,"
@@ -124,14 +145,15 @@ def drift_report(
 
     if current.isEmpty():
         return fixed("Unknown")
-    base, source = read_baseline(spark, baseline_path, embedder, baseline_name)
+    center, base, source = read_baseline(spark, baseline_path, embedder, baseline_name, creator)
     if source == "missing":
-        save_baseline(current, baseline_path, embedder, vector, datetime.now(timezone.utc), baseline_name)
-        return fixed("Baseline initialized")
+        if publish:
+            publish_baseline(current, baseline_path, embedder, vector, baseline_name, creator)
+        return fixed(INITIALIZED)
     if base is None:
         result = fixed("Unavailable", "Unavailable (baseline unusable)")
     else:
-        figures = embedding_drift(base, current, vector, bins)
+        figures = drift_figures(center, base, current, vector, bins)
         size = base.count()
         # Figures are read before the baseline may be replaced below.
         rows = figures.select(
@@ -139,5 +161,12 @@ def drift_report(
         ).collect()
         result = spark.createDataFrame(rows, schema)
     if replace_baseline:
-        save_baseline(current, baseline_path, embedder, vector, datetime.now(timezone.utc), baseline_name)
+        publish_baseline(current, baseline_path, embedder, vector, baseline_name, creator)
     return result
+
+
+def publish_baseline(
+    current: DataFrame, baseline_path: str, embedder: str, vector: str = "features", name: str = "default", creator: str = ""
+) -> None:
+    center = unit_centroid(current, vector)
+    save_baseline(similarities(current, center, vector), center, baseline_path, embedder, datetime.now(timezone.utc), name, creator)

@@ -27,7 +27,7 @@ def expired_runs(runs: DataFrame, now: datetime | None = None, cfg: Config = Con
 
 
 def purge(table: DataFrame, expired: DataFrame) -> DataFrame:
-    """Rows of a result table that survive the removal of expired runs.
+    """Rows of any table that survive the removal of expired runs. A result store drops folders instead (``ResultStore.purge``).
 
     Many expired runs are shuffled; a run with very many rows is then split by adaptive execution.
     """

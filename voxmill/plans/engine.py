@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,10 @@ from pyspark.sql import types as T
 from voxmill.config import Config
 from voxmill.errors import ContractMismatch
 from voxmill.operators import cleaning, redaction, sentiment, themes, validation
-from voxmill.operators.drift import drift_report
+from voxmill.operators.drift import INITIALIZED, drift_report, publish_baseline
 from voxmill.operators.features import Encoder, embed_external, hashed_tf
-from voxmill.operators.scale import materialised, spread
-from voxmill.sources.tables import ResultStore
+from voxmill.operators.scale import materialised, scratch_scope, spread
+from voxmill.sources.tables import ResultStore, require_job_id
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,7 @@ class Analysis:
     drift: DataFrame | None
     validation: DataFrame | None
     backends: dict[str, str]
+    publish_baseline: Callable[[], None] | None = None
 
 
 _REVIEW_FIELDS = {
@@ -127,7 +129,10 @@ class AnalysisEngine:
         baseline_path: str | None = None,
         labelled: DataFrame | None = None,
         with_drift: bool = True,
+        creator: str = "",
+        publish: bool = True,
     ) -> Analysis:
+        """Analyse a batch. Without ``publish`` a first baseline is left to the caller (``Analysis.publish_baseline``)."""
         cfg = self.cfg
         raw = spread(raw)
         quality = cleaning.data_quality(raw)
@@ -138,26 +143,27 @@ class AnalysisEngine:
         reviews, theme_rows = themes.discover_themes(embedded, cfg)
         pii = redaction.pii_totals(ready)
         checked = self.validate(labelled) if labelled is not None else None
-        drift = None
+        drift, later = None, None
         if baseline_path and with_drift:
+            maker = self.info()["embeddings"]
             drift = drift_report(
-                raw.sparkSession, embedded, baseline_path, self.info()["embeddings"], bins=cfg.psi_bins
+                raw.sparkSession, embedded, baseline_path, maker, bins=cfg.psi_bins, creator=creator, publish=publish
             )
-        spark = raw.sparkSession
-        no_report = spark.createDataFrame([(None,)], T.StructType([T.StructField("display", T.StringType())]))
-        parts = [
-            sentiment.with_percent(sentiment.summarize_sentiment(ready, cfg.labels)),
-            pii.select(F.col("total").alias("pii_redacted_count")),
-            (checked or no_report).select(F.col("display").alias("model_validation_accuracy")),
-            (drift or no_report).select(F.col("display").alias("drift_status")),
-        ]
-        summary = parts[0].withColumn("_one", F.lit(1))
-        for part in parts[1:]:
-            summary = summary.join(part.withColumn("_one", F.lit(1)), "_one")
+            if not publish and drift.first()["status"] == INITIALIZED:
+                later = partial(publish_baseline, embedded, baseline_path, maker, creator=creator)
+        summary = sentiment.with_percent(sentiment.summarize_sentiment(ready, cfg.labels))
+        shown = lambda report: F.lit(report.first()["display"] if report is not None else None).cast("string")
+        summary = summary.withColumns(
+            {
+                "pii_redacted_count": F.lit(pii.first()["total"]).cast("bigint"),
+                "model_validation_accuracy": shown(checked),
+                "drift_status": shown(drift),
+            }
+        )
         analysis = Analysis(
             reviews=reviews,
             themes=theme_rows,
-            summary=summary.drop("_one"),
+            summary=summary,
             breakdown=sentiment.sentiment_percent(ready),
             pii=pii,
             quality=quality,
@@ -165,6 +171,7 @@ class AnalysisEngine:
             drift=drift,
             validation=checked,
             backends=self.info(),
+            publish_baseline=later,
         )
         check_contract(analysis)
         return analysis
@@ -193,15 +200,32 @@ def run_and_store(
     labelled: DataFrame | None = None,
     file_name: str | None = None,
 ) -> str:
-    """Analyse a batch, guard its texts, write all result tables and the audit log; returns the run id."""
-    engine = engine or AnalysisEngine()
+    """Analyse a batch, guard its texts, write all result tables and the audit log; returns the run id.
+
+    Everything the run writes on the way is deleted once its results are committed or it has failed.
+    """
+    with scratch_scope(spark):
+        return _run_and_store(spark, raw, root, job_id, engine or AnalysisEngine(), baseline_path, labelled, file_name)
+
+
+def _run_and_store(
+    spark: SparkSession,
+    raw: DataFrame,
+    root: str,
+    job_id: str | None,
+    engine: AnalysisEngine,
+    baseline_path: str | None,
+    labelled: DataFrame | None,
+    file_name: str | None,
+) -> str:
     store = ResultStore(spark, root)
-    job_id = job_id or str(uuid.uuid4())
+    job_id = require_job_id(job_id or str(uuid.uuid4()))
     started = datetime.now(timezone.utc)
     store.record(job_id, started, "JOB_STARTED", seq=1)
     run = {"job_id": job_id, "created_at": started, "started_at": started, "file_name": file_name}
+    store.put_run(run_row(spark, run | {"status": "PROCESSING"}))
     try:
-        done = engine.run(raw, baseline_path, labelled)
+        done = engine.run(raw, baseline_path, labelled, creator=job_id, publish=False)
         pii = done.pii.first().asDict()
         store.record(
             job_id, datetime.now(timezone.utc), "PII_REDACTION_COMPLETED", {k: str(v) for k, v in pii.items()}, seq=2
@@ -220,28 +244,49 @@ def run_and_store(
             "unassigned_count": missing,
             "rows_per_second": quality["rows_analyzed"] / seconds,
         }
-        entries = [x for k, v in sorted(done.backends.items()) for x in (F.lit(k), F.lit(v))]
-        result = done.summary.withColumn("job_id", F.lit(job_id)).withColumn("backends", F.create_map(*entries))
+        result = result_row(spark, job_id, done)
         store.write_results(
-            guarded.withColumn("job_id", F.lit(job_id)),
-            done.themes.withColumn("job_id", F.lit(job_id)),
-            result,
-            run_row(spark, run),
+            guarded.withColumn("job_id", F.lit(job_id)), done.themes.withColumn("job_id", F.lit(job_id)), result, run_row(spark, run)
         )
+        if done.publish_baseline:
+            done.publish_baseline()
         store.record(job_id, finished, "JOB_COMPLETED", {"rows": str(quality["rows_analyzed"])}, seq=4)
         return job_id
     except Exception as exc:
-        run |= {
-            "status": "FAILED",
-            "finished_at": datetime.now(timezone.utc),
-            "error_code": getattr(exc, "code", "ENGINE_ERROR"),
-            "error_message": str(exc)[:500],
-        }
-        store._replace(run_row(spark, run), "runs")
-        store.record(job_id, run["finished_at"], "JOB_FAILED", {"code": run["error_code"]}, seq=5)
+        fail(spark, root, job_id, exc, run)
         raise
 
 
+def result_row(spark: SparkSession, job_id: str, done: Analysis) -> DataFrame:
+    """Everything a later reader asks of a run, in one row: summary figures and a struct for each report."""
+    blocks = {
+        "breakdown": done.breakdown,
+        "pii": done.pii,
+        "data_quality": done.quality,
+        "profile": done.profile,
+        "validation": done.validation,
+        "drift": done.drift,
+    }
+    head = done.summary
+    fields, values = list(head.schema.fields), list(head.first())
+    for name, block in blocks.items():  # each has one row
+        fields.append(T.StructField(name, block.schema if block is not None else T.StructType([T.StructField("display", T.StringType())])))
+        values.append(block.first() if block is not None else None)
+    fields += [T.StructField("backends", T.MapType(T.StringType(), T.StringType())), T.StructField("job_id", T.StringType())]
+    return spark.createDataFrame([(*values, done.backends, job_id)], T.StructType(fields))
+
+
+def fail(spark: SparkSession, root: str, job_id: str, exc: Exception, run: dict | None = None) -> None:
+    """Record a failed run in ``runs`` and in the audit log; nothing else of it stays."""
+    now = datetime.now(timezone.utc)
+    code = getattr(exc, "code", "ENGINE_ERROR")
+    row = {"job_id": job_id, "created_at": now, "started_at": now} | (run or {})
+    row |= {"status": "FAILED", "finished_at": now, "error_code": code, "error_message": str(exc)}
+    store = ResultStore(spark, root)
+    store.fail_run(run_row(spark, row))
+    store.record(job_id, now, "JOB_FAILED", {"code": code}, seq=5)
+
+
 def run_row(spark: SparkSession, values: dict) -> DataFrame:
     from voxmill.config import RUNS
 

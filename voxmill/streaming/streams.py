@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from voxmill.config import NEUTRAL, POSITIVE, Config
+from voxmill.errors import FeedbackError
 from voxmill.operators.drift import drift_report
 from voxmill.operators.redaction import redact
-from voxmill.plans.engine import AnalysisEngine, run_and_store
-from voxmill.sources.reviews import canonical
+from voxmill.plans.engine import AnalysisEngine, fail, run_and_store
+from voxmill.sources.reviews import read_reviews
 
 
 def read_stream(
@@ -52,7 +53,6 @@ def ingest_stream(
     source: str,
     root: str,
     checkpoint: str,
-    schema: T.StructType,
     fmt: str = "csv",
     engine: AnalysisEngine | None = None,
     baseline_path: str | None = None,
@@ -61,16 +61,32 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Analyse review files as they arrive, oldest first; each batch becomes one run.
 
-    The run id comes from the batch number, so a batch that is repeated replaces its own result.
+    The stream only names new files; a batch reads them as ``read_reviews`` does, so dialects, missing-value texts and positions
+    are those of the batch reader. The run id comes from the batch number, so a batch that is repeated replaces
+    its own result. A batch that breaks the contract (unreadable file, missing column, too few rows) becomes a
+    FAILED run, and the stream goes on.
     """
-    options = {"header": True, "escape": '"', "multiLine": True} if fmt == "csv" else {}
-    stream = read_stream(spark, source, schema, fmt, max_files, **options)
+    # The file source lists the folder and opens nothing as long as the content is not selected.
+    listing = "path string, modificationTime timestamp, length bigint, content binary"
+    stream = spark.readStream.format("binaryFile").schema(listing).option("maxFilesPerTrigger", max_files)
+    files = stream.load(source).select("path")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        raw = canonical(batch, cfg).withColumn("source_row", F.monotonically_increasing_id())
-        run_and_store(batch.sparkSession, raw, root, f"batch-{batch_id}", engine, baseline_path)
-
-    return run_available(stream, checkpoint, on_batch)
+        session, job_id = batch.sparkSession, f"batch-{batch_id}"
+        paths = sorted(r["path"] for r in batch.collect())  # at most ``max_files``
+        if not paths:
+            return
+        try:
+            raw = read_reviews(session, paths, fmt, cfg)
+        except FeedbackError as exc:
+            fail(session, root, job_id, exc)
+            return
+        try:
+            run_and_store(session, raw, root, job_id, engine, baseline_path)
+        except FeedbackError:
+            pass  # recorded as a FAILED run
+
+    return run_available(files, checkpoint, on_batch)
 
 
 def redact_stream(df: DataFrame, text: str = "text", profile: str = "strict") -> DataFrame:
@@ -112,10 +128,10 @@ def trend_stream(df: DataFrame, ts: str = "ts", delay: str = "7 days") -> DataFr
 def drift_writer(
     baseline_path: str, out: str, embedder: str, vector: str = "features", bins: int = 10
 ) -> Callable[[DataFrame, int], None]:
-    """Drift of every batch against the stored baseline; the first batch becomes the baseline."""
+    """Drift of every batch against the stored baseline; the first batch becomes the baseline, also when it is repeated."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        report = drift_report(batch.sparkSession, batch, baseline_path, embedder, vector, bins)
+        report = drift_report(batch.sparkSession, batch, baseline_path, embedder, vector, bins, creator=f"batch-{batch_id}")
         report.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return write
