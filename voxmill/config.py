@@ -80,7 +80,8 @@ class Config:
     max_themes: int = 25
     samples_per_theme: int = 5
     kmeans_restarts: int = 5
-    kmeans_max_iter: int = 20
+    # A bound for fits that never settle; they stop when the centres stop moving.
+    kmeans_max_iter: int = 300
     fit_threads: int = 8
     seed: int = 42
     min_rows: int = 10

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side is sent to every executor only when it has at most this many rows ...
 SMALL_ROWS = 10_000
-# ... and this many keys may be treated as hot. Any key outside the top 256 holds under 1/256 of the rows.
-HOT_KEYS = 256
-HOT_SALTS = 64
+# ... and a key with more than this part of all rows is cut into pieces of that size.
+HOT_PIECES = 1024
 # Width of the row-number buckets of ``dense_rows``: the most rows one window group can hold.
 ROW_BUCKET = 1 << 14
 PAGE_DIRECT = 10_000
@@ -36,8 +38,38 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scope: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for intermediate tables: inside the current scope, or else in the application's own folder."""
+    inside = _scope.get() or f"voxmill-{spark.sparkContext.applicationId}"
+    return f"{checkpoint_root(spark).rstrip('/')}/{inside}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end, whether it succeeds or fails.
+
+    Only for work whose results are written (or small and collected) before the scope ends.
+    """
+    inside = f"scope-{uuid.uuid4().hex}"
+    token = _scope.set(inside)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, f"{checkpoint_root(spark).rstrip('/')}/{inside}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this application has written outside of scopes. Tables read from them are lost."""
+    _delete(spark, f"{checkpoint_root(spark).rstrip('/')}/voxmill-{spark.sparkContext.applicationId}")
 
 
 def materialised(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
@@ -57,9 +89,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the files are too few or too small to do so.
+    """Give every core work when there are far fewer splits than cores.
 
-    A scan larger than one full split per core is left alone: at scale the files already fill the
+    A scan with a split for every fourth core is left alone: at scale the files already fill the
     cluster and a shuffle of whole texts would be the bottleneck.
     """
     spark = df.sparkSession
@@ -67,7 +99,7 @@ def spread(df: DataFrame) -> DataFrame:
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
     )
-    return df if input_bytes(df) > cores * split else df.repartition(4 * cores)
+    return df if 4 * input_bytes(df) > cores * split else df.repartition(4 * cores)
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
@@ -82,17 +114,16 @@ def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, b
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """The most frequent values of ``key``: an exact, map-side combined count and a top-k."""
-    top = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .orderBy(F.desc("count"), F.asc(key))
-        .limit(HOT_KEYS)
-        .select(key)
-    )
-    return [r[0] for r in top.collect()]
+def hot_keys(df: DataFrame, key: str) -> dict:
+    """Keys with more than one in ``HOT_PIECES`` of the rows, and into how many pieces of about that size each is to be cut.
+
+    One exact, map-side combined count with a top-k; there are fewer than ``HOT_PIECES`` such keys whatever the size.
+    """
+    seen = Observation()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().observe(seen, F.sum("count").alias("rows"))
+    top = counts.orderBy(F.desc("count"), F.asc(key)).limit(HOT_PIECES).collect()
+    total = seen.get["rows"] or 0
+    return {r[0]: -(-r[1] * HOT_PIECES // total) for r in top if r[1] * HOT_PIECES > total}
 
 
 def lookup_join(
@@ -110,18 +141,15 @@ def lookup_join(
 
 
 def salted_join(big: DataFrame, unique: DataFrame, key: str, salt_from: str, how: str = "left") -> DataFrame:
-    hot = hot_keys(big, key)
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    """Join to a table with one row per ``key``; hot keys are cut into pieces by their own counts, so no task gets more than a piece."""
+    kind = big.schema[key].dataType
+    fields = T.StructType([T.StructField(key, kind), T.StructField("_pieces", T.LongType())])
+    hot = F.broadcast(big.sparkSession.createDataFrame(list(hot_keys(big, key).items()), fields))  # fewer rows than HOT_PIECES
     # Rows without a key match nothing but would all go to one task, so they are spread as well.
-    left = big.withColumn(
-        "_salt",
-        F.when(F.col(key).isNull() | is_hot, F.pmod(F.xxhash64(salt_from), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0)),
-    )
-    right = unique.withColumn(
-        "_salt",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    pieces = F.when(F.col(key).isNull(), F.lit(HOT_PIECES)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    left = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_from), pieces)).drop("_pieces")
+    right = unique.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)))
+    return left.join(right.drop("_pieces"), [key, "_salt"], how).drop("_salt")
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "_rank") -> DataFrame:
@@ -168,16 +196,15 @@ def scan_rows(df: DataFrame, out: str = "source_row") -> DataFrame:
     """Dense 0-based position of every row of a file scan, without moving any row.
 
     Only for plans without a shuffle, whose partitions and row order are fixed by the files. Each split is
-    counted once and its rows get the number of rows in the splits before it; the offsets have one row per
-    split.
+    counted once and its rows get the number of rows in the splits before it. The offsets have one row of 16 bytes per
+    split, 16 MB for a million splits, and always go to the rows; texts are never shuffled.
     """
     marked = df.withColumn("_mono", F.monotonically_increasing_id())
     marked = marked.withColumn("_split", F.shiftright("_mono", 33))
     counts = marked.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    side, small = small_table(offsets)
-    joined = marked.join(F.broadcast(side) if small else side, "_split")
+    joined = marked.join(F.broadcast(offsets), "_split")
     local = F.col("_mono") - F.shiftleft("_split", 33)
     return joined.withColumn(out, (F.col("_offset") + local).cast("long")).drop("_mono", "_split", "_offset")
 

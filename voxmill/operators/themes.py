@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,7 @@ TOP_TERMS = 15
 REP_MIN_CHARS = 15
 REP_MAX_CHARS = 280
 # Groups that may be clustered in one call: general classes are few.
+POINTS_PER_TASK = 20_000
 MAX_GROUPS = 1000
 # Rows per window group when neighbouring documents of a cluster are paired up.
 NEIGHBOUR_BUCKET = 1 << 16
@@ -188,32 +190,32 @@ def cluster_sizes(points: DataFrame, group: str, cfg: Config) -> dict[str, int]:
 
 
 def _fit(points: DataFrame, k: int, seed: int, vector: str, out: str, cfg: Config):
-    """One k-means fit. With few distinct points the parallel start can come up short of ``k`` centres, which
-    the fit does not survive; it is then repeated with one cluster less."""
-    while True:
-        means = KMeans(
-            k=k, seed=seed, featuresCol=vector, predictionCol=out, weightCol="weight", initSteps=5, maxIter=cfg.kmeans_max_iter
-        )
-        try:
-            return means.fit(points)
-        except Exception as exc:
-            if k <= 2 or "ArrayIndexOutOfBoundsException" not in str(exc):
-                raise
-            k -= 1
+    """One k-means fit. The points are distinct and at least ``k``, so ``k`` different ones always start it."""
+    means = KMeans(
+        k=k, seed=seed, featuresCol=vector, predictionCol=out, weightCol="weight", initMode="random", maxIter=cfg.kmeans_max_iter
+    )
+    return means.fit(points)
 
 
 def cluster_within(
     df: DataFrame, group: str, vector: str = "features", out: str = "cluster", cfg: Config = Config()
 ) -> DataFrame:
-    """K-means inside each group, groups fitted side by side; the cheapest of the restarts wins."""
-    points = materialised(distinct_vectors(df, group, vector), "points")
+    """K-means inside each group, groups fitted side by side; the cheapest of the restarts wins.
+
+    Points are stored by group, so a fit reads those of its own group only, once for all restarts.
+    """
+    points = materialised(distinct_vectors(df, group, vector), "points", partition_by=[group])
     sizes = cluster_sizes(points, group, cfg)
 
     def fit(item: tuple[str, int]):
         name, k = item
-        part = points.where(F.col(group) == name).select(vector, "weight")
+        stored = points.where(F.col(group) == name).select(vector, "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        # An iteration is one small job: as many tasks as the points need, not as there are files.
+        part = stored.coalesce(max(1, stored.count() // POINTS_PER_TASK))
         fits = [_fit(part, k, cfg.seed + attempt, vector, out, cfg) for attempt in range(cfg.kmeans_restarts)]
-        return name, min(fits, key=lambda m: m.summary.trainingCost)
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        stored.unpersist()
+        return name, best
 
     todo = sorted((g, k) for g, k in sizes.items() if k > 1)
     with ThreadPoolExecutor(max_workers=max(1, cfg.fit_threads)) as pool:
