@@ -20,10 +20,11 @@ WORD = r"\p{L}\p{N}_"
 
 # Domain words that never name a theme.
 DOMAIN_STOPWORDS = (
-    "app apps application please pls just really very get got use using used would could also one even thing "
-    "things doesn didn isn wasn don won couldn wouldn shouldn cant dont doesnt didnt ive im hasn haven aren like "
-    "make makes need want time times ever lot much"
-).split()
+    "app", "apps", "application", "please", "pls", "just", "really", "very", "get", "got", "use", "using", "used",
+    "would", "could", "also", "one", "even", "thing", "things", "doesn", "didn", "isn", "wasn", "don", "won",
+    "couldn", "wouldn", "shouldn", "cant", "dont", "doesnt", "didnt", "ive", "im", "hasn", "haven", "aren", "like",
+    "make", "makes", "need", "want", "time", "times", "ever", "lot", "much",
+)
 
 
 def strip(c: Column) -> Column:

@@ -131,17 +131,18 @@ def dashboard_themes(themes: DataFrame, limit: int = 10) -> DataFrame:
 def sample_verbatims(reviews: DataFrame, themes: DataFrame, limit: int = 5, text: str = "text") -> DataFrame:
     """Representative reviews of every theme in stored order; the most negative ones where a theme has none.
 
-    One join for all themes. The themes table is small, so reviews are never shuffled for it.
+    One scan of the reviews: listed rows come first in the order that keeps ``limit`` rows of a theme, and what
+    is not listed goes where a theme has a listed row. The themes table is small, so reviews are not shuffled for it.
     """
     side, small = small_table(themes.select("theme_id", "representative_indices"))
     listed = side.select("theme_id", F.posexplode("representative_indices").alias("_pos", "row"))
-    keep = ["theme_id", "row", text, "sentiment_label"]
-    stored = reviews.select(*keep).join(F.broadcast(listed) if small else listed, ["theme_id", "row"])
-    stored = top_n(stored, ["theme_id"], [F.asc("_pos")], limit, "position").drop("_pos")
-    bare = side.select("theme_id").join(stored.select("theme_id").distinct(), "theme_id", "left_anti")
-    rest = reviews.select(*keep, "sentiment_score").join(F.broadcast(bare) if small else bare, "theme_id", "left_semi")
-    rest = top_n(rest, ["theme_id"], [F.asc("sentiment_score"), F.asc("row")], limit, "position").drop("sentiment_score")
-    return stored.unionByName(rest).withColumn("id", F.concat(F.lit("v"), F.col("row")))
+    hint = F.broadcast if small else lambda df: df
+    chosen = reviews.select("theme_id", "row", text, "sentiment_label", "sentiment_score")
+    chosen = chosen.join(hint(side.select("theme_id")), "theme_id", "left_semi").join(hint(listed), ["theme_id", "row"], "left")
+    first = top_n(chosen, ["theme_id"], [F.asc_nulls_last("_pos"), F.asc("sentiment_score"), F.asc("row")], limit, "position")
+    has_listed = F.count("_pos").over(Window.partitionBy("theme_id")) > 0
+    kept = first.withColumn("_has", has_listed).where(F.col("_pos").isNotNull() | ~F.col("_has"))
+    return kept.drop("_pos", "_has", "sentiment_score").withColumn("id", F.concat(F.lit("v"), F.col("row")))
 
 
 def with_samples(themes: DataFrame, samples: DataFrame, text: str = "text") -> DataFrame:

@@ -32,14 +32,12 @@ def redact(df: DataFrame, text: str = "text", out: str | None = None, profile: s
             step.count(F.col("_t")).alias(name),
             step.mask(F.col("_t")).alias("_t"),
         )
-    helpers = [c for names in counted.values() for c in names]
     kept = [F.col(c) for c in df.columns if c != out]
 
     def total(kind: str) -> Column:
         cols = [F.col(c) for c in counted.get(kind, [])]
         return (sum(cols[1:], cols[0]) if cols else F.lit(0)).cast("long").alias(f"pii_{kind}")
 
-    assert len(helpers) == len(PROFILES[profile])
     return current.select(*kept, F.col("_t").alias(out), *[total(k) for k in TYPES])
 
 
@@ -56,6 +54,12 @@ def pii_totals(redacted: DataFrame) -> DataFrame:
     return totals.withColumn("total", sum((F.col(k) for k in TYPES[1:]), F.col(TYPES[0])))
 
 
+def total_of_row() -> Column:
+    """Aggregate over redacted rows: all masked entities of all types."""
+    per_row = sum((F.col(f"pii_{k}") for k in TYPES[1:]), F.col(f"pii_{TYPES[0]}"))
+    return F.coalesce(F.sum(per_row), F.lit(0))
+
+
 def pii_report(redacted: DataFrame) -> DataFrame:
     """Rows (type, entities), with the grand total as type ``total``."""
     wide = pii_totals(redacted)

@@ -171,13 +171,17 @@ def _counts(label: Column) -> dict[str, Column]:
     }
 
 
-def summarize_sentiment(df: DataFrame, preset: LabelPreset = ENGINE_LABELS) -> DataFrame:
-    """One row: counts, net sentiment score, mean polarity and the overall trend; zeros over no rows."""
+def summarize_sentiment(df: DataFrame, preset: LabelPreset = ENGINE_LABELS, **more: Column) -> DataFrame:
+    """One row: counts, net sentiment score, mean polarity and the overall trend; zeros over no rows.
+
+    ``more`` are further aggregates of the same pass, by name.
+    """
     label = F.col("sentiment_label")
     s = df.agg(
         F.count(F.lit(1)).alias("total_reviews"),
         *[c.alias(name) for name, c in _counts(label).items()],
         F.coalesce(exact_mean(F.col("sentiment_score")), F.lit(0.0)).alias("_mean"),
+        *[c.alias(name) for name, c in more.items()],
     )
     nss = F.coalesce(F.try_divide((F.col("positive") - F.col("negative")) * 100.0, F.col("total_reviews")), F.lit(0.0))
     return s.select(
@@ -188,6 +192,7 @@ def summarize_sentiment(df: DataFrame, preset: LabelPreset = ENGINE_LABELS) -> D
         F.round(nss, 1).alias("net_sentiment_score"),
         F.round("_mean", 4).alias("mean_score"),
         overall_label(nss, preset).alias("overall_sentiment"),
+        *more,
     )
 
 
@@ -201,10 +206,3 @@ def with_percent(counts: DataFrame) -> DataFrame:
 def sentiment_percent(df: DataFrame) -> DataFrame:
     counts = df.agg(*[c.alias(n) for n, c in _counts(F.col("sentiment_label")).items()])
     return with_percent(counts).drop(*counts.columns)
-
-
-def label_counts(df: DataFrame) -> DataFrame:
-    """Rows of each of the four labels, 0 where none."""
-    named = [F.count_if(F.col("sentiment_label") == label).alias(label) for label in LABELS]
-    pairs = [F.struct(F.lit(label).alias("sentiment_label"), F.col(f"`{label}`").alias("reviews")) for label in LABELS]
-    return df.agg(*named).select(F.inline(F.array(*pairs)))
