@@ -33,6 +33,7 @@ def load_all() -> None:
         queries_reads,
         queries_runs,
         queries_sentiment,
+        queries_store,
         queries_streams,
         queries_themes,
     )

@@ -106,9 +106,12 @@ idx AS (SELECT sum((a - e) * ln(a / e)) AS psi FROM shares)"""
 _STATUS = "CASE WHEN psi < 0.10 THEN 'Low' WHEN psi < 0.25 THEN 'Moderate' ELSE 'High' END"
 
 
+_SIMILAR = "obs AS (SELECT x.base, sum(v * c) AS v FROM x JOIN cents USING (pos) WHERE cents.base GROUP BY vec_id, x.base)"
+
+
 @query(
     "psi_drift",
-    f"""WITH {_DRIFT}, {_psi_ctes('obs AS (SELECT x.base, sum(v * c) AS v FROM x JOIN cents USING (pos) WHERE cents.base GROUP BY vec_id, x.base)')}
+    f"""WITH {_DRIFT}, {_psi_ctes(_SIMILAR)}
     SELECT round(psi, 4) AS psi, {_STATUS} AS status, concat({_STATUS}, printf(' (%.2f)', psi)) AS display,
       (SELECT round(1 - sum(a.c * b.c), 4) FROM cents a JOIN cents b USING (pos) WHERE a.base AND NOT b.base)
         AS centroid_cosine_distance, false AS degenerate FROM idx""",

@@ -145,16 +145,14 @@ def dashboard_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def summary_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = redaction.redact(reviews(spark, sf_dir, wide=True))
-    blocks = [
-        sentiment.with_percent(sentiment.summarize_sentiment(rows)).drop("positive", "neutral", "negative", "mean_score"),
-        redaction.pii_totals(rows).select(F.col("total").alias("pii_redacted_count")),
-        rows.agg(F.count_if(F.col("theme_id").isNull()).alias("unassigned_count")),
-        review_themes(rows).agg(F.count(F.lit(1)).alias("themes_total")),
-    ]
-    out = blocks[0].withColumn("_one", F.lit(1))
-    for block in blocks[1:]:
-        out = out.join(block.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    # One pass over the reviews gives all figures.
+    summary = sentiment.summarize_sentiment(
+        rows,
+        pii_redacted_count=redaction.total_of_row(),
+        unassigned_count=F.count_if(F.col("theme_id").isNull()),
+        themes_total=F.count_distinct("theme_id"),
+    )
+    return sentiment.with_percent(summary).drop("positive", "neutral", "negative", "mean_score")
 
 
 # ---------------------------------------------------------------- verbatims

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.config import Config
 from voxmill.operators import redaction
 from voxmill.operators.analytics import fill_trend
 from voxmill.operators.features import as_vector
 from voxmill.operators.scale import scratch_path
 from voxmill.plans.catalog import query
-from voxmill.plans.engine import AnalysisEngine
 from voxmill.plans.queries_pii import _DOCS, _report
+from voxmill.plans.queries_quality import _DRIFT, _SIMILAR, _STATUS, _psi_ctes
 from voxmill.plans.queries_reads import _trend
 from voxmill.plans.views import R, REVIEWS, U, table, uploads
 from voxmill.sources.tables import ResultStore
@@ -25,7 +24,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    base = scratch_path(spark, name)
+    return _drained_at(spark, df, scratch_path(spark, name), mode)
+
+
+def _drained_at(spark: SparkSession, df: DataFrame, base: str, mode: str = "append") -> DataFrame:
     streams.run_available(df, f"{base}/checkpoint", streams.batch_writer(f"{base}/out"), mode)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
@@ -39,14 +41,10 @@ def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trend_stream", f"WITH {R}, {_trend('r', 'weekly')} SELECT * FROM trend")
 def trend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events")
-    # The review view plus its event time.
-    rows = spark.sql(
-        REVIEWS.replace('"', "`").replace("FROM {events}", ", ts FROM {events}"), events=events
-    )
     # Complete mode emits every window on the last batch of the drain, whatever the watermark.
     base = scratch_path(spark, "trend")
     streams.run_available(
-        streams.trend_stream(rows),
+        streams.trend_stream(_timed_reviews(spark, events)),
         f"{base}/checkpoint",
         lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out"),
         "complete",
@@ -54,6 +52,37 @@ def trend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_trend(spark.read.parquet(f"{base}/out"), "weekly")
 
 
+def _timed_reviews(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The review view plus its event time."""
+    return spark.sql(REVIEWS.replace('"', "`").replace("FROM {events}", ", ts FROM {events}"), events=events)
+
+
+_WEEKS = "CAST(date_trunc('week', ts) AS DATE)"
+
+
+@query(
+    "trend_stream_late",
+    f"""SELECT {_WEEKS} AS period_start, count(*) AS review_count FROM events WHERE event_id % 2 = 0 GROUP BY 1
+    HAVING {_WEEKS} + 7 <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events WHERE event_id % 2 = 0) - INTERVAL 7 DAY""",
+)
+def trend_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches in append mode: the even rows of the last ten days, the older even ones, and the older odd ones.
+
+    The watermark that the first batch sets closes the weeks after the second one and drops the third one's rows as late.
+    """
+    base = scratch_path(spark, "trend-late")
+    rows = table(spark, sf_dir, "events")
+    top = rows.agg(F.max(F.col("ts").cast("date"))).first()[0]
+    day, even = F.col("ts").cast("date"), F.col("event_id") % 2 == 0
+    last = day >= F.date_sub(F.lit(top), 10)
+    # Files are taken in the order of their modification times.
+    for i, part in enumerate((rows.where(last & even), rows.where(~last & even), rows.where(~last & ~even))):
+        part.coalesce(1).write.parquet(f"{base}/in/batch={i}")
+    stream = streams.read_stream(spark, f"{base}/in/*", rows.schema, max_files=1)
+    out = _drained_at(spark, streams.trend_stream(_timed_reviews(spark, stream)), base)
+    return out.select("period_start", "review_count")
+
+
 @query(
     "dedupe_stream",
     "SELECT role, count(*) AS turns, count(DISTINCT text) AS texts FROM conversations GROUP BY role",
@@ -69,7 +98,15 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("role").agg(F.count(F.lit(1)).alias("texts")).join(all_turns, "role")
 
 
-@query("drift_stream")
+@query(
+    "drift_stream",
+    f"""WITH {_DRIFT}, {_psi_ctes(_SIMILAR)}
+    SELECT 0 AS batch, 'Baseline initialized' AS status, CAST(NULL AS DOUBLE) AS psi, CAST(NULL AS DOUBLE) AS centroid_cosine_distance,
+      CAST(NULL AS BIGINT) AS baseline_size
+    UNION ALL SELECT 1, {_STATUS}, round(psi, 4),
+      (SELECT round(1 - sum(a.c * b.c), 4) FROM cents a JOIN cents b USING (pos) WHERE a.base AND NOT b.base),
+      (SELECT count(*) FROM embeddings WHERE label < 5) FROM idx""",
+)
 def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "drift")
     # Two files, lower labels first: the first batch becomes the baseline, the second is compared with it.
@@ -78,33 +115,47 @@ def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.where(F.col("label") >= 5).coalesce(1).write.parquet(f"{base}/in/batch=1")
     stream = streams.read_stream(spark, f"{base}/in/*", rows.schema, max_files=1)
     vectors = stream.withColumn("features", as_vector(F.col("embedding")))
-    streams.run_available(
-        vectors, f"{base}/checkpoint", streams.drift_writer(f"{base}/baseline", f"{base}/out", "test")
-    )
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    write = streams.drift_writer(f"{base}/baseline", f"{base}/out", "test")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        # A batch that is repeated after a failure gives the same row again.
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    streams.run_available(vectors, f"{base}/checkpoint", twice)
+    found = spark.read.parquet(f"{base}/out").withColumnRenamed("batch_id", "batch")
+    return found.select("batch", "status", "psi", "centroid_cosine_distance", "baseline_size")
+
+
+_CLEAN = "regexp_replace(review_text, '^\\s+|\\s+$', '', 'g')"
 
 
 @query(
     "ingest_stream",
-    f"""WITH {U} SELECT 'COMPLETED' AS status, count(*) AS rows_received,
-      count(*) FILTER (WHERE regexp_replace(review_text, '^\\s+|\\s+$', '', 'g') <> '') AS rows_analyzed FROM u""",
+    f"""WITH {U} SELECT CASE WHEN source_row = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+      CASE WHEN source_row % 2 = 0 THEN 'even' ELSE 'odd' END AS half, count(*) AS rows_received,
+      count(*) FILTER (WHERE {_CLEAN} <> '') AS rows_analyzed FROM u WHERE source_row > 0 GROUP BY ALL
+    UNION ALL SELECT 'FAILED', 'none', 0, 0""",
 )
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of the uploads in different dialects and column orders, and one that is too short: three batches, three runs."""
     base = scratch_path(spark, "ingest")
-    # Quoted everywhere, so that white-space texts survive the trip through CSV.
-    uploads(spark, sf_dir).select("review_text", "date", "rating").write.option("header", True).option(
-        "quoteAll", True
-    ).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
-    schema = "review_text string, date string, rating string"
-    streams.ingest_stream(
-        spark,
-        f"{base}/in",
-        f"{base}/store",
-        f"{base}/checkpoint",
-        spark.createDataFrame([], schema).schema,
-        engine=AnalysisEngine(Config(kmeans_restarts=1)),
-        max_files=64,
-    )
-    return ResultStore(spark, f"{base}/store").runs().groupBy("status").agg(
-        F.sum("rows_received").alias("rows_received"), F.sum("rows_analyzed").alias("rows_analyzed")
+    rows = uploads(spark, sf_dir).where("source_row > 0")
+    even, odd = rows.where("source_row % 2 = 0"), rows.where("source_row % 2 = 1")
+    write_csv(even.select("review_text", "date", "rating"), f"{base}/files/a", ",")
+    write_csv(odd.select(F.col("rating").alias("Stars"), F.col("review_text").alias("Comment"), F.col("date").alias("created_at")), f"{base}/files/b", ";")
+    write_csv(rows.limit(1).select("review_text", "date", "rating"), f"{base}/files/c", ",")
+    # A batch takes one file; the later modified one comes later.
+    streams.ingest_stream(spark, f"{base}/files/*", f"{base}/store", f"{base}/checkpoint", max_files=1)
+    runs = ResultStore(spark, f"{base}/store").runs()
+    half = F.element_at(F.array(F.lit("even"), F.lit("odd"), F.lit("none")), F.substring_index("job_id", "-", -1).cast("int") + 1)
+    return runs.select(
+        "status", half.alias("half"), F.coalesce("rows_received", F.lit(0)).alias("rows_received"), F.coalesce("rows_analyzed", F.lit(0)).alias("rows_analyzed")
     )
+
+
+def write_csv(df: DataFrame, path: str, sep: str) -> None:
+    """One file, quoted everywhere, so that white-space texts survive the trip through CSV."""
+    df.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').option("sep", sep).option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -208,7 +208,7 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cluster_reviews")
 def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
-    clustered = themes.cluster_within(rows, "label", cfg=Config(kmeans_restarts=1))
+    clustered = themes.cluster_within(rows, "label", cfg=Config())
     merged = themes.merge_small(clustered, "label", "vec_id")
     return merged.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("members"))
 
@@ -251,7 +251,7 @@ def cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- end to end
 @query("full_run_themes")
 def full_run_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = AnalysisEngine(Config(kmeans_restarts=1)).run(uploads(spark, sf_dir))
+    done = AnalysisEngine(Config()).run(uploads(spark, sf_dir))
     return done.themes
 
 
@@ -261,5 +261,5 @@ def full_run_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM r WHERE "row" % 17 <> 0""",
 )
 def full_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = AnalysisEngine(Config(kmeans_restarts=1)).run(uploads(spark, sf_dir))
+    done = AnalysisEngine(Config()).run(uploads(spark, sf_dir))
     return done.summary.select("total_reviews", "pii_redacted_count")

@@ -14,7 +14,10 @@ from voxmill.operators.scale import spread
 from voxmill.operators.sentiment import BOOSTERS, DAMPENERS, NEGATIONS
 
 # The term queries take their stop words as a parameter, so that the SQL can name the same ones.
-STOPWORDS = (*DOMAIN_STOPWORDS, *"a an and are as at be by for from in is it not of on or that the this to was with".split())
+STOPWORDS = (
+    *DOMAIN_STOPWORDS, "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that",
+    "the", "this", "to", "was", "with",
+)
 
 # Valences for the invented words of the documents table, with a phrase and with words below the threshold.
 DOCUMENT_LEXICON = {
