@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from voxmill.config import Config
 from voxmill.errors import ContractMismatch, InvalidFile, MissingColumn, NoDateData, NotFound, RowGateError
-from voxmill.operators import analytics, redaction, runs, themes
+from voxmill.operators import analytics, redaction, runs, scale, themes
 from voxmill.operators.governance import governance
 from voxmill.plans.engine import AnalysisEngine, BackEnds, run_and_store
+from voxmill.plans.serving import RunReader
 from voxmill.plans.views import TEMPLATES
 from voxmill.sources.dimensions import read_keywords, read_labels, read_lexicon
 from voxmill.sources.manifest import file_manifest
-from voxmill.sources.reviews import map_columns, read_reviews, require_columns, sniff_dialect
+from voxmill.sources.reviews import file_dialects, map_columns, read_reviews, require_columns, sniff_dialect
 from voxmill.sources.tables import ResultStore, export_json
 from voxmill.streaming import streams
 
-CFG = Config(kmeans_restarts=1)
+CFG = Config()
 
 
 def _write(path, data: bytes) -> str:
@@ -243,3 +244,100 @@ def test_trend_stream_weeks_start_on_monday(spark, tmp_path):
     )
     got = sorted((r["period_start"], r["review_count"]) for r in spark.read.parquet(out).collect())
     assert got == [(dt.date(2026, 7, 6), 7), (dt.date(2026, 7, 13), 7), (dt.date(2026, 7, 20), 7)]
+
+
+# ---------------------------------------------------------------- mixed files, commits, scratch
+def test_each_file_has_its_own_dialect(spark, tmp_path):
+    _write(tmp_path / "a.csv", b"review,date,stars\none,2026-07-01,5\n")
+    _write(tmp_path / "b.csv", "Stars;Comment;Date\n4;zw\xf6lf;2026-07-02\n".encode("latin-1"))
+    _write(tmp_path / "c.csv", "date\tfeedback\n2026-07-03\tdrüben\n".encode())
+    rows = read_reviews(spark, str(tmp_path)).orderBy("source_row").collect()
+    assert [(r["source_row"], r["review_text"], r["date"], r["rating"]) for r in rows] == [
+        (0, "one", "2026-07-01", "5"),
+        (1, "zwölf", "2026-07-02", "4"),
+        (2, "drüben", "2026-07-03", None),
+    ]
+
+
+def test_a_file_that_turns_from_utf8_is_unreadable(spark, tmp_path):
+    _write(tmp_path / "late.csv", b"review,date\n" + b"plain,2026-07-01\n" * 3000 + "sp\xe4t,2026-07-02\n".encode("latin-1"))
+    _write(tmp_path / "good.csv", b"review,date\nfine,2026-07-01\n")
+    _write(tmp_path / "none.csv", b" \n")
+    status = {os.path.basename(r["path"]): r["status"] for r in file_dialects(spark, str(tmp_path)).collect()}
+    assert status == {"late.csv": "UNREADABLE_FILE", "good.csv": "OK", "none.csv": "EMPTY_FILE"}
+    with pytest.raises(InvalidFile) as err:
+        read_reviews(spark, str(tmp_path))
+    assert err.value.code in ("UNREADABLE_FILE", "EMPTY_FILE") and len(err.value.details["files"]) == 2
+    assert [r["review_text"] for r in read_reviews(spark, str(tmp_path), on_bad="skip").collect()] == ["fine"]
+    with pytest.raises(InvalidFile) as err:
+        read_reviews(spark, str(tmp_path / "missing*.csv"))
+    assert err.value.code == "FILE_NOT_FOUND"
+
+
+def test_store_refuses_ids_that_are_no_plain_names(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path))
+    for bad in ("a:b", "../x", "", "a/b", "%41", ".hidden"):
+        with pytest.raises(ContractMismatch):
+            store.delete_run(bad)
+    with pytest.raises(NotFound) as err:
+        store.delete_run("nobody")
+    assert err.value.code == "JOB_NOT_FOUND"
+    store.put_run(spark.createDataFrame([("busy", "PROCESSING")], "job_id string, status string"))
+    with pytest.raises(NotFound) as err:
+        store.delete_run("busy")
+    assert err.value.code == "JOB_PROCESSING"
+
+
+def test_a_run_leaves_no_scratch_and_publishes_its_baseline_at_the_end(spark, tmp_path):
+    root = scale.checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with pytest.raises(RowGateError):
+        run_and_store(spark, _raw(spark, 5), str(tmp_path), "r", AnalysisEngine(CFG), baseline_path=str(tmp_path / "base"))
+    assert not os.path.exists(tmp_path / "base")
+    for _ in range(2):
+        # The run that makes the baseline makes it again when it is repeated.
+        run_and_store(spark, _raw(spark, 120), str(tmp_path), "r", AnalysisEngine(CFG), baseline_path=str(tmp_path / "base"))
+        assert ResultStore(spark, str(tmp_path)).read_results("r")["result"].first()["drift_status"] == "Baseline initialized"
+    assert not [d for d in set(os.listdir(root)) - before if d.startswith("scope-")]
+
+
+def test_reader_of_a_stored_run(spark, stored):
+    store, job = stored
+    reader = RunReader(store, CFG)
+    listed, facets, totals = reader.themes(job)
+    first = listed.first()
+    header, page = reader.verbatims(job, first["theme_id"], limit=3)
+    assert header["total"] == first["count"] and page.count() == 3 and "highlights" in page.columns
+    assert sum(r["count"] for r in facets.collect()) + totals["unassigned_count"] == 232
+    assert reader.trends(job, "weekly").count() > 0
+    with pytest.raises(NotFound) as err:
+        reader.verbatims(job, "theme-999")
+    assert err.value.code == "THEME_NOT_FOUND"
+    row, trail = reader.governance(job)
+    got = row.first()
+    assert got["pii"]["total_redacted"] == 12 and got["drift"]["status"] == "Baseline initialized"
+    assert got["validation"]["validation"]["display"] == "100.0%" and trail.count() == 3
+    assert reader.summary(job).first()["summary"]["total_reviews"] == 232
+
+
+def test_stream_goes_on_after_a_bad_batch_and_after_a_restart(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = "\n".join(f"{TEMPLATES[i % 12]} {i},2026-07-0{i % 9 + 1}" for i in range(30))
+    for k, body in enumerate(("review,date\n" + lines, "review,date\nfew,2026-07-01", "nothing,here\n1,2", "Review;Date\n" + lines.replace(",2026", ";2026"))):
+        _write(source / f"{k}.csv", body.encode())
+        os.utime(source / f"{k}.csv", (1_700_000_000 + 100 * k, 1_700_000_000 + 100 * k))
+
+    def drain():
+        streams.ingest_stream(spark, str(source), str(tmp_path / "store"), str(tmp_path / "cp"))
+        return {r["job_id"]: (r["status"], r["error_code"], r["rows_analyzed"]) for r in ResultStore(spark, str(tmp_path / "store")).runs().collect()}
+
+    want = {
+        "batch-0": ("COMPLETED", None, 30),
+        "batch-1": ("FAILED", "TOO_FEW_ROWS", None),
+        "batch-2": ("FAILED", "MISSING_COLUMN", None),
+        "batch-3": ("COMPLETED", None, 30),
+    }
+    assert drain() == want
+    _write(source / "4.csv", ("review,date\nNA,2026-07-01\n" + lines).encode())
+    assert drain() == want | {"batch-4": ("COMPLETED", None, 30)}
