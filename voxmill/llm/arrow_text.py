@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import SparkSession
 
 PIECE = 1 << 21
 # A word longer than this is hashed on its own, so that the tables of powers stay small.
@@ -192,3 +193,12 @@ def whole_windows(bounds: np.ndarray, size: int, n_words: int) -> np.ndarray:
         inside[at] = False
     return inside
 
+
+BATCH_BYTES = "4m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 4 MB, unless the session has a limit of its own: 10,000 long texts would be one batch otherwise."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxmill.operators.scale import materialised
@@ -11,27 +11,23 @@ from voxmill.operators.scale import materialised
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every id in ``links`` (``a, b``): the smallest id that can be reached.
 
-    Rounds alternate two steps. In the large step every id ties its larger neighbours to its smallest neighbour, in the
-    small step its smaller ones; links get shorter until each id hangs on the smallest one of its component. The number of
-    rounds grows with the logarithm of the longest chain. Every round is written to the shared folder.
+    Every id starts with the smallest of itself and its neighbours. In a round it takes the smallest among the label of its
+    label and the labels of its neighbours, so labels travel twice as far each time, and the number of rounds grows with the
+    logarithm of the longest chain. Links and labels are written to the shared folder; the joins' sides are plain scans
+    of them, so Spark can split the partition of an id with very many links.
     """
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    edges = materialised(pairs, "links")
-    before = None
+    forward = links.select("a", "b").where("a <> b")
+    edges = materialised(forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = materialised(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialised(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        # The join's sides are plain scans, so Spark can split the partition of an id with very many links.
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        large = materialised(large, "large-step")
-        least = materialised(large.groupBy("b").agg(F.min("a").alias("m")), "least")
-        joined = large.join(least, "b")
-        small = joined.select(F.col("m").alias("a"), "b").unionByName(joined.select(F.col("m").alias("a"), F.col("a").alias("b")))
-        edges = materialised(small.where("a <> b").distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "id").unionByName(
-        edges.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    )
+        known = labels.select(F.col("id").alias("b"), F.col("component").alias("near"))
+        nearest = edges.join(known, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        moved = labels.join(jump, "component").join(nearest, "id")
+        label = F.least("component", "far", "near")
+        seen = Observation()
+        step = moved.select("id", label.alias("component"), (label < F.col("component")).alias("changed"))
+        step = step.observe(seen, F.count_if("changed").alias("changed")).drop("changed")
+        labels = materialised(step, "labels")
+        if not seen.get["changed"]:
+            return labels

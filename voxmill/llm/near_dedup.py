@@ -7,10 +7,11 @@
 3. Candidates are verified in sequence: after every 32 values of the signatures the posterior probability that the
    similarity reaches the threshold is bounded (uniform prior), and the pair is dropped once it is below ``MISS``.
    What survives is decided exactly on full sets.
-4. Components of these links. Buckets that still hold several components get the rest of their comparisons: each member of
-   a smaller component against all members of each larger one, in blocks of both sides, until a first link is
-   found. Pairs inside a component need no comparison, so large groups of near copies cost about one
-   comparison a member, and no link between components is left out.
+4. What these links connect is a component. Buckets that still hold several components get the rest of their comparisons. Members
+   of light components (up to ``LIGHT``) are compared by bucket, in blocks inside tasks, by the same sequential test; members of
+   smaller components against a heavy one are tried on all of its members, in blocks of both sides, until a first link is
+   found. Pairs inside a component need no comparison, so a large group of near copies costs about one comparison a
+   member, plus a whole pass over the group for each member without any link. No link between components is left out.
 5. Components of all links, handed back to every document through the fingerprint of its set.
 
 Empty and null texts have no shingles: they are their own component and kept. A text with fewer words than a shingle has its
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm import bloom
-from voxmill.llm.arrow_text import Piece, mix, pieces, rolling, whole_windows, word_hashes
+from voxmill.llm.arrow_text import Piece, bound_batches, mix, pieces, rolling, whole_windows, word_hashes
 from voxmill.llm.components import components
 from voxmill.operators.scale import materialised
 
@@ -40,6 +41,9 @@ HASHES = BANDS * ROWS
 STEP = 32
 MISS = 1e-6
 BLOCK = 64
+# Components of up to this many representatives are compared by bucket, larger ones as a whole.
+LIGHT = 64
+PARTS = 1024
 
 _FACTORS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -190,16 +194,18 @@ def _pruned(pairs: DataFrame, reps: DataFrame, needed: list[int]) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs that the full sets confirm.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that the full sets confirm.
 
-    The second text of a pair comes to its hub in groups of ``BLOCK``; the hub's set is sent once for each group, not once
-    for each pair.
+    The members of a hub come to it in up to ``PARTS`` groups; the hub's set is sent once for each group, not once for each pair.
     """
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
-    members = pairs.join(_sets(docs, size, pairs.select("b")).withColumnRenamed("id", "b"), "b")
-    hubs = pairs.select("a", "part").distinct().join(_sets(docs, size, pairs.select("a")).withColumnRenamed("id", "a"), "a")
-    rows = members.select("a", "part", "b", "shingles").unionByName(hubs.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles"))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    members = pairs.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "shingles")
+    hubs = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a")
+    return members.unionByName(hubs.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles"))
+
+
+def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,56 +219,111 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 elif a == hub and linked(own, values, percent):
                     out.append((a, b))
             if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield _pair_batch(out)
             own = own.copy()
 
     return rows.select("a", "b", "shingles").mapInArrow(run, "a long, b long")
 
 
-def _remaining(buckets: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int, needed: list[int]) -> DataFrame:
-    """Links between components that share a bucket: every member of the smaller against all of the larger one."""
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    labelled = found.join(sizes, "component")
-    labelled = materialised(labelled, "components")
-    # Ids outside all links are components of their own.
-    rows = buckets.join(labelled, "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members")
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], names=["a", "b"])
+
+
+def _first_labels(links: DataFrame) -> DataFrame:
+    """``id, component, members``: two steps towards the smallest id of a component, enough to know what belongs together already."""
+    ends = links.select(F.col("b").alias("id"), "a").unionByName(links.select(F.col("a").alias("id"), "a"))
+    up = materialised(ends.groupBy("id").agg(F.min("a").alias("a")), "first-step")
+    labels = up.join(up.select(F.col("id").alias("a"), F.col("a").alias("component")), "a").select("id", "component")
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return materialised(labels.join(sizes, "component").select("id", "component", "members"), "first-labels")
+
+
+def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components. Ids outside all links are components of their own."""
+    rows = crowded.join(labels, "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).cast("long").alias("members")
     )
     rows = materialised(rows, "labelled-buckets")
     rank = F.struct("members", "component")
-    tops = rows.groupBy("bucket").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where("top <> low").select("bucket", "top")
-    tops = materialised(tops, "mixed-buckets")
-    smaller = rows.join(tops, "bucket").where(rank < F.col("top")).select("bucket", "id", rank.alias("own"))
-    smaller = materialised(smaller, "smaller-components")
-    # Components of a bucket, each once: the top one and those of the smaller rows.
-    targets = smaller.select("bucket", F.col("own").alias("target")).unionByName(tops.withColumnRenamed("top", "target")).distinct()
-    targets = materialised(targets, "targets")
-    probes = smaller.join(targets, "bucket").where(F.col("own") < F.col("target"))
-    probes = materialised(probes.select("id", F.col("target.component").alias("component"), F.col("target.members").alias("members")).distinct(), "probes")
+    tops = rows.groupBy("bucket").agg(F.max(rank).alias("top"), F.min(rank).alias("low"), F.count_if(F.col("members") <= LIGHT).alias("light"))
+    tops = materialised(tops.where("top <> low").select("bucket", "top", "light"), "mixed-buckets")
+    return materialised(rows.join(tops, "bucket"), "mixed-rows")
+
+
+def _light_pairs(mixed: DataFrame, reps: DataFrame, needed: list[int]) -> DataFrame:
+    """Pairs between light components of a bucket that their signatures leave possible.
+
+    Buckets are compared inside tasks, in blocks of at most about ``BLOCK`` rows a side; no pair leaves a task before it has
+    passed the sequential test.
+    """
+    rows = mixed.where((F.col("members") <= LIGHT) & (F.col("light") > 1)).join(reps.select("id", "sig"), "id")
+    blocks = F.ceil(F.col("light") / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sig")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for key, *row in zip(keys, *(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
+                if key != group:
+                    out += _possible(held, group, needed)
+                    group, held = key, []
+                held.append(row)
+            if out:
+                yield _pair_batch(out)
+        if out := _possible(held, group, needed):
+            yield _pair_batch(out)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _possible(rows: list, key: tuple | None, needed: list[int]) -> list[tuple[int, int]]:
+    """Pairs of different components in one block pair that survive the sequential test."""
+    if len(rows) < 2:
+        return []
+    own, ids, parts = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(-1, HASHES)
+    out = []
+    for i in range(len(rows) - 1):
+        at = np.arange(i + 1, len(rows))
+        at = at[(parts[at] != parts[i]) & ((own[at] != own[i]) | (key[1] == key[2]))]
+        at = at[survives(np.broadcast_to(sigs[i], (len(at), HASHES)), sigs[at], needed)]
+        out += [(min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[at].tolist()]
+    return out
+
+
+def _heavy_probes(mixed: DataFrame) -> DataFrame:
+    """``id, component, members``: each id once for every heavy component, larger than its own, with which it shares a bucket."""
+    rank = F.struct("members", "component")
+    heavy = mixed.where(F.col("members") > LIGHT).select("bucket", rank.alias("target")).distinct()
+    heavy = materialised(heavy, "heavy-components")
+    smaller = mixed.where(rank < F.col("top")).select("bucket", "id", rank.alias("own"))
+    probes = smaller.join(heavy, "bucket").where(F.col("own") < F.col("target"))
+    return probes.select("id", F.col("target.component").alias("component"), F.col("target.members").alias("members")).distinct()
+
+
+def _heavy_links(probes: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, needed: list[int]) -> DataFrame:
+    """A link from each probe into each heavy component that has one: all members are tried, in blocks of both sides."""
     aims = probes.groupBy("component").agg(F.count(F.lit(1)).alias("probes"), F.max("members").alias("members"))
-    aims = materialised(
-        aims.select("component", F.ceil(F.col("probes") / BLOCK).cast("int").alias("pb"), F.ceil(F.col("members") / BLOCK).cast("int").alias("mb")), "aims"
-    )
-    # Both sides in blocks: every block of members meets every block of probes.
-    members = labelled.select("id", "component").unionByName(
-        probes.join(labelled.select("id"), probes["component"] == labelled["id"], "left_anti").select(F.col("component").alias("id"), "component").distinct()
-    )
+    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    aims = materialised(aims.select("component", blocks_of("probes").alias("pb"), blocks_of("members").alias("mb")), "aims")
     hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = members.join(aims, "component").select("id", "component", hashed("mb").alias("m"), every("pb").alias("p"), F.lit(False).alias("probe"))
+    m = labels.join(aims, "component").select("id", "component", hashed("mb").alias("m"), every("pb").alias("p"), F.lit(False).alias("probe"))
     q = probes.join(aims, "component").select("id", "component", hashed("pb").alias("p"), every("mb").alias("m"), F.lit(True).alias("probe"))
-    blocks = materialised(m.unionByName(q), "blocks")
-    wanted = blocks.select("id").distinct()
-    sets = _sets(docs, size, wanted).join(reps.select("id", "sig"), "id")
-    full = blocks.join(sets, "id").repartition("component", "m", "p").sortWithinPartitions("component", "m", "p", "probe", "id")
+    full = m.unionByName(q).join(sets.join(reps.select("id", "sig"), "id"), "id")
+    full = full.repartition("component", "m", "p").sortWithinPartitions("component", "m", "p", "probe", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sigs, sets = None, [], [], []
+        group, ids, sigs, sets, table = None, [], [], [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for key, i, probe, sig, shingles in zip(
-                zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), *(batch.column(k).to_pylist() for k in range(3, 7)), strict=True
-            ):
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for key, i, probe, sig, shingles in zip(keys, *(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
                 if key != group:
                     group, ids, sigs, sets, table = key, [], [], [], None
                 own, values = np.frombuffer(sig, dtype=np.uint16), np.frombuffer(shingles, dtype=np.uint64)
@@ -281,34 +342,47 @@ def _remaining(buckets: DataFrame, reps: DataFrame, found: DataFrame, docs: Data
                         out.append((ids[k], i))
                         break
             if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield _pair_batch(out)
 
     return full.select("component", "m", "p", "id", "probe", "sig", "shingles").mapInArrow(run, "a long, b long")
 
 
+def _all_links(crowded: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that connect whatever is connected among the members of crowded buckets."""
+    needed = least_matches(percent / 100)
+    star = crowded.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    star = materialised(_pruned(star, reps, needed), "candidates")
+    ends = lambda df: df.select(F.col("a").alias("id")).unionByName(df.select(F.col("b").alias("id")))
+    sets = materialised(_sets(texts, size, ends(star)), "sets")
+    links = materialised(_confirm(_verified(star, sets), percent), "verified")
+    labels = _first_labels(links)
+    mixed = _mixed(crowded.select("bucket", "id"), labels)
+    light = materialised(_light_pairs(mixed, reps, needed), "light-pairs")
+    probes = materialised(_heavy_probes(mixed), "heavy-probes")
+    # The sets of heavy components are there already; those of probes and light pairs may not be.
+    later = ends(light).unionByName(probes.select("id")).join(sets.select("id"), "id", "left_anti")
+    sets = sets.unionByName(materialised(_sets(texts, size, later).join(sets.select("id"), "id", "left_anti"), "later-sets"))
+    more = _confirm(_verified(light, sets), percent).unionByName(_heavy_links(probes, labels, reps, sets, percent, needed))
+    return links.unionByName(materialised(more, "more-links"))
+
+
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id`` of every row."""
-    needed = least_matches(percent / 100)
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sketched = materialised(_sketched(texts, size), "sketches")
     usable = sketched.where(F.col("print").isNotNull() & F.col("id").isNotNull())
     reps = usable.groupBy("print").agg(F.min(F.struct("id", "sig")).alias("r")).select("print", "r.id", "r.sig")
     reps = materialised(reps, "representatives")
-    buckets = materialised(_buckets(reps), "buckets")
+    buckets = _buckets(reps)
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    hubs = materialised(hubs, "hubs")
-    crowded = materialised(buckets.join(hubs, "bucket"), "crowded-buckets")
-    pairs = crowded.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    pairs = materialised(_pruned(pairs, reps, needed), "candidates")
-    parts = materialised(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "hub-sizes")
-    links = materialised(_verified(pairs.join(parts, "a"), texts, size, percent), "verified")
-    found = materialised(components(links), "first-components")
-    more = materialised(_remaining(crowded.select("bucket", "id"), reps, found, texts, size, percent, needed), "more-links")
-    found = components(links.unionByName(more))
+    crowded = materialised(buckets.join(materialised(hubs, "hubs"), "bucket"), "crowded-buckets")
+    found = components(_all_links(crowded, reps, texts, size, percent))
     labels = reps.select("print", "id").join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     labels = materialised(labels, "labels")
     out = sketched.select("id", "print", F.col("n").alias("n_shingles")).join(labels, "print", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
