@@ -26,11 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from voxmill.llm.arrow_text import bound_batches
+
 LIMIT = 512
 CACHE = 200_000
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# A chunk that the pattern leaves in one piece, without asking it.
-_PLAIN = re.compile(r" ?[A-Za-z]+")
+# A chunk that falls into a line feed, one word and punctuation, without asking the pattern.
+_SIMPLE = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # Characters that some definition calls white space, besides the four that chunks are cut at.
 _ODD = "".join(
@@ -82,6 +84,7 @@ class PrefixCounter:
         self.alone: dict[int, bool] = {}
         self.apart: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.size = cache
 
     def merge(self, piece: bytes) -> list[bytes]:
@@ -125,11 +128,15 @@ class PrefixCounter:
 
     def piece(self, data: bytes) -> list[int]:
         """Count at every byte of one piece: entry i belongs to ``data[:i + 1]``."""
+        return self._table(data.decode("latin-1"))
+
+    def _table(self, data: str) -> list[int]:
+        """``piece`` for bytes that are written as characters."""
         counts: list[int] = []
         last: list[int] = []
         alone, apart, done = self.alone, self.apart, 0
         # The automaton names all tokens that end at each byte, one byte after the other.
-        for end, (token, length) in self.finder.iter(data.decode("latin-1")):
+        for end, (token, length) in self.finder.iter(data):
             if end < done:
                 continue
             start = end + 1 - length
@@ -178,16 +185,23 @@ class PrefixCounter:
         return [counts[i] for i in ends]
 
     def count(self, chunk: str) -> int:
+        """Tokens of a chunk, from the cache or from its table. What is looked up again survives when the cache is renewed."""
         known = self.counts.get(chunk)
+        if known is not None:
+            return known
+        known = self.older.get(chunk)
         if known is None:
-            if _PLAIN.fullmatch(chunk):
-                known = self.piece(chunk.encode())[-1]
-            else:
+            simple = _SIMPLE.fullmatch(chunk)
+            if not simple:
                 known = sum(self.piece(m.encode())[-1] for m in _PATTERN.findall(chunk))
-            if len(chunk) <= 64:
-                if len(self.counts) >= self.size:
-                    self.counts.clear()
-                self.counts[chunk] = known
+            elif simple[1] or simple[3]:
+                known = bool(simple[1]) + self.count(simple[2]) + (self.count(simple[3]) if simple[3] else 0)
+            else:
+                known = (self._table(chunk) if chunk.isascii() else self.piece(chunk.encode()))[-1]
+        if len(chunk) <= 64:
+            if len(self.counts) >= self.size:
+                self.older, self.counts = self.counts, {}
+            self.counts[chunk] = known
         return known
 
     def chunks(self, text: str) -> list[str]:
@@ -207,7 +221,9 @@ class PrefixCounter:
     def _sum(self, text: str) -> int:
         chunks = self.chunks(text)
         found = list(map(self.counts.get, chunks))
-        return sum(found) if None not in found else sum(map(self.count, chunks))
+        if None not in found:
+            return sum(found)
+        return sum([n if n is not None else self.count(chunk) for n, chunk in zip(found, chunks, strict=True)])
 
     def total(self, text: str) -> int:
         if not any(s in text for s in self.specials):
@@ -273,6 +289,7 @@ def count_tokens(docs: DataFrame, path: str | Callable[[], str], limit: int = LI
 
     ``path`` is the vocabulary's file, or a function that names it on the machine where a task runs.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
