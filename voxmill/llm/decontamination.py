@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.arrow_text import NOT_ALNUM, Piece, pieces, word_hashes
+from voxmill.llm.arrow_text import NOT_ALNUM, Piece, bound_batches, pieces, word_hashes
 from voxmill.operators.scale import materialised
 
 PASSAGE = 32
@@ -177,14 +177,19 @@ def _product(table: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
+        total, seen = np.zeros_like(b), np.zeros(len(b), dtype=bool)
         for batch in batches:
             row, col, value = (c.to_numpy() for c in batch.columns)
             order = np.argsort(row, kind="stable")
             row, col, value = row[order], col[order], value[order]
-            rows, first = np.unique(row, return_index=True)
-            if len(rows):
-                sums = np.add.reduceat(b[col] * (w[row] * w[col] * value)[:, None], first)
-                yield pa.record_batch([pa.array(rows), pa.array([s.tobytes() for s in sums], pa.binary())], names=["row", "sums"])
+            # A few thousand cells at a time: each takes a row of the basis.
+            for lo in range(0, len(row), 1 << 12):
+                hi = lo + (1 << 12)
+                own, at = np.unique(row[lo:hi], return_index=True)
+                total[own] += np.add.reduceat(b[col[lo:hi]] * (w[row[lo:hi]] * w[col[lo:hi]] * value[lo:hi])[:, None], at)
+            seen[row] = True
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(at), pa.array([total[i].tobytes() for i in at], pa.binary())], names=["row", "sums"])
 
     out = np.zeros_like(basis)
     rows = table.mapInArrow(run, "row long, sums binary").toArrow()
@@ -198,7 +203,7 @@ def latent_space(table: DataFrame, weights: np.ndarray, items: np.ndarray, rank:
     """Leading right singular vectors of the weighted passages and the items (rows of weighted terms)."""
     terms = len(weights)
     rank = min(rank, terms)
-    # One range of rows in each task, so that a row's sum comes from one or two tasks.
+    # One range of rows in each task, so that a row's sum comes from one or two tasks and what reaches the driver does not grow.
     table = materialised(table.repartitionByRange(8, "row", "col"), "gram-rows")
     times = lambda x: _product(table, weights, x) + ITEM_WEIGHT * items.T @ (items @ x)
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((terms, rank)))[0]
@@ -301,6 +306,7 @@ def finder(docs: DataFrame, block: list[Query]) -> Finder:
 
 def finders(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None) -> Iterator[Finder]:
     """One finder for each block of at most ``BLOCK`` queries, in the order of the items."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("_text"))
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"), answer.alias("answer"))
