@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.llm.arrow_text import bound_batches
+
 CHATML = (
     "{% for m in messages %}{{ '<|im_start|>' + (m.role | role) + '\n' }}"
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
@@ -407,6 +409,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML) -> DataFrame:
     Turns are hash-partitioned by conversation, sorted inside the partitions and streamed, so a task holds one
     conversation and one batch at a time.
     """
+    bound_batches(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

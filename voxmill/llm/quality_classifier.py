@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.arrow_text import Piece, pieces, word_hashes
+from voxmill.llm.arrow_text import Piece, bound_batches, pieces, word_hashes
 
 MAX_LABELLED = 20_000
 
@@ -214,6 +214,7 @@ def train(
     max_labelled: int = MAX_LABELLED,
 ) -> Model:
     """Fit on labelled documents outside the held-out fold, at most ``max_labelled`` of them."""
+    bound_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
         .where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (fold("_id") != 0))
@@ -240,6 +241,7 @@ def train(
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of every row."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose text scores at least ``threshold``, with all their columns."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.arrow_text import Piece, SPACE, pieces, rolling, whole_windows, word_hashes
+from voxmill.llm.arrow_text import SPACE, Piece, bound_batches, pieces, rolling, whole_windows, word_hashes
 from voxmill.operators.scale import materialised
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -83,6 +83,7 @@ def measure(column: pa.Array) -> np.ndarray:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang, source`` and the five measures of every row, without the text."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
