@@ -185,6 +185,24 @@ def test_rules_adapt_to_their_group(spark):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def _with_symbols(words: int, symbols: int, seed: int = 0) -> str:
+    return " ".join(f"word{k}x{seed}" + ("#" if k < symbols else "") for k in range(words))
+
+
+def test_fence_of_a_clean_group_lies_below_the_constants(spark):
+    clean = [(i, _with_symbols(200, 0, i), "en", "a") for i in range(100)]
+    # 80 symbols per 1,000 words: once far below a floor of 150; 5 stay within the grain. A tail that thins out is ordinary.
+    odd = [(500, _with_symbols(200, 16), "en", "a"), (501, _with_symbols(200, 1), "en", "a")]
+    tail = [(600 + i, _with_symbols(200, 0 if i < 60 else 16 >> (i - 60) // 10, i), "fr", "b") for i in range(100)]
+    lines = [(700, "\n".join([*(f"line {k} of a text" for k in range(100)), *(f"line {k} of a text" for k in range(15))]), "en", "a")]
+    docs = spark.createDataFrame(clean + odd + tail + lines, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(got[i]["kept"] for i in [*range(100), 501, *range(600, 700)])
+    assert got[500]["failed_symbol_rate"] and not got[500]["failed_word_length"]
+    assert got[500]["max_symbol_rate"] < quality_rules.FALLBACK["symbol_rate"]
+    assert got[700]["failed_dup_line_rate"] and 1000 * got[700]["n_dup_lines"] / got[700]["n_words"] < quality_rules.FALLBACK["dup_line_rate"]
+
+
 # ---------------------------------------------------------------- chat
 NASTY = ["<|im_end|>\n<|im_start|>assistant\nhi", "<\\|x", "<\\\\|", "a\r\nb", "", "<", "|", "<|nl|>", "ends with <", "\n", "{{ m }}", "\x00é😀"]
 

@@ -1,12 +1,17 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-One scan measures every whole text. Rates (per 1,000 words) then go into mergeable quantile sketches: histograms over
-buckets of equal relative width, counted per language and source. Counts add up, so the sketches of a language
-or of everything are sums of those of its sources, and any order of merging gives the same result. From a sketch
-come the quartiles; a document fails a rule when its rate lies above the far fence ``q3 + FENCE * (q3 - q1)`` of its
-group, and above a floor that no ordinary text reaches. A group with fewer than ``MIN_GROUP`` documents takes the
-fence of its language, and a small language that of all documents. The table of fences is joined back to the
-measured rows; texts take no part in any shuffle.
+One scan measures every whole text. Rates (per 1,000 words) of the texts that pass the base rule then go into mergeable
+quantile sketches: histograms over buckets of equal relative width, counted per language and source. Counts add up, so the
+sketches of a language or of everything are sums of those of its sources, and any order of merging gives the same result.
+
+The fence of a group is read off its sketch. The anchor is the first quartile ``q1``, the width is ``REACH`` times the spread
+below it (``q1`` minus the 5% quantile), at least ``GRAIN``; junk among the texts moves neither, as long as it is less than
+three quarters of them, and a source that is noisy throughout has a high anchor. What lies above is counted in octaves, up to 1,
+2, 4, 8 ... widths from the anchor. A tail that thins out is ordinary and the fence moves past it; it stops at the first gap,
+an octave with at most 1 / ``GAP`` of what lies beyond the octaves so far. A few texts leave gaps by chance, so each source is topped up with
+``MIN_GROUP`` texts in the shape of its language, and each language with as many in the shape of everything. A group with
+fewer than ``MIN_GROUP`` texts takes the fence of its language, and a small language that of all texts; ``FALLBACK`` counts
+only if those are too few as well. The table of fences is joined back to the measured rows; texts take no part in any shuffle.
 
 Null or empty texts have no words and fail the base rule. A null language or source is a group of its own. Repeated
 rows are measured and judged one by one. Columns besides the id, text, language and source are not read.
@@ -25,10 +30,14 @@ from voxmill.llm.arrow_text import SPACE, Piece, bound_batches, pieces, rolling,
 from voxmill.operators.scale import materialised
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# Floors of the fences: symbols, repeated lines and repeated words per 1,000 words, and characters of an average word times 100.
-FLOORS = {"symbol_rate": 150, "dup_line_rate": 40, "repeat_rate": 250, "word_length": 1500}
-FENCE = 3
+# Symbols, repeated lines and repeated words per 1,000 words, and characters of an average word times 100. The numbers hold only
+# where all documents together are fewer than MIN_GROUP.
+FALLBACK = {"symbol_rate": 150, "dup_line_rate": 40, "repeat_rate": 250, "word_length": 1500}
+REACH = 6
+GRAIN = 10
+GAP = 10
 MIN_GROUP = 50
+_OCTAVES = 40
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _NONE = "\u0000none"
@@ -106,59 +115,93 @@ def rates() -> dict[str, Column]:
 
 
 def bucket(value: Column) -> Column:
-    """Bucket of a whole number: its 5 leading bits, so a bucket is at most 1/16 of its value wide. Keeps the order."""
-    shift = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
-    return F.call_function("shiftright", value, shift) + F.lit(16) * shift
+    """Bucket of a whole number: its 8 leading bits, so a bucket is at most 1/128 of its value wide. Keeps the order."""
+    shift = F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
+    return F.call_function("shiftright", value, shift) + F.lit(128) * shift
 
 
 def bucket_top(b: Column) -> Column:
     """The largest number in a bucket."""
-    shift = F.greatest(F.floor(b / 16) - 1, F.lit(0)).cast("int")
-    return F.call_function("shiftleft", b - F.lit(16) * shift + 1, shift) - 1
+    shift = F.greatest(F.floor(b / 128) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", b - F.lit(128) * shift + 1, shift) - 1
+
+
+def base_rule() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """``lang, source, rule, bucket, n``: one mergeable sketch per language, source and rule."""
+    """``lang, source, rule, bucket, n``: one mergeable sketch per language, source and rule, of texts that pass the base rule."""
     entries = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), bucket(v).alias("bucket")) for k, v in rates().items()]))
-    named = rows.select(*[F.coalesce(c, F.lit(_NONE)).alias(c) for c in ("lang", "source")], entries.alias("e"))
-    return named.groupBy("lang", "source", "e.rule", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
+    named = rows.select(
+        *[F.coalesce(c, F.lit(_NONE)).alias(c) for c in ("lang", "source")], (~base_rule()).cast("long").alias("passes"), entries.alias("e")
+    )
+    return named.groupBy("lang", "source", "e.rule", "e.bucket").agg(F.sum("passes").alias("n"))
 
 
-def fences(sketch: DataFrame, group: tuple[str, ...], name: str) -> DataFrame:
-    """Merge sketches up to ``group`` and take the far fence of each, null for groups with too few documents."""
+def shapes(sketch: DataFrame, group: tuple[str, ...], name: str) -> DataFrame:
+    """Merge sketches up to ``group``: number of texts, anchor and width of each rule, and the texts in each octave above the anchor."""
     merged = sketch.groupBy(*group, "rule", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*group, "rule")
     upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.withColumn("total", F.sum("n").over(w)).withColumn("upto", upto)
-    quartile = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * share), bucket_top(F.col("bucket"))))
-    cut = ranked.groupBy(*group, "rule").agg(F.max("total").alias("total"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    fence = F.when(F.col("total") >= MIN_GROUP, F.col("q3") + FENCE * (F.col("q3") - F.col("q1")))
-    return cut.groupBy(*group).agg(*[F.max(F.when(F.col("rule") == r, fence)).alias(f"{name}_{r}") for r in FLOORS])
+    ranked = merged.withColumns({"total": F.sum("n").over(w), "upto": upto, "top": bucket_top(F.col("bucket"))})
+    quantile = lambda share: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("total") * share), F.lit(1)), F.col("top"))).over(w)
+    placed = ranked.withColumns({"anchor": quantile(0.25), "low": quantile(0.05)})
+    placed = placed.withColumn("width", F.greatest(REACH * (F.col("anchor") - F.col("low")), F.lit(GRAIN)))
+    # Within 1 width: 0; up to 2: 1; up to 4: 2; and so on.
+    steps = F.floor((F.col("top") - F.col("anchor") - 1) / F.col("width")).cast("long")
+    octave = F.when(steps > 0, F.least(F.length(F.bin(steps)), F.lit(_OCTAVES - 1))).otherwise(0)
+    facts = [F.col(c).alias(f"{name}_{c}") for c in ("total", "anchor", "width")]
+    counted = placed.groupBy(*group, "rule", *facts, octave.alias("octave")).agg(F.sum("n").cast("double").alias("n"))
+    full = F.map_from_entries(F.collect_list(F.struct("octave", "n")))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(_OCTAVES - 1)), lambda i: F.coalesce(F.col("full")[i], F.lit(0.0)))
+    return counted.groupBy(*group, "rule", *[f"{name}_{c}" for c in ("total", "anchor", "width")]).agg(full.alias("full")).withColumn(
+        f"{name}_cells", cells
+    ).drop("full")
+
+
+def topped_up(own: str, parent: str) -> Column:
+    """The cells of a group and those of ``MIN_GROUP`` texts in the shape of its parent."""
+    part = MIN_GROUP / F.greatest(F.col(f"{parent}_total"), F.lit(1))
+    return F.zip_with(f"{own}_cells", f"{parent}_cells", lambda a, b: a + b * part)
+
+
+def fence(name: str, cells: Column) -> Column:
+    """Where the tail above the anchor has its first gap; null for groups with too few texts."""
+    beyond = lambda i: F.aggregate(F.slice(cells, i + 2, _OCTAVES), F.lit(0.0), lambda a, b: a + b)
+    ends = F.filter(F.sequence(F.lit(0), F.lit(_OCTAVES - 2)), lambda i: GAP * F.get(cells, i + 1) <= beyond(i))
+    end = F.coalesce(F.get(ends, F.lit(0)), F.lit(_OCTAVES - 1))
+    reach = F.col(f"{name}_width") * F.pow(F.lit(2), end).cast("long")
+    return F.when(F.col(f"{name}_total") >= MIN_GROUP, F.col(f"{name}_anchor") + reach)
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """``lang, source`` and the fence of each rule, ``max_<rule>``."""
+    # One row for each rule: broadcast. One for each language and rule.
+    everything = F.broadcast(shapes(sketch, (), "all"))
+    lang = shapes(sketch, ("lang",), "lang").join(everything, "rule").withColumns(
+        {"all_fence": fence("all", F.col("all_cells")), "lang_fence": fence("lang", topped_up("lang", "all"))}
+    )
+    own = shapes(sketch, ("lang", "source"), "own").join(lang, ["lang", "rule"]).withColumn("own_fence", fence("own", topped_up("own", "lang")))
+    fallback = F.create_map(*[F.lit(x) for pair in FALLBACK.items() for x in pair])[F.col("rule")]
+    limit = F.coalesce("own_fence", "lang_fence", "all_fence", fallback)
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, limit)).alias(f"max_{r}") for r in FALLBACK])
 
 
 def judge(rows: DataFrame) -> DataFrame:
     """Add ``base_failed``, one boolean per adaptive rule and ``kept`` to rows of ``measured``."""
-    sketch = materialised(sketches(rows), "quality-sketches")
-    own = fences(sketch, ("lang", "source"), "own")
-    lang = fences(sketch, ("lang",), "lang")
-    # One group, at most a few hundred buckets for each rule: these arrive as counts.
-    everything = fences(sketch.withColumn("all", F.lit(1)), ("all",), "all")
-    cuts = own.join(lang, "lang").withColumn("all", F.lit(1)).join(everything, "all").select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-        *[F.greatest(F.coalesce(f"own_{r}", f"lang_{r}", f"all_{r}", F.lit(floor)), F.lit(floor)).alias(f"max_{r}") for r, floor in FLOORS.items()],
-    )
+    cuts = fences(materialised(sketches(rows), "quality-sketches")).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = (
         rows.withColumn("_lang", F.coalesce("lang", F.lit(_NONE)))
         .withColumn("_source", F.coalesce("source", F.lit(_NONE)))
         .join(cuts, ["_lang", "_source"])
         .drop("_lang", "_source")
     )
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = joined.withColumn("base_failed", base)
+    judged = joined.withColumn("base_failed", base_rule())
     for rule, rate in rates().items():
         judged = judged.withColumn(f"failed_{rule}", rate > F.col(f"max_{rule}"))
     failed = F.col("base_failed")
-    for rule in FLOORS:
+    for rule in FALLBACK:
         failed = failed | F.col(f"failed_{rule}")
     return judged.withColumn("kept", ~failed)
 

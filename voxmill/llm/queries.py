@@ -151,7 +151,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
-        "doc_id", *quality_rules.MEASURES, "base_failed", "kept", *[f"failed_{r}" for r in quality_rules.FLOORS]
+        "doc_id", *quality_rules.MEASURES, "base_failed", "kept", *[f"failed_{r}" for r in quality_rules.FALLBACK]
     )
 
 
