@@ -203,6 +203,18 @@ def test_fence_of_a_clean_group_lies_below_the_constants(spark):
     assert got[700]["failed_dup_line_rate"] and 1000 * got[700]["n_dup_lines"] / got[700]["n_words"] < quality_rules.FALLBACK["dup_line_rate"]
 
 
+@pytest.mark.parametrize("share", [30, 45, 60])
+def test_junk_of_a_mixed_group_does_not_lift_its_own_fence(spark, share):
+    mixed = [(i, _with_symbols(200, 100 if i % 100 < share else 0, i), "en", "hot") for i in range(200)]
+    longer = [(400 + i, " ".join(("w" * 14 if i % 100 < share else "word" + "s" * (k % 3)) + f"{k:03d}" for k in range(100)), "de", "hot") for i in range(200)]
+    noisy = [(800 + i, _with_symbols(200, 80 + i % 20, i), "en", "code") for i in range(100)]
+    docs = spark.createDataFrame(mixed + longer + noisy, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(got[i]["failed_symbol_rate"] == (i % 100 < share) for i in range(200))
+    assert all(got[400 + i]["failed_word_length"] == (i % 100 < share) for i in range(200))
+    assert all(got[i]["kept"] for i in range(800, 900))
+
+
 # ---------------------------------------------------------------- chat
 NASTY = ["<|im_end|>\n<|im_start|>assistant\nhi", "<\\|x", "<\\\\|", "a\r\nb", "", "<", "|", "<|nl|>", "ends with <", "\n", "{{ m }}", "\x00é😀"]
 
