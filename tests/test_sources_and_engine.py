@@ -12,9 +12,10 @@ from voxmill.config import Config
 from voxmill.errors import ContractMismatch, InvalidFile, MissingColumn, NoDateData, NotFound, RowGateError
 from voxmill.operators import analytics, redaction, runs, scale, themes
 from voxmill.operators.governance import governance
+from voxmill.plans import queries_streams
 from voxmill.plans.engine import AnalysisEngine, BackEnds, run_and_store
 from voxmill.plans.serving import RunReader
-from voxmill.plans.views import TEMPLATES
+from voxmill.plans.views import TEMPLATES, uploads
 from voxmill.sources.dimensions import read_keywords, read_labels, read_lexicon
 from voxmill.sources.manifest import file_manifest
 from voxmill.sources.reviews import file_dialects, map_columns, read_reviews, require_columns, sniff_dialect
@@ -341,3 +342,15 @@ def test_stream_goes_on_after_a_bad_batch_and_after_a_restart(spark, tmp_path):
     assert drain() == want
     _write(source / "4.csv", ("review,date\nNA,2026-07-01\n" + lines).encode())
     assert drain() == want | {"batch-4": ("COMPLETED", None, 30)}
+
+
+def test_uploads_are_written_and_ingested_as_many_files(spark, sf_dir, tmp_path, monkeypatch):
+    df = spark.range(100).selectExpr("concat(' text ', id) AS review_text").repartition(4)
+    queries_streams.write_csv(df, str(tmp_path / "many"), ";")
+    assert len(list((tmp_path / "many").glob("*.csv"))) == 4
+    # All files of one layout are one batch and one run.
+    monkeypatch.setattr(queries_streams, "uploads", lambda *a: uploads(*a).repartition(4))
+    got = {r["half"]: (r["status"], r["rows_received"]) for r in queries_streams.ingest_stream(spark, sf_dir).collect()}
+    rows = uploads(spark, sf_dir).where("source_row > 0")
+    want = {half: ("COMPLETED", rows.where(f"source_row % 2 = {i}").count()) for i, half in enumerate(("even", "odd"))}
+    assert got == want | {"none": ("FAILED", 0)}

@@ -32,7 +32,7 @@ _SAMPLES = 5
     FROM u WHERE {_STRIPPED} <> '' GROUP BY ALL""",
 )
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The uploads as three files with their own separators, headers and column orders, read as one folder."""
+    """The uploads as three sets of files with their own separators, headers and column orders, read as one folder."""
     base = scratch_path(spark, "mixed-files")
     rows = uploads(spark, sf_dir)
     layouts = [

@@ -127,6 +127,8 @@ def drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("batch", "status", "psi", "centroid_cosine_distance", "baseline_size")
 
 
+# More files than a batch of these queries has; batches are told apart by separate runs over one checkpoint.
+MANY_FILES = 10_000
 _CLEAN = "regexp_replace(review_text, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -138,15 +140,19 @@ _CLEAN = "regexp_replace(review_text, '^\\s+|\\s+$', '', 'g')"
     UNION ALL SELECT 'FAILED', 'none', 0, 0""",
 )
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files of the uploads in different dialects and column orders, and one that is too short: three batches, three runs."""
+    """Two folders of uploads in different dialects and column orders, and a file that is too short: three batches, three runs."""
     base = scratch_path(spark, "ingest")
     rows = uploads(spark, sf_dir).where("source_row > 0")
     even, odd = rows.where("source_row % 2 = 0"), rows.where("source_row % 2 = 1")
-    write_csv(even.select("review_text", "date", "rating"), f"{base}/files/a", ",")
-    write_csv(odd.select(F.col("rating").alias("Stars"), F.col("review_text").alias("Comment"), F.col("date").alias("created_at")), f"{base}/files/b", ";")
-    write_csv(rows.limit(1).select("review_text", "date", "rating"), f"{base}/files/c", ",")
-    # A batch takes one file; the later modified one comes later.
-    streams.ingest_stream(spark, f"{base}/files/*", f"{base}/store", f"{base}/checkpoint", max_files=1)
+    halves = (
+        (even.select("review_text", "date", "rating"), ","),
+        (odd.select(F.col("rating").alias("Stars"), F.col("review_text").alias("Comment"), F.col("date").alias("created_at")), ";"),
+        (rows.limit(1).select("review_text", "date", "rating"), ","),
+    )
+    for i, (part, sep) in enumerate(halves):
+        write_csv(part, f"{base}/files/{i}", sep)
+        # The stream goes on where it stopped: all new files are the next batch.
+        streams.ingest_stream(spark, f"{base}/files/*", f"{base}/store", f"{base}/checkpoint", max_files=MANY_FILES)
     runs = ResultStore(spark, f"{base}/store").runs()
     half = F.element_at(F.array(F.lit("even"), F.lit("odd"), F.lit("none")), F.substring_index("job_id", "-", -1).cast("int") + 1)
     return runs.select(
@@ -155,7 +161,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str) -> None:
-    """One file, quoted everywhere, so that white-space texts survive the trip through CSV."""
-    df.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').option("sep", sep).option(
+    """A file for each partition, quoted everywhere, so that white-space texts survive the trip through CSV."""
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("sep", sep).option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
