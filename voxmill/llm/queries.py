@@ -9,7 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat_template, decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
+from voxmill.llm import (
+    chat_template,
+    decontamination,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    spelling_variants,
+    substring_dedup,
+    token_counts,
+    url_filters,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,3 +242,63 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.lit(True))
+
+
+# CRC-32 (the reflected polynomial 0xEDB88320) of the bytes of a string of ASCII and Latin-1 letters, which DuckDB does not have.
+_CRC_TABLE = """(
+        SELECT list(v ORDER BY b) AS crc FROM (
+            SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), CAST(range(8) AS UBIGINT[])),
+                lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS UBIGINT)) ELSE v // 2 END) AS v
+            FROM (SELECT unnest(range(256)) AS b))
+    )"""
+
+
+def crc32_sql(text: str, table: str) -> str:
+    """SQL of the checksum of ``text``; ``table`` is a list of the 256 values for one byte. Code points below U+0100 only."""
+    points = f"list_transform(string_split({text}, ''), lambda c: CAST(unicode(c) AS UBIGINT))"
+    in_utf8 = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + p // 64, 128 + p % 64] END))"
+    step = f"lambda v, b: xor({table}[CAST(xor(v % 256, b) AS BIGINT) + 1], v // 256)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {in_utf8}), {step}), CAST(4294967295 AS UBIGINT))"
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+    WITH RECURSIVE crc_table AS {_CRC_TABLE}, runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_CAPITALS}', '{_SMALL}'), '[a-zÀ-ÿ]+')) AS run FROM documents
+    ), per AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL
+    ), hashed AS (
+        SELECT run, times, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run", "crc")} AS h FROM per, crc_table
+    ), cut AS (
+        SELECT times, CASE WHEN h % 199 = 0 THEN run[1:CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) AS BIGINT) + 2:] ELSE run END AS word
+        FROM hashed
+    ), words AS (
+        SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+    ), holes AS (
+        SELECT word, n, k, word[1:k - 1] || word[k + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)
+    ), pairs AS (
+        SELECT a.word, b.word AS near FROM holes a JOIN holes b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM holes a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word FROM holes a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT p.word, count(*) AS n_near, min({{'minus': -w.n, 'near': p.near}}) AS b FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word
+    ), judged AS (
+        SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.b.minus >= 5 * w.n THEN b.b.near END AS form,
+            CASE WHEN -b.b.minus >= 5 * w.n THEN -b.b.minus END AS form_n
+        FROM words w LEFT JOIN best b ON w.word = b.word
+    ), chain AS (
+        SELECT word, word AS root, 0 AS hops FROM judged
+        UNION ALL SELECT c.word, j.form, hops + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL
+    )
+    SELECT j.word, form, r.root, n, n_near, form_n
+    FROM judged j JOIN (SELECT word, max_by(root, hops) AS root FROM chain GROUP BY word) r ON r.word = j.word
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    said = docs.select("id", F.explode(spelling_variants.runs("text")).alias("run"))
+    h, size = F.crc32(F.concat("id", F.lit(":"), "run")), F.length("run")
+    hole = (h % size).cast("int")
+    without = F.concat(F.substring("run", F.lit(1), hole), F.substring("run", hole + 2, size))
+    words = said.select(F.when(h % 199 == 0, without).otherwise(F.col("run")).alias("word"))
+    return spelling_variants.group_variants(spelling_variants.count_words(words))
