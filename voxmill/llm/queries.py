@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from voxmill.llm import (
     chat_template,
+    conversation_repair,
     decontamination,
     line_dedup,
     mixing,
+    multiset_fingerprints,
     near_dedup,
     quality_classifier,
     quality_rules,
     spelling_variants,
     substring_dedup,
+    successors,
     token_counts,
     url_filters,
 )
+from voxmill.operators.scale import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,6 +248,38 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.lit(True))
 
 
+@query("op12_multiset_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lambda n: F.floor(n / 3).cast("long")
+    rows = successors.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), cut)
+    kept = F.left("text", (F.col("n") - cut(F.col("n"))).cast("int"))
+    rows = rows.select("row", "key", "next_key", "id", "n", "text", "start", kept.alias("kept"))
+    lines, whole = multiset_fingerprints.paragraphs(F.col("text")), F.size(multiset_fingerprints.paragraphs(F.col("kept")))
+    changed = F.concat(F.substring_index("kept", "\n", -1), F.col("start"))
+    # The edit takes the paragraphs from the one it cuts to the end, and puts in those of the rest of that one and the next document's start.
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), F.slice(lines, F.lit(1), whole - 1).alias("lines")),
+        F.struct(F.lit(1).alias("part"), F.slice(lines, whole, F.size(lines)).alias("lines")),
+        F.struct(F.lit(2).alias("part"), multiset_fingerprints.paragraphs(changed).alias("lines")),
+    )
+    edited = F.sha2(F.concat("kept", "start").cast("binary"), 256)
+    keys = ["key", "row", "id", "n", "next_key", "edited_sha256"]
+    summed = multiset_fingerprints.fingerprints(
+        rows.select("key", "row", "id", "n", "next_key", edited.alias("edited_sha256"), F.inline(parts)), [*keys, "part"], "lines"
+    )
+    part = [F.max(F.when(F.col("part") == i, F.col("fingerprint"))).alias(f"p{i}") for i in range(3)]
+    both = summed.groupBy(*keys).agg(*part)
+    after_edit, before = multiset_fingerprints.add(F.col("p0"), F.col("p2")), multiset_fingerprints.add(F.col("p0"), F.col("p1"))
+    both = materialised(both.select(*keys, before.alias("own"), after_edit.alias("edited")), "fingerprints")
+    following = both.groupBy(F.col("key").alias("next_key")).agg(F.min_by("own", "row").alias("following"))
+    own, other, after = F.col("own"), F.col("edited"), F.col("following")
+    return both.join(following, "next_key").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256",
+        multiset_fingerprints.as_text(own).alias("fingerprint"), multiset_fingerprints.as_text(other).alias("edited_fingerprint"),
+        multiset_fingerprints.likeness(own, other).alias("near_edited"), multiset_fingerprints.likeness(own, after).alias("near_next"),
+    )
+
+
 # CRC-32 (the reflected polynomial 0xEDB88320) of the bytes of a string of ASCII and Latin-1 letters, which DuckDB does not have.
 _CRC_TABLE = """(
         SELECT list(v ORDER BY b) AS crc FROM (
@@ -261,6 +297,125 @@ def crc32_sql(text: str, table: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {in_utf8}), {step}), CAST(4294967295 AS UBIGINT))"
 
 
+def _said_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest of each conversation from its sorted segments, one segment in memory at a time."""
+    key, digest, empty = None, hashlib.sha256(), True
+    for batch in batches:
+        done = []
+        for k, roles, texts in zip(*(batch.column(c).to_pylist() for c in ("key", "roles", "texts")), strict=True):
+            if k != key:
+                if key is not None:
+                    done.append((key, digest.hexdigest()))
+                key, digest, empty = k, hashlib.sha256(), True
+            for role, text in zip(roles, texts, strict=True):
+                digest.update(f"{role}:{text}".encode() if empty else f"\n{role}:{text}".encode())
+                empty = False
+        yield pa.record_batch([pa.array([r[i] for r in done], pa.string()) for i in range(2)], names=["key", "repaired_sha256"])
+    if key is not None:
+        yield pa.record_batch([pa.array([x], pa.string()) for x in (key, digest.hexdigest())], names=["key", "repaired_sha256"])
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with rows dropped, emptied, cut, repeated or given to the user, as the checksum of their place says."""
+    space = F.lit(" ")
+    place = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    what = (F.crc32(place.cast("binary")) % 20).alias("what")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), what).where("what <> 0")
+    text = F.when(F.col("what") == 1, "").when(F.col("what") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("what") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("what") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+# One step of the DP in SQL: the least (cost, audit, repaired) of each state. Texts are joined by line breaks that go before each row.
+_LINE = "chr(10) || {role} || ':' || {text}"
+
+
+def _sql_edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'said': {state}.said || {line}}}"
+
+
+def _sql_least(*choices: str) -> str:
+    return f"list_min([x for x in [{', '.join(choices)}] if x.cost < 1000000000])"
+
+
+_IMPOSSIBLE = "{'cost': CAST(1000000000 AS BIGINT), 'audit': '', 'said': ''}"
+
+
+def _sql_row(initial: str, role: str, before: tuple[str, ...], state: str) -> str:
+    """The state after a row that is deleted, kept or gets ``role``."""
+    kept = [f"CASE WHEN may AND initial = '{initial}' THEN {_sql_edit(p, 'late', 'K', _LINE.format(role='role', text='text'))} ELSE {_IMPOSSIBLE} END" for p in before]
+    turned = [f"CASE WHEN may THEN {_sql_edit(p, 'late + 1', 'R', _LINE.format(role=repr(role), text='text'))} ELSE {_IMPOSSIBLE} END" for p in before if role]
+    return f"coalesce({_sql_least(_sql_edit(state, '2', 'D'), *kept, *turned)}, {_IMPOSSIBLE})"
+
+
+def _sql_insert(role: str, before: tuple[str, ...], state: str) -> str:
+    inserted = [_sql_edit(p, "5", "I", _LINE.format(role=repr(role), text="''")) for p in before]
+    return f"coalesce({_sql_least(state, *inserted)}, {_IMPOSSIBLE})"
+
+
+@query(
+    "op11_conversation_repair",
+    f"""
+    WITH RECURSIVE crc_table AS {_CRC_TABLE}, hashed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')", "crc")} % 20 AS what
+        FROM conversations, crc_table
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN what = 1 THEN '' WHEN what = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM hashed WHERE what <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, left(role, 1) AS initial FROM damaged
+    ), judged AS (
+        SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, again AND NOT blank AS duplicate,
+            NOT blank AND NOT duplicate AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated, NOT blank AND NOT duplicate AS may,
+            CASE WHEN truncated THEN 5 ELSE 0 END AS late,
+            lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS meeting, place > 1 AS meets
+        FROM placed
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+            count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+            count(*) FILTER (WHERE meets AND coalesce(meeting, '') NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS last
+        FROM judged GROUP BY conv_id
+    ), steps AS (
+        SELECT conv_id, CAST(0 AS BIGINT) AS place, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'said': ''}} AS s0, {_IMPOSSIBLE} AS s1,
+            {{'cost': CAST(5 AS BIGINT), 'audit': 'I', 'said': chr(10) || 'user:'}} AS s2,
+            {{'cost': CAST(10 AS BIGINT), 'audit': 'II', 'said': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3
+        FROM counted
+        UNION ALL
+        SELECT conv_id, place, s0, s1, s2, {_sql_insert("assistant", ("s2",), "s3")} FROM (
+            SELECT conv_id, place, s0, s1, {_sql_insert("user", ("s0", "s1", "s3"), "s2")} AS s2, s3 FROM (
+                SELECT j.conv_id, j.place, {_sql_edit("s0", "2", "D")} AS s0, {_sql_row("s", "", ("s0",), "s1")} AS s1,
+                    {_sql_row("u", "user", ("s0", "s1", "s3"), "s2")} AS s2, {_sql_row("a", "assistant", ("s2",), "s3")} AS s3
+                FROM steps t JOIN judged j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.place = t.place + 1))
+    ), solved AS (
+        SELECT c.*, list_min([s0, s3]) AS best FROM steps s JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.place = c.last
+    )
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+        sha256(coalesce(best.said[2:], '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repair.repair(damaged(turns))
+    said = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(":"), t))
+    segments = repaired.segments
+    short = segments.where(F.col("segments") == 1).select("key", F.sha2(F.array_join(said, "\n").cast("binary"), 256).alias("repaired_sha256"))
+    long = segments.where(F.col("segments") > 1).select("key", "seg", "roles", "texts")
+    long = long.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_said_digests, "key string, repaired_sha256 string")
+    whole = repaired.summary.join(short.unionByName(long), "key", "left").drop("key").withColumnRenamed("conv_id", "known_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    out = turns.select("conv_id").distinct().join(whole, F.col("conv_id").eqNullSafe(F.col("known_id")), "left")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 @query(
     "op13_spelling_variants",
     f"""
