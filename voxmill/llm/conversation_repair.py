@@ -25,7 +25,7 @@ One row of the summary holds the audit of its conversation, a byte an edit; noth
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -263,29 +263,32 @@ class _Segment:
         return (*self.head, self.roles, self.texts, bytes(self.symbols), b"".join(self.hashes), first, last, len(self.turns))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(rows: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted rows (key, conv, turn, role, text, part) to segments."""
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    def packed(done: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else [[]] * len(kinds)
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_SEGMENT_NAMES)
 
-    current: _Segment | None = None
-    n = 0
-    for batch in batches:
-        done = []
-        for key, conv, turn, role, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if current is None or current.head[0] != key or len(current.roles) >= SEGMENT_ROWS or current.size >= SEGMENT_BYTES:
-                if current is not None:
-                    done.append(current.row())
-                current, n = _Segment(key, conv, part << 40 | n), n + 1
-            current.put(turn, role, text)
-        yield packed(done)
-    yield packed([current.row()] if current is not None else [])
-
-
-def _segments(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: _Segment | None = None
+        n = 0
+        for batch in batches:
+            done = []
+            for key, conv, turn, role, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current is None or current.head[0] != key or len(current.roles) >= rows or current.size >= size:
+                    if current is not None:
+                        done.append(current.row())
+                    current, n = _Segment(key, conv, part << 40 | n), n + 1
+                current.put(turn, role, text)
+            yield packed(done)
+        yield packed([current.row()] if current is not None else [])
+
+    return cut
+
+
+def _segments(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, most_rows: int, most_bytes: int) -> DataFrame:
     space = F.lit(" ")
     rows = turns.select(
         F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("")).alias("key"), F.col(conv_col).cast("long").alias("conv"),
@@ -294,7 +297,9 @@ def _segments(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
     # The number keeps equal rows, which are interchangeable, from being one value of the range.
     order = ["key", "turn", "role", "text", "number"]
     ranged = rows.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select("key", "conv", "turn", "role", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(_cut, _SEGMENT)
+    return ranged.select("key", "conv", "turn", "role", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(
+        _cutter(most_rows, most_bytes), _SEGMENT
+    )
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,10 +418,13 @@ class Repair:
         return self.segments.select("conv_id", "seg", F.posexplode(zipped).alias("place", "row")).select("conv_id", "seg", "place", "row.role", "row.text")
 
 
-def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Repair:
+def repair(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    segment_rows: int = SEGMENT_ROWS, segment_bytes: int = SEGMENT_BYTES,
+) -> Repair:
     """Repair every conversation in ``turns``. Ids and turns are whole numbers."""
     bound_batches(turns.sparkSession)
-    segments = materialised(_segments(turns, conv_col, turn_col, role_col, text_col), "conversation-segments")
+    segments = materialised(_segments(turns, conv_col, turn_col, role_col, text_col, segment_rows, segment_bytes), "conversation-segments")
     narrow = segments.drop("roles", "texts").join(_said_before(segments), ["key", "seg"], "left")
     marked = narrow.mapInArrow(_marked, "key string, conv long, seg long, first_turn long, last_turn long, n_turns long, symbols binary")
     whole = F.array_sort(F.collect_list(F.struct("seg", "symbols", "first_turn", "last_turn", "n_turns"))).alias("segments")

@@ -315,6 +315,15 @@ def _said_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array([x], pa.string()) for x in (key, digest.hexdigest())], names=["key", "repaired_sha256"])
 
 
+def said_digests(segments: DataFrame) -> DataFrame:
+    """``key, repaired_sha256``: conversations of one segment where they are, others in a stream over their sorted segments."""
+    said = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(":"), t))
+    short = segments.where(F.col("segments") == 1).select("key", F.sha2(F.array_join(said, "\n").cast("binary"), 256).alias("repaired_sha256"))
+    long = segments.where(F.col("segments") > 1).select("key", "seg", "roles", "texts")
+    long = long.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_said_digests, "key string, repaired_sha256 string")
+    return short.unionByName(long)
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """The conversations with rows dropped, emptied, cut, repeated or given to the user, as the checksum of their place says."""
     space = F.lit(" ")
@@ -402,12 +411,7 @@ def _sql_insert(role: str, before: tuple[str, ...], state: str) -> str:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     repaired = conversation_repair.repair(damaged(turns))
-    said = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(":"), t))
-    segments = repaired.segments
-    short = segments.where(F.col("segments") == 1).select("key", F.sha2(F.array_join(said, "\n").cast("binary"), 256).alias("repaired_sha256"))
-    long = segments.where(F.col("segments") > 1).select("key", "seg", "roles", "texts")
-    long = long.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_said_digests, "key string, repaired_sha256 string")
-    whole = repaired.summary.join(short.unionByName(long), "key", "left").drop("key").withColumnRenamed("conv_id", "known_id")
+    whole = repaired.summary.join(said_digests(repaired.segments), "key", "left").drop("key").withColumnRenamed("conv_id", "known_id")
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     out = turns.select("conv_id").distinct().join(whole, F.col("conv_id").eqNullSafe(F.col("known_id")), "left")
     return out.select(
