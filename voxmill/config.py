@@ -83,6 +83,10 @@ class Config:
     # A bound for fits that never settle; they stop when the centres stop moving.
     kmeans_max_iter: int = 300
     fit_threads: int = 8
+    # How classes are split: "kmeans", "density", or "auto" (density for classes of at least ``density_min_docs`` rows).
+    tier2_backend: str = "kmeans"
+    density_min_docs: int = 300
+    density_min_size: int = 10
     seed: int = 42
     min_rows: int = 10
     # The row cap is a guard for small deployments; None lets a run be as large as the cluster can take.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from voxmill.config import OTHER, Config
 from voxmill.functions.numbers import dot, exact_mean, let
 from voxmill.functions.text import bigrams, term_tokens, text_key, theme_stopwords, unicode_boundaries
+from voxmill.operators.density import Density, density_cluster
 from voxmill.operators.features import centroids, similarity_to_centroid
 from voxmill.operators.scale import lookup_join, materialised, small_table, spread, top_n
 from voxmill.operators.sentiment import label_sentiment
@@ -230,6 +232,30 @@ def cluster_within(
     return result
 
 
+def cluster_rows(df: DataFrame, group: str, id_col: str, vector: str = "features", out: str = "cluster", cfg: Config = Config()) -> DataFrame:
+    """Clusters inside each group by the back-end that ``cfg.tier2_backend`` names; outliers of the density path get -1.
+
+    The density path keeps the ``max_subtopics`` largest clusters of a group; rows of the others count as outliers.
+    """
+    if cfg.tier2_backend not in ("kmeans", "density", "auto"):
+        raise ValueError(f"unknown tier2_backend {cfg.tier2_backend!r}")
+    if cfg.tier2_backend == "kmeans":
+        return cluster_within(df, group, vector, out, cfg)
+    least = cfg.density_min_docs if cfg.tier2_backend == "auto" else 2 * cfg.min_theme_size
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"{group} has more than {MAX_GROUPS} values")
+    dense = [r[group] for r in sizes if r["n"] >= least]
+    size = max(cfg.min_theme_size, cfg.density_min_size)
+    opts = Density(min_size=size, neighbours=size, seed=cfg.seed, max_clusters=cfg.max_subtopics)
+    parts = []
+    if dense:
+        parts.append(density_cluster(df.where(F.col(group).isin(dense)), group, id_col, vector, out, opts).select(*df.columns, out))
+    if len(dense) < len(sizes):
+        parts.append(cluster_within(df.where(~F.col(group).isin(dense)), group, vector, out, cfg).select(*df.columns, out))
+    return reduce(DataFrame.unionByName, parts) if parts else df.withColumn(out, F.lit(0))
+
+
 def merge_small(
     df: DataFrame,
     group: str,
@@ -493,7 +519,7 @@ def discover_themes(
     Needs ``id_col``, ``text``, ``general_class``, ``sentiment_score`` and an ML vector column. Every class is
     read by itself for its fit, so ``scored`` is best stored partitioned by class.
     """
-    clustered = spread(materialised(cluster_within(scored, "general_class", vector, "cluster", cfg), "clustered"))
+    clustered = spread(materialised(cluster_rows(scored, "general_class", id_col, vector, "cluster", cfg), "clustered"))
     merged = merge_small(clustered, "general_class", id_col, "cluster", vector, cfg.min_theme_size)
     merged = spread(materialised(merged, "merged"))
     keys = ["general_class", "cluster"]

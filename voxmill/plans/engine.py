@@ -36,7 +36,7 @@ class BackEnds:
         built_in = {
             "sentiment": "model" if self.scorer else "lexicon",
             "tier1": "model" if self.classifier else "keyword",
-            "tier2": "kmeans",
+            "tier2": cfg.tier2_backend,
             "embeddings": "model" if self.encoder else f"hashing-{cfg.hash_dim}",
             "assist": "off",
         }

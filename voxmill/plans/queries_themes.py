@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from voxmill.config import CATEGORIES, Config
 from voxmill.operators import themes
+from voxmill.operators.density import Density, density_cluster
 from voxmill.operators.features import as_vector, centroids, hashed_tf, similarity_to_centroid
+from voxmill.operators.scale import materialised
 from voxmill.plans.catalog import query
 from voxmill.plans.engine import AnalysisEngine
 from voxmill.plans.queries_reads import review_themes
@@ -213,6 +215,52 @@ def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("members"))
 
 
+# Three dense clouds, one for each rest of the label by three, and every ninth vector alone, far out.
+_CLOUDS = """
+e AS (SELECT vec_id, label % 3 AS g, vec_id % 9 = 4 AS alone, embedding FROM embeddings),
+anchors AS (SELECT g, arg_min(embedding, vec_id) AS a FROM e GROUP BY g),
+vecs AS (SELECT vec_id, g, alone, list_transform(list_zip(embedding, a), lambda p: CASE WHEN alone THEN (3 + vec_id % 50) * CAST(p[1] AS DOUBLE)
+    ELSE 0.9::DOUBLE * p[2] + 0.1::DOUBLE * p[1] END) AS v FROM e JOIN anchors USING (g))"""
+
+
+def _clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("g", F.col("label") % 3)
+    anchors = rows.groupBy("g").agg(F.min_by("embedding", "vec_id").alias("a"))
+    alone = F.col("vec_id") % 9 == 4
+    far = F.transform("embedding", lambda x: (3 + F.col("vec_id") % 50) * x.cast("double"))
+    near = F.zip_with("embedding", "a", lambda x, a: F.lit(0.9) * a.cast("double") + F.lit(0.1) * x.cast("double"))
+    # One row for each of the three rests.
+    joined = rows.join(F.broadcast(anchors), "g")
+    return joined.select("vec_id", F.lit("all").alias("grp"), F.when(alone, far).otherwise(near).alias("vec"))
+
+
+@query(
+    "density_clusters",
+    f"""WITH {_CLOUDS}, parts AS (SELECT g, alone, unnest(v) AS x, generate_subscripts(v, 1) AS pos, vec_id FROM vecs),
+    means AS (SELECT g, pos, avg(x) AS m FROM parts WHERE NOT alone GROUP BY g, pos),
+    cents AS (SELECT g, pos, m / sqrt(sum(m * m) OVER (PARTITION BY g)) AS c FROM means),
+    sims AS (SELECT vec_id, c.g, sum(x * c) AS sim FROM parts p JOIN cents c USING (pos) WHERE alone GROUP BY vec_id, c.g),
+    placed AS (SELECT vec_id, g, alone FROM vecs WHERE NOT alone UNION ALL SELECT vec_id, arg_max(g, sim), true FROM sims GROUP BY vec_id)
+    SELECT vec_id, alone AS outlier, min(vec_id) FILTER (WHERE NOT alone) OVER (PARTITION BY g) AS cluster_first FROM placed""",
+)
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density labels, whose outliers go on to the nearest kept cluster."""
+    labelled = density_cluster(_clouds(spark, sf_dir), "grp", "vec_id", "vec", "label", Density(min_size=8, neighbours=8))
+    labelled = materialised(labelled.withColumn("vec", as_vector(F.col("vec"))), "labelled")
+    merged = themes.merge_small(labelled, "grp", "vec_id", "label", "vec", 8)
+    first = F.min(F.when(F.col("label") >= 0, F.col("vec_id")))
+    firsts = merged.groupBy("cluster").agg(first.alias("cluster_first"))  # a row for each kept cluster
+    return merged.join(firsts, "cluster").select("vec_id", (F.col("label") < 0).alias("outlier"), "cluster_first")
+
+
+@query("density_documents")
+def density_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the density clusters of hashed terms inside each language, outliers as -1."""
+    rows = hashed_tf(wide_texts(spark, sf_dir, "documents")).select("doc_id", "lang", "features")
+    clustered = themes.cluster_rows(materialised(rows, "features"), "lang", "doc_id", cfg=Config(tier2_backend="auto", density_min_docs=30))
+    return clustered.groupBy("lang", "cluster").agg(F.count(F.lit(1)).alias("members"))
+
+
 # ---------------------------------------------------------------- terms and names
 def _ctfidf(source: str, cluster: str, order: str, text: str = "text", top: int = 15) -> str:
     stops = ", ".join(f"'{w}'" for w in STOPWORDS)
