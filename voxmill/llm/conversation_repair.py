@@ -427,6 +427,8 @@ def repair(
     segments = materialised(_segments(turns, conv_col, turn_col, role_col, text_col, segment_rows, segment_bytes), "conversation-segments")
     narrow = segments.drop("roles", "texts").join(_said_before(segments), ["key", "seg"], "left")
     marked = narrow.mapInArrow(_marked, "key string, conv long, seg long, first_turn long, last_turn long, n_turns long, symbols binary")
+    # Few bytes a row but much work: the number is given, so that small partitions are not put together.
+    marked = marked.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     whole = F.array_sort(F.collect_list(F.struct("seg", "symbols", "first_turn", "last_turn", "n_turns"))).alias("segments")
     planned = materialised(marked.groupBy("key").agg(F.first("conv").alias("conv"), whole).mapInArrow(_planned, _PLAN), "conversation-plans")
     edits = planned.select("key", "conv_id", F.size("parts").alias("segments"), F.inline("parts"))
