@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.numbers import let
 from voxmill.functions.pii import TAGS
 from voxmill.functions.text import utf16_length
+from voxmill.operators.patterns import FILTER_BITS, Probe, Rolling, bytes_of, candidates, hash_filter, hashed_patterns, known, pieces, prepare
+from voxmill.operators.scale import materialised, salted_join
 from voxmill.operators.sentiment import MAX_LEXICON
 
 _WORD = r"[A-Za-z][A-Za-z'-]*"
@@ -144,6 +149,170 @@ def highlight_terms(
     return df.withColumn(out, F.sort_array(rendered))
 
 
+# ---------------------------------------------------------------- lexicon tables of any size
+_CLAIM = "kind string, hash long, start int, end int, found binary, term string"
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_IN_WORD = _LETTER.copy()
+_IN_WORD[[ord("'"), ord("-")]] = True
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[ord("A") : ord("Z") + 1] += 32
+
+
+def _lowered(text: str) -> str:
+    """Lower case, character by character where the whole would be longer."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def word_forms(words: DataFrame) -> DataFrame:
+    """``word, valence``: every word that gets a valence from the terms in ``words`` (``term, valence``), by itself or by its ending."""
+    t = F.col("term")
+    cut = F.left(t, F.length(t) - 1)
+    ends_in_e = t.endswith("e")
+
+    def form(word: Column, rank: int, when: Column | None = None) -> Column:
+        return F.struct(F.when(when, word).otherwise(F.lit(None)).alias("word") if when is not None else word.alias("word"), F.lit(rank).alias("rank"))
+
+    # The first term that an ending leads to counts: the word itself, then the longer cut, then the other one.
+    forms = F.array(
+        form(t, 0), form(F.concat(t, F.lit("ed")), 1), form(F.concat(t, F.lit("d")), 2, ends_in_e), form(F.concat(t, F.lit("ing")), 1),
+        form(F.concat(cut, F.lit("ing")), 2, ends_in_e), form(F.concat(t, F.lit("es")), 1), form(F.concat(t, F.lit("s")), 2, ends_in_e),
+        form(F.concat(t, F.lit("s")), 1, ~ends_in_e), form(F.concat(t, F.lit("ly")), 1),
+    )
+    rows = words.select("valence", F.inline(forms)).where(F.col("word").isNotNull())
+    return rows.groupBy("word").agg(F.min_by("valence", "rank").alias("valence"))
+
+
+def _claims(phrases: Probe, words: Broadcast[np.ndarray]):
+    """Possible phrases (p) and words (w) of the texts and their tags (t), in UTF-16 units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in pieces(batch, 1):
+                part = batch.slice(first, last - first)
+                texts = part.column(1).to_pylist()
+                rows, out = [], []
+                low, offsets = bytes_of(pa.array([_lowered(t) for t in texts], pa.string()))
+                data, own = bytes_of(part.column(1))
+
+                def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    begins = (raw & 0xC0) != 0x80
+                    return np.concatenate([[0], np.cumsum(begins)]), np.concatenate([[0], np.cumsum(begins.astype(np.int64) + (raw >= 0xF0))])
+
+                chars, wide = units(low)
+                row_of = np.repeat(np.arange(len(part)), np.diff(offsets))
+                for starts, size, h in candidates(low, offsets, phrases):
+                    for s, x in zip(starts.tolist(), h.view(np.int64).tolist(), strict=True):
+                        r, base = row_of[s], offsets[row_of[s]]
+                        a, b = chars[s] - chars[base], chars[s + size] - chars[base]
+                        rows.append(r)
+                        out.append(("p", x, int(wide[s] - wide[base]), int(wide[s + size] - wide[base]), low[s : s + size].tobytes(), texts[r][a:b]))
+                _, wide = units(data)
+                # A word begins at the first letter of a run of letters, apostrophes and hyphens.
+                inside = _IN_WORD[data]
+                breaks = own[1:-1][own[1:-1] < len(data)]
+                head, tail = inside.copy(), inside.copy()
+                head[1:] &= ~inside[:-1]
+                tail[:-1] &= ~inside[1:]
+                head[breaks] = inside[breaks]
+                tail[breaks[breaks > 0] - 1] = inside[breaks[breaks > 0] - 1]
+                begin, end, letters = np.flatnonzero(head), np.flatnonzero(tail) + 1, np.flatnonzero(_LETTER[data])
+                begin = np.append(letters, len(data))[np.searchsorted(letters, begin)] if len(begin) else begin
+                begin, end = begin[begin < end], end[begin < end]
+                small = _SMALL[data]
+                h = Rolling(small).of(begin, end - begin)
+                hit = known(words.value, h)
+                row_of = np.repeat(np.arange(len(part)), np.diff(own))
+                for s, e, x in zip(begin[hit].tolist(), end[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
+                    base = own[row_of[s]]
+                    rows.append(row_of[s])
+                    out.append(("w", x, int(wide[s] - wide[base]), int(wide[e] - wide[base]), small[s:e].tobytes(), data[s:e].tobytes().decode()))
+                for r, text in enumerate(texts):
+                    if "_REDACTED]" in text:
+                        for m in _ANY_TAG.finditer(text):
+                            a, b = (len(text[:k].encode("utf-16-le")) // 2 for k in m.span())
+                            rows.append(r)
+                            out.append(("t", None, a, b, None, None))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                names = ["kind", "hash", "start", "end", "found", "term"]
+                yield pa.record_batch(
+                    [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", *names]
+                )
+
+    return run
+
+
+_ANY_TAG = re.compile("|".join(re.escape(t) for t in TAGS))
+
+
+def settle(claims: list[dict]) -> list[tuple[int, int, str, str]]:
+    """Spans that hold: outside of tags, phrases from the longest on, then words. One pass over a map of what is taken."""
+    taken = bytearray(max((c["end"] for c in claims), default=0))
+
+    def take(c: dict) -> bool:
+        if taken.find(1, c["start"], c["end"]) >= 0:
+            return False
+        taken[c["start"] : c["end"]] = b"\x01" * (c["end"] - c["start"])
+        return True
+
+    for c in claims:
+        if c["kind"] == "t":
+            taken[c["start"] : c["end"]] = b"\x01" * (c["end"] - c["start"])
+    phrases, upto = [], {}
+    for c in sorted((c for c in claims if c["kind"] == "p"), key=lambda c: c["start"]):
+        # A phrase is looked for again behind its last place.
+        if c["start"] >= upto.get(c["key"], 0):
+            upto[c["key"]] = c["end"]
+            phrases.append(c)
+    phrases.sort(key=lambda c: (-len(c["key"]), c["key"], c["start"]))
+    words = sorted((c for c in claims if c["kind"] == "w"), key=lambda c: c["start"])
+    held = [c for c in (*phrases, *words) if take(c)]
+    return sorted((c["start"], c["end"], "positive" if c["valence"] > 0 else "negative", c["term"]) for c in held)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("polarity", pa.string()), ("term", pa.string())]))
+    for batch in batches:
+        spans = [[dict(zip(("start", "end", "polarity", "term"), s, strict=True)) for s in settle(c)] for c in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(spans, kind)], names=["id", "highlights"])
+
+
+def highlight_spans(
+    df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", threshold: float = 1.5, bits: int = FILTER_BITS
+) -> DataFrame:
+    """``id, highlights`` of the rows that have any, by a lexicon table (``term, valence``) of any size.
+
+    The spans are those of ``highlight_terms``; phrases of equal length are settled in the order of their text. Possible phrases and words are
+    found by their hashes and joined to the table, and the claims of a row are settled together. Texts are never moved. Of terms
+    that differ in case only the one with the largest valence counts. Ids must be unique.
+    """
+    low = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence"))
+    low = low.where(F.col("term") != "").groupBy("term").agg(F.max("valence").alias("valence"))
+    strong = F.abs("valence") >= threshold
+    spaced = F.contains("term", F.lit(" "))
+    phrases = low.where(spaced & strong)
+    words = word_forms(low.where(~spaced)).where(strong).withColumnRenamed("word", "term")
+    looked_for = prepare(phrases, "term", bits)
+    of_words = materialised(hashed_patterns(words, "term").select("pattern", "hash"), "word-forms")
+    entries = looked_for.table.join(phrases, F.col("pattern") == F.col("term")).select(F.lit("p").alias("_kind"), "hash", "pattern", "valence")
+    entries = entries.unionByName(of_words.join(words, F.col("pattern") == F.col("term")).select(F.lit("w").alias("_kind"), "hash", "pattern", "valence"))
+    entries = materialised(entries, "lexicon-entries")
+    in_tasks = df.sparkSession.sparkContext.broadcast(hash_filter(of_words.select("hash"), bits))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = df.schema[id_col].dataType.simpleString()
+    found = materialised(rows.mapInArrow(_claims(looked_for.probe, in_tasks), f"id {kind}, {_CLAIM}"), "claims")
+    joined = salted_join(found.where(F.col("kind") != "t"), entries, "hash", "id", "inner")
+    real = joined.where((F.col("kind") == F.col("_kind")) & (F.col("found") == F.col("pattern").cast("binary")))
+    tags = found.where(F.col("kind") == "t").select("id", "kind", "start", "end", "term", F.lit(None).cast("string").alias("key"), F.lit(0.0).alias("valence"))
+    claims = real.select("id", "kind", "start", "end", "term", F.col("pattern").alias("key"), "valence").unionByName(tags)
+    # The claims of a row are no more than its text has places.
+    own = claims.groupBy("id").agg(F.collect_list(F.struct("kind", "start", "end", "term", "key", "valence")).alias("claims"))
+    spans = own.mapInArrow(_settled, f"id {kind}, highlights array<struct<start:int,end:int,polarity:string,term:string>>")
+    return spans.where(F.size("highlights") > 0).withColumnRenamed("id", id_col)
+
+
 def highlight_counts(highlighted: DataFrame, highlights: str = "highlights") -> DataFrame:
     """Occurrences per term and polarity."""
     # Narrowed before the explode, so the spans are computed once per row and not once per used field.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxmill.functions.pii import PII_TAG, PROFILES, TYPES, Pass
+from voxmill.operators.patterns import occurrences, prepare
 
 # Most planted secrets one audit may look for; they are folded into the plan as literals.
 MAX_SECRETS = 1000
@@ -116,4 +117,17 @@ def leak_audit(df: DataFrame, secrets: list[str], columns: list[str]) -> DataFra
     return counts.select(F.inline(F.array(*pairs)))
 
 
-__all__ = ["Pass", "count_matches", "leak_audit", "output_guard", "pii_report", "pii_totals", "redact", "redact_names"]
+def leak_audit_table(df: DataFrame, secrets: DataFrame, columns: list[str], secret: str = "secret") -> DataFrame:
+    """``leak_audit`` for a table of secrets of any size: one row for each different secret.
+
+    Every window of the texts is probed, so the cost does not grow with the number of secrets. Columns of a row are joined by line
+    breaks, as in ``leak_audit``. Null and empty secrets are left out.
+    """
+    looked_for = prepare(secrets, secret)
+    seen = occurrences(df.select(F.concat_ws("\n", *columns).alias("text")), "text", looked_for, once=True)
+    counts = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("rows_found"))
+    all_secrets = looked_for.table.select("pattern")
+    return all_secrets.join(counts, "pattern", "left").select(F.col("pattern").alias(secret), F.coalesce("rows_found", F.lit(0)).alias("rows_found"))
+
+
+__all__ = ["Pass", "count_matches", "leak_audit", "leak_audit_table", "output_guard", "pii_report", "pii_totals", "redact", "redact_names"]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,8 @@ from voxmill.config import (
 )
 from voxmill.functions.numbers import clip_score, exact_mean, let, percent_ints
 from voxmill.functions.text import words
-from voxmill.operators.scale import salted_join
+from voxmill.operators.patterns import FILTER_BITS, hash_filter, hash_texts, hashed_patterns, known
+from voxmill.operators.scale import materialised, salted_join
 
 # The lexicon travels inside the plan, so its size is bounded.
 MAX_LEXICON = 20_000
@@ -74,14 +77,7 @@ def lexicon_score(text: Column, lexicon: Mapping[str, float]) -> Column:
     )
 
     def adjusted(hit: Column) -> Column:
-        base = F.element_at(valences, hit["word"])
-        sign = F.signum(base)
-        for distance, decay in enumerate(BOOST_DECAY, start=1):
-            before = F.get(hit["before"], F.lit(3 - distance))
-            shift = F.when(before.isin(*BOOSTERS), BOOST * decay).when(before.isin(*DAMPENERS), -BOOST * decay)
-            base = base + sign * F.coalesce(shift, F.lit(0.0))
-        negated = F.exists(hit["before"], lambda w: F.coalesce(w.isin(*NEGATIONS), F.lit(False)))
-        return F.when(negated, base * NEGATION_FACTOR).otherwise(base)
+        return adjusted_valence(F.element_at(valences, hit["word"]), hit["before"])
 
     def hits(padded: Column) -> Column:
         """Lexicon words with the three words before each; the first three entries are padding."""
@@ -95,10 +91,64 @@ def lexicon_score(text: Column, lexicon: Mapping[str, float]) -> Column:
 
     tokens = F.filter(words(text), lambda t: t != "")
     found = let(F.concat(F.array_repeat(F.lit(""), 3), tokens), hits)
-    total = F.aggregate(F.transform(found, adjusted), F.lit(0.0), lambda acc, x: acc + x)
+    return _compound(F.transform(found, adjusted))
+
+
+def adjusted_valence(base: Column, before: Column) -> Column:
+    """Valence of a hit with the three words before it: turned by a negation, shifted by boosters and dampeners."""
+    sign, value = F.signum(base), base
+    for distance, decay in enumerate(BOOST_DECAY, start=1):
+        word = F.get(before, F.lit(3 - distance))
+        shift = F.when(word.isin(*BOOSTERS), BOOST * decay).when(word.isin(*DAMPENERS), -BOOST * decay)
+        value = value + sign * F.coalesce(shift, F.lit(0.0))
+    negated = F.exists(before, lambda w: F.coalesce(w.isin(*NEGATIONS), F.lit(False)))
+    return F.when(negated, value * NEGATION_FACTOR).otherwise(value)
+
+
+def _compound(values: Column) -> Column:
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     return let(total, lambda t: clip_score(t / F.sqrt(t * t + F.lit(NORMALISER))))
 
 
+def score_lexicon_table(
+    df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", out: str = "sentiment_score", bits: int = FILTER_BITS
+) -> DataFrame:
+    """``id, score`` of every row of ``df`` by a lexicon table (``term, valence``) of any size; scores as ``lexicon_score`` gives them.
+
+    Tokens are probed in a filter of the terms and only possible hits, with the three words before them, are joined to the table.
+    Terms that hold a space are phrases and count nothing here; of terms that differ in case only the largest valence counts.
+    """
+    single = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence")).where(~F.contains("term", F.lit(" ")))
+    single = single.groupBy("term").agg(F.max("valence").alias("valence"))
+    terms = materialised(hashed_patterns(single, "term").select("hash", F.col("pattern").alias("term")).join(single, "term"), "lexicon-terms")
+    table = df.sparkSession.sparkContext.broadcast(hash_filter(terms.select("hash"), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens, starts = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            h = hash_texts(tokens)
+            # The first three tokens of a row are padding.
+            at = np.flatnonzero(known(table.value, h) & (np.arange(len(h)) >= np.repeat(starts[:-1], np.diff(starts)) + 3))
+            row = np.searchsorted(starts, at, side="right") - 1
+            before = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * 3, tokens.take(pa.array((at[:, None] + np.arange(-3, 0)).reshape(-1))))
+            yield pa.record_batch(
+                [batch.column(0).take(pa.array(row)), pa.array(at - starts[row]), tokens.take(pa.array(at)), pa.array(h[at].view(np.int64)), before],
+                names=["id", "place", "word", "hash", "before"],
+            )
+
+    tokens = F.concat(F.array_repeat(F.lit(""), 3), F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda t: t != ""))
+    kind = df.schema[id_col].dataType.simpleString()
+    found = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(run, f"id {kind}, place long, word string, hash long, before array<string>")
+    found = materialised(found, "lexicon-hits")
+    hits = salted_join(found, terms, "hash", "id", "inner").where(F.col("word") == F.col("term"))
+    values = hits.select("id", F.struct("place", adjusted_valence(F.col("valence"), F.col("before")).alias("value")).alias("hit"))
+    # A row's hits come from its own text and are added up in their order.
+    summed = values.groupBy("id").agg(_compound(F.transform(F.array_sort(F.collect_list("hit")), lambda h: h["value"])).alias(out))
+    ids = df.select(F.col(id_col).alias("id"))
+    return ids.join(summed, "id", "left").select(F.col("id").alias(id_col), F.coalesce(out, F.lit(0.0)).alias(out))
+
+
 def score_lexicon(df: DataFrame, lexicon: Mapping[str, float], text: str = "text", out: str = "sentiment_score") -> DataFrame:
     return df.withColumn(out, lexicon_score(F.col(text), lexicon))
 

@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from voxmill.plans import (  # noqa: F401
         queries_cleaning,
+        queries_lexicons,
         queries_pii,
         queries_quality,
         queries_reads,

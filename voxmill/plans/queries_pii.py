@@ -169,6 +169,26 @@ def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "secret")
 
 
+# Every document's words 3 to 6 are a secret, as are the texts of the benchmark; both are looked for in all documents and pages.
+_MANY_SECRETS = """secrets AS (SELECT array_to_string(string_split(text, ' ')[3:6], ' ') AS secret FROM documents
+    UNION SELECT text FROM benchmark UNION SELECT substr(text, 5, 9) FROM documents),
+kept AS (SELECT secret FROM secrets WHERE secret <> '')"""
+
+
+@query(
+    "leak_audit_table",
+    f"""WITH {_MANY_SECRETS}, texts AS (SELECT text FROM documents UNION ALL SELECT html FROM pages)
+    SELECT md5(secret) AS secret_md5, count(text) AS rows_found FROM kept LEFT JOIN texts ON contains(text, secret) GROUP BY secret""",
+)
+def leak_audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = (wide_texts(spark, sf_dir, t) for t in ("documents", "pages"))
+    some = F.array_join(F.slice(F.split("text", " "), 3, 4), " ")
+    secrets = docs.select(some.alias("secret")).union(docs.select(F.substring("text", 5, 9))).union(table(spark, sf_dir, "benchmark").select("text"))
+    texts = docs.select("text").unionByName(pages.select(F.col("html").alias("text")))
+    found = redaction.leak_audit_table(texts, secrets, ["text"])
+    return found.select(F.md5("secret").alias("secret_md5"), "rows_found")
+
+
 @query(
     "governance_pii",
     f"""WITH {R} SELECT count(*) FILTER (WHERE "row" % 13 = 0) AS total_redacted,

@@ -166,10 +166,11 @@ def _shift(before: str, factor: float) -> str:
     )
 
 
-def lexicon_ctes(source: str, id_col: str, lexicon: Mapping[str, float], text: str = "text") -> str:
-    """CTEs ending in ``scored(id, sentiment_score)`` for the lexicon scorer over ``source``."""
+def lexicon_ctes(source: str, id_col: str, lexicon: Mapping[str, float] | None, text: str = "text") -> str:
+    """CTEs ending in ``scored(id, sentiment_score)`` for the lexicon scorer over ``source``; without a lexicon ``lex`` stands before."""
     negated = " OR ".join(f"coalesce(p{i} IN ({_quoted(NEGATIONS)}), false)" for i in (1, 2, 3))
-    return f"""{lexicon_cte(lexicon)},
+    given = f"{lexicon_cte(lexicon)}," if lexicon is not None else ""
+    return f"""{given}
 toks AS (SELECT {id_col} AS id, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS ts
          FROM {source}),
 tok AS (SELECT id, unnest(ts) AS w, generate_subscripts(ts, 1) AS pos FROM toks),
