@@ -165,6 +165,23 @@ def test_substrings_equal_brute_force(spark, window, bits, parts):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out), key=str) == brute.substring_dedup(rows, window)
 
 
+@pytest.mark.parametrize("first", ["long", "short"])
+def test_substrings_of_rows_that_share_an_id(spark, first):
+    """Two texts under one id, or text ids: each row is a text of its own, also where the longer one repeats something."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(60)
+    long, short, other = " ".join(words(80) + passage), " ".join(words(45)), " ".join(passage + words(20))
+    rows = [(1, long), (1, short)] if first == "long" else [(1, short), (1, long)]
+    rows += [(2, other), (2, " ".join(words(200))), (None, " ".join(words(100))), (None, short + " x")]
+    want = brute.substring_dedup(rows, 35)
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = substring_dedup.dedup_substrings(df).collect()
+        named = sorted(((int(r.doc_id) if r.doc_id is not None else None, r.n_words, r.n_removed, r.text) for r in got), key=str)
+        assert named == want
+
+
 def test_substrings_of_a_hot_passage_and_extra_columns(spark):
     passage = " ".join(f"w{k}" for k in range(50))
     rows = [(i, f"own{i} start {passage} end{i}") for i in range(300)]

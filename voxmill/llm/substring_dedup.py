@@ -16,8 +16,8 @@ The filters have a fixed size (``ONCE_BITS``, ``TWICE_BITS``); beyond some hundr
 marked. Then step 3 compares up to all windows, 16 bytes each, and the result stays the same.
 
 Null and empty texts have no words and stay empty texts. All copies of a repeat go, the first included, also inside one text.
-Rows that repeat a document lose everything a window covers. A doc_id names one text: rows that share it must be
-repeats of each other; rows with a null doc_id are told apart by their text. Other columns pass through.
+Rows that repeat a document lose everything a window covers. Rows are told apart by a 64-bit hash of id and text, so ids may
+be of any type, null, or shared by different texts; each row is then a text of its own. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def dedup_substrings(
     """``docs`` with the kept words, joined by single spaces, as text, plus ``n_words`` and ``n_removed`` (in place of such columns)."""
     bound_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed")
-    keyed = docs.withColumn("__vx_id", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    keyed = docs.withColumn("__vx_id", F.xxhash64(id_col, text_col))
     runs = repeated_runs(keyed.select(F.col("__vx_id").alias("_key"), F.col(text_col).alias("_text")), window, once_bits, twice_bits)
     lists = runs.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("__vx_runs")).withColumnRenamed("id", "__vx_id")
     # The lists are far smaller than the texts: hashing them saves sorting the texts.
@@ -211,6 +211,9 @@ def dedup_substrings(
                     edges = np.zeros(len(words) + 1, dtype=np.int32)
                     own = cut.values
                     start, length = own.field(0).to_numpy(), own.field(1).to_numpy()
+                    # Of another row with the same hash, if ever; nothing outside of this text is cut.
+                    inside = start + length + window - 1 <= len(words)
+                    start, length = start[inside], length[inside]
                     np.add.at(edges, start, 1)
                     np.add.at(edges, start + length + window - 1, -1)
                     keep = np.cumsum(edges[:-1]) == 0
