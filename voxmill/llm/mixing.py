@@ -99,11 +99,10 @@ def _stops(rows: DataFrame) -> DataFrame:
     return none.join(last, "source_key", "left").select("source_key", "stop", "first")
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix",
-) -> DataFrame:
-    """``id, size, source_size, target, taken`` of every document; ``taken`` is its size times the copies it gets."""
+def _planned(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], share: float, most: int, seed: str
+) -> DataFrame:
+    """``id, source, size, source_size, target, copies`` of every row."""
     named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
     sizes = materialised(named, "sizes")
     per = materialised(targets(sizes, weights, share, most).withColumn("source_key", _key("source")), "source-targets")
@@ -119,17 +118,36 @@ def mix(
     sampled = F.coalesce(F.when(F.col("stop").isNotNull(), place <= F.col("stop")).otherwise(F.col("order_key") < F.col("first")), F.lit(False))
     copies = F.col("copies") + F.when((F.col("rest") > 0) & sampled, 1).otherwise(0)
     out = rows.join(stops, "source_key", "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return out.select("id", F.col("source_key").alias("source"), "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix",
+) -> DataFrame:
+    """``id, size, source_size, target, taken`` of every document; ``taken`` is its size times the copies it gets."""
+    plan = _planned(docs, id_col, text_col, source_col, weights, share, most, seed)
+    return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _key(source: str) -> Column:
     """Never null, so that rows without a source join like all others."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The mix itself: every document once for each copy it gets, with ``copy`` numbered from 1. Documents without words never come."""
-    plan = mix(docs, id_col, **options).where(F.col("taken") > 0)
-    copies = plan.select(F.col(id_col).alias("__vx_id"), (F.col("taken") / F.col("size")).cast("int").alias("__vx_copies")).distinct()
-    joined = docs.join(copies.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__vx_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__vx_copies")))).drop("__vx_id", "__vx_copies")
+def mixed_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: every document once for each copy it gets, with ``copy`` numbered from 1. Documents without words never come.
+
+    Copies follow from id, source and size alone, so rows that share an id but differ in one of the others get their own.
+    """
+    plan = _planned(docs, id_col, text_col, source_col, weights, share, most, seed).where((F.col("copies") > 0) & (F.col("size") > 0))
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
+    keys = ["__vx_id", "__vx_source", "__vx_size"]
+    copies = plan.select(name.alias(keys[0]), F.col("source").alias(keys[1]), F.col("size").alias(keys[2]), F.col("copies").cast("int").alias("__vx_copies"))
+    own = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    keyed = docs.withColumns({keys[0]: own, keys[1]: _key(source_col), keys[2]: size_of(text_col)})
+    joined = keyed.join(copies.distinct().hint("shuffle_hash"), keys)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__vx_copies")))).drop(*keys, "__vx_copies")
