@@ -82,6 +82,18 @@ def test_mix_edge_cases(spark):
     assert {r["taken"] for r in mixing.mix(df.where("doc_id < 3")).collect()} == {0}
 
 
+def test_mixed_rows_follow_the_plan_where_rows_share_an_id(spark):
+    """Two texts of different length, or of different sources, under each id."""
+    rows = []
+    for i in range(300):
+        rows += [(i, "w " * (20 + i % 90), "abc"[i % 3]), (i, "w " * (150 + i % 70), "abc"[i % 3]), (i, "w " * 60, "abc"[(i + 1) % 3])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = mixing.mix(df).agg(F.sum("taken")).first()[0]
+    out = mixing.mixed_rows(df)
+    assert out.agg(F.sum(mixing.size_of("text"))).first()[0] == plan
+    assert out.groupBy("doc_id", "source", "text").count().agg(F.max("count")).first()[0] <= 2
+
+
 # ---------------------------------------------------------------- decontamination
 def _leaky(seed=2):
     rng = random.Random(seed)
@@ -141,6 +153,49 @@ def test_decontamination_edge_cases(spark):
     assert decontamination.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def _paraphrases(replaced, seed):
+    """60 items, 300 invented texts, 60 of which hold an item with a share of its words replaced, anywhere; in order at least half stay."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2500)]
+    common = ["the", "of", "and", "in", "to"]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(words) for _ in range(n)]
+    items = [text(rng.randint(25, 60)) for _ in range(60)]
+    rows, truth = [], set()
+    for i in range(300):
+        body = text(rng.randint(20, 200))
+        if i % 5 == 0:
+            item = items[i // 5]
+            gone = set(rng.sample(range(len(item)), int(replaced * len(item))))
+            body[len(body) // 2 : len(body) // 2] = [rng.choice(words) if n in gone else w for n, w in enumerate(item)]
+            truth.add((i, i // 5))
+        rows.append((i, " ".join(body)))
+    return rows, [(k, " ".join(w)) for k, w in enumerate(items)], truth
+
+
+@pytest.mark.parametrize("replaced", [0.15, 0.25, 0.35, 0.45])
+def test_recall_of_paraphrases(spark, replaced):
+    rows, items, truth = _paraphrases(replaced, int(100 * replaced))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r)[:2] for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & truth) >= 0.9 * len(truth), len(got & truth) / len(truth)
+    assert got <= truth
+
+
+def test_heaviest_subsequence():
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        weight = [rng.random() for _ in a]
+        table = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + weight[i] if x == y else 0)
+        got = decontamination.heaviest_subsequence(np.array(a, dtype=np.uint64), np.array(weight), np.array(b, dtype=np.uint64))
+        assert got == pytest.approx(table[-1][-1])
+
+
 def test_common_subsequence():
     import numpy as np
 

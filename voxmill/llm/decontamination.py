@@ -12,8 +12,9 @@ starting every half passage; items longer than ``CHUNK`` words are several queri
 3. A third pass projects every passage and takes as candidates the queries with a cosine of ``COSINE`` of which the passage holds at
    least ``COVERAGE`` of the latent weight.
 4. Candidates are checked on the words around them in the same task: the longest common subsequence must hold ``SURE`` of the query's
-   words, or ``LIKELY`` of them and of its terms together with the answer, that is three quarters of the answer's words in order. An
-   item without an answer column has its last ``ANSWER`` words as answer.
+   words; or ``LIKELY`` of them, while the heaviest common subsequence, in which a word weighs the logarithm of its rarity in the corpus, holds
+   ``HEAVY`` of the query's weight: common words meet in order by chance, rare ones do not. If the benchmark has an answer column, such a
+   paraphrase must hold three quarters of the answer's words in order as well.
 
 The benchmark is the stated query set: it is walked in blocks of ``BLOCK`` queries, each of which is sent to the
 executors; the corpus is never collected, joined or shuffled.
@@ -48,17 +49,18 @@ COSINE = 0.3
 COVERAGE = 0.15
 SURE = 0.8
 LIKELY = 0.5
-ANSWER = 8
+HEAVY = 0.35
 ITEM_WEIGHT = 10.0
 
 
 @dataclass
 class Query:
-    """One chunk of a benchmark item: word hashes, and those of its answer."""
+    """One chunk of a benchmark item: word hashes, those of its answer if there is one, and the words' rarity in the corpus."""
 
     item: int
     words: np.ndarray
     answer: np.ndarray
+    rarity: np.ndarray | None = None
 
 
 def _words(text: str) -> np.ndarray:
@@ -70,11 +72,10 @@ def queries(rows: list[tuple[int, str, str | None]]) -> list[Query]:
     out = []
     for item, text, answer in rows:
         words = _words(text)
-        last = _words(answer) if answer else words[-ANSWER:]
+        last = _words(answer or "")
         cuts = list(range(0, max(1, len(words) - CHUNK // 4), CHUNK))
         for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
-            # The answer belongs to the end of the item; earlier chunks are checked by their own last words.
-            out.append(Query(item, words[a:b], last if answer or b == len(words) else words[b - ANSWER : b]))
+            out.append(Query(item, words[a:b], last))
     return [q for q in out if len(q.words)]
 
 
@@ -228,6 +229,15 @@ def common_subsequence(query: np.ndarray, words: np.ndarray) -> int:
     return len(query) - row.bit_count()
 
 
+def heaviest_subsequence(query: np.ndarray, weights: np.ndarray, words: np.ndarray) -> float:
+    """Weight of the heaviest common subsequence, a word of the text at a time."""
+    best = np.zeros(len(query) + 1)
+    for w in words[np.isin(words, query)]:
+        best[1:] = np.maximum(best[1:], best[:-1] + np.where(query == w, weights, -np.inf))
+        best = np.maximum.accumulate(best)
+    return float(best[-1])
+
+
 @dataclass
 class Finder:
     """All that a task needs to find the queries of one block in a batch of texts."""
@@ -241,10 +251,9 @@ class Finder:
         share = common_subsequence(q.words, words) / len(q.words)
         if share >= SURE:
             return share
-        if share >= LIKELY and common_subsequence(q.answer, words) >= 0.75 * len(q.answer):
-            # Common words meet in order by chance, so the rare ones have to be there as well.
-            rare = q.words[self.vocabulary.find(q.words)[0]]
-            if common_subsequence(rare, words) >= LIKELY * len(rare):
+        if share >= LIKELY and heaviest_subsequence(q.words, q.rarity, words) >= HEAVY * q.rarity.sum():
+            # Without an answer there is nothing more to ask for.
+            if common_subsequence(q.answer, words) >= 0.75 * len(q.answer):
                 return share
         return None
 
@@ -300,6 +309,8 @@ def finder(docs: DataFrame, block: list[Query]) -> Finder:
         _, number = vocabulary.find(q.words)
         np.add.at(items[i], number, 1)
     items *= weights
+    for q in block:
+        q.rarity = np.log((halves + 2) / (counts[np.searchsorted(everything.words, q.words)] + 1)).clip(min=1e-3)
     space = latent_space(gram(docs, vocabulary), weights, items)
     return Finder(block, vocabulary, weights[:, None] * space, items @ space)
 
