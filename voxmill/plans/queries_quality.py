@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.config import CATEGORIES
-from voxmill.operators import drift, validation
+from voxmill.operators import drift, drift_sketches, validation
 from voxmill.operators.features import as_vector
+from voxmill.operators.scale import scratch_path
 from voxmill.operators.sentiment import label_sentiment, score_lexicon
 from voxmill.operators.themes import classify_keywords
 from voxmill.plans.catalog import query
@@ -131,3 +132,37 @@ def psi_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = drift.psi(lengths("documents"), lengths("conversations"), "chars")
     return index.select(F.round("psi", 4).alias("psi"), drift.drift_status(F.col("psi")).alias("status"))
+
+
+# Days are batches; the first ten are the baseline, and every later ISO week is a window.
+_WINDOWED = """obs AS (SELECT value AS v, CAST(ts AS DATE) < DATE '2024-01-11' AS base, date_trunc('week', CAST(ts AS DATE)) AS week FROM events),
+edges AS (SELECT list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM obs WHERE base),
+binned AS (SELECT base, week, len(list_filter(e[2:-2], lambda t: v >= t)) AS bin FROM obs, edges),
+per AS (SELECT bin, count(*) / sum(count(*)) OVER () AS e FROM binned WHERE base GROUP BY bin),
+axis AS (SELECT bin, week, n FROM per, (SELECT week, count(*) AS n FROM binned WHERE NOT base GROUP BY week)),
+shares AS (SELECT axis.week, any_value(axis.n) AS n, axis.bin, greatest(any_value(per.e), 1e-4) AS e, greatest(count(b.bin) / any_value(axis.n), 1e-4) AS a
+    FROM axis JOIN per USING (bin) LEFT JOIN binned b ON NOT b.base AND b.bin = axis.bin AND b.week = axis.week GROUP BY axis.week, axis.bin)"""
+
+
+@query(
+    "drift_windows",
+    f"""WITH {_WINDOWED} SELECT CAST(week AS DATE) AS week, any_value(n) AS n, round(sum((a - e) * ln(a / e)), 6) AS psi, true AS within
+    FROM shares GROUP BY week""",
+)
+def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly drift from stored daily sketches beside the exact index, and whether the sketches' stays within its stated error."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), F.col("value").alias("v"))
+    path = scratch_path(spark, "sketches")
+    drift_sketches.save_sketches(drift_sketches.sketch(rows, "v", ["day"]), path, "day")
+    stored = drift_sketches.stored_sketches(spark, path, "sketch binary, day date")
+    is_base = F.col("day") < F.lit("2024-01-11").cast("date")
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    current = drift_sketches.merge(stored.where(~is_base).select("sketch", week), ["week"])
+    found = drift_sketches.psi_from_sketches(drift_sketches.merge(stored.where(is_base)), current, ["week"])
+    exact = None
+    later = rows.where(~is_base).select("v", week)
+    for r in later.select("week").distinct().orderBy("week").collect():  # a row a week
+        one = drift.psi(rows.where(is_base), later.where(F.col("week") == r["week"]), "v").select(F.lit(r["week"]).alias("week"), F.col("psi").alias("exact"))
+        exact = one if exact is None else exact.unionByName(one)
+    both = found.join(exact, "week")
+    return both.select("week", "n", F.round("exact", 6).alias("psi"), (F.abs(F.col("psi") - F.col("exact")) <= F.col("psi_error")).alias("within"))
