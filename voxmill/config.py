@@ -156,6 +156,16 @@ RUNS = _schema(
     ("rows_per_second", T.DoubleType()),
 )
 
+PARTIALS = _schema(
+    ("job_id", T.StringType()),
+    ("date", T.DateType()),
+    ("theme_id", T.StringType()),
+    ("sentiment_label", T.StringType()),
+    ("reviews", T.LongType()),
+    ("scored", T.LongType()),
+    ("score_sum", T.DecimalType(28, 4)),
+)
+
 AUDIT = _schema(
     ("job_id", T.StringType()),
     ("seq", T.LongType()),

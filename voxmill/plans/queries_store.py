@@ -7,20 +7,28 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.config import Config
+from voxmill.config import CATEGORIES, Config
 from voxmill.functions.pii import TYPES
-from voxmill.operators import cleaning, redaction, sentiment
+from voxmill.operators import cleaning, redaction, sentiment, validation
 from voxmill.operators import runs as run_ops
+from voxmill.operators.drift import drift_report, publish_baseline
 from voxmill.operators.scale import materialised, scratch_path
 from voxmill.plans.catalog import query
 from voxmill.plans.engine import Analysis, AnalysisEngine, result_row
-from voxmill.plans.queries_reads import _ORDERS, _PRIORITY, review_themes
+from voxmill.plans.queries_quality import _DRIFT, _PAIRS, _SIMILAR, _STATUS, _cohorts, _pairs, _psi_ctes
+from voxmill.plans.queries_reads import _ORDERS, _PRIORITY, _trend, review_themes
+from voxmill.plans.queries_sentiment import PERCENT
 from voxmill.plans.queries_streams import write_csv
 from voxmill.plans.serving import RunReader
 from voxmill.plans.views import NOW, THEMES, R, U, reviews, table, uploads
 from voxmill.sources.reviews import read_reviews
 from voxmill.sources.tables import ResultStore
 
+# What validation and drift show: accuracy over the labelled documents, and the index of the second cohort of vectors.
+_CHECKED = f"""{_PAIRS}, {_DRIFT}, {_psi_ctes(_SIMILAR)},
+    checked AS (SELECT (SELECT concat(printf('%.1f', avg(CAST(predicted = gold AS INTEGER)) * 100), '%') FROM pairs) AS accuracy,
+      (SELECT count(*) FROM pairs) AS pairs_n, (SELECT count(*) FROM embeddings WHERE label < 5) AS base_n, psi, {_STATUS} AS status,
+      concat({_STATUS}, printf(' (%.2f)', psi)) AS moved FROM idx)"""
 _STRIPPED = "regexp_replace(review_text, '^\\s+|\\s+$', '', 'g')"
 _SAMPLES = 5
 
@@ -50,8 +58,18 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _analysis(spark: SparkSession, sf_dir: str, masked: DataFrame) -> Analysis:
     """The review view as an analysed batch, so that every figure of the stored run is known."""
     pii = redaction.pii_totals(masked)
+    # The documents' labels check the scorer, and one cohort of vectors is the baseline of the other.
+    checked = validation.validation_report(_pairs(spark, sf_dir), CATEGORIES)
+    base, current = _cohorts(spark, sf_dir)
+    baseline = scratch_path(spark, "baseline")
+    publish_baseline(base, baseline, "embeddings")
+    moved = drift_report(spark, current, baseline, "embeddings")
     summary = sentiment.with_percent(sentiment.summarize_sentiment(masked)).withColumns(
-        {"pii_redacted_count": F.lit(pii.first()["total"]), "model_validation_accuracy": F.lit(None).cast("string"), "drift_status": F.lit(None).cast("string")}
+        {
+            "pii_redacted_count": F.lit(pii.first()["total"]),
+            "model_validation_accuracy": F.lit(checked.first()["display"]),
+            "drift_status": F.lit(moved.first()["display"]),
+        }
     )
     return Analysis(
         reviews=masked,
@@ -61,8 +79,8 @@ def _analysis(spark: SparkSession, sf_dir: str, masked: DataFrame) -> Analysis:
         pii=pii,
         quality=cleaning.data_quality(uploads(spark, sf_dir)),
         profile=cleaning.batch_profile(masked),
-        drift=None,
-        validation=None,
+        drift=moved,
+        validation=checked,
         backends=AnalysisEngine().info(),
     )
 
@@ -85,15 +103,16 @@ def _store(spark: SparkSession, sf_dir: str) -> ResultStore:
     "summary_job",
     f"""WITH {R}, {THEMES}, s AS (SELECT count(*) AS total_reviews, count(*) FILTER (WHERE "row" % 13 = 0) AS pii_redacted_count,
       round((count(*) FILTER (WHERE sentiment_label = 'Positive')
-             - count(*) FILTER (WHERE sentiment_label NOT IN ('Positive', 'Neutral'))) * 100.0e0 / count(*), 1) AS net_sentiment_score FROM r)
+             - count(*) FILTER (WHERE sentiment_label NOT IN ('Positive', 'Neutral'))) * 100.0e0 / count(*), 1) AS net_sentiment_score FROM r),
+    {_CHECKED}
     SELECT theme_id, count, row_number() OVER (ORDER BY count * greatest(0e0, -sentiment_score) DESC, count DESC, theme_id) AS rank,
-      least(count, {_SAMPLES}) AS samples, s.* FROM themes, s""",
+      least(count, {_SAMPLES}) AS samples, s.*, accuracy AS model_validation_accuracy, moved AS drift_status FROM themes, s, checked""",
 )
 def summary_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = RunReader(_store(spark, sf_dir)).summary("run-1")
     return shown.select(
         "theme_id", "count", "rank", F.size("sample_verbatims").alias("samples"),
-        *[F.col(f"summary.{c}").alias(c) for c in ("total_reviews", "pii_redacted_count", "net_sentiment_score")],
+        *[F.col(f"summary.{c}").alias(c) for c in ("total_reviews", "pii_redacted_count", "net_sentiment_score", "model_validation_accuracy", "drift_status")],
     )
 
 
@@ -137,10 +156,11 @@ def verbatim_page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "governance_job",
-    f"""WITH {R} SELECT count(*) FILTER (WHERE "row" % 13 = 0) AS total_redacted,
+    f"""WITH {R}, {_CHECKED} SELECT count(*) FILTER (WHERE "row" % 13 = 0) AS total_redacted,
       count(*) FILTER (WHERE "row" % 13 = 0 AND "row" % 4 = 0) AS email,
       count(*) FILTER (WHERE "row" % 13 = 0 AND "row" % 4 = 1) AS credit_card, (SELECT count(*) FROM events) AS rows_received,
-      'JOB_STARTED,JOB_COMPLETED' AS trail FROM r""",
+      any_value(accuracy) AS accuracy, any_value(pairs_n) AS pairs_n, any_value(status) AS drift_status, any_value(round(psi, 4)) AS psi,
+      any_value(base_n) AS baseline_size, 'file:default' AS baseline_source, 'JOB_STARTED,JOB_COMPLETED' AS trail FROM r, checked""",
 )
 def governance_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     row, trail = RunReader(_store(spark, sf_dir)).governance("run-1")
@@ -149,6 +169,12 @@ def governance_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pii.total_redacted").alias("total_redacted"),
         *[F.col("pii.by_type")[k].alias(k) for k in TYPES if k in ("email", "credit_card")],
         F.col("data_quality.rows_received").alias("rows_received"),
+        F.col("validation.validation.display").alias("accuracy"),
+        F.col("validation.validation.n").alias("pairs_n"),
+        F.col("drift.status").alias("drift_status"),
+        F.col("drift.psi").alias("psi"),
+        F.col("drift.baseline_size").alias("baseline_size"),
+        F.col("drift.baseline_source").alias("baseline_source"),
         F.lit(events).alias("trail"),
     )
 
@@ -221,3 +247,49 @@ def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = everything.select("job_id", F.col("status").alias("_status"))
     found = left.join(kept, "job_id", "left").join(events, "job_id", "left").join(old, "job_id")
     return found.select("job_id", F.coalesce("status", "_status").alias("status"), F.coalesce("reviews", F.lit(0)).alias("reviews"), "event")
+
+
+# ---------------------------------------------------------------- kept aggregates
+_LEFT = '"row" % 6 NOT IN (2, 3)'
+
+
+def _many_runs(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """The reviews as six runs, one of which is deleted, one purged and one written twice."""
+    rows = reviews(spark, sf_dir).withColumn("job_id", F.concat(F.lit("run-"), F.col("row") % 6))
+    rows = materialised(rows, "rows")
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    now = datetime.fromisoformat(NOW)
+    none = spark.createDataFrame([], "job_id string, theme_id string")
+    ids = [f"run-{i}" for i in range(6)]
+    runs = spark.createDataFrame([(j, "COMPLETED", now) for j in ids], "job_id string, status string, created_at timestamp")
+    store.write_results(rows, none, runs.select("job_id", "status"), runs)
+    again = F.col("job_id") == "run-5"
+    store.write_results(rows.where(again), none, runs.where(again).select("job_id", "status"), runs.where(again))
+    store.delete_run("run-2", now)
+    store.purge(runs.where(F.col("job_id") == "run-3"), now)
+    store.put_run(spark.createDataFrame([("run-9", "PROCESSING")], "job_id string, status string"))
+    return store
+
+
+@query(
+    "kept_trends",
+    f"""WITH {R}, kept AS (SELECT * FROM r WHERE {_LEFT}), {_trend('kept', 'weekly')}, themed AS (SELECT * FROM kept WHERE theme_id = 'view'),
+    other AS (WITH {_trend('themed', 'weekly')} SELECT * FROM trend)
+    SELECT 'all' AS theme, * FROM trend UNION ALL SELECT 'view', * FROM other""",
+)
+def kept_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends over many runs from their kept aggregates, after deletions."""
+    reader = RunReader(_many_runs(spark, sf_dir))
+    whole, view = reader.trends_of_runs("weekly"), reader.trends_of_runs("weekly", "view")
+    return whole.withColumn("theme", F.lit("all")).unionByName(view.withColumn("theme", F.lit("view")))
+
+
+@query(
+    "kept_breakdown",
+    f"""WITH {R.replace('FROM events', 'FROM events WHERE event_id % 6 NOT IN (2, 3)')}, {PERCENT},
+    c AS (SELECT count(*) FILTER (WHERE sentiment_label = 'Positive') AS positive, count(*) FILTER (WHERE sentiment_label = 'Neutral') AS neutral,
+      count(*) FILTER (WHERE sentiment_label = 'Negative') AS negative, count(*) FILTER (WHERE sentiment_label = 'Strongly Negative') AS strongly_negative,
+      count(*) AS total_reviews FROM r) SELECT * FROM shares, c""",
+)
+def kept_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RunReader(_many_runs(spark, sf_dir)).breakdown_of_runs()

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxmill.config import CATEGORIES, Config
+from voxmill.config import CATEGORIES, DEFAULT_LEXICON, Config
 from voxmill.operators import themes
 from voxmill.operators.density import Density, density_cluster
 from voxmill.operators.features import as_vector, centroids, hashed_tf, similarity_to_centroid
-from voxmill.operators.scale import materialised
+from voxmill.operators.drift import publish_baseline
+from voxmill.operators.scale import materialised, scratch_path, spread
 from voxmill.plans.catalog import query
 from voxmill.plans.engine import AnalysisEngine
+from voxmill.plans.queries_pii import _REDACTED
 from voxmill.plans.queries_reads import review_themes
-from voxmill.plans.views import MEAN, STOPWORDS, THEMES, R, reviews, table, uploads, wide_texts
+from voxmill.plans.queries_sentiment import PERCENT
+from voxmill.plans.views import LABEL_OF, MEAN, STOPWORDS, THEMES, R, lexicon_ctes, reviews, table, uploads, wide_texts
 
 _W = "\\p{L}\\p{N}_"
 
@@ -303,11 +306,30 @@ def full_run_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.themes
 
 
+_SOURCE = R.replace("r AS (", "src AS (", 1)
+_GOLD_LABEL = "CASE WHEN {0} % 5 >= 3 THEN 'Positive' WHEN {0} % 5 = 0 THEN 'Negative' ELSE 'Neutral' END"
+
+
 @query(
     "full_run_summary",
-    f"""WITH {R} SELECT count(*) AS total_reviews, count(*) FILTER (WHERE "row" % 13 = 0) AS pii_redacted_count
-    FROM r WHERE "row" % 17 <> 0""",
+    f"""WITH {_SOURCE}, {_REDACTED.replace("FROM r)", "FROM src)")}, clean AS (SELECT "row", text, entities FROM red WHERE "row" % 17 <> 0),
+    {lexicon_ctes('clean', '"row"', DEFAULT_LEXICON)}, r AS (SELECT id, sentiment_score, {LABEL_OF.format('sentiment_score')} AS sentiment_label FROM scored),
+    {PERCENT}, means AS (SELECT round({MEAN}, 4) AS mean_score FROM r),
+    checked AS (WITH {lexicon_ctes('src', '"row"', DEFAULT_LEXICON)}
+      SELECT avg(CAST(replace({LABEL_OF.format('sentiment_score')}, 'Strongly ', '') = {_GOLD_LABEL.format('id')} AS INTEGER)) AS s FROM scored)
+    SELECT total AS total_reviews, positive, neutral, negative, mean_score, positive_pct, neutral_pct, negative_pct,
+      round((positive - negative) * 100.0e0 / total, 1) AS net_sentiment_score,
+      CASE WHEN (positive - negative) * 100.0e0 / total <= -10 THEN 'Negative Trend'
+           WHEN (positive - negative) * 100.0e0 / total >= 10 THEN 'Positive Trend' ELSE 'Mixed Trend' END AS overall_sentiment,
+      (SELECT CAST(sum(entities) AS BIGINT) FROM clean) AS pii_redacted_count,
+      (SELECT concat(printf('%.1f', s * 100), '%') FROM checked) AS model_validation_accuracy, 'Low (0.00)' AS drift_status
+    FROM cnt, shares, means""",
 )
 def full_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = AnalysisEngine(Config()).run(uploads(spark, sf_dir))
-    return done.summary.select("total_reviews", "pii_redacted_count")
+    """All figures of a full run with labelled rows and a baseline, which an earlier run over the same batch has left."""
+    raw, engine, baseline = uploads(spark, sf_dir), AnalysisEngine(Config()), scratch_path(spark, "baseline")
+    rows = reviews(spark, sf_dir, wide=True)
+    labelled = rows.select("text", F.expr(_GOLD_LABEL.format("row")).alias("sentiment"), F.lit("Unknown").alias("category"))
+    first = spread(materialised(engine.prepare(spread(raw)), "ready"))
+    publish_baseline(materialised(hashed_tf(first), "embedded"), baseline, engine.info()["embeddings"])
+    return engine.run(raw, baseline, labelled).summary

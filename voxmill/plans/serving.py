@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from voxmill.functions.pii import TAGS, TYPES
 from voxmill.operators import analytics, redaction
 from voxmill.operators.governance import CAVEAT
 from voxmill.operators.highlight import highlight_terms
+from voxmill.operators.partials import breakdown_of_partials, trends_of_partials
 from voxmill.operators.runs import audit_trail
 from voxmill.operators.themes import class_facets
 from voxmill.sources.tables import ResultStore
@@ -66,11 +68,19 @@ class RunReader:
         return header | {"total": total, "total_pages": max(1, math.ceil(total / limit))}, shown
 
     def trends(self, job_id: str, interval: str, theme_id: str | None = None) -> DataFrame:
-        """Trend of the run or of one theme; NO_DATE_DATA when no review has a date, THEME_NOT_FOUND for an unknown theme."""
+        """Trend of the run or of one theme, from its kept aggregates; NO_DATE_DATA when no review has a date, THEME_NOT_FOUND for an unknown theme."""
         run = self.store.read_results(job_id)
         if theme_id is not None:
             self._theme(run["themes"], theme_id)
-        return analytics.trends(run["reviews"], interval, theme_id, self.cfg, require_dates=True)
+        return trends_of_partials(self.store.partials(job_id), interval, theme_id, self.cfg, require_dates=True)
+
+    def trends_of_runs(self, interval: str, theme_id: str | None = None, job_ids: Sequence[str] = ()) -> DataFrame:
+        """Trend over all completed runs, or those named, from their kept aggregates."""
+        return trends_of_partials(self.store.partials(*job_ids), interval, theme_id, self.cfg)
+
+    def breakdown_of_runs(self, job_ids: Sequence[str] = ()) -> DataFrame:
+        """Breakdown over all completed runs, or those named, from their kept aggregates."""
+        return breakdown_of_partials(self.store.partials(*job_ids))
 
     def governance(self, job_id: str) -> tuple[DataFrame, DataFrame]:
         """(one nested row, audit trail) from what the run has stored about itself."""

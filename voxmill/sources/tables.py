@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxmill.config import AUDIT, RUNS, SCORED, THEMES
+from voxmill.config import AUDIT, PARTIALS, RUNS, SCORED, THEMES
 from voxmill.errors import ContractMismatch, NotFound
+from voxmill.operators.partials import partials_of
 
-RESULT_TABLES = ("reviews_scored", "themes", "job_results", "runs")
+RESULT_TABLES = ("reviews_scored", "partials", "themes", "job_results", "runs")
 # Ids name folders, so they hold nothing that Spark would escape or a path would read otherwise.
 _JOB_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
 # Audit event names.
@@ -89,6 +90,8 @@ class ResultStore:
             self._remove(job_id, ("runs",))
         try:
             self._replace(conform(reviews, SCORED), "reviews_scored")
+            # From what was just written, so that the reviews are not made again.
+            self._replace(conform(partials_of(self._table("reviews_scored", SCORED).where(F.col("job_id").isin(ids))), PARTIALS), "partials")
             self._replace(conform(themes, THEMES), "themes")
             self._replace(result, "job_results")
         except Exception:
@@ -126,6 +129,13 @@ class ResultStore:
     def audit(self) -> DataFrame:
         return self._table("audit_events", AUDIT)
 
+    def partials(self, *job_ids: str) -> DataFrame:
+        """Kept aggregates of completed runs, of all or of those named."""
+        done = self.runs().where(F.col("status") == "COMPLETED").select("job_id")
+        kept = self._table("partials", PARTIALS)
+        chosen = kept.where(F.col("job_id").isin(*[require_job_id(j) for j in job_ids])) if job_ids else kept
+        return chosen.join(done, "job_id", "left_semi")
+
     def require_run(self, job_id: str) -> DataFrame:
         run = self.runs().where(F.col("job_id") == require_job_id(job_id))
         if run.isEmpty():
