@@ -153,6 +153,36 @@ def output_guard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.output_guard(stored)[1]
 
 
+@query(
+    "output_guard_hits",
+    f"""WITH {R} SELECT count(*) FILTER (WHERE "row" % 13 = 0) AS guard_hits, count(*) AS "rows" FROM r""",
+)
+def output_guard_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard over texts that nobody has redacted: it changes every one that holds a secret."""
+    return redaction.output_guard(reviews(spark, sf_dir, wide=True).select("row", "text"))[1]
+
+
+# A social security number, an IPv6 address, or neither, made of the event's number; every fourth number is one that is never given out.
+_RARE = """CASE event_id % 3
+    WHEN 0 THEN concat('My number is ', CASE WHEN event_id % 4 = 0 THEN '666' ELSE CAST(100 + event_id % 500 AS STRING) END, '-',
+        lpad(CAST(1 + event_id % 99 AS STRING), 2, '0'), '-', lpad(CAST(event_id % 10000 AS STRING), 4, '0'), ' or so.')
+    WHEN 1 THEN concat('Seen at 2001:db8:a', CAST(event_id % 900 AS STRING), ':b:c:d:e:f', CAST(event_id % 7 AS STRING), ' twice.')
+    ELSE 'Nothing of that kind at 12:30:45.' END"""
+
+
+@query(
+    "pii_rare",
+    f"""WITH x AS (SELECT event_id, {_RARE} AS text FROM events)
+    SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN 'My number is [PII_REDACTED] or so.'
+        WHEN event_id % 3 = 1 THEN 'Seen at [PII_REDACTED] twice.' ELSE text END AS text,
+      CAST(event_id % 3 = 0 AND event_id % 4 <> 0 AS BIGINT) AS ssn, CAST(event_id % 3 = 1 AS BIGINT) AS ip_address FROM x""".replace("STRING", "VARCHAR"),
+)
+def pii_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "events").select("event_id", F.expr(_RARE).alias("text"))
+    masked = redaction.redact(texts)
+    return masked.select("event_id", "text", F.col("pii_ssn").alias("ssn"), F.col("pii_ip_address").alias("ip_address"))
+
+
 _SECRETS = ["4111 1111 1111 1111", "@mail.example.com", "415-555-", "10.20."]
 
 
