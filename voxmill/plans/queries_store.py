@@ -20,7 +20,7 @@ from voxmill.plans.queries_reads import _ORDERS, _PRIORITY, _trend, review_theme
 from voxmill.plans.queries_sentiment import PERCENT
 from voxmill.plans.queries_streams import write_csv
 from voxmill.plans.serving import RunReader
-from voxmill.plans.views import NOW, THEMES, R, U, reviews, table, uploads
+from voxmill.plans.views import MEAN, NOW, THEMES, R, U, reviews, table, uploads
 from voxmill.sources.reviews import read_reviews
 from voxmill.sources.tables import ResultStore
 
@@ -249,6 +249,30 @@ def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", F.coalesce("status", "_status").alias("status"), F.coalesce("reviews", F.lit(0)).alias("reviews"), "event")
 
 
+# ---------------------------------------------------------------- export
+@query(
+    "export_document",
+    f"""WITH {R}, {THEMES}, {_CHECKED} SELECT (SELECT count(*) FROM r) AS total_reviews, (SELECT count(*) FROM themes) AS themes_total,
+      (SELECT arg_max(theme_id, count) FROM themes) AS largest, (SELECT round({MEAN}, 4) FROM r) AS mean_polarity,
+      (SELECT count(*) FROM r WHERE "row" % 13 = 0) AS entities, accuracy, moved AS drift, (SELECT CAST(min(date) AS VARCHAR) FROM r) AS date_start,
+      (SELECT CAST(max(date) AS VARCHAR) FROM r) AS date_end, (SELECT round(avg(rating), 2) FROM r) AS average_rating, 'kmeans' AS tier2,
+      (SELECT count(*) FROM r) AS reviews_written FROM checked""",
+)
+def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored run written as JSON and read back: summary, themes, the meta block and the reviews beside them."""
+    path = scratch_path(spark, "export")
+    RunReader(_store(spark, sf_dir)).export("run-1", path)
+    document, written = spark.read.json(f"{path}/document"), spark.read.json(f"{path}/reviews").count()
+    return document.select(
+        "total_reviews", F.col("meta.themes_total").alias("themes_total"),
+        F.element_at(F.array_sort("themes", lambda a, b: F.when(a["count"] < b["count"], 1).when(a["count"] > b["count"], -1).otherwise(0)), 1)["theme_id"].alias("largest"),
+        F.col("meta.mean_polarity").alias("mean_polarity"), F.col("meta.pii_breakdown.total").alias("entities"),
+        F.col("meta.validation.display").alias("accuracy"), F.col("meta.drift.display").alias("drift"),
+        F.col("meta.date_range.start").alias("date_start"), F.col("meta.date_range.end").alias("date_end"),
+        F.col("meta.average_rating").alias("average_rating"), F.col("meta.backends.tier2").alias("tier2"), F.lit(written).cast("long").alias("reviews_written"),
+    )
+
+
 # ---------------------------------------------------------------- kept aggregates
 _LEFT = '"row" % 6 NOT IN (2, 3)'
 

@@ -17,7 +17,7 @@ from voxmill.operators.highlight import highlight_terms
 from voxmill.operators.partials import breakdown_of_partials, trends_of_partials
 from voxmill.operators.runs import audit_trail
 from voxmill.operators.themes import class_facets
-from voxmill.sources.tables import ResultStore
+from voxmill.sources.tables import ResultStore, export_json
 
 
 class RunReader:
@@ -82,6 +82,38 @@ class RunReader:
         """Breakdown over all completed runs, or those named, from their kept aggregates."""
         return breakdown_of_partials(self.store.partials(*job_ids))
 
+    def meta(self, job_id: str) -> DataFrame:
+        """One row about how a run came to its results: back-ends, reports, date range, counts of themes, seconds and warnings."""
+        run = self.store.read_results(job_id)
+        row, have = run["result"], set(run["result"].columns)
+        head = run["run"].select("started_at", "finished_at", "warnings").first()
+        seconds = (head["finished_at"] - head["started_at"]).total_seconds() if head["finished_at"] and head["started_at"] else None
+        stored = run["themes"].count()
+        none = F.lit(None)
+        return row.select(
+            "backends",
+            (F.col("mean_score") if "mean_score" in have else none.cast("double")).alias("mean_polarity"),
+            F.col("pii").alias("pii_breakdown"),
+            "validation",
+            "drift",
+            F.struct(F.col("profile.date_start").alias("start"), F.col("profile.date_end").alias("end")).alias("date_range"),
+            F.col("profile.average_rating").alias("average_rating"),
+            F.lit(stored).cast("long").alias("themes_total"),
+            F.lit(min(stored, self.cfg.max_themes)).cast("long").alias("themes_returned"),
+            F.lit(seconds).cast("double").alias("seconds"),
+            F.lit(head["warnings"] or []).cast("array<string>").alias("warnings"),
+        )
+
+    def export(self, job_id: str, path: str, reviews: bool = True) -> None:
+        """Write a run as JSON lines: its summary, its themes by rank and its ``meta`` block; its reviews next to them."""
+        run = self.store.read_results(job_id)
+        listed = analytics.list_themes(run["themes"].drop("job_id"), run["run"].first()["rows_analyzed"] or 0)
+        listed = listed.limit(self.cfg.max_themes).withColumnRenamed("rank", "position")
+        blocks = ["breakdown", "pii", "data_quality", "profile", "validation", "drift", "backends", "job_id"]
+        shown = run["result"].drop(*[b for b in blocks if b != "breakdown"]).withColumnRenamed("breakdown", "sentiment_breakdown")
+        guarded = redaction.output_guard(run["reviews"], profile=self.cfg.redaction_profile)[0].drop("guard_hit") if reviews else None
+        export_json(shown, listed, path, guarded, self.meta(job_id))
+
     def governance(self, job_id: str) -> tuple[DataFrame, DataFrame]:
         """(one nested row, audit trail) from what the run has stored about itself."""
         result = self.store.read_results(job_id)["result"]

@@ -197,8 +197,8 @@ class ResultStore:
         return len(rows)
 
 
-def export_json(summary: DataFrame, themes: DataFrame, path: str, reviews: DataFrame | None = None) -> None:
-    """JSON lines: ``document`` holds the summary row with its (capped) themes, ``reviews`` the rows.
+def export_json(summary: DataFrame, themes: DataFrame, path: str, reviews: DataFrame | None = None, meta: DataFrame | None = None) -> None:
+    """JSON lines: ``document`` holds the summary row with its (capped) themes and, if given, the one row of ``meta``; ``reviews`` the rows.
 
     Reviews can be any number, so they are files of their own next to the document, not one array.
     """
@@ -206,8 +206,12 @@ def export_json(summary: DataFrame, themes: DataFrame, path: str, reviews: DataF
     document = (
         summary.withColumn("_one", F.lit(1))
         .join(listed.withColumn("_one", F.lit(1)), "_one")
-        .select(*summary.columns, F.transform("_t", lambda t: t["theme"]).alias("themes"))
+        .select(*summary.columns, F.transform("_t", lambda t: t["theme"]).alias("themes"), "_one")
     )
+    if meta is not None:
+        block = meta.select(F.struct(*meta.columns).alias("meta")).withColumn("_one", F.lit(1))
+        document = document.join(block, "_one")
+    document = document.drop("_one")
     document.write.mode("overwrite").json(f"{path.rstrip('/')}/document")
     if reviews is not None:
         reviews.write.mode("overwrite").json(f"{path.rstrip('/')}/reviews")
