@@ -169,6 +169,11 @@ def _of_theme(reviews: DataFrame, theme_id: str, sentiment: str | None) -> DataF
     return chosen.where(F.col("sentiment_label") == sentiment) if sentiment else chosen
 
 
+def check_page(page: int, limit: int) -> None:
+    if page < 1 or not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"page must be at least 1 and limit between 1 and {MAX_PAGE}")
+
+
 def verbatims(
     reviews: DataFrame,
     theme_id: str,
@@ -178,8 +183,7 @@ def verbatims(
     sort: str = "most_negative",
 ) -> DataFrame:
     """One page of a theme's reviews; a page past the end is empty."""
-    if page < 1 or not 1 <= limit <= MAX_PAGE:
-        raise ValueError(f"page must be at least 1 and limit between 1 and {MAX_PAGE}")
+    check_page(page, limit)
     chosen = _of_theme(reviews, theme_id, sentiment)
     rows = sorted_slice(chosen, verbatim_order(sort), (page - 1) * limit, limit)
     return rows.withColumn("id", F.concat(F.lit("v"), F.col("row")))

@@ -85,10 +85,10 @@ def _analysis(spark: SparkSession, sf_dir: str, masked: DataFrame) -> Analysis:
     )
 
 
-def _store(spark: SparkSession, sf_dir: str) -> ResultStore:
+def _store(spark: SparkSession, sf_dir: str, **options: int) -> ResultStore:
     masked = materialised(redaction.redact(reviews(spark, sf_dir, wide=True)), "masked")
     done = _analysis(spark, sf_dir, masked)
-    store = ResultStore(spark, scratch_path(spark, "store"))
+    store = ResultStore(spark, scratch_path(spark, "store"), **options)
     named = lambda df: df.withColumn("job_id", F.lit("run-1"))
     run = masked.agg(
         F.count(F.lit(1)).alias("rows_analyzed"), F.count_if(F.col("theme_id").isNull()).alias("unassigned_count")
@@ -249,6 +249,29 @@ def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", F.coalesce("status", "_status").alias("status"), F.coalesce("reviews", F.lit(0)).alias("reviews"), "event")
 
 
+# ---------------------------------------------------------------- deep pages
+_DEEP = ((30, "most_negative", None), (17, "recent", None), (12, "most_positive", "Positive"), (100_000, "most_negative", None))
+
+
+def _deep(page: int, sort: str, label: str | None) -> str:
+    order = {"most_negative": "sentiment_score, \"row\"", "most_positive": "sentiment_score DESC, \"row\"", "recent": "date DESC NULLS LAST, \"row\" DESC"}[sort]
+    chosen = "theme_id = 'view'" + (f" AND sentiment_label = '{label}'" if label else "")
+    return f"""SELECT '{sort}' AS sort, "row", k - {5 * (page - 1)} AS position FROM (SELECT "row", row_number() OVER (ORDER BY {order}) AS k FROM r WHERE {chosen})
+    WHERE k BETWEEN {5 * (page - 1) + 1} AND {5 * page}"""
+
+
+@query("verbatims_deep", f"WITH {R} " + " UNION ALL ".join(_deep(*d) for d in _DEEP))
+def verbatims_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages far behind, each from the files of its own places."""
+    reader = RunReader(_store(spark, sf_dir, index_from=50, index_bucket=400))
+    out = None
+    for page, sort, label in _DEEP:
+        rows = reader.verbatims("run-1", "view", page, 5, label, sort)[1].select("row")
+        numbered = spark.createDataFrame([(sort, r["row"], i) for i, r in enumerate(rows.collect(), 1)], "sort string, row long, position long")  # a page
+        out = numbered if out is None else out.unionByName(numbered)
+    return out
+
+
 # ---------------------------------------------------------------- export
 @query(
     "export_document",

@@ -14,6 +14,7 @@ from voxmill.functions.pii import TAGS, TYPES
 from voxmill.operators import analytics, redaction
 from voxmill.operators.governance import CAVEAT
 from voxmill.operators.highlight import highlight_terms
+from voxmill.operators.pages import indexed_page, page_rows
 from voxmill.operators.partials import breakdown_of_partials, trends_of_partials
 from voxmill.operators.runs import audit_trail
 from voxmill.operators.themes import class_facets
@@ -58,10 +59,21 @@ class RunReader:
     def verbatims(
         self, job_id: str, theme_id: str, page: int = 1, limit: int = 20, sentiment: str | None = None, sort: str = "most_negative"
     ) -> tuple[dict, DataFrame]:
-        """(header, page). The header has theme, page, limit, total and total_pages; texts pass the guard and carry highlights."""
+        """(header, page). The header has theme, page, limit, total and total_pages; texts pass the guard and carry highlights.
+
+        Pages far behind come from the stored order of the theme, if the run has one.
+        """
         run = self.store.read_results(job_id)
         header = {"theme": self._theme(run["themes"], theme_id), "page": page, "limit": limit}
-        rows = analytics.verbatims(run["reviews"], theme_id, page, limit, sentiment, sort)
+        offset, store = (page - 1) * limit, self.store
+        places = None
+        if offset + limit > store.index_from:
+            analytics.check_page(page, limit)
+            places = page_rows(store.spark, store.path("verbatim_ranks"), job_id, theme_id, sort, offset, limit, sentiment, store.index_bucket)
+        if places is not None:
+            rows = indexed_page(run["reviews"], places)
+        else:
+            rows = analytics.verbatims(run["reviews"], theme_id, page, limit, sentiment, sort)
         total = analytics.verbatim_page_info(run["reviews"], theme_id, limit, sentiment).first()["total"]
         guarded, _ = redaction.output_guard(rows, profile=self.cfg.redaction_profile)
         shown = highlight_terms(guarded.drop("guard_hit"), self.cfg.lexicon, threshold=self.cfg.highlight_threshold)

@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from voxmill.config import AUDIT, PARTIALS, RUNS, SCORED, THEMES
 from voxmill.errors import ContractMismatch, NotFound
+from voxmill.operators.pages import BUCKET, write_index
 from voxmill.operators.partials import partials_of
+from voxmill.operators.scale import PAGE_DIRECT
 
-RESULT_TABLES = ("reviews_scored", "partials", "themes", "job_results", "runs")
+RESULT_TABLES = ("reviews_scored", "partials", "verbatim_ranks", "themes", "job_results", "runs")
 # Ids name folders, so they hold nothing that Spark would escape or a path would read otherwise.
 _JOB_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
 # Audit event names.
@@ -56,9 +58,11 @@ class ResultStore:
     partitions.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, index_from: int = PAGE_DIRECT, index_bucket: int = BUCKET) -> None:
+        """Themes with ``index_from`` reviews or more get an index of their pages, in files of ``index_bucket`` places."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.index_from, self.index_bucket = index_from, index_bucket
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -91,7 +95,12 @@ class ResultStore:
         try:
             self._replace(conform(reviews, SCORED), "reviews_scored")
             # From what was just written, so that the reviews are not made again.
-            self._replace(conform(partials_of(self._table("reviews_scored", SCORED).where(F.col("job_id").isin(ids))), PARTIALS), "partials")
+            written = self._table("reviews_scored", SCORED).where(F.col("job_id").isin(ids))
+            self._replace(conform(partials_of(written), PARTIALS), "partials")
+            for job_id in ids:
+                self._remove(job_id, ("verbatim_ranks",))
+            counts = self._table("partials", PARTIALS).where(F.col("job_id").isin(ids))
+            write_index(written, counts, self.path("verbatim_ranks"), self.index_from, self.index_bucket)
             self._replace(conform(themes, THEMES), "themes")
             self._replace(result, "job_results")
         except Exception:
