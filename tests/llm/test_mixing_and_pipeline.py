@@ -64,11 +64,44 @@ def test_mix_order_is_the_pareto_order(spark):
     u = {r["id"]: r["u"] for r in df.select(F.col("doc_id").alias("id"), mixing.draw("doc_id", "mix").alias("u")).collect()}
     assert all(0 < x < 1 for x in u.values())
     got = [r for r in mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").collect() if r["size"] and r["source"] == "hot"]
-    key = lambda r: u[r["doc_id"]] / (1 - u[r["doc_id"]]) / (0.25 if r["size"] < 50 else 1)
-    most = max(r["taken"] // r["size"] for r in got)
-    first = [key(r) for r in got if r["taken"] == most * r["size"]]
-    rest = [key(r) for r in got if r["taken"] < most * r["size"]]
-    assert first and rest and max(first) < min(rest)
+    chance, whole = _chances(got)
+    assert all(0 < p < 1 for p in chance.values())
+    key = lambda r: u[r["doc_id"]] / (1 - u[r["doc_id"]]) / (chance[r["doc_id"]] / (1 - chance[r["doc_id"]]))
+    first = [key(r) for r in got if r["taken"] == (whole + 1) * r["size"]]
+    rest = [key(r) for r in got if r["taken"] == whole * r["size"]]
+    assert first and rest and len(first) + len(rest) == len(got) and max(first) < min(rest)
+
+
+def _chances(rows):
+    """Inclusion probability of every document of one source, by halving the factor's range, and the number of whole copies."""
+    size, target = sum(r["size"] for r in rows), rows[0]["target"]
+    whole = int(target // size)
+    rest, low, high = target - whole * size, 0.0, 5.0
+    wish = {r["doc_id"]: 0.25 if r["size"] < 50 else 1.0 for r in rows}
+    for _ in range(200):
+        factor = (low + high) / 2
+        words = sum(min(1.0, factor * wish[r["doc_id"]]) * r["size"] for r in rows)
+        low, high = (factor, high) if words < rest else (low, factor)
+    return {i: min(1.0, factor * w) for i, w in wish.items()}, whole
+
+
+@pytest.mark.parametrize("share", [0.3, 0.95])
+def test_inclusion_probabilities(spark, share):
+    """Over many seeds short and long documents come as often as their probabilities say, also where the long ones are certain."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * (rng.randint(60, 90) if i % 2 else rng.randint(10, 40))), "s") for i in range(1200)]
+    df, found, seeds = spark.createDataFrame(rows, SCHEMA).cache(), Counter(), 4
+    for seed in range(seeds):
+        got = mixing.mix(df, share=share, seed=f"seed{seed}").collect()
+        found.update(r["doc_id"] for r in got if r["taken"] == r["size"])
+        assert {r["taken"] // r["size"] for r in got} <= {0, 1}
+    chance, whole = _chances(got)
+    assert whole == 0
+    for odd in (0, 1):
+        p = chance[odd]
+        assert p == pytest.approx(1) if share > 0.9 and odd else p < 1
+        often = sum(n for i, n in found.items() if i % 2 == odd) / (600 * seeds)
+        assert abs(often - p) <= 4 * (p * (1 - p) / (600 * seeds)) ** 0.5 + 0.002
 
 
 def test_mix_edge_cases(spark):

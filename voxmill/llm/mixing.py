@@ -5,9 +5,11 @@ target passes ``most`` times its source's words, and what a source cannot take i
 the order of "words per weight" that is one pass: the first source whose cap is not reached fixes the level of all later ones.
 
 Documents: a source that needs ``f`` times its words takes ``floor(f)`` whole copies of every document for certain. The
-rest, a fraction ``p`` of its words, is a fixed-size sample: every document draws U from the MD5 of its id, and documents are
-taken in order of ``(U / (1 - U)) / (inclusion odds)`` until the words are there (the last one if at least half of it is
-needed). The inclusion odds are ``p / (1 - p)`` times the document's preference, so preferred documents come earlier.
+rest is a fixed-size sample with unequal probabilities: every document draws U from the MD5 of its id, and documents are
+taken in order of ``(U / (1 - U)) / (p / (1 - p))`` until the words are there (the last one if at least half of it is needed).
+The inclusion probability ``p`` of a document is its preference times a factor of its source, chosen so that the expected words,
+the sum of ``p`` times size, are the rest. Where the factor would pass 1, the preferred documents come for certain, one more
+whole copy each, and the others share what is left with one probability.
 
 The place in that order where a source stops is found by counting words in 4,096 buckets of the order, then in 4,096 buckets
 inside the one where the source stops, and at last row by row inside one of those, so no task ever sorts a source.
@@ -40,13 +42,14 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def preference(size: Column) -> Column:
-    return F.when(size < SHORT_WORDS, SHORT_PREFERENCE).otherwise(1.0)
-
-
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per source: ``source, source_size, target, copies, part``. The windows see one row per source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """One row per source: ``source, source_size, target, copies, rest`` and the inclusion probabilities of the sample.
+
+    Where ``certain``, preferred documents get one more copy and ``rest`` is what the others have to give; ``p_long`` and ``p_short`` are
+    the probabilities of the two kinds of documents. The windows see one row per source.
+    """
+    short = F.sum(F.when(F.col("size") < SHORT_WORDS, F.col("size")).otherwise(0))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), short.alias("short_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((place - 1) % len(weights) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
@@ -64,8 +67,14 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     per = per.withColumn("target", F.coalesce(target, F.col("cap").cast("double")))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per = per.withColumn("copies", times)
-    rest = F.col("target") - F.col("copies") * F.col("source_size")
-    return per.select("source", "source_size", "target", "copies", rest.alias("rest"))
+    per = per.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
+    per = per.withColumn("long_size", F.col("source_size") - F.col("short_size"))
+    factor = F.when(F.col("source_size") > 0, F.col("rest") / (F.col("long_size") + SHORT_PREFERENCE * F.col("short_size"))).otherwise(0.0)
+    per = per.withColumn("factor", factor).withColumn("certain", F.col("factor") >= 1)
+    per = per.withColumn("rest", F.when(F.col("certain"), F.col("rest") - F.col("long_size")).otherwise(F.col("rest")))
+    left_over = F.when(F.col("short_size") > 0, F.col("rest") / F.col("short_size")).otherwise(0.0)
+    p_short = F.when(F.col("certain"), left_over).otherwise(SHORT_PREFERENCE * F.col("factor"))
+    return per.select("source", "source_size", "target", "copies", "rest", "certain", F.col("factor").alias("p_long"), p_short.alias("p_short"))
 
 
 def draw(id_col: str, seed: str) -> Column:
@@ -75,10 +84,10 @@ def draw(id_col: str, seed: str) -> Column:
 
 
 def _stops(rows: DataFrame) -> DataFrame:
-    """``source, stop``: the last place of the order that is still taken, for sources that take a part."""
+    """``source_key, stop, first``: the last place of the order that is still taken, for sources that take a part."""
     # The order mapped to 0..1, so that buckets of equal width hold documents of every source.
     unit = F.col("order_key") / (1 + F.col("order_key"))
-    rows = rows.where(F.col("rest") > 0).withColumn("_unit", unit).withColumn("_before", F.lit(0).cast("long"))
+    rows = rows.where(F.col("order_key").isNotNull()).withColumn("_unit", unit).withColumn("_before", F.lit(0).cast("long"))
     for step in (BUCKETS, BUCKETS * BUCKETS):
         # What is left of the last round lies inside one bucket; the next one divides that again.
         bucketed = rows.withColumn("_bucket", F.floor(F.col("_unit") * step).cast("long"))
@@ -106,17 +115,18 @@ def _planned(
     named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
     sizes = materialised(named, "sizes")
     per = materialised(targets(sizes, weights, share, most).withColumn("source_key", _key("source")), "source-targets")
-    share_left = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    odds = share_left / (1 - share_left) * preference(F.col("size"))
+    p = F.when(F.col("size") < SHORT_WORDS, F.col("p_short")).otherwise(F.col("p_long"))
+    sure = F.col("certain") & (F.col("size") >= SHORT_WORDS)
     u = draw("id", seed)
-    order_key = F.when((F.col("rest") > 0) & (odds > 0), u / (1 - u) / odds)
+    # A probability that rounding lifts to 1 comes first.
+    order_key = F.when(~sure & (F.col("rest") > 0) & (p > 0), F.when(p < 1, u / (1 - u) / (p / (1 - p))).otherwise(0.0))
     rows = sizes.withColumn("source_key", _key("source")).join(per.drop("source"), "source_key")
     rows = materialised(rows.withColumn("order_key", order_key), "ordered")
     stops = materialised(_stops(rows), "stops")
     place = F.struct("order_key", "id")
     # Sources without a stop take nothing beyond their whole copies; one without taken rows in its last bucket stops before that.
     sampled = F.coalesce(F.when(F.col("stop").isNotNull(), place <= F.col("stop")).otherwise(F.col("order_key") < F.col("first")), F.lit(False))
-    copies = F.col("copies") + F.when((F.col("rest") > 0) & sampled, 1).otherwise(0)
+    copies = F.col("copies") + F.when(sure | (F.col("order_key").isNotNull() & sampled), 1).otherwise(0)
     out = rows.join(stops, "source_key", "left")
     return out.select("id", F.col("source_key").alias("source"), "size", "source_size", "target", copies.alias("copies"))
 

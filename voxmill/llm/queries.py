@@ -203,7 +203,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH sized AS (
         SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
-    ), per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+    ), per AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(CASE WHEN size < 50 THEN size ELSE 0 END) AS BIGINT) AS short_size
+        FROM sized GROUP BY source
     ), weighted AS (
         SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM per
     ), levelled AS (
@@ -216,25 +218,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), fixed AS (
         SELECT min(place) AS first_place, min_by(level, place) AS first_level FROM levelled WHERE level < cap / weight
     ), aimed AS (
-        SELECT source, source_size,
+        SELECT source, source_size, short_size,
             CASE WHEN place >= first_place THEN least(CAST(cap AS DOUBLE), first_level * weight) ELSE CAST(cap AS DOUBLE) END AS target
         FROM levelled, fixed
     ), split AS (
         SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM aimed
-    ), parted AS (SELECT *, target - copies * source_size AS rest FROM split
+    ), parted AS (SELECT *, target - copies * source_size AS open FROM split
+    ), factored AS (
+        SELECT *, CASE WHEN source_size > 0 THEN open / (source_size - short_size + 0.25::DOUBLE * short_size) ELSE 0 END AS factor FROM parted
+    ), chances AS (
+        SELECT *, CASE WHEN factor >= 1 THEN open - (source_size - short_size) ELSE open END AS rest FROM factored
     ), drawn AS (
-        SELECT d.doc_id, d.size, p.source, p.source_size, p.target, p.copies, p.rest,
-            CASE WHEN source_size > 0 THEN rest / source_size ELSE 0 END AS part,
+        SELECT d.doc_id, d.size, p.source, p.source_size, p.target, p.copies, p.rest, factor >= 1 AND size >= 50 AS sure,
+            CASE WHEN size >= 50 THEN factor WHEN factor < 1 THEN 0.25::DOUBLE * factor WHEN short_size > 0 THEN rest / short_size ELSE 0 END AS part,
             (CAST(CAST('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
-        FROM sized d JOIN parted p ON d.source IS NOT DISTINCT FROM p.source
+        FROM sized d JOIN chances p ON d.source IS NOT DISTINCT FROM p.source
     ), ordered AS (
-        SELECT *, CASE WHEN rest > 0 AND part > 0 THEN u / (1 - u) / (part / (1 - part) * CASE WHEN size < 50 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END) END AS k
+        SELECT *, CASE WHEN sure OR rest <= 0 OR part <= 0 THEN NULL WHEN part < 1 THEN u / (1 - u) / (part / (1 - part)) ELSE 0 END AS k
         FROM drawn
     ), summed AS (
         SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ordered
     )
     SELECT doc_id, size, source_size, target,
-        CAST(size * (copies + CASE WHEN rest > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        CAST(size * (copies + CASE WHEN sure OR k IS NOT NULL AND upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
     FROM summed
     """,
 )
