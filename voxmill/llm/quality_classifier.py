@@ -213,7 +213,10 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     max_labelled: int = MAX_LABELLED,
 ) -> Model:
-    """Fit on labelled documents outside the held-out fold, at most ``max_labelled`` of them."""
+    """Fit on labelled documents outside the held-out fold, at most ``max_labelled`` of them.
+
+    Of rows that share a labelled id, the one with the smallest features counts, so no more rows than that reach the driver.
+    """
     bound_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
@@ -234,7 +237,8 @@ def train(
             )
 
     schema = ", ".join(["_id string", "_y double", *(f"{f} double" for f in FEATURES)])
-    rows = found.select("_id", "_y", "_text").mapInArrow(run, schema).toPandas()
+    measured = found.select("_id", "_y", "_text").mapInArrow(run, schema)
+    rows = measured.groupBy("_id").agg(F.min(F.struct("_y", *FEATURES)).alias("r")).select("_id", "r.*").toPandas()
     rows = rows.sort_values(["_id", "_y", *FEATURES], kind="stable")
     return fit(rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float))
 
