@@ -92,6 +92,16 @@ def test_classifier_edge_cases(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_labelled_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    rows = [(i % 4, f"text number {i} " + "word " * (i % 7)) for i in range(400)]
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for part in (rows, rows[::-1]):
+        quality_classifier.train(spark.createDataFrame(part, "doc_id long, text string").repartition(3), labels, max_labelled=30)
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(seen[0][1]) <= 4
+
+
 def test_pairs_find_what_single_features_cannot():
     rng = np.random.default_rng(3)
     x = rng.random((4000, 3))
@@ -180,6 +190,9 @@ def test_rules_adapt_to_their_group(spark):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     assert len(got) == len(rows)
     assert all(got[i]["kept"] for i in range(80)) and all(got[100 + i]["kept"] for i in range(80))
+    # With more groups than go to every task, the rows of large groups are cut into pieces.
+    dealt = quality_rules.judge(quality_rules.measured(docs), small_rows=1).collect()
+    assert {r["doc_id"]: tuple(r) for r in dealt} == {i: tuple(r) for i, r in got.items()} and len(dealt) == len(rows)
     assert not got[300]["kept"] and not got[301]["kept"] and not got[302]["kept"]
     assert [got[i]["base_failed"] for i in (300, 303, 304, 305)] == [False, True, True, True]
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm.arrow_text import SPACE, Piece, bound_batches, pieces, rolling, whole_windows, word_hashes
-from voxmill.operators.scale import materialised
+from voxmill.operators.scale import SMALL_ROWS, lookup_join, materialised
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Symbols, repeated lines and repeated words per 1,000 words, and characters of an average word times 100. The numbers hold only
@@ -188,15 +188,20 @@ def fences(sketch: DataFrame) -> DataFrame:
     return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, limit)).alias(f"max_{r}") for r in FALLBACK])
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """Add ``base_failed``, one boolean per adaptive rule and ``kept`` to rows of ``measured``."""
-    cuts = fences(materialised(sketches(rows), "quality-sketches")).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = (
-        rows.withColumn("_lang", F.coalesce("lang", F.lit(_NONE)))
-        .withColumn("_source", F.coalesce("source", F.lit(_NONE)))
-        .join(cuts, ["_lang", "_source"])
-        .drop("_lang", "_source")
-    )
+def _group(lang: Column | str, source: Column | str) -> Column:
+    lang, source = (F.col(c) if isinstance(c, str) else c for c in (lang, source))
+    return F.concat(F.length(lang), F.lit(":"), lang, source).alias("_group")
+
+
+def judge(rows: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Add ``base_failed``, one boolean per adaptive rule and ``kept`` to rows of ``measured``.
+
+    The fences go to all tasks while there are few groups; beyond that the rows of large groups are cut into pieces.
+    """
+    cuts = materialised(fences(materialised(sketches(rows), "quality-sketches")), "quality-fences")
+    cuts = cuts.select(_group("lang", "source"), *[f"max_{r}" for r in FALLBACK])
+    named = rows.withColumn("_group", _group(*[F.coalesce(c, F.lit(_NONE)) for c in ("lang", "source")]))
+    joined = lookup_join(named, cuts, "_group", rows.columns[0], "inner", small_rows).drop("_group")
     judged = joined.withColumn("base_failed", base_rule())
     for rule, rate in rates().items():
         judged = judged.withColumn(f"failed_{rule}", rate > F.col(f"max_{rule}"))
