@@ -101,6 +101,7 @@ def _near(seed=5):
 def test_near_copies_equal_all_pairs(spark, monkeypatch, size, light):
     monkeypatch.setattr(near_dedup, "LIGHT", light)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "LIGHT_BLOCK", 8)
     rows = _near()
     got = near_dedup.near_copies(_docs(spark, rows), size).collect()
     want = brute.near_copies(rows, size)

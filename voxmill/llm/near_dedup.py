@@ -40,6 +40,8 @@ ROWS = 5
 HASHES = BANDS * ROWS
 STEP = 32
 MISS = 1e-6
+# Rows of a side that a task compares at once: signatures only, and with full sets.
+LIGHT_BLOCK = 512
 BLOCK = 64
 # Components of up to this many representatives are compared by bucket, larger ones as a whole.
 LIGHT = 64
@@ -165,15 +167,21 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     return docs.where(F.col("_id").isNotNull()).mapInArrow(run, "id long, shingles binary")
 
 
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each signature and band."""
+    cut = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(cut.shape[:2], dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x100000001B3) + cut[:, :, r])
+    return key
+
+
 def _buckets(reps: DataFrame) -> DataFrame:
     """``bucket, id``: one row for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.zeros(sig.shape[:2], dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x100000001B3) + sig[:, :, r])
+            key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16))
             yield pa.record_batch(
                 [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["bucket", "id"]
             )
@@ -253,11 +261,11 @@ def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
 def _light_pairs(mixed: DataFrame, reps: DataFrame, needed: list[int]) -> DataFrame:
     """Pairs between light components of a bucket that their signatures leave possible.
 
-    Buckets are compared inside tasks, in blocks of at most about ``BLOCK`` rows a side; no pair leaves a task before it has
-    passed the sequential test.
+    Buckets are compared inside tasks, in blocks of at most about ``LIGHT_BLOCK`` rows a side; no pair leaves a task before it has
+    passed the sequential test. A pair is tested in the bucket of the first band that it shares only.
     """
     rows = mixed.where((F.col("members") <= LIGHT) & (F.col("light") > 1)).join(reps.select("id", "sig"), "id")
-    blocks = F.ceil(F.col("light") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("light") / F.lit(LIGHT_BLOCK)).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sig")
@@ -278,7 +286,7 @@ def _light_pairs(mixed: DataFrame, reps: DataFrame, needed: list[int]) -> DataFr
         if out := _possible(held, group, needed):
             yield _pair_batch(out)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _possible(rows: list, key: tuple | None, needed: list[int]) -> list[tuple[int, int]]:
@@ -287,10 +295,13 @@ def _possible(rows: list, key: tuple | None, needed: list[int]) -> list[tuple[in
         return []
     own, ids, parts = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
     sigs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(-1, HASHES)
+    bands = band_keys(sigs)
+    here = int(np.flatnonzero((bands == np.uint64(key[0] % (1 << 64))).all(axis=0))[0])
     out = []
     for i in range(len(rows) - 1):
         at = np.arange(i + 1, len(rows))
         at = at[(parts[at] != parts[i]) & ((own[at] != own[i]) | (key[1] == key[2]))]
+        at = at[~(bands[at, :here] == bands[i, :here]).any(axis=1)]
         at = at[survives(np.broadcast_to(sigs[i], (len(at), HASHES)), sigs[at], needed)]
         out += [(min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[at].tolist()]
     return out
