@@ -41,7 +41,7 @@ HASHES = BANDS * ROWS
 STEP = 32
 MISS = 1e-6
 # Rows of a side that a task compares at once: signatures only, and with full sets.
-LIGHT_BLOCK = 512
+LIGHT_BLOCK = 64
 BLOCK = 64
 # Components of up to this many representatives are compared by bucket, larger ones as a whole.
 LIGHT = 64
