@@ -126,3 +126,27 @@ def test_table_scores_equal_those_of_the_plan(spark):
     for bits in (1 << 12, 1 << 20):
         assert {r.id: r.sentiment_score for r in score_lexicon_table(df, table, "id", bits=bits).collect()} == want
     assert {r.sentiment_score for r in score_lexicon_table(df, table.limit(0), "id").collect()} == {0.0}
+
+
+@pytest.mark.parametrize("mask", [None, 3])
+def test_rows_are_counted_inside_the_task(monkeypatch, mask):
+    """One row leaves for each different string, however many texts hold it; strings whose hashes are equal stay apart."""
+    import pyarrow as pa
+
+    if mask is not None:
+        monkeypatch.setattr(patterns, "_mixed", lambda x: x & np.uint64(mask))
+    rows, wanted = ["xabcx abc", "abc", "bcd abd", "nothing", "", "abcd"] * 50, ["abc", "abd", "bcd", "zzz"]
+    column = pa.array(wanted)
+    seeds, wholes = (np.full(1 << 13, 255, dtype=np.uint8) for _ in range(2))
+    probe = patterns.Probe(*(type("Sent", (), {"value": t}) for t in (seeds, wholes)), [len(column[0].as_py())])
+    monkeypatch.setattr(patterns, "PIECE", 100)
+    out = pa.Table.from_batches(patterns._row_counter(probe)([pa.record_batch([pa.array(rows)], names=["text"])])).to_pylist()
+    got = {r["found"].decode(): r["rows"] for r in out}
+    assert len(got) == len(out)
+    assert {w: got.get(w, 0) for w in wanted} == {w: sum(w in t for t in rows) for w in wanted}
+
+
+def test_filters_grow_with_their_tables():
+    assert patterns.filter_bits(0) == patterns.filter_bits(1_000_000) == patterns.FILTER_BITS
+    assert patterns.filter_bits(6_000_000) == 1 << 28
+    assert patterns.filter_bits(10**10) == patterns.MOST_FILTER_BITS

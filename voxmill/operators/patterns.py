@@ -12,6 +12,7 @@ character matches the same. Null and empty patterns are left out, equal ones cou
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from voxmill.operators.scale import materialised, salted_join
 
 FILTER_BITS = 1 << 26
+# A filter grows with its table, up to a size that every task can hold.
+KEY_BITS = 32
+MOST_FILTER_BITS = 1 << 30
 PROBES = 3
 _SLICES = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +59,11 @@ class Rolling:
         sizes = np.asarray(sizes, dtype=np.int64)
         return _mixed((self.sums[starts + sizes] - self.sums[starts]) * self.inverse[starts] + sizes.astype(np.uint64))
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all stretches of one size, in order."""
+        n = max(len(self.sums) - size, 0)
+        return _mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n] + np.uint64(size))
+
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column without nulls."""
@@ -75,21 +84,37 @@ def hash_texts(column: pa.Array) -> np.ndarray:
 
 # ---------------------------------------------------------------- filters
 def _place(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
-    return (h + np.uint64(probe) * ((h >> np.uint64(17)) | np.uint64(1))) % np.uint64(bits)
+    at = h + np.uint64(probe) * ((h >> np.uint64(17)) | np.uint64(1))
+    return at % np.uint64(bits) if bits & (bits - 1) else at & np.uint64(bits - 1)
 
 
-def known(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes the filter may hold."""
+def known_at(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices of the hashes the filter may hold. Later probes are made for those only that passed the ones before."""
     width = len(table) * 8 // _SLICES
-    found = np.ones(len(h), dtype=bool)
+    left = None
     for i in range(PROBES):
-        at = (h >> np.uint64(56)) * np.uint64(width) + _place(h, i, width)
-        found &= (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        own = h if left is None else h[left]
+        at = (own >> np.uint64(56)) * np.uint64(width) + _place(own, i, width)
+        passed = np.flatnonzero(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        left = passed if left is None else left[passed]
+    return left
+
+
+def known(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold."""
+    found = np.zeros(len(h), dtype=bool)
+    found[known_at(table, h)] = True
     return found
 
 
-def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of the one column of longs. Slices are made by tasks; all of them together have ``bits`` bits."""
+def filter_bits(keys: int) -> int:
+    """Bits of a filter of so many keys: few wrong answers as long as the most bits allow it."""
+    return min(max(FILTER_BITS, 1 << (keys * KEY_BITS - 1).bit_length()), MOST_FILTER_BITS) if keys else FILTER_BITS
+
+
+def hash_filter(hashes: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A filter of the one column of longs. Slices are made by tasks; all of them together have ``bits`` bits, by default as their number needs."""
+    bits = bits or filter_bits(hashes.count())
     width = bits // _SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +132,7 @@ def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     one = F.col(hashes.columns[0])
     made = hashes.select(one.alias("h")).repartition(F.shiftrightunsigned("h", 56)).mapInArrow(run, "slice int, bits binary")
     out = np.zeros((_SLICES, width // 8), dtype=np.uint8)
-    for row in made.collect():  # _SLICES rows, FILTER_BITS bits
+    for row in made.collect():  # _SLICES rows, ``bits`` bits
         out[row["slice"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
@@ -151,7 +176,7 @@ def hashed_patterns(patterns: DataFrame, column: str) -> DataFrame:
     return distinct.mapInArrow(_hashed, "pattern string, hash long, seed long, size long")
 
 
-def prepare(patterns: DataFrame, column: str = "pattern", bits: int = FILTER_BITS) -> Patterns:
+def prepare(patterns: DataFrame, column: str = "pattern", bits: int | None = None) -> Patterns:
     table = materialised(hashed_patterns(patterns, column), "patterns")
     lengths = sorted(r["size"] for r in table.select("size").distinct().collect())
     send = patterns.sparkSession.sparkContext.broadcast
@@ -165,13 +190,13 @@ def candidates(data: np.ndarray, offsets: np.ndarray, probe: Probe) -> Iterator[
     end_of = np.repeat(offsets[1:], np.diff(offsets))
     seeds, wholes = probe.seeds.value, probe.wholes.value
     for seed in np.unique(_seed_size(lengths)).tolist() if len(lengths) else []:
-        starts = np.flatnonzero(np.arange(len(data)) + seed <= end_of)
-        starts = starts[known(seeds, rolling.of(starts, seed))]
+        starts = known_at(seeds, rolling.windows(seed))
+        starts = starts[starts + seed <= end_of[starts]]
         for size in lengths[_seed_size(lengths) == seed].tolist():
             inside = starts[starts + size <= end_of[starts]]
             h = rolling.of(inside, size)
-            at = known(wholes, h)
-            if at.any():
+            at = known_at(wholes, h)
+            if len(at):
                 yield inside[at], size, h[at]
 
 
@@ -227,3 +252,57 @@ def occurrences(df: DataFrame, text: str, patterns: Patterns, once: bool = False
     found = materialised(rows.mapInArrow(_searcher(patterns.probe, once), "row long, hash long, at long, found binary"), "candidates")
     joined = salted_join(found, patterns.table, "hash", "row", "inner")
     return joined.where(F.col("found") == F.col("pattern").cast("binary")).select("row", "at", "pattern")
+
+
+# Counts of so many different strings are held by a task before it passes them on.
+HELD = 1 << 18
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    same = np.ones(len(a), dtype=bool)
+    for i in range(size):
+        same &= data[a + i] == data[b + i]
+    return same
+
+
+def _row_counter(probe: Probe) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counted(part: pa.RecordBatch, rows: Counter[bytes]) -> None:
+        data, offsets = bytes_of(part.column(0))
+        row_of = np.repeat(np.arange(len(part)), np.diff(offsets))
+        for starts, size, h in candidates(data, offsets, probe):
+            order = np.lexsort((row_of[starts], h))
+            starts, h = starts[order], h[order]
+            row = row_of[starts]
+            fresh = np.append(True, h[1:] != h[:-1])
+            group = np.cumsum(fresh) - 1
+            first = starts[fresh]
+            same = _same_bytes(data, starts, first[group], size)
+            own, in_row = group[same], row[same]
+            once = np.append(True, (own[1:] != own[:-1]) | (in_row[1:] != in_row[:-1]))
+            for s, n in zip(first.tolist(), np.bincount(own[once], minlength=len(first)).tolist(), strict=True):
+                rows[data[s : s + size].tobytes()] += n
+            # Other strings with the same hash.
+            rows.update(found for _, found in {(r, data[s : s + size].tobytes()) for r, s in zip(row[~same].tolist(), starts[~same].tolist(), strict=True)})
+
+    def held(rows: Counter[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.int64())], names=["found", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: Counter[bytes] = Counter()
+        for batch in batches:
+            for first, last in pieces(batch, 0):
+                counted(batch.slice(first, last - first), rows)
+                if len(rows) > HELD:
+                    yield held(rows)
+                    rows = Counter()
+        yield held(rows)
+
+    return run
+
+
+def rows_holding(df: DataFrame, text: str, patterns: Patterns) -> DataFrame:
+    """``pattern, rows``: in how many rows each pattern occurs that occurs at all. Tasks count what they find, so no row is joined."""
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = texts.mapInArrow(_row_counter(patterns.probe), "found binary, rows long")
+    counts = found.groupBy("found").agg(F.sum("rows").alias("rows"))
+    return counts.join(patterns.table, F.col("found") == F.col("pattern").cast("binary")).select("pattern", "rows")
