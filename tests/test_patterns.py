@@ -150,3 +150,22 @@ def test_filters_grow_with_their_tables():
     assert patterns.filter_bits(0) == patterns.filter_bits(1_000_000) == patterns.FILTER_BITS
     assert patterns.filter_bits(6_000_000) == 1 << 28
     assert patterns.filter_bits(10**10) == patterns.MOST_FILTER_BITS
+
+
+def test_tokens_are_scored_in_pieces_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from voxmill.operators import sentiment
+
+    rng = random.Random(8)
+    rows = [["", "", "", *(rng.choice(["not", "very", "partly", "good", "x", "é"]) for _ in range(n))] for n in (0, 1, 200, 3, 0, 40)]
+    batch = pa.record_batch([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string()))], names=["id", "tokens"])
+    table = type("Sent", (), {"value": np.full(1 << 13, 255, dtype=np.uint8)})
+    kind = {"not": sentiment.NEGATES, "very": sentiment.BOOSTS, "partly": sentiment.DAMPENS}
+    want = {(i, w, p, sum(kind.get(t[p - 1 - k], 0) << 2 * k for k in range(3))) for i, t in enumerate(rows) for p, w in enumerate(t) if p >= 3}
+    for size in (7, 1 << 18):
+        monkeypatch.setattr(sentiment, "TOKENS_AT_ONCE", size)
+        out = list(sentiment._hits_of(table)([batch]))
+        assert all(sum(map(len, b.column(3).to_pylist())) <= size for b in out)
+        got = [(r["id"], r["word"], u >> 6, u & 63) for b in out for r in b.to_pylist() for u in r["uses"]]
+        assert set(got) == want and len(got) == len(want)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from voxmill.functions.numbers import let
 from voxmill.functions.pii import TAGS
 from voxmill.functions.text import utf16_length
-from voxmill.operators.patterns import FILTER_BITS, Probe, Rolling, bytes_of, candidates, hash_filter, hashed_patterns, known, pieces, prepare
+from voxmill.operators.patterns import Probe, Rolling, bytes_of, candidates, hash_filter, hashed_patterns, known, pieces, prepare
 from voxmill.operators.scale import materialised, salted_join
 from voxmill.operators.sentiment import MAX_LEXICON
 
@@ -280,7 +280,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def highlight_spans(
-    df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", threshold: float = 1.5, bits: int = FILTER_BITS
+    df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", threshold: float = 1.5, bits: int | None = None
 ) -> DataFrame:
     """``id, highlights`` of the rows that have any, by a lexicon table (``term, valence``) of any size.
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +26,7 @@ from voxmill.config import (
 )
 from voxmill.functions.numbers import clip_score, exact_mean, let, percent_ints
 from voxmill.functions.text import words
-from voxmill.operators.patterns import FILTER_BITS, hash_filter, hash_texts, hashed_patterns, known
+from voxmill.operators.patterns import hash_filter, hash_texts, hashed_patterns, known
 from voxmill.operators.scale import materialised, salted_join
 
 # The lexicon travels inside the plan, so its size is bounded.
@@ -35,6 +39,10 @@ NORMALISER = 15.0
 NEGATIONS = ("not", "no", "never", "cannot", "without", "isn", "wasn", "don", "doesn", "didn", "won", "couldn")
 BOOSTERS = ("very", "really", "extremely", "absolutely", "completely", "so", "totally", "incredibly")
 DAMPENERS = ("slightly", "somewhat", "barely", "hardly", "almost", "partly")
+# What a word does to a hit that follows it, in two bits.
+BOOSTS, DAMPENS, NEGATES = 1, 2, 3
+# Tokens of a batch that are looked at together, in a task that scores by a table.
+TOKENS_AT_ONCE = 1 << 18
 
 
 def label_sentiment(score: Column, preset: LabelPreset = ENGINE_LABELS) -> Column:
@@ -105,46 +113,80 @@ def adjusted_valence(base: Column, before: Column) -> Column:
     return F.when(negated, value * NEGATION_FACTOR).otherwise(value)
 
 
+def _valence_after(base: Column, before: Column) -> Column:
+    """``adjusted_valence`` where the kinds of the three words before are packed into one number, the nearest in the lowest bits."""
+    kinds = [F.shiftright(before, 2 * i).bitwiseAND(3) for i in range(len(BOOST_DECAY))]
+    sign, value = F.signum(base), base
+    for kind, decay in zip(kinds, BOOST_DECAY, strict=True):
+        value = value + sign * F.when(kind == BOOSTS, BOOST * decay).when(kind == DAMPENS, -BOOST * decay).otherwise(0.0)
+    return F.when(reduce(or_, [k == NEGATES for k in kinds]), value * NEGATION_FACTOR).otherwise(value)
+
+
 def _compound(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     return let(total, lambda t: clip_score(t / F.sqrt(t * t + F.lit(NORMALISER))))
 
 
+def _kinds(words: pa.Array) -> np.ndarray:
+    out = np.zeros(len(words), dtype=np.int64)
+    for kind, listed in ((BOOSTS, BOOSTERS), (DAMPENS, DAMPENERS), (NEGATES, NEGATIONS)):
+        out[pc.is_in(words, pa.array(listed, words.type)).to_numpy(zero_copy_only=False)] = kind
+    return out
+
+
+def _hits_of(table: Broadcast[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``id, word, hash, uses``: the places of each possible term in a row, with the kinds of the three words before, packed as ``place * 64 + kinds``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens, starts = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            for first in range(0, len(tokens), TOKENS_AT_ONCE):
+                # Three more tokens before the first one tell what precedes it.
+                low, last = max(first - 3, 0), min(first + TOKENS_AT_ONCE, len(tokens))
+                coded = tokens.slice(low, last - low).dictionary_encode()
+                words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                h, kind = hash_texts(words), _kinds(words)[code]
+                at = np.arange(first, last)
+                row = np.searchsorted(starts, at, side="right") - 1
+                # The first three tokens of a row are padding.
+                hit = known(table.value, h)[code[at - low]] & (at >= starts[row] + 3)
+                at, row = at[hit], row[hit]
+                before = kind[at - low - 1] | kind[at - low - 2] << 2 | kind[at - low - 3] << 4
+                key = row * len(words) + code[at - low]
+                order = np.argsort(key, kind="stable")
+                begin = np.flatnonzero(np.diff(key[order], prepend=-1))
+                word = code[at - low][order[begin]]
+                uses = pa.ListArray.from_arrays(np.append(begin, len(at)).astype(np.int32), pa.array(((at - starts[row]) * 64 + before)[order]))
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array(row[order[begin]])), words.take(pa.array(word)), pa.array(h[word].view(np.int64)), uses],
+                    names=["id", "word", "hash", "uses"],
+                )
+
+    return run
+
+
 def score_lexicon_table(
-    df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", out: str = "sentiment_score", bits: int = FILTER_BITS
+    df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", out: str = "sentiment_score", bits: int | None = None
 ) -> DataFrame:
     """``id, score`` of every row of ``df`` by a lexicon table (``term, valence``) of any size; scores as ``lexicon_score`` gives them.
 
-    Tokens are probed in a filter of the terms and only possible hits, with the three words before them, are joined to the table.
-    Terms that hold a space are phrases and count nothing here; of terms that differ in case only the largest valence counts.
+    Tokens are probed in a filter of the terms and only possible hits, one row for each word of a text with its places, are joined to
+    the table. Terms that hold a space are phrases and count nothing here; of terms that differ in case only the largest valence counts.
     """
     single = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence")).where(~F.contains("term", F.lit(" ")))
-    single = single.groupBy("term").agg(F.max("valence").alias("valence"))
+    single = materialised(single.groupBy("term").agg(F.max("valence").alias("valence")), "lexicon")
     terms = materialised(hashed_patterns(single, "term").select("hash", F.col("pattern").alias("term")).join(single, "term"), "lexicon-terms")
     table = df.sparkSession.sparkContext.broadcast(hash_filter(terms.select("hash"), bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            tokens, starts = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            h = hash_texts(tokens)
-            # The first three tokens of a row are padding.
-            at = np.flatnonzero(known(table.value, h) & (np.arange(len(h)) >= np.repeat(starts[:-1], np.diff(starts)) + 3))
-            row = np.searchsorted(starts, at, side="right") - 1
-            before = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * 3, tokens.take(pa.array((at[:, None] + np.arange(-3, 0)).reshape(-1))))
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(row)), pa.array(at - starts[row]), tokens.take(pa.array(at)), pa.array(h[at].view(np.int64)), before],
-                names=["id", "place", "word", "hash", "before"],
-            )
-
     tokens = F.concat(F.array_repeat(F.lit(""), 3), F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda t: t != ""))
     kind = df.schema[id_col].dataType.simpleString()
-    found = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(run, f"id {kind}, place long, word string, hash long, before array<string>")
+    found = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(_hits_of(table), f"id {kind}, word string, hash long, uses array<long>")
     found = materialised(found, "lexicon-hits")
     hits = salted_join(found, terms, "hash", "id", "inner").where(F.col("word") == F.col("term"))
-    values = hits.select("id", F.struct("place", adjusted_valence(F.col("valence"), F.col("before")).alias("value")).alias("hit"))
+    placed = F.transform("uses", lambda u: F.struct(F.shiftright(u, 6).alias("place"), _valence_after(F.col("valence"), u).alias("value")))
     # A row's hits come from its own text and are added up in their order.
-    summed = values.groupBy("id").agg(_compound(F.transform(F.array_sort(F.collect_list("hit")), lambda h: h["value"])).alias(out))
+    summed = hits.select("id", placed.alias("hits")).groupBy("id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    summed = summed.select("id", _compound(F.transform(F.array_sort("hits"), lambda h: h["value"])).alias(out))
     ids = df.select(F.col(id_col).alias("id"))
     return ids.join(summed, "id", "left").select(F.col("id").alias(id_col), F.coalesce(out, F.lit(0.0)).alias(out))
 
