@@ -101,3 +101,23 @@ def test_exact_quantiles_by_counting_equal_the_direct_way(spark, values):
 
 def test_exact_quantiles_of_nothing(spark):
     assert scale.exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == []
+
+
+def test_no_task_of_a_spread_table_reads_more_than_its_share(spark, tmp_path):
+    """One large file, whose split would be one task, is dealt out by its size and not by the number of cores alone."""
+    from voxmill.operators.scale import input_bytes, spread
+
+    spark.range(200_000).selectExpr("id", "md5(cast(id as string)) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores, size = spark.sparkContext.defaultParallelism, input_bytes(df)
+    assert size > 0 and spread(df).rdd.getNumPartitions() == 4 * cores
+    share = size // (10 * cores)
+    parts = spread(df, share).rdd.glom().map(len).collect()
+    assert len(parts) >= 10 * cores and max(parts) < 2 * 200_000 / len(parts) + 100
+    # Cut input is left alone only if its splits are as small as that.
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // (5 * cores)))
+    try:
+        assert spread(df, share).rdd.getNumPartitions() >= 10 * cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 SMALL_ROWS = 10_000
 # ... and a key with more than this part of all rows is cut into pieces of that size.
 HOT_PIECES = 1024
+# Compressed input that one task of a costly step reads at the most.
+TASK_BYTES = 1 << 24
 # Width of the row-number buckets of ``dense_rows``: the most rows one window group can hold.
 ROW_BUCKET = 1 << 14
 PAGE_DIRECT = 10_000
@@ -88,18 +90,19 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when there are far fewer splits than cores.
+def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Deal rows out to at least four tasks for each core, and to so many that none reads more than ``task_bytes`` of compressed input.
 
-    A scan with a split for every fourth core is left alone: at scale the files already fill the
-    cluster and a shuffle of whole texts would be the bottleneck.
+    A split of a scan can hold a hundred times the rows that a task should work on, and a file's row groups are not cut at all. Only a
+    scan with as many splits as that is left alone.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    size = input_bytes(df)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
     )
-    return df if 4 * input_bytes(df) > cores * split else df.repartition(4 * cores)
+    return df if size >= tasks * split else df.repartition(tasks)
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
