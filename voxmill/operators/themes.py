@@ -315,8 +315,14 @@ def _neighbour_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
     return within.select(*keys, pair).unionByName(across.select(*keys, pair))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """The table, marked to go to every task if it is small."""
+    side, small = small_table(df)
+    return F.broadcast(side) if small else side
+
+
 def _term_counts(df: DataFrame, keys: list[str], order: str, text: str, stopwords: Sequence[str] | None) -> DataFrame:
-    """Occurrences of 1-grams and 2-grams per cluster; a pair may have a second row for its uses across documents.
+    """Occurrences of 1-grams and 2-grams per cluster; a pair may have a second row for its uses ``across`` documents.
 
     Texts are read and cut into tokens once: the same pass emits the terms and, per document, its first
     and last token. Pairs across documents are then made from those two alone.
@@ -344,7 +350,7 @@ def _term_counts(df: DataFrame, keys: list[str], order: str, text: str, stopword
     edges = grouped.where(F.col("_o").isNotNull() & F.col("_first").isNotNull()).select(*keys, "_o", "_first", "_last")
     pairs = _neighbour_pairs(edges, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
     inner = grouped.where(F.col("term").isNotNull()).select(*keys, "term", "n")
-    return inner.unionByName(materialised(pairs, "pairs"))
+    return inner.withColumn("across", F.lit(False)).unionByName(materialised(pairs, "pairs").withColumn("across", F.lit(True)))
 
 
 def ctfidf_terms(
@@ -360,12 +366,15 @@ def ctfidf_terms(
 
     The documents of a cluster count as one long text in ``order`` (a unique whole number), so pairs also
     bridge neighbouring documents. With ``group`` every group is its own corpus. Term counts are combined
-    before the shuffle; there is no cluster-by-vocabulary matrix.
+    before the shuffle; there is no cluster-by-vocabulary matrix. Terms whose count alone rules them out are not scored.
     """
     keys = [group, cluster] if group else [cluster]
     corpus = [group] if group else []
     counts = _term_counts(df, keys, order, text, stopwords)
-    cluster_totals = counts.groupBy(*keys).agg(F.sum("n").alias("cluster_total"))
+    # How many counts there are of each power of two: a row for each cluster and power.
+    powers = counts.groupBy(*keys, F.floor(F.log2("n")).alias("_power")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_sum"), F.max("n").alias("_n"))
+    powers = materialised(powers, "powers")
+    cluster_totals = powers.groupBy(*keys).agg(F.sum("_sum").alias("cluster_total"))
     clusters = df.groupBy(*keys).agg(F.lit(1).alias("_one"))
     if not group:
         # One corpus: a constant key keeps the joins below plain equi-joins.
@@ -376,26 +385,41 @@ def ctfidf_terms(
     sums = cluster_totals.groupBy(corpus_key).agg(F.sum("cluster_total").alias("total"))
     corpus_totals = clusters.groupBy(corpus_key).agg(F.count(F.lit(1)).alias("clusters"))
     facts = cluster_totals.join(corpus_totals.join(sums, corpus_key), corpus_key)
-    facts = facts.select(*keys, "cluster_total", "clusters", "total")
-    facts, small = small_table(facts)
-    facts = F.broadcast(facts) if small else facts
-    # One shuffle by term serves both the counts per cluster and the totals per term; after it a term has
-    # at most one row per cluster, so these window groups are small.
-    scored = (
-        counts.repartition("term")
-        .groupBy(*keys, "term")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("term_total", F.sum("n").over(Window.partitionBy(*corpus, "term")))
-        .join(facts, keys)
-        .withColumn(
-            "score",
-            (F.col("n") / F.greatest(F.col("cluster_total"), F.lit(1)))
-            * F.log(F.lit(1.0) + (F.col("total") / F.col("clusters")) / F.greatest(F.col("term_total"), F.lit(1))),
-        )
-    )
-    # Rounded for ordering, so equal scores tie whatever the order of floating-point steps.
-    ranked = scored.select(*keys, "term", "n", F.round("score", 12).alias("score"))
-    return top_n(ranked, keys, [F.desc("score"), F.asc("term")], top, "rank")
+    facts = _sent(facts.select(*keys, "cluster_total", "clusters", "total"))
+
+    def score(n: Column, term_total: Column) -> Column:
+        rarity = F.log(F.lit(1.0) + (F.col("total") / F.col("clusters")) / F.greatest(term_total, F.lit(1)))
+        return (n / F.greatest(F.col("cluster_total"), F.lit(1))) * rarity
+
+    def scored(terms: DataFrame) -> DataFrame:
+        """Scores in all clusters of the listed terms. Counts of other terms are not moved while the list is short."""
+        listed = counts.join(_sent(terms.select(*corpus, "term").distinct()), [*corpus, "term"], "left_semi")
+        summed = listed.repartition("term").groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+        totalled = summed.withColumn("term_total", F.sum("n").over(Window.partitionBy(*corpus, "term"))).join(facts, keys)
+        # Rounded for ordering, so equal scores tie whatever the order of floating-point steps.
+        return totalled.select(*keys, "term", "n", F.round(score(F.col("n"), F.col("term_total")), 12).alias("score"))
+
+    # The scores of a cluster's most frequent terms bound its best ones from below. No term occurs less often in its corpus than in its cluster,
+    # and such a score grows with the count, so every count has a bound from above, and terms that stay below the others' need no totals.
+    above = Window.partitionBy(*keys).orderBy(F.desc("_power"))
+    before = powers.withColumn("_before", F.sum("_rows").over(above) - F.col("_rows"))
+    # A term may have two rows, so twice as many are taken.
+    least = before.where(F.col("_before") < 2 * top).groupBy(*keys).agg(F.min("_power").alias("_least"))
+    least = _sent(least)
+    # Most counts are far below what any cluster asks for, and leave before the join.
+    lowest = least.agg(F.min("_least")).first()[0] or 0
+    frequent = counts.where(F.col("n") >= 1 << lowest).join(least, keys).where(F.floor(F.log2("n")) >= F.col("_least"))
+    tops = top_n(scored(frequent), keys, [F.desc("score"), F.asc("term")], top, "rank")
+    bound = tops.groupBy(*keys).agg(F.min("score").alias("_bound"), F.count(F.lit(1)).alias("_found"))
+    bound = bound.select(*keys, F.when(F.col("_found") == top, F.col("_bound") - 1e-11).alias("_bound"))
+    most = counts.where("across").groupBy(*keys).agg(F.max("n").alias("_across"))  # reads the pairs across documents only
+    limits = _sent(facts.join(bound, keys, "left").join(most, keys, "left"))
+    at_most = F.col("n") + F.when(F.col("across"), F.lit(0)).otherwise(F.coalesce("_across", F.lit(0)))
+    reaches = F.col("_bound").isNull() | (score(at_most, at_most) >= F.col("_bound"))
+    highest = powers.select(*keys, "_power", F.col("_n").alias("n"), F.lit(False).alias("across")).join(limits, keys)
+    lowest = highest.where(reaches).agg(F.min("_power")).first()[0] or 0
+    possible = counts.where(F.col("n") >= 1 << lowest).join(limits, keys).where(reaches)
+    return top_n(scored(possible), keys, [F.desc("score"), F.asc("term")], top, "rank")
 
 
 def build_name(terms: Column) -> Column:
