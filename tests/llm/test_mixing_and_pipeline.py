@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,20 @@ def test_pipeline_runs_as_a_query(spark, sf_dir):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] and out.count() > 0
+
+
+def test_batches_without_a_benchmark_word_have_the_same_types(spark):
+    """The sums of the Gram matrix stay fractions where a batch of the task has nothing to sum."""
+    (piece,) = decontamination.pieces(pa.array(["alpha beta"]), lower=True, gaps=decontamination.NOT_ALNUM)
+    vocabulary = decontamination.Vocabulary(decontamination.word_hashes(piece))
+    texts = ["alpha beta alpha", "nothing here", "", "beta and alpha", "nothing"]
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {(r["row"], r["col"]): r["value"] for r in decontamination.gram(docs, vocabulary).collect()}
+        split = decontamination.gram(docs.where("_text like '%nothing%'"), vocabulary).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert split == 0 and got == {(r["row"], r["col"]): r["value"] for r in decontamination.gram(docs, vocabulary).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1)}

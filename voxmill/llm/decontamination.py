@@ -166,7 +166,8 @@ def gram(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 values.append(value)
             cell, back = np.unique(np.concatenate(cells), return_inverse=True)
             value = np.bincount(back, weights=np.concatenate(values), minlength=len(cell))
-            yield pa.record_batch([pa.array(cell // size), pa.array(cell % size), pa.array(value)], names=["row", "col", "value"])
+            # Sums over no cells are whole numbers.
+            yield pa.record_batch([pa.array(cell // size), pa.array(cell % size), pa.array(value.astype(float))], names=["row", "col", "value"])
 
     found = docs.select("_text").mapInArrow(run, "row long, col long, value double")
     return materialised(found.groupBy("row", "col").agg(F.sum("value").alias("value")), "gram")
