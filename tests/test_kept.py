@@ -74,3 +74,19 @@ def test_all_goes_with_the_run(spark, store):
     assert reader.breakdown_of_runs().first().asDict() == analytics.sentiment_breakdown(scanned(store, "run-0", "run-1")).first().asDict()
     assert store.partials("run-2").count() == 0
     assert spark.read.parquet(store.path("verbatim_ranks")).where("job_id = 'run-2'").count() == 0
+
+
+def test_small_buckets_share_files(spark, tmp_path, monkeypatch):
+    """A file holds many buckets; a page that lies in two files opens both."""
+    from voxmill.operators import pages
+
+    rows = spark.range(1000).selectExpr("'j' AS job_id", "'t' AS theme_id", "'Neutral' AS sentiment_label", "id AS row", "0.5D AS sentiment_score", "DATE '2024-01-01' AS date")
+    counts = rows.groupBy("job_id", "theme_id", "sentiment_label").agg(F.count(F.lit(1)).alias("reviews"))
+    for file_rows, files in ((1 << 17, 1), (64, 17)):  # two buckets of 30 in a file
+        monkeypatch.setattr(pages, "FILE_ROWS", file_rows)
+        path = str(tmp_path / str(file_rows))
+        pages.write_index(rows, counts, path, from_rows=10, bucket=30, sorts=["recent"])
+        assert len(list((tmp_path / str(file_rows) / "job_id=j" / "theme_id=t" / "label=all" / "sort=recent").glob("*/*.parquet"))) == files
+        got = pages.page_rows(spark, path, "j", "t", "recent", 50, 25, bucket=30)
+        assert sorted(r["rank"] for r in got.collect()) == list(range(50, 75)) and len(got.inputFiles()) == min(files, 2)
+        assert pages.page_rows(spark, path, "j", "t", "recent", 5000, 5, bucket=30).count() == 0

@@ -1,8 +1,9 @@
 """Stored order of a theme's reviews, so that a page far behind costs what the first one does.
 
 For every theme with at least ``from_rows`` reviews, and for each of its labels with as many, a row's place in each of the sort orders is
-stored in buckets of consecutive places, one file each. A page opens the one or two files that hold its places, and then takes the
-reviews with these row numbers. Smaller themes need no index: their pages are a plain top-k.
+stored in buckets of consecutive places. As many buckets as make up ``FILE_ROWS`` places share a file, sorted by place, so that the number
+of files stays small when buckets are. A page opens the one or two files that hold its places, and then takes the reviews with these
+row numbers. Smaller themes need no index: their pages are a plain top-k.
 
 Places are counted by ranges: rows are dealt by ranges of the order, counted, and numbered inside their range, so no
 task sorts a whole theme.
@@ -20,10 +21,16 @@ from voxmill.operators.analytics import MAX_PAGE, VERBATIM_SORTS, verbatim_order
 from voxmill.operators.scale import PAGE_DIRECT, materialised
 
 BUCKET = 10_000
+FILE_ROWS = 1 << 17
 ALL = "all"
 KEYS = ["job_id", "theme_id", "label"]
 
 
+def file_places(bucket: int) -> int:
+    """Places in one file of the index: whole buckets."""
+    return max(1, FILE_ROWS // bucket) * bucket
+
+
 def label_name(label: str | None) -> str:
     """The folder of a label."""
     return ALL if label is None else label.replace(" ", "_")
@@ -53,25 +60,26 @@ def rank_index(reviews: DataFrame, partials: DataFrame, sort: str, from_rows: in
 def write_index(
     reviews: DataFrame, partials: DataFrame, path: str, from_rows: int = PAGE_DIRECT, bucket: int = BUCKET, sorts: Sequence[str] = VERBATIM_SORTS
 ) -> None:
-    """Store the index of these runs; a bucket is one file."""
+    """Store the index of these runs; ``file_places`` consecutive places are one file."""
     enough = partials.where(F.col("theme_id").isNotNull()).groupBy("job_id", "theme_id").agg(F.sum("reviews").alias("n")).where(F.col("n") >= from_rows)
     if not enough.limit(1).count():
         return
-    folders = ["job_id", "theme_id", "label", "sort", "bucket"]
+    folders = ["job_id", "theme_id", "label", "sort", "part"]
+    part = F.floor(F.col("rank") / F.lit(file_places(bucket))).cast("long")
     for sort in sorts:
-        index = rank_index(reviews, partials, sort, from_rows, bucket)
+        index = rank_index(reviews, partials, sort, from_rows, bucket).withColumn("part", part).drop("bucket")
         index.repartition(*folders).sortWithinPartitions(*folders, "rank").write.mode("append").partitionBy(*folders).parquet(path)
 
 
 def page_rows(
     spark: SparkSession, path: str, job_id: str, theme_id: str, sort: str, offset: int, limit: int, label: str | None = None, bucket: int = BUCKET
 ) -> DataFrame | None:
-    """``rank, row`` of a page from its buckets alone, or None if the theme has no index. A page past the end is empty."""
+    """``rank, row`` of a page from the files of its places alone, or None if the theme has no index. A page past the end is empty."""
     base = f"{path}/job_id={job_id}/theme_id={theme_id}/label={label_name(label)}/sort={sort}"
-    found = None
-    for b in range(offset // bucket, (offset + limit - 1) // bucket + 1):
+    found, places = None, file_places(bucket)
+    for part in range(offset // places, (offset + limit - 1) // places + 1):
         try:
-            one = spark.read.schema("rank long, row long").parquet(f"{base}/bucket={b}")
+            one = spark.read.schema("rank long, row long").parquet(f"{base}/part={part}")
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in (exc.getCondition() or ""):
                 raise
@@ -79,7 +87,7 @@ def page_rows(
         found = one if found is None else found.unionByName(one)
     if found is None:
         try:
-            spark.read.schema("rank long, row long").parquet(f"{base}/bucket=0")
+            spark.read.schema("rank long, row long").parquet(f"{base}/part=0")
         except AnalysisException:
             return None
         return spark.createDataFrame([], "rank long, row long")

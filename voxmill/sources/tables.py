@@ -59,7 +59,7 @@ class ResultStore:
     """
 
     def __init__(self, spark: SparkSession, root: str, index_from: int = PAGE_DIRECT, index_bucket: int = BUCKET) -> None:
-        """Themes with ``index_from`` reviews or more get an index of their pages, in files of ``index_bucket`` places."""
+        """Themes with ``index_from`` reviews or more get an index of their pages, in buckets of ``index_bucket`` places."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.index_from, self.index_bucket = index_from, index_bucket
