@@ -183,6 +183,13 @@ def test_classes(spark):
     assert got["play"][0] == "Streaming/Playback" and got["café bug"][0] == "Performance & Crashes"
 
 
+def test_patterns_of_classes_do_not_fill_one_generated_method(spark):
+    rows = spark.range(3).selectExpr("concat('video ', id) AS text")
+    stages = themes.classify_keywords(rows)._jdf.queryExecution().debug().codegenToSeq()
+    # The JVM leaves methods above 8,000 bytes to its interpreter.
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
 def test_pattern_heads_are_implied():
     for patterns in themes.CLASS_PATTERNS.values():
         for p in patterns:

@@ -53,6 +53,17 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
+def vector_dot(vector: Column, b: Column) -> Column:
+    """Dot product of an ML vector with an array; a sparse vector costs its own entries only.
+
+    The terms left out are zeros and the others are added in the same order, so both forms give the same sum.
+    """
+    raw = F.unwrap_udt(vector)
+    entries = F.zip_with(raw["indices"], raw["values"], lambda i, x: x * F.get(b, i).cast("double"))
+    sparse = F.aggregate(entries, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(raw["type"] == 0, sparse).otherwise(dot(raw["values"], b))
+
+
 def unit(v: Column) -> Column:
     """Vector divided by its length, which is never taken below 1e-9."""
 

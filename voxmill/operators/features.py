@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxmill.config import Config
-from voxmill.functions.numbers import dot, unit
+from voxmill.functions.numbers import dot, unit, vector_dot
 from voxmill.functions.text import english_stopwords, feature_tokens, uni_and_bigrams
 from voxmill.operators.scale import lookup_join
 
@@ -63,9 +63,10 @@ def centroids(df: DataFrame, group: Sequence[str], vector: str = "features", nor
 def similarity_to_centroid(
     df: DataFrame, cents: DataFrame, group: str, id_col: str, vector: str = "embedding", out: str = "similarity"
 ) -> DataFrame:
-    """Dot product of every row's vector with the centroid of its group."""
+    """Dot product of every row's vector (an array or an ML vector) with the centroid of its group."""
     joined = lookup_join(df, cents.select(group, "centroid"), group, salt_from=id_col, how="inner", small_rows=1000)
-    return joined.withColumn(out, dot(F.col(vector), F.col("centroid"))).drop("centroid")
+    product = vector_dot if df.schema[vector].dataType.typeName() == "vectorudt" else dot
+    return joined.withColumn(out, product(F.col(vector), F.col("centroid"))).drop("centroid")
 
 
 def similarity_to(vector: Column, centroid: list[float]) -> Column:

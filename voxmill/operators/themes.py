@@ -87,21 +87,19 @@ def literal_head(pattern: str) -> str:
 def classify_keywords(df: DataFrame, text: str = "text", cfg: Config = Config()) -> DataFrame:
     """Class with the most matching patterns (ties to the earlier class) and its share of all hits."""
     table = class_patterns(cfg.categories)
-    lowered = F.col("_low")
 
-    def hit(pattern: str) -> Column:
+    def hit(lowered: Column, pattern: str) -> Column:
         # Every match starts with the literal head of its pattern; looking for that is far cheaper.
         head = literal_head(pattern)
         found = lowered.rlike(unicode_boundaries(pattern))
         return (lowered.contains(head) & found if head else found).cast("int")
 
-    def hits(patterns: list[str]) -> Column:
-        tests = [hit(p) for p in patterns]
+    def hits(lowered: Column, patterns: list[str]) -> Column:
+        tests = [hit(lowered, p) for p in patterns]
         return sum(tests[1:], tests[0]) if tests else F.lit(0)
 
-    counted = df.withColumn("_low", F.lower(F.col(text))).withColumn(
-        "_hits", F.array(*[hits(table[c]) for c in cfg.categories])
-    )
+    # All patterns in one generated method would be more than the JVM compiles; inside ``let`` they are evaluated one by one.
+    counted = df.withColumn("_hits", let(F.lower(F.col(text)), lambda low: F.array(*[hits(low, table[c]) for c in cfg.categories])))
     best = F.array_max("_hits")
     total = F.aggregate("_hits", F.lit(0), lambda acc, x: acc + x)
     names = F.array(*[F.lit(c) for c in cfg.categories])
@@ -114,7 +112,7 @@ def classify_keywords(df: DataFrame, text: str = "text", cfg: Config = Config())
             ),
         )
         .withColumn("confidence", F.coalesce(F.try_divide(best.cast("double"), F.col("_total")), F.lit(0.0)))
-        .drop("_low", "_hits", "_total")
+        .drop("_hits", "_total")
     )
 
 
@@ -558,9 +556,7 @@ def discover_themes(
     cents = centroids(merged, keys, vector)
     members = merged.join(F.broadcast(kept.select(*keys, "theme_id")), keys)
     cents = cents.join(F.broadcast(kept.select(*keys, "theme_id")), keys).select("theme_id", "centroid")
-    sims = similarity_to_centroid(
-        members.withColumn("_v", vector_to_array(vector)), cents, "theme_id", id_col, "_v", "similarity"
-    ).withColumn("similarity", F.round("similarity", 9))
+    sims = similarity_to_centroid(members, cents, "theme_id", id_col, vector, "similarity").withColumn("similarity", F.round("similarity", 9))
     reps = representatives(sims, ["theme_id"], "similarity", id_col, per_cluster=cfg.samples_per_theme)
     themes = theme_stats(assigned, cfg=cfg).join(
         F.broadcast(kept.select("theme_id", "general_class", "name")), "theme_id"
