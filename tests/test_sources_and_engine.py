@@ -354,3 +354,16 @@ def test_uploads_are_written_and_ingested_as_many_files(spark, sf_dir, tmp_path,
     rows = uploads(spark, sf_dir).where("source_row > 0")
     want = {half: ("COMPLETED", rows.where(f"source_row % 2 = {i}").count()) for i, half in enumerate(("even", "odd"))}
     assert got == want | {"none": ("FAILED", 0)}
+
+
+def test_uploads_to_ingest_are_dealt_over_many_files(spark, sf_dir, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def write(df, path, sep):
+        raise Seen(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(queries_streams, "write_csv", write)
+    with pytest.raises(Seen) as seen:
+        queries_streams.ingest_stream(spark, sf_dir)
+    assert seen.value.args[0] >= 4 * spark.sparkContext.defaultParallelism
