@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +89,7 @@ def _distance(b: list[float] | None, c: list[float] | None) -> float | None:
 
 def similarities(df: DataFrame, center: list[float], vector: str = "features") -> DataFrame:
     """The column that drift compares, written once: eight bytes a row."""
-    return materialised(df.select(similarity_to(vector_to_array(vector), center).alias("similarity")), "similarities")
+    return materialised(df.select(similarity_to(F.col(vector), center).alias("similarity")), "similarities")
 
 
 def embedding_drift(

@@ -70,5 +70,5 @@ def similarity_to_centroid(
 
 
 def similarity_to(vector: Column, centroid: list[float]) -> Column:
-    """Dot product with one fixed vector, inlined as a literal."""
-    return dot(vector, F.lit([float(x) for x in centroid]).cast("array<double>"))
+    """Dot product of an ML vector with one fixed vector, inlined as a literal."""
+    return vector_dot(vector, F.lit([float(x) for x in centroid]).cast("array<double>"))
