@@ -169,3 +169,42 @@ def test_tokens_are_scored_in_pieces_of_bounded_size(monkeypatch):
         assert all(sum(map(len, b.column(3).to_pylist())) <= size for b in out)
         got = [(r["id"], r["word"], u >> 6, u & 63) for b in out for r in b.to_pylist() for u in r["uses"]]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_a_text_sends_each_string_once_and_no_claim(spark, monkeypatch):
+    """What is joined to the lexicon are the different strings of a chunk, however often they occur in it."""
+    from voxmill.operators import highlight
+
+    joined = []
+    join = highlight.salted_join
+    monkeypatch.setattr(highlight, "salted_join", lambda big, *a: joined.append(big.count()) or join(big, *a))
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad day", -2.0)], "term string, valence double")
+    df = spark.range(500).select("id", F.lit("good GOOD a bad day, a Bad Day good").alias("text")).coalesce(1)
+    rows = {tuple((h.start, h.end, h.polarity, h.term) for h in r.highlights) for r in highlight_spans(df, lexicon, "id").collect()}
+    assert rows == {((0, 4, "positive", "good"), (5, 9, "positive", "GOOD"), (12, 19, "negative", "bad day"), (23, 30, "negative", "Bad Day"), (31, 35, "positive", "good"))}
+    assert joined == [4]
+
+
+def test_claims_of_one_id_are_settled_together(spark):
+    lexicon = spark.createDataFrame([("good", 2.0), ("a bad", -2.0)], "term string, valence double")
+    rows = [(1, "good x"), (1, "good x"), (2, "good [EMAIL_REDACTED]"), (2, "a bad good"), (None, "x good"), (None, "xx good"), (3, "good")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    got = {r.id: [(h.start, h.end, h.term) for h in r.highlights] for r in highlight_spans(df, lexicon, "id").collect()}
+    assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 1, None: 1, 3: 1}
+    assert got[2] == [(0, 5, "a bad")] and got[3] == [(0, 4, "good")]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 64])
+def test_stretches_hold_as_if_taken_one_by_one(rounds):
+    from voxmill.operators.highlight import first_come
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 300):
+        start = rng.integers(0, 400, n)
+        end = start + rng.integers(1, 12, n)
+        given = rng.random(420) < 0.1
+        taken, want = given.copy(), []
+        for a, b in zip(start, end, strict=True):
+            want.append(not taken[a:b].any())
+            taken[a:b] |= want[-1]
+        assert first_come(start, end, given.copy(), rounds).tolist() == want

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.functions.numbers import let
 from voxmill.functions.pii import TAGS
 from voxmill.functions.text import utf16_length
-from voxmill.operators.patterns import Probe, Rolling, bytes_of, candidates, hash_filter, hashed_patterns, known, pieces, prepare
+from voxmill.operators.patterns import Probe, Rolling, bytes_of, candidates, hash_filter, hashed_rows, known_at, pieces, probe_of
 from voxmill.operators.scale import materialised, salted_join
 from voxmill.operators.sentiment import MAX_LEXICON
 
@@ -150,7 +150,11 @@ def highlight_terms(
 
 
 # ---------------------------------------------------------------- lexicon tables of any size
-_CLAIM = "kind string, hash long, start int, end int, found binary, term string"
+_CLAIMS = (
+    "again boolean, chunk long, strings array<struct<kind: string, hash: long, found: binary, term: string>>, "
+    "which array<int>, start array<int>, end array<int>"
+)
+_STRING = pa.struct([("kind", pa.string()), ("hash", pa.int64()), ("found", pa.binary()), ("term", pa.string())])
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _IN_WORD = _LETTER.copy()
@@ -184,30 +188,47 @@ def word_forms(words: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.min_by("valence", "rank").alias("valence"))
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values, pa.int32()))
+
+
 def _claims(phrases: Probe, words: Broadcast[np.ndarray]):
-    """Possible phrases (p) and words (w) of the texts and their tags (t), in UTF-16 units."""
+    """Possible phrases (p) and words (w) of the texts and their tags, in UTF-16 units: one row for each text that has any.
+
+    A chunk is a piece of a batch. Its first row has the different ``strings`` of all its claims, ``which`` counts them from 0; a tag is -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, last in pieces(batch, 1):
                 part = batch.slice(first, last - first)
                 texts = part.column(1).to_pylist()
-                rows, out = [], []
                 low, offsets = bytes_of(pa.array([_lowered(t) for t in texts], pa.string()))
                 data, own = bytes_of(part.column(1))
+                raw_low, raw = low.tobytes(), data.tobytes()
+                strings: dict[tuple[str, int, bytes, bytes], int] = {}
+                rows, which, start, end = ([np.zeros(0, dtype=np.int64)] for _ in range(4))
 
                 def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     begins = (raw & 0xC0) != 0x80
                     return np.concatenate([[0], np.cumsum(begins)]), np.concatenate([[0], np.cumsum(begins.astype(np.int64) + (raw >= 0xF0))])
 
+                def claim(row: np.ndarray, keys: Iterable[tuple[str, int, bytes, bytes]], a: np.ndarray, b: np.ndarray) -> None:
+                    rows.append(row)
+                    which.append(np.array([strings.setdefault(k, len(strings)) for k in keys], dtype=np.int64))
+                    start.append(a)
+                    end.append(b)
+
                 chars, wide = units(low)
+                # Both have the same characters.
+                char_at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
                 row_of = np.repeat(np.arange(len(part)), np.diff(offsets))
                 for starts, size, h in candidates(low, offsets, phrases):
-                    for s, x in zip(starts.tolist(), h.view(np.int64).tolist(), strict=True):
-                        r, base = row_of[s], offsets[row_of[s]]
-                        a, b = chars[s] - chars[base], chars[s + size] - chars[base]
-                        rows.append(r)
-                        out.append(("p", x, int(wide[s] - wide[base]), int(wide[s + size] - wide[base]), low[s : s + size].tobytes(), texts[r][a:b]))
+                    row = row_of[starts]
+                    cuts = zip(starts.tolist(), char_at[chars[starts]].tolist(), char_at[chars[starts + size]].tolist(), h.view(np.int64).tolist(), strict=True)
+                    base = wide[offsets[row]]
+                    claim(row, [("p", x, raw_low[s : s + size], raw[a:b]) for s, a, b, x in cuts], wide[starts] - base, wide[starts + size] - base)
                 _, wide = units(data)
                 # A word begins at the first letter of a run of letters, apostrophes and hyphens.
                 inside = _IN_WORD[data]
@@ -217,29 +238,40 @@ def _claims(phrases: Probe, words: Broadcast[np.ndarray]):
                 tail[:-1] &= ~inside[1:]
                 head[breaks] = inside[breaks]
                 tail[breaks[breaks > 0] - 1] = inside[breaks[breaks > 0] - 1]
-                begin, end, letters = np.flatnonzero(head), np.flatnonzero(tail) + 1, np.flatnonzero(_LETTER[data])
+                begin, stop, letters = np.flatnonzero(head), np.flatnonzero(tail) + 1, np.flatnonzero(_LETTER[data])
                 begin = np.append(letters, len(data))[np.searchsorted(letters, begin)] if len(begin) else begin
-                begin, end = begin[begin < end], end[begin < end]
+                begin, stop = begin[begin < stop], stop[begin < stop]
                 small = _SMALL[data]
-                h = Rolling(small).of(begin, end - begin)
-                hit = known(words.value, h)
-                row_of = np.repeat(np.arange(len(part)), np.diff(own))
-                for s, e, x in zip(begin[hit].tolist(), end[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
-                    base = own[row_of[s]]
-                    rows.append(row_of[s])
-                    out.append(("w", x, int(wide[s] - wide[base]), int(wide[e] - wide[base]), small[s:e].tobytes(), data[s:e].tobytes().decode()))
-                for r, text in enumerate(texts):
-                    if "_REDACTED]" in text:
-                        for m in _ANY_TAG.finditer(text):
+                raw_small = small.tobytes()
+                h = Rolling(small).of(begin, stop - begin)
+                hit = known_at(words.value, h)
+                begin, stop, h = begin[hit], stop[hit], h[hit].view(np.int64)
+                row = np.repeat(np.arange(len(part)), np.diff(own))[begin]
+                cuts = zip(begin.tolist(), stop.tolist(), h.tolist(), strict=True)
+                base = wide[own[row]]
+                claim(row, [("w", x, raw_small[s:e], raw[s:e]) for s, e, x in cuts], wide[begin] - base, wide[stop] - base)
+                if b"_REDACTED]" in raw:
+                    for r, text in enumerate(texts):
+                        for m in _ANY_TAG.finditer(text) if "_REDACTED]" in text else ():
                             a, b = (len(text[:k].encode("utf-16-le")) // 2 for k in m.span())
-                            rows.append(r)
-                            out.append(("t", None, a, b, None, None))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 6
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-                names = ["kind", "hash", "start", "end", "found", "term"]
+                            for out, value in ((rows, r), (which, -1), (start, a), (end, b)):
+                                out.append(np.array([value]))
+                rows, which, start, end = (np.concatenate(c) for c in (rows, which, start, end))
+                order = np.argsort(rows, kind="stable")
+                texts_of, sizes = np.unique(rows, return_counts=True)
+                if not len(texts_of):
+                    continue
+                kinds, hashes, found, terms = zip(*strings, strict=True) if strings else ((),) * 4
+                # A stretch of a text is cut at characters.
+                fields = [pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary()), pa.array(terms, pa.binary()).cast(pa.string())]
+                once = pa.ListArray.from_arrays(np.array([0] + [len(strings)] * len(texts_of), dtype=np.int32), pa.StructArray.from_arrays(fields, fields=list(_STRING)))
                 yield pa.record_batch(
-                    [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", *names]
-                )
+                    [
+                        part.column(0).take(pa.array(texts_of)), part.column(2).take(pa.array(texts_of)), pa.array(np.full(len(texts_of), chunk)), once,
+                        *(_lists(c[order], sizes) for c in (which, start, end)),
+                    ], names=["id", "again", "chunk", "strings", "which", "start", "end"],
+                )
+                chunk += 1
 
     return run
 
@@ -272,11 +304,113 @@ def settle(claims: list[dict]) -> list[tuple[int, int, str, str]]:
     return sorted((c["start"], c["end"], "positive" if c["valence"] > 0 else "negative", c["term"]) for c in held)
 
 
+_HIGHLIGHTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("polarity", pa.string()), ("term", pa.string())]))
+
+
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("polarity", pa.string()), ("term", pa.string())]))
     for batch in batches:
         spans = [[dict(zip(("start", "end", "polarity", "term"), s, strict=True)) for s in settle(c)] for c in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(spans, kind)], names=["id", "highlights"])
+        yield pa.record_batch([batch.column(0), pa.array(spans, _HIGHLIGHTS)], names=["id", "highlights"])
+
+
+# Rounds in which the claims of a chunk are settled together; what is left then is settled one by one.
+ROUNDS = 64
+
+
+def _places(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of stretches that are not empty, one stretch after the other, and where each begins among them."""
+    sizes = end - start
+    at = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(at - start, sizes), at
+
+
+def first_come(start: np.ndarray, end: np.ndarray, taken: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Which stretches hold if each, in the order given, takes its places unless one of them is taken.
+
+    In a round all stretches hold that come before all others left that share a place with them, and those that share one with them go.
+    """
+    held = np.zeros(len(start), dtype=bool)
+    left = np.arange(len(start))
+    owner = np.empty(len(taken), dtype=np.int64)
+    while True:
+        places, at = _places(start[left], end[left])
+        if len(left):
+            free = ~np.logical_or.reduceat(taken[places], at)
+            left = left[free]
+        if not len(left):
+            return held
+        if not rounds:
+            break
+        rounds -= 1
+        places, at = _places(start[left], end[left])
+        owner[places] = len(held)
+        np.minimum.at(owner, places, np.repeat(left, (end - start)[left]))
+        first = np.minimum.reduceat(owner[places], at) == left
+        own = left[first]
+        held[own] = True
+        taken[_places(start[own], end[own])[0]] = True
+        left = left[~first]
+    for i in left.tolist():
+        if not taken[start[i] : end[i]].any():
+            held[i] = True
+            taken[start[i] : end[i]] = True
+    return held
+
+
+def _settled_chunk(texts: pa.Table, strings: pa.Table) -> pa.Table:
+    """``settle`` for all texts of a chunk: ``id, highlights`` of those that have any. ``strings`` are the ones found in the lexicon."""
+    if not len(texts):
+        return pa.table({"id": texts.column("id"), "highlights": pa.array([], _HIGHLIGHTS)})
+    which, start, end = (texts.column(c).combine_chunks() for c in ("which", "start", "end"))
+    row = np.repeat(np.arange(len(texts)), np.diff(which.offsets.to_numpy()))
+    which, start, end = (c.flatten().to_numpy().astype(np.int64) for c in (which, start, end))
+    # Texts lie one after the other.
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    np.maximum.at(sizes, row, end)
+    base = (np.cumsum(sizes) - sizes)[row]
+    start, end = start + base, end + base
+    taken = np.zeros(int(sizes.sum()), dtype=bool)
+    tags = which < 0
+    taken[_places(start[tags], end[tags])[0]] = True
+    # Phrases come in the order of length and text of their key, all words after them.
+    kinds, keys, pos = (strings.column(c).to_pylist() for c in ("kind", "key", "pos"))
+    order_of = {key: i for i, key in enumerate(sorted({k for kind, k in zip(kinds, keys, strict=True) if kind == "p"}, key=lambda k: (-len(k), k)))}
+    line = np.full(max([int(which.max()), *pos]) + 2, -1)
+    rank = np.full(len(line), -1)
+    line[pos] = np.arange(len(pos))
+    rank[pos] = [order_of[k] if kind == "p" else len(order_of) for kind, k in zip(kinds, keys, strict=True)]
+    real = np.flatnonzero(rank[which] >= 0)
+    real = real[np.lexsort((start[real], rank[which[real]], row[real]))]
+    row, which, start, end, base = (c[real] for c in (row, which, start, end, base))
+    own = rank[which]
+    # A phrase is looked for again behind its last place.
+    same = np.append(False, (row[1:] == row[:-1]) & (own[1:] == own[:-1]) & (own[1:] < len(order_of)))
+    if (same & np.append(False, start[1:] < end[:-1])).any():
+        keep, upto = np.ones(len(own), dtype=bool), 0
+        for i, (again, a, b) in enumerate(zip(same.tolist(), start.tolist(), end.tolist(), strict=True)):
+            keep[i] = not again or a >= upto
+            upto = b if keep[i] else upto
+        row, which, start, end, base = (c[keep] for c in (row, which, start, end, base))
+    held = np.flatnonzero(first_come(start, end, taken))
+    held = held[np.argsort(start[held], kind="stable")]
+    row, which, start, end, base = (c[held] for c in (row, which, start, end, base))
+    at = pa.array(line[which])
+    polarity = pa.array(np.where(strings.column("valence").to_numpy()[line[which]] > 0, "positive", "negative"), pa.string())
+    spans = [pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32()), polarity, strings.column("term").combine_chunks().take(at)]
+    of, sizes = np.unique(row, return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(spans, names=["start", "end", "polarity", "term"]))
+    return pa.table([texts.column("id").combine_chunks().take(pa.array(of)), lists], names=["id", "highlights"])
+
+
+def _claims_of_ids(found: DataFrame, real: DataFrame) -> DataFrame:
+    """``id, claims`` of texts whose ids repeat: the claims of one id come together."""
+    single = found.select("id", "chunk", F.inline(F.arrays_zip("which", "start", "end")))
+    known = single.join(real.withColumnRenamed("pos", "which"), ["chunk", "which"]).select("id", "kind", "start", "end", "term", "key", "valence")
+    no_text = F.lit(None).cast("string")
+    tags = single.where("which < 0").select("id", F.lit("t").alias("kind"), "start", "end", no_text.alias("term"), no_text.alias("key"), F.lit(0.0).alias("valence"))
+    # The claims of a row are no more than its text has places.
+    return known.unionByName(tags).groupBy("id").agg(F.collect_list(F.struct("kind", "start", "end", "term", "key", "valence")).alias("claims"))
 
 
 def highlight_spans(
@@ -285,31 +419,41 @@ def highlight_spans(
     """``id, highlights`` of the rows that have any, by a lexicon table (``term, valence``) of any size.
 
     The spans are those of ``highlight_terms``; phrases of equal length are settled in the order of their text. Possible phrases and words are
-    found by their hashes and joined to the table, and the claims of a row are settled together. Texts are never moved. Of terms
-    that differ in case only the one with the largest valence counts. Ids must be unique.
+    found by their hashes. The different strings of a chunk of texts, about a megabyte, are joined to the table, and the claims of its texts are
+    settled together. Texts are moved only to mark rows whose ids repeat. Of terms that differ in case only the one with the largest valence counts. Ids
+    should be unique; the claims of rows with one id are settled together.
     """
     low = lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double").alias("valence"))
-    low = low.where(F.col("term") != "").groupBy("term").agg(F.max("valence").alias("valence"))
+    # Written once, as making a lexicon can take a pass over all texts.
+    low = materialised(low.where(F.col("term") != "").groupBy("term").agg(F.max("valence").alias("valence")), "lexicon")
     strong = F.abs("valence") >= threshold
     spaced = F.contains("term", F.lit(" "))
-    phrases = low.where(spaced & strong)
-    words = word_forms(low.where(~spaced)).where(strong).withColumnRenamed("word", "term")
-    looked_for = prepare(phrases, "term", bits)
-    of_words = materialised(hashed_patterns(words, "term").select("pattern", "hash"), "word-forms")
-    entries = looked_for.table.join(phrases, F.col("pattern") == F.col("term")).select(F.lit("p").alias("_kind"), "hash", "pattern", "valence")
-    entries = entries.unionByName(of_words.join(words, F.col("pattern") == F.col("term")).select(F.lit("w").alias("_kind"), "hash", "pattern", "valence"))
-    entries = materialised(entries, "lexicon-entries")
+    phrases = low.where(spaced & strong).select(F.col("term").alias("pattern"), F.lit("p").alias("_kind"), "valence")
+    words = word_forms(low.where(~spaced)).where(strong).select(F.col("word").alias("pattern"), F.lit("w").alias("_kind"), "valence")
+    entries = materialised(hashed_rows(phrases.unionByName(words)), "lexicon-entries")
+    of_phrases, of_words = (entries.where(F.col("_kind") == k) for k in ("p", "w"))
+    entries = entries.select("_kind", "hash", "pattern", "valence")
     in_tasks = df.sparkSession.sparkContext.broadcast(hash_filter(of_words.select("hash"), bits))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    found = materialised(rows.mapInArrow(_claims(looked_for.probe, in_tasks), f"id {kind}, {_CLAIM}"), "claims")
-    joined = salted_join(found.where(F.col("kind") != "t"), entries, "hash", "id", "inner")
+    repeated = materialised(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.lit(True).alias("again")), "repeated-ids")
+    unique = repeated.isEmpty()
+    if unique:
+        marked = rows.withColumn("again", F.lit(False))
+    else:
+        marked = rows.join(repeated, rows["id"].eqNullSafe(repeated["_id"]), "left").select("id", "text", F.coalesce("again", F.lit(False)).alias("again"))
+    found = materialised(marked.mapInArrow(_claims(probe_of(of_phrases, bits), in_tasks), f"id {kind}, {_CLAIMS}"), "claims")
+    strings = found.where(F.size("strings") > 0).select("chunk", F.posexplode("strings").alias("pos", "s")).select("chunk", "pos", "s.*")
+    joined = salted_join(strings, entries, "hash", "chunk", "inner")
     real = joined.where((F.col("kind") == F.col("_kind")) & (F.col("found") == F.col("pattern").cast("binary")))
-    tags = found.where(F.col("kind") == "t").select("id", "kind", "start", "end", "term", F.lit(None).cast("string").alias("key"), F.lit(0.0).alias("valence"))
-    claims = real.select("id", "kind", "start", "end", "term", F.col("pattern").alias("key"), "valence").unionByName(tags)
-    # The claims of a row are no more than its text has places.
-    own = claims.groupBy("id").agg(F.collect_list(F.struct("kind", "start", "end", "term", "key", "valence")).alias("claims"))
-    spans = own.mapInArrow(_settled, f"id {kind}, highlights array<struct<start:int,end:int,polarity:string,term:string>>")
+    real = real.select("chunk", "pos", "kind", "term", F.col("pattern").alias("key"), "valence")
+    if not unique:
+        real = materialised(real, "found-strings")
+    spans_kind = f"id {kind}, highlights array<struct<start:int,end:int,polarity:string,term:string>>"
+    own = found.where(~F.col("again")).select(F.col("chunk").alias("piece"), "id", "which", "start", "end")
+    spans = own.groupBy("piece").cogroup(real.groupBy("chunk")).applyInArrow(lambda a, b: _settled_chunk(a, b), spans_kind)
+    if not unique:
+        spans = spans.unionByName(_claims_of_ids(found.where("again"), real).mapInArrow(_settled, spans_kind))
     return spans.where(F.size("highlights") > 0).withColumnRenamed("id", id_col)
 
 

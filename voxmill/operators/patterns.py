@@ -160,28 +160,37 @@ class Patterns:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch, whose first column is the pattern, with its hashes and size."""
     for batch in batches:
         data, offsets = bytes_of(batch.column(0))
         sizes = np.diff(offsets)
         rolling = Rolling(data)
         whole, seed = rolling.of(offsets[:-1], sizes), rolling.of(offsets[:-1], np.minimum(_seed_size(sizes), sizes))
-        yield pa.record_batch(
-            [batch.column(0), pa.array(whole.view(np.int64)), pa.array(seed.view(np.int64)), pa.array(sizes)], names=["pattern", "hash", "seed", "size"]
-        )
+        more = [pa.array(whole.view(np.int64)), pa.array(seed.view(np.int64)), pa.array(sizes)]
+        yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "hash", "seed", "size"])
+
+
+def hashed_rows(rows: DataFrame) -> DataFrame:
+    """``rows``, whose first column is a text and never null, with its ``hash``, ``seed`` and ``size`` (in bytes)."""
+    own = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(_hashed, f"{own}, hash long, seed long, size long")
 
 
 def hashed_patterns(patterns: DataFrame, column: str) -> DataFrame:
     """``pattern, hash, seed, size`` (in bytes) of the different patterns."""
-    distinct = patterns.select(F.col(column).cast("string").alias("pattern")).where(F.col("pattern") != "").distinct()
-    return distinct.mapInArrow(_hashed, "pattern string, hash long, seed long, size long")
+    return hashed_rows(patterns.select(F.col(column).cast("string").alias("pattern")).where(F.col("pattern") != "").distinct())
+
+
+def probe_of(table: DataFrame, bits: int | None = None) -> Probe:
+    """The filters and lengths of a written table with ``hash, seed, size``."""
+    lengths = sorted(r["size"] for r in table.select("size").distinct().collect())
+    send = table.sparkSession.sparkContext.broadcast
+    return Probe(send(hash_filter(table.select("seed"), bits)), send(hash_filter(table.select("hash"), bits)), lengths)
 
 
 def prepare(patterns: DataFrame, column: str = "pattern", bits: int | None = None) -> Patterns:
     table = materialised(hashed_patterns(patterns, column), "patterns")
-    lengths = sorted(r["size"] for r in table.select("size").distinct().collect())
-    send = patterns.sparkSession.sparkContext.broadcast
-    probe = Probe(send(hash_filter(table.select("seed"), bits)), send(hash_filter(table.select("hash"), bits)), lengths)
-    return Patterns(table.select("pattern", "hash"), probe)
+    return Patterns(table.select("pattern", "hash"), probe_of(table, bits))
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, probe: Probe) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:

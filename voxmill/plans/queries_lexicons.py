@@ -23,7 +23,9 @@ lex AS (SELECT term, CAST(length(term) % 7 - 3 AS DOUBLE) AS v FROM every_term W
 
 
 def _lexicon(spark: SparkSession, sf_dir: str, spoken: DataFrame) -> DataFrame:
-    words = [t.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")) for t in (table(spark, sf_dir, "documents"), spoken)]
+    # A text's words count once before they become rows.
+    in_text = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    words = [t.select(F.explode(in_text).alias("term")) for t in (table(spark, sf_dir, "documents"), spoken)]
     parts = F.split("text", " ")
     stretches = F.array(*[F.array_join(F.slice(parts, k, n), " ") for k in range(1, 6) for n in (2, 3)])
     terms = words[0].union(words[1]).union(spoken.select(F.explode(stretches))).select(F.lower("term").alias("term")).distinct()
