@@ -209,3 +209,32 @@ def test_outliers_and_surplus_clusters_go_to_the_nearest_kept_one(spark):
 def test_empty_table_gives_an_empty_result(spark):
     df = spark.createDataFrame([], "grp string, n long, vec array<double>")
     assert density.density_cluster(df, "grp", "n", "vec", "c").withColumn("x", F.lit(1)).count() == 0
+
+
+def test_sparse_vectors_travel_as_their_entries(spark, monkeypatch):
+    """Points of sparse, dense and plain vectors are the same, and points know how often the keys of the final join occur."""
+    from pyspark.ml.linalg import Vectors
+
+    from voxmill.operators import scale
+
+    rng = np.random.default_rng(4)
+    rows = [{int(k): float(rng.random()) for k in rng.choice(200, 5, replace=False)} for _ in range(30)] + [{}, {}]
+    full = [[r.get(k, 0.0) for k in range(200)] for r in rows]
+    kinds = {
+        "sparse": [Vectors.sparse(200, r) for r in rows],
+        "dense": [Vectors.dense(v) for v in full],
+        "mixed": [Vectors.sparse(200, r) if i % 2 else Vectors.dense(v) for i, (r, v) in enumerate(zip(rows, full, strict=True))],
+        "plain": full,
+    }
+    frames = {name: spark.createDataFrame([("g", i, v) for i, v in enumerate(vs)], ["grp", "id", "vec"]).coalesce(1) for name, vs in kinds.items()}
+    got = {name: {r.id: (r.weight, r.vec) for r in density.points_of(df, "grp", "vec").collect()} for name, df in frames.items()}
+    for name, points in got.items():
+        assert points.keys() == got["plain"].keys(), name
+        assert all(points[k][0] == w and np.allclose(points[k][1], v, atol=1e-12) for k, (w, v) in got["plain"].items())
+    assert sorted(w for w, _ in got["sparse"].values()) == [1] * 30 + [2]
+
+    def counted_again(*_):
+        raise AssertionError("keys are counted in another pass over the rows")
+
+    monkeypatch.setattr(scale, "hot_keys", counted_again)
+    assert density.density_cluster(frames["sparse"], "grp", "id", "vec", "label").count() == 32

@@ -32,7 +32,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from voxmill.operators.scale import lookup_join, materialised, salted_join, small_table
+from voxmill.operators.scale import hottest, lookup_join, materialised, salted_join, small_table
 
 NEAREST = 1e-12
 
@@ -75,20 +75,52 @@ def points_of(df: DataFrame, group: str, vector: str, opts: Density = Density())
     """
     is_vector = df.schema[vector].dataType.typeName() == "vectorudt"
     values = (vector_to_array(vector) if is_vector else F.col(vector)).cast("array<double>")
-    rows = df.select(_named(group).alias("grp"), values.alias("vec")).where(F.col("vec").isNotNull())
-    distinct = rows.groupBy("grp", F.xxhash64("vec").alias("id")).agg(F.count(F.lit(1)).alias("weight"), F.any_value("vec").alias("vec"))
+    # A sparse vector travels as its own entries.
+    raw = F.unwrap_udt(vector) if is_vector else F.struct(F.lit(1).alias("type"), F.lit(0).alias("size"), F.lit(None).cast("array<int>").alias("indices"), values.alias("values"))
+    rows = df.where(F.col(vector).isNotNull()).select(_named(group).alias("grp"), F.xxhash64(values).alias("id"), raw.alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane: np.ndarray | None = None
         for batch in batches:
-            x = _matrix(batch.column(3))
-            if x.shape[1] > opts.dims:
-                plane = _plane(x.shape[1], opts.dims, opts.seed) / np.sqrt(opts.dims) if plane is None else plane
-                x = x @ plane
+            dense, at, entries = batch.column(2), batch.column(4), batch.column(5)
+            # Dense vectors tell no size.
+            sizes = batch.column(3).fill_null(0).to_numpy()
+            places, numbers = (c.flatten().to_numpy(zero_copy_only=False) for c in (at, entries))
+            if batch.num_rows and (dense.to_numpy() == 0).all():
+                size, ends = int(sizes[0]), entries.offsets.to_numpy() - entries.offsets[0].as_py()
+                x = np.zeros((len(sizes), min(size, opts.dims)))
+                if size > opts.dims and plane is None:
+                    plane = _plane(size, opts.dims, opts.seed) / np.sqrt(opts.dims)
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    if size > opts.dims:
+                        x[i] = numbers[a:b] @ plane[places[a:b]]
+                    else:
+                        x[i, places[a:b]] = numbers[a:b]
+            else:
+                x = _whole(dense.to_numpy(), sizes, at, entries)
+                if x.shape[1] > opts.dims:
+                    plane = _plane(x.shape[1], opts.dims, opts.seed) / np.sqrt(opts.dims) if plane is None else plane
+                    x = x @ plane
             vec = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1)))
-            yield pa.record_batch([*batch.columns[:3], vec], names=["grp", "id", "weight", "vec"])
+            yield pa.record_batch([*batch.columns[:2], vec], names=["grp", "id", "vec"])
+
+    # Projected first: what is shuffled and sorted are the short vectors.
+    short = rows.select("grp", "id", "raw.type", "raw.size", "raw.indices", "raw.values").mapInArrow(run, "grp string, id long, vec array<double>")
+    return short.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("weight"), F.any_value("vec").alias("vec"))
+
 
-    return distinct.select("grp", "id", "weight", "vec").mapInArrow(run, "grp string, id long, weight long, vec array<double>")
+def _whole(kind: np.ndarray, sizes: np.ndarray, at: pa.Array, entries: pa.Array) -> np.ndarray:
+    """Vectors of both forms as a matrix."""
+    if (kind != 0).all():
+        return _matrix(entries)
+    rows = []
+    for k, size, places, numbers in zip(kind.tolist(), sizes.tolist(), at.to_pylist(), entries.to_pylist(), strict=True):
+        row = np.array(numbers, dtype=np.float64)
+        if k == 0:
+            row = np.zeros(size)
+            row[places] = numbers
+        rows.append(row)
+    return np.stack(rows)
 
 
 def _coded(opts: Density, carried: list[str]):
@@ -521,11 +553,15 @@ def density_cluster(
     """``df`` with the label of each row's vector inside its group; null without a vector. Copies of a hot vector are spread by ``id_col``."""
     is_vector = df.schema[vector].dataType.typeName() == "vectorudt"
     values = (vector_to_array(vector) if is_vector else F.col(vector)).cast("array<double>")
-    labels = density_labels(points_of(df, group, vector, opts), opts)
+    # Written before they are centred, which reads them twice.
+    points = materialised(points_of(df, group, vector, opts), "distinct-points")
+    labels = density_labels(points, opts)
 
     def key(grp: Column, point: Column) -> Column:
         return F.concat_ws(":", point.cast("string"), grp)
 
     keyed = df.drop(out).withColumn("_key", F.when(F.col(vector).isNotNull(), key(_named(group), F.xxhash64(values))))
     unique = labels.select(key(F.col("grp"), F.col("id")).alias("_key"), F.col("label").alias(out))
-    return salted_join(keyed, unique, "_key", id_col).drop("_key")
+    # Points know how many rows they stand for, so no key is counted again.
+    hot = hottest(points.select(key(F.col("grp"), F.col("id")).alias("_key"), F.col("weight").alias("count")), "_key")
+    return salted_join(keyed, unique, "_key", id_col, hot=hot).drop("_key")

@@ -122,8 +122,13 @@ def hot_keys(df: DataFrame, key: str) -> dict:
 
     One exact, map-side combined count with a top-k; there are fewer than ``HOT_PIECES`` such keys whatever the size.
     """
+    return hottest(df.where(F.col(key).isNotNull()).groupBy(key).count(), key)
+
+
+def hottest(counts: DataFrame, key: str) -> dict:
+    """``hot_keys`` from the ``count`` of every key."""
     seen = Observation()
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().observe(seen, F.sum("count").alias("rows"))
+    counts = counts.observe(seen, F.sum("count").alias("rows"))
     top = counts.orderBy(F.desc("count"), F.asc(key)).limit(HOT_PIECES).collect()
     total = seen.get["rows"] or 0
     return {r[0]: -(-r[1] * HOT_PIECES // total) for r in top if r[1] * HOT_PIECES > total}
@@ -143,15 +148,18 @@ def lookup_join(
     return salted_join(big, unique, key, salt_from, how)
 
 
-def salted_join(big: DataFrame, unique: DataFrame, key: str, salt_from: str, how: str = "left") -> DataFrame:
-    """Join to a table with one row per ``key``; hot keys are cut into pieces by their own counts, so no task gets more than a piece."""
+def salted_join(big: DataFrame, unique: DataFrame, key: str, salt_from: str, how: str = "left", hot: dict | None = None) -> DataFrame:
+    """Join to a table with one row per ``key``; hot keys are cut into pieces by their own counts, so no task gets more than a piece.
+
+    ``hot`` are the ``hot_keys`` of ``big`` where the caller knows them.
+    """
     kind = big.schema[key].dataType
     fields = T.StructType([T.StructField(key, kind), T.StructField("_pieces", T.LongType())])
-    hot = F.broadcast(big.sparkSession.createDataFrame(list(hot_keys(big, key).items()), fields))  # fewer rows than HOT_PIECES
+    cut = F.broadcast(big.sparkSession.createDataFrame(list((hot_keys(big, key) if hot is None else hot).items()), fields))  # fewer rows than HOT_PIECES
     # Rows without a key match nothing but would all go to one task, so they are spread as well.
     pieces = F.when(F.col(key).isNull(), F.lit(HOT_PIECES)).otherwise(F.coalesce("_pieces", F.lit(1)))
-    left = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_from), pieces)).drop("_pieces")
-    right = unique.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)))
+    left = big.join(cut, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_from), pieces)).drop("_pieces")
+    right = unique.join(cut, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1)))
     return left.join(right.drop("_pieces"), [key, "_salt"], how).drop("_salt")
 
 
