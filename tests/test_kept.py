@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmill.operators import analytics
 from voxmill.plans.serving import RunReader
+from voxmill.sources import tables
 from voxmill.sources.tables import ResultStore
 
 LABELS = ["Positive", "Neutral", "Negative", "Strongly Negative"]
@@ -90,3 +91,16 @@ def test_small_buckets_share_files(spark, tmp_path, monkeypatch):
         got = pages.page_rows(spark, path, "j", "t", "recent", 50, 25, bucket=30)
         assert sorted(r["rank"] for r in got.collect()) == list(range(50, 75)) and len(got.inputFiles()) == min(files, 2)
         assert pages.page_rows(spark, path, "j", "t", "recent", 5000, 5, bucket=30).count() == 0
+
+
+@pytest.mark.parametrize("sort", analytics.VERBATIM_SORTS)
+def test_places_are_numbered_without_another_sort_of_the_rows(store, sort):
+    from voxmill.operators.pages import rank_index
+
+    reviews, partials = store._table("reviews_scored", tables.SCORED), store._table("partials", tables.PARTIALS)
+    index = rank_index(reviews, partials, sort, from_rows=1)
+    assert "row_number" not in index._jdf.queryExecution().analyzed().toString()
+    ranks = {}
+    for r in index.collect():
+        ranks.setdefault((r.job_id, r.theme_id, r.label), []).append(r["rank"])
+    assert ranks and all(sorted(v) == list(range(len(v))) for v in ranks.values())

@@ -5,8 +5,8 @@ stored in buckets of consecutive places. As many buckets as make up ``FILE_ROWS`
 of files stays small when buckets are. A page opens the one or two files that hold its places, and then takes the reviews with these
 row numbers. Smaller themes need no index: their pages are a plain top-k.
 
-Places are counted by ranges: rows are dealt by ranges of the order, counted, and numbered inside their range, so no
-task sorts a whole theme.
+Places are counted by ranges: rows are dealt by ranges of the order and written in order with their place in the range, and ranges are
+counted. No task sorts a whole theme, and no row is dealt or sorted a second time to be numbered.
 """
 
 from __future__ import annotations
@@ -47,13 +47,16 @@ def rank_index(reviews: DataFrame, partials: DataFrame, sort: str, from_rows: in
     rows = reviews.select("job_id", "theme_id", F.explode(F.array(F.lit(ALL), name)).alias("label"), "row", "sentiment_score", "date")
     chosen = rows.join(F.broadcast(large), KEYS)
     order = verbatim_order(sort)
-    ranged = materialised(chosen.repartitionByRange(*KEYS, *order).withColumn("part", F.spark_partition_id()), "ranged-reviews")
+    # Rows of a range are written in order with their place among all rows of their task, so that they are dealt and sorted once.
+    dealt = chosen.repartitionByRange(*KEYS, *order).sortWithinPartitions(*KEYS, *order)
+    place = F.monotonically_increasing_id()
+    placed = dealt.select(*KEYS, "row", F.spark_partition_id().alias("part"), place.alias("place"))
+    ranged = materialised(placed, "ranged-reviews")
     # A row for each theme and range.
-    counts = ranged.groupBy(*KEYS, "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = ranged.groupBy(*KEYS, "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     before = F.sum("n").over(Window.partitionBy(*KEYS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*KEYS, "part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(*KEYS, "part").orderBy(*order)) - 1
-    ranked = ranged.withColumn("inside", inside).join(counts, [*KEYS, "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    counts = counts.select(*KEYS, "part", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = ranged.join(F.broadcast(counts), [*KEYS, "part"]).withColumn("rank", F.col("before") + F.col("place") - F.col("first"))
     return ranked.select(*KEYS, F.lit(sort).alias("sort"), F.floor(F.col("rank") / F.lit(bucket)).cast("long").alias("bucket"), "rank", "row")
 
 

@@ -302,7 +302,7 @@ _LEFT = '"row" % 6 NOT IN (2, 3)'
 
 def _many_runs(spark: SparkSession, sf_dir: str) -> ResultStore:
     """The reviews as six runs, one of which is deleted, one purged and one written twice."""
-    rows = reviews(spark, sf_dir).withColumn("job_id", F.concat(F.lit("run-"), F.col("row") % 6))
+    rows = reviews(spark, sf_dir, wide=True).withColumn("job_id", F.concat(F.lit("run-"), F.col("row") % 6))
     rows = materialised(rows, "rows")
     store = ResultStore(spark, scratch_path(spark, "store"))
     now = datetime.fromisoformat(NOW)
