@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +21,7 @@ from voxmill.functions.numbers import dot, exact_mean, let
 from voxmill.functions.text import bigrams, term_tokens, text_key, theme_stopwords, unicode_boundaries
 from voxmill.operators.density import Density, density_cluster
 from voxmill.operators.features import centroids, similarity_to_centroid
+from voxmill.operators.kmeans import POINTS_PER_TASK, nearest, settle
 from voxmill.operators.scale import lookup_join, materialised, small_table, spread, top_n
 from voxmill.operators.sentiment import label_sentiment
 
@@ -61,7 +63,6 @@ TOP_TERMS = 15
 REP_MIN_CHARS = 15
 REP_MAX_CHARS = 280
 # Groups that may be clustered in one call: general classes are few.
-POINTS_PER_TASK = 20_000
 MAX_GROUPS = 1000
 # Rows per window group when neighbouring documents of a cluster are paired up.
 NEIGHBOUR_BUCKET = 1 << 16
@@ -189,45 +190,35 @@ def cluster_sizes(points: DataFrame, group: str, cfg: Config) -> dict[str, int]:
     return out
 
 
-def _fit(points: DataFrame, k: int, seed: int, vector: str, out: str, cfg: Config):
-    """One k-means fit. The points are distinct and at least ``k``, so ``k`` different ones always start it."""
-    means = KMeans(
-        k=k, seed=seed, featuresCol=vector, predictionCol=out, weightCol="weight", initMode="random", maxIter=cfg.kmeans_max_iter
-    )
-    return means.fit(points)
+def _first_centres(points: DataFrame, k: int, seed: int, vector: str, out: str) -> np.ndarray:
+    """Where a k-means fit starts. The points are distinct and at least ``k``, so ``k`` different ones always start it."""
+    means = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol=out, weightCol="weight", initMode="random", maxIter=0)
+    return np.array(means.fit(points).clusterCenters())
 
 
 def cluster_within(
     df: DataFrame, group: str, vector: str = "features", out: str = "cluster", cfg: Config = Config()
 ) -> DataFrame:
-    """K-means inside each group, groups fitted side by side; the cheapest of the restarts wins.
+    """K-means inside each group, all groups and restarts fitted in the same jobs; the cheapest of the restarts wins.
 
-    Points are stored by group, so a fit reads those of its own group only, once for all restarts.
+    Points are stored by group, so a start reads those of its own group only. Rows without a group are left out.
     """
     points = materialised(distinct_vectors(df, group, vector), "points", partition_by=[group])
     sizes = cluster_sizes(points, group, cfg)
 
-    def fit(item: tuple[str, int]):
+    def start(item: tuple[str, int]):
         name, k = item
         stored = points.where(F.col(group) == name).select(vector, "weight").persist(StorageLevel.MEMORY_AND_DISK)
-        # An iteration is one small job: as many tasks as the points need, not as there are files.
         part = stored.coalesce(max(1, stored.count() // POINTS_PER_TASK))
-        fits = [_fit(part, k, cfg.seed + attempt, vector, out, cfg) for attempt in range(cfg.kmeans_restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        starts = {attempt: _first_centres(part, k, cfg.seed + attempt, vector, out) for attempt in range(cfg.kmeans_restarts)}
         stored.unpersist()
-        return name, best
+        return name, starts
 
     todo = sorted((g, k) for g, k in sizes.items() if k > 1)
     with ThreadPoolExecutor(max_workers=max(1, cfg.fit_threads)) as pool:
-        models = dict(pool.map(fit, todo))
-    whole = [g for g, k in sizes.items() if k == 1]
-    parts = [m.transform(df.where(F.col(group) == g)) for g, m in sorted(models.items())]
-    if whole:
-        parts.append(df.where(F.col(group).isin(whole)).withColumn(out, F.lit(0)))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+        starts = dict(pool.map(start, todo))
+    centres = settle(points, group, vector, starts, cfg.kmeans_max_iter)
+    return df.where(F.col(group).isNotNull()).withColumn(out, nearest(df, group, vector, centres))
 
 
 def cluster_rows(df: DataFrame, group: str, id_col: str, vector: str = "features", out: str = "cluster", cfg: Config = Config()) -> DataFrame:

@@ -217,6 +217,7 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
     clustered = themes.cluster_within(rows, "label", cfg=Config())
+    clustered = materialised(clustered.select("label", "vec_id", "features", "cluster"), "clustered")
     merged = themes.merge_small(clustered, "label", "vec_id")
     return merged.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("members"))
 
