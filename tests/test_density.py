@@ -6,6 +6,7 @@ import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -238,3 +239,61 @@ def test_sparse_vectors_travel_as_their_entries(spark, monkeypatch):
 
     monkeypatch.setattr(scale, "hot_keys", counted_again)
     assert density.density_cluster(frames["sparse"], "grp", "id", "vec", "label").count() == 32
+
+
+def in_windows(x, ids, columns, window, sizes=(7, 50)):
+    """What ``_windows`` makes of one group, whose rows come in batches of changing sizes."""
+    kinds = pa.list_(pa.float64())
+    rows = pa.record_batch(
+        [pa.array([0] * len(x), pa.int32()), pa.array(["=g"] * len(x)), pa.array(x.tolist(), kinds), pa.array(ids), *map(pa.array, columns)],
+        names=["tab", "grp", "vec", "id", *(f"c{i}" for i in range(len(columns)))],
+    )
+    cuts = [0, *itertools.takewhile(lambda n: n < len(x), itertools.accumulate(itertools.cycle(sizes))), len(x)]
+    batches = [rows.slice(a, b - a) for a, b in itertools.pairwise(cuts)]
+    return density._windows(iter(batches), rows.schema.names[3:], window)
+
+
+@pytest.mark.parametrize(("n", "window"), [(1, 8), (90, 128), (128, 128), (129, 128), (300, 64), (301, 65), (40, 5)])
+def test_a_row_leaves_its_windows_once_with_the_nearest_of_all_of_them(n, window):
+    rng = np.random.default_rng(n)
+    x, ids, weights = rng.standard_normal((n, 5)), rng.permutation(n).astype(np.int64), rng.integers(1, 4, n)
+    step = window - window // 2
+    starts = [0, *range(step, n - window // 2, step)] if n > window else [0]
+    want = defaultdict(set)
+    for s in starts:
+        for i, j in itertools.permutations(range(s, min(s + window, n)), 2):
+            want[ids[i]].add((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), int(ids[j]), int(weights[j])))
+    out = list(density._search_neighbours(6)(in_windows(x, ids, [weights], window)))
+    got = [(r["id"], r["weight"], [tuple(v.values()) for v in r["near"]]) for batch in out for r in batch.to_pylist()]
+    assert [g[:2] for g in got] == list(zip(ids.tolist(), weights.tolist(), strict=True))
+    assert all(near == sorted(want[i])[:6] for i, _, near in got)
+    core = rng.random(n)
+    edges = {(a, b): w for batch in density._search_trees(200)(in_windows(x, ids, [core], window)) for a, b, w in zip(*(batch.column(c).to_pylist() for c in "abw"), strict=True)}
+    place = {int(i): k for k, i in enumerate(ids)}
+    shown = {(a, b): max(d, core[place[a]], core[place[b]]) for a in place for d, b, _ in want[a] if a < b}
+    order = sorted(shown, key=lambda e: (shown[e], e))
+    up = list(range(n))
+    least = 0.0
+    for a, b in order:
+        p, q = place[a], place[b]
+        while up[p] != p:
+            p = up[p]
+        while up[q] != q:
+            q = up[q]
+        if p != q:
+            up[p] = q
+            least += shown[a, b]
+            assert shown[a, b] <= max(edges.values())
+    assert all(shown[e] == pytest.approx(w) for e, w in edges.items())
+    forest = density._forest(*(np.array(c, dtype=np.int64) for c in zip(*edges, strict=True)), np.argsort(list(edges.values()), kind="stable")) if edges else []
+    assert len(forest) == n - 1 and sum(list(edges.values())[k] for k in forest) == pytest.approx(least)
+
+
+def test_windows_of_a_table_give_one_tree_and_lists_are_merged_without_comparing_all_pairs(spark):
+    x = cloud(9, sizes=(300, 200), noise=100)
+    opts = Density(tables=1, window=64)
+    points = density.centred(density.points_of(table(spark, {"a": x}), "grp", "vec", opts))
+    lists = density.neighbour_lists(points, opts)
+    assert "array_distinct" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    # Each overlapping window has a tree of its own; of those, one table needs no more edges than a tree has.
+    assert density.reach_edges(points, density.core_distances(lists, opts), opts).count() <= len(x) - 1

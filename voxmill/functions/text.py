@@ -8,8 +8,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxmill.functions.numbers import let
-
 # Every character that counts as white space in Unicode, plus the four ASCII separators.
 WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -90,10 +88,5 @@ def bigrams(tokens: Column) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def uni_and_bigrams(tokens: Column) -> Column:
-    """Tokens and their neighbouring pairs; the tokens are made once."""
-    return let(tokens, lambda t: F.concat(t, bigrams(t)))
-
-
 def utf16_length(c: Column) -> Column:
     return (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")

@@ -21,6 +21,7 @@ All vectors have one length; null ones are left out (no label). A group with few
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from voxmill.operators.scale import hottest, lookup_join, materialised, salted_join, small_table
 
 NEAREST = 1e-12
+# Edges of windows' trees whose common spanning forest a task makes at a time.
+EDGES_AT_ONCE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -142,8 +145,52 @@ def _coded(opts: Density, carried: list[str]):
     return run
 
 
-def _in_windows(points: DataFrame, opts: Density, search: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-    """``search(grp, matrix, id, other columns ...)`` of every window of consecutive points in every table; windows overlap by a half.
+@dataclass(frozen=True)
+class _Seen:
+    """A window: its first ``kept`` rows were in the one before, and the next one begins with its last ``stays`` rows."""
+
+    grp: str
+    x: np.ndarray
+    columns: list[np.ndarray]
+    kept: int
+    stays: int
+
+
+def _windows(batches: Iterator[pa.RecordBatch], names: list[str], window: int) -> Iterator[_Seen]:
+    """The windows of sorted rows; ``names`` are the columns of numbers, each of which comes as one array."""
+    key, parts, have, kept, fresh = None, [], 0, 0, 0
+
+    def seen(stays: int) -> _Seen:
+        x, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return _Seen(key[1], x, columns, kept, stays)
+
+    for batch in batches:
+        arrays = [_matrix(batch.column("vec")), *(batch.column(c).to_numpy(zero_copy_only=False) for c in names)]
+        tab, grp = batch.column("tab").to_numpy(), batch.column("grp")
+        code = grp.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero((tab[1:] != tab[:-1]) | (code[1:] != code[:-1])) + 1
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), batch.num_rows] if batch.num_rows else []):
+            head = (int(tab[lo]), grp[lo].as_py())
+            if head != key:
+                if fresh:
+                    yield seen(0)
+                key, parts, have, kept, fresh = head, [], 0, 0, 0
+            while lo < hi:
+                if have >= window:
+                    # The next window begins with the second half of this one; a new group begins empty.
+                    full = seen(window // 2)
+                    yield full
+                    have = kept = window // 2
+                    parts, fresh = [tuple(c[len(c) - kept :] for c in (full.x, *full.columns))], 0
+                take = min(hi - lo, window - have)
+                parts.append(tuple(c[lo : lo + take] for c in arrays))
+                lo, have, fresh = lo + take, have + take, fresh + take
+    if fresh:
+        yield seen(0)
+
+
+def _in_windows(points: DataFrame, opts: Density, search: Callable[[Iterator[_Seen]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``search`` of the windows of consecutive points in every table, with ``id`` and the other columns; windows overlap by a half.
 
     ``points`` has ``grp, id, vec, centre``, ``total`` as the last one, and other columns of numbers.
     """
@@ -156,64 +203,120 @@ def _in_windows(points: DataFrame, opts: Density, search: Callable[..., pa.Recor
     order = ["tab", "grp", "code", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, vecs, fresh = None, [], [], 0
-
-        def searched() -> pa.RecordBatch:
-            return search(key[1], np.stack(vecs), *(np.array(c) for c in zip(*rows, strict=True)))
-
-        for batch in batches:
-            x = _matrix(batch.column("vec"))
-            heads = zip(*(batch.column(c).to_pylist() for c in ("tab", "grp")), strict=True)
-            own = zip(*(batch.column(c).to_pylist() for c in ("id", *numbers)), strict=True)
-            for k, (head, row) in enumerate(zip(heads, own, strict=True)):
-                if head != key or len(rows) >= opts.window:
-                    if fresh:
-                        yield searched()
-                    # The next window begins with the second half of this one; a new group begins empty.
-                    cut = len(rows) if head != key else len(rows) - opts.window // 2
-                    key, fresh = head, 0
-                    rows, vecs = rows[cut:], vecs[cut:]
-                rows.append(row)
-                vecs.append(x[k])
-                fresh += 1
-        if fresh:
-            yield searched()
+        yield from search(_windows(batches, ["id", *numbers], opts.window))
 
     dealt = coded.withColumn("spread", F.when(F.col("total") > opts.window, F.col("id"))).withColumn("code", whole)
     return dealt.repartitionByRange("tab", "grp", "code", "spread").sortWithinPartitions(*order).drop("spread").mapInArrow(run, schema)
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the nearest others of every point and their distances."""
-    k = min(k, len(x) - 1)
-    square = (x * x).sum(axis=1)
-    rough = square[:, None] + square[None, :] - 2 * (x @ x.T)
-    np.fill_diagonal(rough, np.inf)
-    # A few more than asked for: the distances that count are computed for each pair on its own, alike in every window.
-    more = min(k + 4, len(x) - 1)
-    near = np.argpartition(rough, more - 1, axis=1)[:, :more]
-    exact = np.sqrt(((x[:, None, :] - x[near]) ** 2).sum(axis=2))
-    order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-    return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+def _exact(x: np.ndarray, of: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Distances of the points at ``of`` to those in their row of ``near``, some rows at a time, which stay in the processor's cache."""
+    out = np.empty(near.shape)
+    for lo in range(0, len(of), 64):
+        d = x[of[lo : lo + 64], None, :] - x[near[lo : lo + 64]]
+        out[lo : lo + 64] = np.multiply(d, d, out=d).sum(axis=2)
+    return np.sqrt(out, out=out)
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, k: int, kept: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the nearest others and their distances: of the first ``kept`` points, if any, among the rest only, then of the rest among all."""
+    square, every, rest = (x * x).sum(axis=1), np.arange(len(x)), np.arange(kept, len(x))
+    product = x[kept:] @ x.T
+    product *= 2
+
+    def closest(of: np.ndarray, among: np.ndarray, rough: np.ndarray, others: int) -> tuple[np.ndarray, np.ndarray]:
+        # A few more than asked for: the distances that count are computed for each pair on its own, alike in every window.
+        more = min(k + 4, others)
+        near = among[np.argpartition(rough, more - 1, axis=1)[:, :more]]
+        exact = _exact(x, of, near)
+        order = np.lexsort((ids[near], exact), axis=1)[:, : min(k, others)]
+        return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+
+    found = []
+    if kept:
+        rough = np.array(product[:, :kept].T, order="C")
+        found.append(closest(every[:kept], rest, np.subtract(square[:kept, None] + square[None, kept:], rough, out=rough), len(rest)))
+    rough = np.subtract(square[kept:, None] + square[None, :], product, out=product)
+    rough[rest - kept, rest] = np.inf
+    found.append(closest(rest, every, rough, len(x) - 1))
+    return found
 
 
 _NEAR_KIND = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("weight", pa.int64())]))
 
 
+def _lists(lengths: np.ndarray, d: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> pa.Array:
+    items = pa.StructArray.from_arrays([pa.array(d), pa.array(ids), pa.array(weights)], names=["d", "id", "weight"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), items).cast(_NEAR_KIND)
+
+
 def _search_neighbours(k: int):
-    def search(grp: str, x: np.ndarray, ids: np.ndarray, weights: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-        if len(ids) > 1:
-            near, d = _nearest(ids, x, k)
-            items = pa.StructArray.from_arrays([pa.array(v.reshape(-1)) for v in (d, ids[near], weights[near])], names=["d", "id", "weight"])
-            lists = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * near.shape[1], items)
-        else:
-            lists = pa.array([[]], _NEAR_KIND)
-        columns = [pa.array([grp] * len(ids), pa.string()), pa.array(ids), pa.array(weights), lists.cast(_NEAR_KIND)]
-        return pa.record_batch(columns, names=["grp", "id", "weight", "near"])
+    """Every row comes once in a table, as it leaves the windows, with the nearest of both that show it."""
+
+    def search(windows: Iterator[_Seen]) -> Iterator[pa.RecordBatch]:
+        waiting: tuple[np.ndarray, ...] = ()
+        for seen in windows:
+            ids, weights = seen.columns[:2]
+            if len(ids) > 1:
+                found = [(d, ids[near], weights[near]) for near, d in _nearest(ids, seen.x, k, seen.kept)]
+            else:
+                found = [(np.empty((1, 0)), np.empty((1, 0), np.int64), np.empty((1, 0), np.int64))]
+            if seen.kept:
+                both = [np.concatenate(pair, axis=1) for pair in zip(waiting, found[0], strict=True)]
+                order = np.lexsort((both[1], both[0]), axis=1)[:, :k]
+                found[0] = tuple(np.take_along_axis(c, order, 1) for c in both)
+            # Rows that stay are new in this window, as windows overlap by a half at most.
+            gone, new = len(ids) - seen.stays, len(found[-1][0])
+            waiting = tuple(c[new - seen.stays :] for c in found[-1])
+            found[-1] = tuple(c[: new - seen.stays] for c in found[-1])
+            lengths = np.concatenate([np.full(len(part[0]), part[0].shape[1]) for part in found])
+            near = _lists(lengths, *(np.concatenate([c.reshape(-1) for c in column]) for column in zip(*found, strict=True)))
+            yield pa.record_batch([pa.array([seen.grp] * gone, pa.string()), pa.array(ids[:gone]), pa.array(weights[:gone]), near], names=["grp", "id", "weight", "near"])
 
     return search
 
 
+def _best_lists(k: int):
+    """One row for each point: the ``k`` nearest of all its lists. Rows of a point follow each other."""
+
+    def merged(batch: pa.RecordBatch, place: np.ndarray) -> pa.RecordBatch:
+        """``place`` counts the points of the rows from 0."""
+        near = batch.column("near")
+        row = np.repeat(place, near.value_lengths().to_numpy())
+        d, ids, weights = (c.to_numpy(zero_copy_only=False) for c in near.flatten().flatten())
+        order = np.lexsort((weights, ids, d, row))
+        row, d, ids, weights = row[order], d[order], ids[order], weights[order]
+        # Tables find the same neighbours, whose distances are alike to the bit.
+        fresh = np.ones(len(row), dtype=bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]) | (d.view(np.int64)[1:] != d.view(np.int64)[:-1])
+        row, d, ids, weights = row[fresh], d[fresh], ids[fresh], weights[fresh]
+        count = int(place[-1]) + 1
+        sizes = np.bincount(row, minlength=count)
+        best = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k
+        firsts = batch.select(["grp", "id", "weight"]).take(pa.array(np.flatnonzero(np.diff(place, prepend=-1))))
+        lists = _lists(np.minimum(sizes, k), d[best], ids[best], weights[best])
+        return pa.record_batch([*firsts.columns, lists], names=["grp", "id", "weight", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            ids, code = batch.column("id").to_numpy(), batch.column("grp").dictionary_encode().indices.to_numpy()
+            place = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]) | (code[1:] != code[:-1]))])
+            # The last point may go on in the next batch.
+            cut = int(np.searchsorted(place, place[-1]))
+            rest = batch.slice(cut)
+            if cut:
+                yield merged(batch.slice(0, cut), place[:cut])
+        if rest is not None:
+            yield merged(rest, np.zeros(rest.num_rows, dtype=np.int64))
+
+    return run
+
+
 def centred(points: DataFrame) -> DataFrame:
     """``points`` with the mean vector of their group as ``centre`` and its number of points as ``total``."""
     mean = Summarizer.mean(array_to_vector("vec"), F.col("weight").cast("double"))
@@ -225,8 +328,8 @@ def neighbour_lists(points: DataFrame, opts: Density = Density()) -> DataFrame:
     """``grp, id, weight, near`` of ``centred`` points: for every point its nearest others found, nearest first, ``neighbours`` at most."""
     schema = "grp string, id long, weight long, near array<struct<d: double, id: long, weight: long>>"
     found = _in_windows(points.select("grp", "id", "weight", "vec", "centre", "total"), opts, _search_neighbours(opts.neighbours), schema)
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, opts.neighbours)
-    return found.groupBy("grp", "id").agg(F.first("weight").alias("weight"), best.alias("near"))
+    # Sorted by the number first, which is quicker to compare.
+    return found.repartition("grp", "id").sortWithinPartitions("id", "grp").mapInArrow(_best_lists(opts.neighbours), schema)
 
 
 def core_distances(lists: DataFrame, opts: Density = Density()) -> DataFrame:
@@ -245,26 +348,85 @@ def _tree(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(weight)
     best, near = weight[0].copy(), np.zeros(n, dtype=np.int64)
     outside = np.ones(n, dtype=bool)
-    outside[0] = False
+    closer = np.empty(n, dtype=bool)
+    best[0], outside[0] = np.inf, False
     ends = np.empty((n - 1, 2), dtype=np.int64)
     for k in range(n - 1):
-        new = int(np.where(outside, best, np.inf).argmin())
+        new = int(best.argmin())
         ends[k] = near[new], new
-        outside[new] = False
-        closer = weight[new] < best
-        best[closer], near[closer] = weight[new][closer], new
+        # Points of the tree stay at infinity.
+        best[new], outside[new] = np.inf, False
+        row = weight[new]
+        np.less(row, best, out=closer)
+        np.logical_and(closer, outside, out=closer)
+        np.copyto(best, row, where=closer)
+        np.copyto(near, new, where=closer)
     return ends[:, 0], ends[:, 1]
 
 
-def _search_trees(grp: str, x: np.ndarray, ids: np.ndarray, core: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    """The edges of a window's minimum spanning tree by mutual reachability."""
-    square = (x * x).sum(axis=1)
-    weight = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0.0))
-    weight = np.maximum(np.maximum(weight, core[:, None]), core[None, :])
-    p, q = _tree(weight)
-    w = np.maximum(np.maximum(np.sqrt(((x[p] - x[q]) ** 2).sum(axis=1)), core[p]), core[q])
-    a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
-    return pa.record_batch([pa.array([grp] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(w)], names=["grp", "a", "b", "w"])
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the edges a, b that are the minimum spanning forest, by Boruvka rounds; ``order`` are all places from the least edge on."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)][order], ends[len(a) :][order]
+    chosen: list[np.ndarray] = []
+    left, every = order, np.arange(len(names))
+    while True:
+        between = x != y
+        x, y, left = x[between], y[between], left[between]
+        if not len(left):
+            return np.unique(np.concatenate(chosen)) if chosen else left
+        least = np.full(len(names), len(left))
+        # Of several values for one place the last one stays: the first edge of each component.
+        last = np.arange(len(left))[::-1]
+        least[x[::-1]] = last
+        other = np.full(len(names), len(left))
+        other[y[::-1]] = last
+        np.minimum(least, other, out=least)
+        heads = np.flatnonzero(least < len(left))
+        took = least[heads]
+        chosen.append(left[took])
+        up = every.copy()
+        up[heads] = np.where(x[took] == heads, y[took], x[took])
+        # Two components that took the same edge point at each other: the smaller one is the name.
+        mutual = (up[up] == every) & (every < up)
+        up[mutual] = every[mutual]
+        while not np.array_equal(further := up[up], up):
+            up = further
+        x, y = up[x], up[y]
+
+
+def _search_trees(most: int):
+    """The edges of windows' minimum spanning trees by mutual reachability.
+
+    Of the edges of some windows of a group together, about ``most`` at a time, only those of their spanning forest go on: one that closes a
+    circle of no larger ones is in no minimum spanning tree of the group.
+    """
+
+    def tree(seen: _Seen) -> tuple[np.ndarray, ...]:
+        x, (ids, core) = seen.x, seen.columns[:2]
+        square = (x * x).sum(axis=1)
+        product = x @ x.T
+        product *= 2
+        weight = np.subtract(square[:, None] + square[None, :], product, out=product)
+        np.sqrt(np.maximum(weight, 0.0, out=weight), out=weight)
+        np.maximum(np.maximum(weight, core[:, None], out=weight), core[None, :], out=weight)
+        p, q = _tree(weight)
+        w = np.maximum(np.maximum(np.sqrt(((x[p] - x[q]) ** 2).sum(axis=1)), core[p]), core[q])
+        return np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), w
+
+    def search(windows: Iterator[_Seen]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        for seen in windows:
+            found.append(tree(seen))
+            if not seen.stays or sum(len(a) for a, _, _ in found) >= most:
+                a, b, w = (np.concatenate(c) for c in zip(*found, strict=True))
+                if len(found) > 1:
+                    forest = _forest(a, b, np.lexsort((b, a, w)))
+                    a, b, w = a[forest], b[forest], w[forest]
+                yield pa.record_batch([pa.array([seen.grp] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(w)], names=["grp", "a", "b", "w"])
+                found = []
+
+    return search
 
 
 def reach_edges(points: DataFrame, lists: DataFrame, opts: Density = Density()) -> DataFrame:
@@ -275,7 +437,7 @@ def reach_edges(points: DataFrame, lists: DataFrame, opts: Density = Density())
     """
     cores = lists.select("grp", "id", "core")
     rows = points.select("grp", "id", "vec", "centre", "total").join(cores, ["grp", "id"])
-    found = _in_windows(rows.select("grp", "id", "vec", "centre", "core", "total"), opts, _search_trees, "grp string, a long, b long, w double")
+    found = _in_windows(rows.select("grp", "id", "vec", "centre", "core", "total"), opts, _search_trees(EDGES_AT_ONCE), "grp string, a long, b long, w double")
     return found.groupBy("grp", "a", "b").agg(F.min("w").alias("w"))
 
 
@@ -359,7 +521,7 @@ class _Merger:
         return i
 
     def tell(self, kind: str, **values: object) -> None:
-        self.out.append(tuple({"kind": kind, "grp": self.grp, **values}.get(c) for c in _COLUMNS))
+        self.out.append(tuple(map({"kind": kind, "grp": self.grp, **values}.get, _COLUMNS)))
 
     def end(self, i: int, birth: float, parent: str | None) -> float:
         """The cluster of a set ends; returns the best choice in it and below."""
@@ -439,7 +601,11 @@ class _Merger:
 def _merge_block(min_size: int):
     def run(edges: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         merger = _Merger(sets["grp"].iloc[0], sets, min_size)
-        edges = edges.sort_values(["w", "a", "b"])
+        order = np.lexsort((edges["b"], edges["a"], edges["w"]))
+        # In the order of weights; edges that close a circle merge nothing.
+        forest = np.zeros(len(edges), dtype=bool)
+        forest[_forest(edges["ca"].to_numpy(), edges["cb"].to_numpy(), order)] = True
+        edges = edges.iloc[order[forest[order]]]
         weights = edges["w"].to_numpy()
         ends = list(zip(edges["ca"].tolist(), edges["cb"].tolist(), strict=True))
         names = [f"{a}:{b}" for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True)]
