@@ -18,6 +18,8 @@ SMALL_ROWS = 10_000
 HOT_PIECES = 1024
 # Compressed input that one task of a costly step reads at the most.
 TASK_BYTES = 1 << 24
+# An estimate beyond this is Spark's stand-in for a size it does not know, as that of rows from the driver.
+UNKNOWN_BYTES = 1 << 50
 # Width of the row-number buckets of ``dense_rows``: the most rows one window group can hold.
 ROW_BUCKET = 1 << 14
 PAGE_DIRECT = 10_000
@@ -98,6 +100,7 @@ def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """
     spark = df.sparkSession
     size = input_bytes(df)
+    size = 0 if size > UNKNOWN_BYTES else size
     tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
